@@ -22,12 +22,12 @@ def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, b
     bases = (
         work.groupBy(*keys, blk)
         .agg(F.sum("__v").alias("__t"))
-        .select(*keys, blk, F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__base"))
+        .select(*keys, blk, F.coalesce(F.sum("__t").over(across), F.lit(0)).alias("__ahead"))
     )
     local = work.withColumn("__local", F.coalesce(F.sum("__v").over(inside), F.lit(0)))
     return (
         local.join(bases, [*keys, blk])
-        .withColumn(out, F.col("__base") + F.col("__local"))
+        .withColumn(out, F.col("__ahead") + F.col("__local"))
         .select(*df.columns, out)
     )
 

@@ -11,9 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
-from passagework.operators.pages import DOC, content_pages, offset_to_page, page_offsets
-
-_DOC_ORDER = ["page_number", "pos"]
+from passagework.operators.pages import DOC, content_pages, page_offsets
 
 
 def document_lines(pages: DataFrame) -> DataFrame:
@@ -31,7 +29,6 @@ def document_lines(pages: DataFrame) -> DataFrame:
         .withColumn("line_no", F.row_number().over(w))
         .withColumn("next1", F.lead("line", 1).over(w))
         .withColumn("next2", F.lead("line", 2).over(w))
-        .drop("start_offset")
     )
 
 
@@ -42,49 +39,44 @@ def _annex_extra() -> Column:
     return F.when(fits("next1") & fits("next2"), 2).when(fits("next1"), 1).otherwise(0)
 
 
-def _annex_starts(lines: DataFrame) -> DataFrame:
-    """Annex titles that really start: a title line swallowed by the title before it does not.
-
-    Per document the few title lines are walked in order; a title covers the lines it wraps onto.
-    """
-    cand = lines.filter(T.is_annex_heading("line")).groupBy(DOC).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("line_no").alias("n"), _annex_extra().alias("x")))).alias("c"))
-    kept = F.aggregate(
-        "c",
-        F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<n:int,x:int>>").alias("out")),
-        lambda a, c: F.when(
-            c.n > a.upto,
-            F.struct((c.n + c.x).alias("upto"), F.concat(a.out, F.array(c)).alias("out"))).otherwise(a),
-        lambda a: a.out)
-    return cand.select(DOC, F.explode(kept).alias("k")).select(
-        DOC, F.explode(F.sequence(F.col("k.n"), F.col("k.n") + F.col("k.x"))).alias("line_no"),
-        F.col("k.n").alias("annex_start"), F.col("k.x").alias("annex_extra"))
+def _swallowed(titles: Column, line_no: Column) -> Column:
+    """Walk nearby annex titles in order: a title covers the lines it wraps onto, and a covered one starts nothing."""
+    covered = F.aggregate(
+        titles, F.lit(0),
+        lambda upto, t: F.when((t.n > upto) & (t.n < line_no), t.n + t.x).otherwise(upto))
+    return covered >= line_no
 
 
 def heading_candidates(lines: DataFrame) -> DataFrame:
     """Add ``kind`` (numbered, annex, plain or null), ``heading`` text and whether a blank line follows it.
 
     An annex title may wrap onto two more lines, which then start no heading of their own.  The title word and
-    its number stand on one line.
+    its number stand on one line.  Whether a line is wrapped text depends only on the unbroken run of titles at
+    most two lines apart before it, so the window that gathers titles is cut at every gap.
     """
-    marked = lines.join(_annex_starts(lines), [DOC, "line_no"], "left")
-    is_annex = F.col("annex_start") == F.col("line_no")
-    swallowed = F.col("annex_start").isNotNull() & (F.col("annex_start") < F.col("line_no"))
+    w = Window.partitionBy(DOC).orderBy("line_no")
+    title = T.is_annex_heading("line")
+    marked = (
+        lines.withColumn("annex", title).withColumn("extra", _annex_extra())
+        .withColumn("near", F.max(F.col("annex").cast("int")).over(w.rowsBetween(-2, 0)))
+        .withColumn("run", F.sum(1 - F.col("near")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
+    run = Window.partitionBy(DOC, "run").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = marked.withColumn("titles", F.collect_list(
+        F.when(F.col("annex"), F.struct(F.col("line_no").alias("n"), F.col("extra").alias("x")))).over(run))
     kind = (
-        F.when(swallowed, F.lit(None))
+        F.when((F.size("titles") > 0) & _swallowed(F.col("titles"), F.col("line_no")), F.lit(None))
         .when(T.is_numbered_heading("line"), "numbered")
-        .when(is_annex, "annex")
-        .when(T.is_plain_heading("line"), "plain")
-    )
+        .when(F.col("annex"), "annex")
+        .when(T.is_plain_heading("line"), "plain"))
     wrapped = (
-        F.when(F.col("annex_extra") == 2, F.concat_ws("\n", "line", "next1", "next2"))
-        .when(F.col("annex_extra") == 1, F.concat_ws("\n", "line", "next1"))
+        F.when(F.col("extra") == 2, F.concat_ws("\n", "line", "next1", "next2"))
+        .when(F.col("extra") == 1, F.concat_ws("\n", "line", "next1"))
         .otherwise(F.col("line")))
     return (
         marked.withColumn("kind", kind)
         .withColumn("heading", F.when(F.col("kind") == "annex", wrapped).when(F.col("kind").isNotNull(), F.col("line")))
         .withColumn("blank_follows", F.coalesce(F.col("next1") == "", F.lit(False)))
-        .drop("annex_start", "annex_extra")
+        .drop("annex", "extra", "near", "run", "titles")
     )
 
 
@@ -99,10 +91,10 @@ def kept_headings(candidates: DataFrame) -> DataFrame:
 
 
 def split_sections(pages: DataFrame) -> DataFrame:
-    """``(document_id, section_no, heading, start, end, text)`` cut at the kept headings.
+    """``(document_id, section_no, heading, start, end, text, page_map)`` cut at the kept headings.
 
     Text before the first heading is ``Preamble``; a document without headings is one ``General`` section; spans
-    under 30 characters go.  The heading stays in the text.
+    under 30 characters go.  The heading stays in the text; ``page_map`` lists the section's pages and their starts.
     """
     lines = kept_headings(heading_candidates(document_lines(pages)))
     w = Window.partitionBy(DOC).orderBy("line_no")
@@ -111,6 +103,8 @@ def split_sections(pages: DataFrame) -> DataFrame:
     body = numbered.groupBy(DOC, "section_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"),
         F.min("start").alias("start"),
+        F.array_sort(F.collect_set(
+            F.struct(F.col("start_offset").alias("start"), F.col("page_number").alias("page")))).alias("page_map"),
         F.max(F.when(F.col("is_heading"), T.squeeze("heading"))).alias("title"),
     )
     raw = F.concat(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n"))
@@ -131,6 +125,7 @@ def split_sections(pages: DataFrame) -> DataFrame:
             F.when(F.col("general"), F.col("start")).otherwise(F.col("start") + lead).alias("start"),
             "end",
             F.when(F.col("general"), F.col("raw")).otherwise(F.col("stripped")).alias("text"),
+            "page_map",
         )
     )
 
@@ -227,7 +222,7 @@ def locate_chunk(section, piece, cursor) -> Column:
     probe = F.substring(p, 1, K.LOCATE_PROBE)
     whole = F.call_function("locate", p, s, at)
     head = F.when(F.length(probe) >= K.LOCATE_PROBE_MIN, F.call_function("locate", probe, s, at)).otherwise(F.lit(0))
-    return F.when(whole > 0, whole - 1).when(head > 0, head - 1).otherwise(F.lit(-1))
+    return F.when(p == "", at - 1).when(whole > 0, whole - 1).when(head > 0, head - 1).otherwise(F.lit(-1))
 
 
 def chunk_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
@@ -240,25 +235,27 @@ def chunk_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def section_chunks(sections: DataFrame) -> DataFrame:
-    """Chunks of each section with their offset in the document; tiny ones are gone."""
+    """Chunks of each section with their document offset and the page they start on; tiny ones are gone."""
     cut = sections.select(
-        DOC, "section_no", F.col("heading").alias("section_title"), F.col("start").alias("section_start"),
+        DOC, "section_no", F.col("heading").alias("section_title"), F.col("start").alias("section_start"), "page_map",
         F.posexplode(split_overlapping("text")).alias("piece_no", "p"))
-    return drop_tiny_chunks(cut.select(
-        DOC, "section_no", "section_title", "piece_no",
-        (F.col("section_start") + F.col("p.start")).alias("offset"), F.col("p.text").alias("text")))
+    placed = cut.withColumn("offset", F.col("section_start") + F.col("p.start"))
+    page = F.element_at(F.filter("page_map", lambda m: m.start <= F.col("offset")), -1).page
+    return drop_tiny_chunks(placed.select(
+        DOC, "section_no", "section_title", "piece_no", "offset", page.alias("page_number"),
+        F.col("p.text").alias("text")))
 
 
 def build_chunks(pages: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
     """Classified pages → chunks carrying page, section and provenance columns.
 
-    ``provenance`` has one row per document (``document_id, source, title, publisher, url, topic``).
+    One hash partitioning by document serves offsets, headings, sections and chunk numbers: the text is shuffled
+    once.  ``provenance`` has one row per document (``document_id, source, title, publisher, url, topic``).
     """
     content = content_pages(pages) if "page_type" in pages.columns else pages
-    content = content.select(DOC, "page_number", "text").repartition(DOC)
+    content = content.select(DOC, "page_number", "text")
     chunks = section_chunks(split_sections(content))
-    placed = offset_to_page(chunks, page_offsets(content))
-    out = chunk_ids(placed, ["section_no", "piece_no"]).select(
+    out = chunk_ids(chunks, ["section_no", "piece_no"]).select(
         "chunk_id", DOC, "chunk_index", "text", "section_title", "page_number")
     return out if provenance is None else out.join(provenance, DOC, "left")
 

@@ -102,13 +102,13 @@ def page_lines(pages: DataFrame) -> DataFrame:
         "is_edge", (F.col("pos") < K.EDGE_LINES) | (F.col("pos") >= F.col("line_count") - K.EDGE_LINES))
 
 
-def _edge_keys(pages: DataFrame):
+def _edge_keys():
     """Distinct furniture keys on the edge of a page, worked out inside the row."""
-    lines = F.transform(F.split("text", "\n"), T.strip)
-    n = F.size(lines)
-    edge = F.filter(lines, lambda x, i: ((i < K.EDGE_LINES) | (i >= n - K.EDGE_LINES)) & (x != "")
-                    & (F.length(x) <= K.FURNITURE_MAX_LINE) & ~T.is_protected(x))
-    return F.array_distinct(F.array_remove(F.transform(edge, T.furniture_key), ""))
+    lines = F.split("text", "\n")
+    edge = F.transform(
+        F.concat(F.slice(lines, 1, K.EDGE_LINES), F.slice(F.reverse(lines), 1, K.EDGE_LINES)), T.strip)
+    usable = F.filter(edge, lambda x: (x != "") & (F.length(x) <= K.FURNITURE_MAX_LINE) & ~T.is_protected(x))
+    return F.array_distinct(F.array_remove(F.transform(usable, T.furniture_key), ""))
 
 
 def detect_furniture(pages: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def detect_furniture(pages: DataFrame) -> DataFrame:
 
     Keys are made distinct inside each page row, so the one aggregate counts pages, and it combines map-side.
     """
-    counts = pages.select(DOC, F.explode(_edge_keys(pages)).alias("key")).groupBy(DOC, "key").agg(
+    counts = pages.select(DOC, F.explode(_edge_keys()).alias("key")).groupBy(DOC, "key").agg(
         F.count(F.lit(1)).alias("pages"))
     totals = pages.groupBy(DOC).agg(F.count(F.lit(1)).alias("page_count"))
     limit = F.greatest(F.lit(K.FURNITURE_MIN_PAGES), F.floor(F.col("page_count") * F.lit(K.FURNITURE_PAGE_RATIO)))
@@ -136,22 +136,25 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     keys = furniture.groupBy(DOC).agg(F.collect_set("key").alias("__keys"))
     joined = pages.join(keys, DOC, "left").withColumn(
         "__keys", F.coalesce("__keys", F.array().cast("array<string>")))
-    n = F.size(F.split("text", "\n"))
-
-    def drop(x, i):
-        s = T.strip(x)
-        edge = (i < K.EDGE_LINES) | (i >= n - K.EDGE_LINES)
-        return edge & (s != "") & ~T.is_protected(s) & (
-            F.array_contains(F.col("__keys"), T.furniture_key(s)) | s.rlike(K.PAGE_NUMBER_LINE))
+    def drop(x):
+        t = T.strip(x)
+        return (t != "") & ~T.is_protected(t) & (
+            F.array_contains(F.col("__keys"), T.furniture_key(t)) | t.rlike(K.PAGE_NUMBER_LINE))
 
-    marked = joined.withColumn(
-        "__marked", F.transform(F.split("text", "\n"), lambda x, i: F.struct(x.alias("line"), drop(x, i).alias("d"))))
-    kept = F.array_join(F.transform(F.filter("__marked", lambda m: ~m.d), lambda m: m.line), "\n")
+    lines, e = F.col("__lines"), K.EDGE_LINES
+    n = F.size(lines)
+    head = F.slice(lines, 1, e)
+    middle = F.slice(lines, e + 1, F.greatest(n - 2 * e, F.lit(0)))
+    tail = F.when(n > e, F.slice(lines, F.greatest(n - e + 1, F.lit(e + 1)), e)).otherwise(F.slice(lines, 1, 0))
+    split = joined.withColumn("__lines", F.split("text", "\n")).select(
+        *joined.columns, head.alias("__head"), middle.alias("__middle"), tail.alias("__tail"))
+    kept = F.array_join(F.concat(
+        F.filter("__head", lambda x: ~drop(x)), F.col("__middle"), F.filter("__tail", lambda x: ~drop(x))), "\n")
+    gone = F.transform(F.concat(F.filter("__head", drop), F.filter("__tail", drop)), T.strip)
     return (
-        marked.withColumn("text", T.strip(F.regexp_replace(kept, "\n{3,}", "\n\n")))
-        .withColumn("removed", F.transform(F.filter("__marked", lambda m: m.d), lambda m: T.strip(m.line)))
-        .drop("__marked", "__keys")
-    )
+        split.withColumn("removed", gone)
+        .withColumn("text", T.strip(F.regexp_replace(kept, "\n{3,}", "\n\n")))
+        .drop("__keys", "__head", "__middle", "__tail"))
 
 
 def removed_line_report(stripped: DataFrame, n: int = 10) -> DataFrame:
@@ -168,18 +171,21 @@ def drop_empty_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages.filter(~blank), pages.filter(blank).select(*DOC_PAGE, F.lit("empty").alias("reason"))
 
 
+def _cleaned(pages: DataFrame) -> DataFrame:
+    # Detection needs no co-location: page keys combine map-side.  Only the stripping side moves text.
+    return strip_furniture(with_pages(pages), detect_furniture(pages)).withColumn("text", T.light_clean("text"))
+
+
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Furniture off, light clean-up, blank pages out, ``page_type`` and ``char_count`` added."""
-    placed = with_pages(pages)
-    clean = strip_furniture(placed, detect_furniture(placed)).withColumn("text", T.light_clean("text"))
+    clean = _cleaned(pages)
     kept, _ = drop_empty_pages(clean)
     return kept.withColumn("page_type", T.page_type("text")).withColumn("char_count", F.length("text"))
 
 
 def flagged_pages(pages: DataFrame) -> DataFrame:
     """Pages left out of the content with the reason: empty, copyright or table_of_contents."""
-    placed = with_pages(pages)
-    clean = strip_furniture(placed, detect_furniture(placed)).withColumn("text", T.light_clean("text"))
+    clean = _cleaned(pages)
     reason = F.when(F.col("text") == "", F.lit("empty")).otherwise(T.page_type("text"))
     return clean.select(*DOC_PAGE, reason.alias("reason")).filter(F.col("reason") != "content")
 

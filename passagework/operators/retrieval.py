@@ -105,7 +105,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None =
     schema = S.StructType([*[q.schema[x] for x in keys], q.schema["query_id"], c.schema["key"],
                            S.StructField("distance", S.DoubleType())])
     group = [*keys, "__qb", "__cb"]
-    local = qs.groupBy(*group).cogroup(cs.groupBy(*group)).applyInPandas(_nearest(k, keys), schema)
+    # Both sides may come from one table; own names keep the two groupings apart.
+    cs = cs.select(*[F.col(g).alias(f"{g}_c") for g in group], "key", "vector")
+    local = qs.groupBy(*group).cogroup(cs.groupBy(*[f"{g}_c" for g in group])).applyInPandas(
+        _nearest(k, keys), schema)
     ranked = top_per_key(local, ["query_id"], [F.round("distance", TIE_DIGITS), "key"], k)
     return ranked.drop(_ALL)
 

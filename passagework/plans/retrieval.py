@@ -1 +1,290 @@
+"""Family E: retrieval.  Questions are the benchmark items, the corpus is every document."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passagework import constants as K
+from passagework.operators import retrieval as O
+from passagework.plans import sqltext as Q
+from passagework.plans.hits import HITS, hits
+from passagework.plans.registry import query
+from passagework.plans.views import question_queries, text_corpus
+from passagework.sources.tables import table
+
+_TOKENS = f"""tk as (select doc_id, unnest({Q.tokens('text')}) as term from documents),
+qt as (select item_id, unnest({Q.tokens('text')}) as term from benchmark)"""
+
+# Hashed term vectors on both sides and all distances (both sides are unit vectors, or zero without tokens).
+_BUCKET = "('0x' || substr(md5(term), 1, 8))::bigint % 64"
+_DENSE = f"""dv as (select doc_id, {_BUCKET} as b, count(*)::double as c from tk group by 1, 2),
+dn as (select doc_id, sqrt(sum(c * c)) as nrm from dv group by 1),
+qv as (select item_id, {_BUCKET} as b, count(*)::double as c from qt group by 1, 2),
+qn as (select item_id, sqrt(sum(c * c)) as nrm from qv group by 1),
+dot as (select item_id, doc_id, sum(q.c * d.c) as s from qv q join dv d using (b) group by 1, 2),
+dist as (select b.item_id, d.doc_id, greatest(case when qn.nrm is null then 0 else 1 end
+    + case when dn.nrm is null then 0 else 1 end - 2 * coalesce(dot.s / (qn.nrm * dn.nrm), 0), 0)::double as distance
+  from benchmark b cross join documents d left join qn using (item_id) left join dn using (doc_id)
+  left join dot using (item_id, doc_id)),
+dense_all as (select *, row_number() over (partition by item_id order by round(distance, 6), doc_id) as rank from dist)"""
+
+_BM25 = f"""dl as (select doc_id, len({Q.tokens('text')})::double as dl from documents),
+tf as (select doc_id, term, count(*)::double as tf from tk group by 1, 2),
+dfs as (select term, count(*)::double as n from tf group by 1),
+stt as (select count(*)::double as docs, avg(dl) as avgdl from dl),
+i0 as (select term, ln((docs - n + 0.5::double) / (n + 0.5::double)) as idf from dfs, stt),
+mi as (select avg(idf) as m from i0),
+idf as (select term, case when idf < 0 then 0.25::double * m else idf end as idf from i0, mi),
+qq as (select item_id, term, count(*)::double as qtf from qt group by 1, 2),
+sc as (select item_id, doc_id, sum(qtf * idf * tf * 2.5::double
+      / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) as score
+  from qq join idf using (term) join tf using (term) join dl using (doc_id), stt group by 1, 2),
+lex_all as (select *, row_number() over (partition by item_id order by round(score, 6) desc, doc_id) as rank from sc)"""
+
+_POOL = f"""{_TOKENS}, {_DENSE}, {_BM25},
+pl as (select coalesce(d.item_id, l.item_id) as item_id, coalesce(d.doc_id, l.doc_id) as doc_id, d.rank as dr,
+    l.rank as lr, d.distance, coalesce(1 / (8 + d.rank)::double, 0) + coalesce(1 / (8 + l.rank)::double, 0) as rrf
+  from (select * from dense_all where rank <= 30) d full join (select * from lex_all where rank <= 30) l
+    on d.item_id = l.item_id and d.doc_id = l.doc_id),
+pool as (select * from (select *, row_number() over (partition by item_id order by round(rrf, 9) desc,
+    dr nulls last, lr nulls last, doc_id) as pool_rank from pl) where pool_rank <= 30)"""
+
+_RERANK = f"""{_POOL},
+ov as (select p.*, (select count(distinct a.term) from qt a where a.item_id = p.item_id and a.term in
+      (select term from tk where tk.doc_id = p.doc_id))::double
+    / greatest((select count(distinct a.term) from qt a where a.item_id = p.item_id), 1) as rerank_score from pool p),
+rr as (select *, row_number() over (partition by item_id order by round(rerank_score, 9) desc, pool_rank) as rerank_rank
+  from ov),
+fz as (select *, row_number() over (partition by item_id order by
+    round(1 / (8 + pool_rank)::double + 1 / (8 + rerank_rank)::double, 9) desc, pool_rank) as rank from rr)"""
+
+
+def _questions(spark, sf):
+    return O.embed(question_queries(spark, sf), "text")
+
+
+def _corpus(spark, sf):
+    return O.embed(text_corpus(spark, sf).repartition("key"), "text")
+
+
+@query("e1_embed", f"""with {_TOKENS}, dv as (select doc_id, {_BUCKET} as dim, count(*)::double as c from tk group by 1, 2)
+select doc_id, dim, round(c / sqrt(sum(c * c) over (partition by doc_id)), 6) as value from dv""")
+def embed(spark, sf):
+    v = _corpus(spark, sf).select(F.col("key").alias("doc_id"), F.posexplode("vector").alias("dim", "value"))
+    return v.filter(F.col("value") != 0).select("doc_id", "dim", F.round("value", 6).alias("value"))
+
+
+_VEC = "select vec_id, label, embedding::double[] as v from embeddings"
+
+
+def _vectors(spark, sf):
+    e = table(spark, sf, "embeddings")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
+    c = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), "label")
+    return q, c
+
+
+def _rows(df):
+    return df.select("query_id", "key", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query("e2_knn", f"""with v as ({_VEC}),
+d as (select a.vec_id as query_id, b.vec_id as key, list_distance(a.v, b.v) ** 2 as distance from v a cross join v b),
+r as (select *, row_number() over (partition by query_id order by round(distance, 6), key) as rank from d)
+select query_id, key, round(distance, 4) as distance, rank from r where rank <= 10""")
+def knn(spark, sf):
+    q, c = _vectors(spark, sf)
+    return _rows(O.knn(q, c, K.TOP_K))
+
+
+_ALLOWED = """al as (select label from embeddings group by label
+  having count(*) >= (select avg(n) from (select count(*) as n from embeddings group by label)))"""
+
+
+@query("e3_knn_filtered", f"""with v as ({_VEC}), {_ALLOWED},
+d as (select a.vec_id as query_id, b.vec_id as key, list_distance(a.v, b.v) ** 2 as distance
+  from v a cross join (select * from v where label in (select label from al)) b),
+r as (select *, row_number() over (partition by query_id order by round(distance, 6), key) as rank from d)
+select query_id, key, round(distance, 4) as distance, rank from r where rank <= 5""")
+def knn_filtered(spark, sf):
+    q, c = _vectors(spark, sf)
+    sizes = c.groupBy("label").agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0))
+    mean = sizes.groupBy("one").agg(F.avg("n").alias("m"))
+    ids = sizes.join(mean, "one").filter(F.col("n") >= F.col("m")).select("label")
+    return _rows(O.knn_filtered(q.drop("label"), c, K.RETRIEVAL_K, ids, "label"))
+
+
+@query("e4_allow_list", """select 'listed' as mode, count(*) as n from documents where doc_id in
+  (select doc_id from labels where quality = 1)
+union all select 'none', count(*) from documents union all select 'empty', 0""")
+def allow_list(spark, sf):
+    d, lab = table(spark, sf, "documents"), table(spark, sf, "labels")
+    listed = lab.filter("quality = 1").select("doc_id")
+
+    def n(df, mode):
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(mode).alias("mode"), "n")
+
+    return n(O.allow_list(d, listed, "doc_id"), "listed").unionByName(n(O.allow_list(d, None, "doc_id"), "none")).unionByName(
+        n(O.allow_list(d, listed.filter(F.lit(False)), "doc_id"), "empty"))
+
+
+@query("e5_tenant_search", f"""with v as ({_VEC}),
+d as (select a.label, a.vec_id as query_id, b.vec_id as key, list_distance(a.v, b.v) ** 2 as distance
+  from v a join v b on a.label = b.label),
+r as (select *, row_number() over (partition by query_id order by round(distance, 6), key) as rank from d)
+select label, query_id, key, round(distance, 4) as distance, rank from r where rank <= 5""")
+def tenant_search(spark, sf):
+    q, c = _vectors(spark, sf)
+    r = O.knn(q, c, K.RETRIEVAL_K, scope=["label"])
+    return r.select("label", "query_id", "key", F.round("distance", 4).alias("distance"), "rank")
+
+
+@query("e6_eligible_documents", """select doc_id, source from documents join labels using (doc_id) where quality = 1""")
+def eligible_documents(spark, sf):
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    d = d.withColumn("status", F.when(F.col("quality").isNotNull(), "ready").otherwise("processing")).withColumn(
+        "verified", F.coalesce(F.col("quality") == 1, F.lit(False)))
+    return O.eligible_documents(d, "patient").select("doc_id", "source")
+
+
+@query("e7_bm25", f"""with {_TOKENS}, {_BM25}
+select item_id as query_id, doc_id as key, round(score, 4) as score, rank from lex_all where rank <= 10""")
+def bm25(spark, sf):
+    return O.bm25(question_queries(spark, sf), text_corpus(spark, sf), K.TOP_K).select(
+        "query_id", "key", F.round("score", 4).alias("score"), "rank")
+
+
+_SCOPED_BM25 = f"""with src as (select item_id, text, 'src' || (item_id % 20) as source from benchmark),
+tk as (select source, doc_id, unnest({Q.tokens('text')}) as term from documents),
+dl as (select source, doc_id, len({Q.tokens('text')})::double as dl from documents),
+tf as (select source, doc_id, term, count(*)::double as tf from tk group by all),
+dfs as (select source, term, count(*)::double as n from tf group by all),
+stt as (select source, count(*)::double as docs, avg(dl) as avgdl from dl group by 1),
+i0 as (select source, term, ln((docs - n + 0.5::double) / (n + 0.5::double)) as idf from dfs join stt using (source)),
+mi as (select source, avg(idf) as m from i0 group by 1),
+idf as (select source, term, case when idf < 0 then 0.25::double * m else idf end as idf from i0 join mi using (source)),
+qq as (select source, item_id, term, count(*)::double as qtf from
+  (select source, item_id, unnest({Q.tokens('text')}) as term from src) group by all),
+sc as (select source, item_id, doc_id, sum(qtf * idf * tf * 2.5::double
+      / (tf + 1.5::double * (0.25::double + 0.75::double * dl / avgdl))) as score
+  from qq join idf using (source, term) join tf using (source, term) join dl using (source, doc_id)
+  join stt using (source) group by all),
+al as (select s.source, s.item_id, d.doc_id, coalesce(sc.score, 0) as score, sc.score is null as missing
+  from src s join documents d using (source) left join sc on sc.item_id = s.item_id and sc.doc_id = d.doc_id),
+r as (select *, row_number() over (partition by item_id order by missing, round(score, 6) desc, doc_id) as rank from al)
+select source, item_id as query_id, doc_id as key, round(score, 4) as score, rank from r where rank <= 10"""
+
+
+@query("e7_bm25_per_tenant", _SCOPED_BM25)
+def bm25_per_tenant(spark, sf):
+    q = question_queries(spark, sf).withColumn(
+        "source", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return O.bm25(q, text_corpus(spark, sf), K.TOP_K, scope=["source"]).select(
+        "source", "query_id", "key", F.round("score", 4).alias("score"), "rank")
+
+
+@query("e8_rrf", f"""with {_TOKENS}, {_DENSE}, {_BM25},
+u as (select item_id, doc_id, rank from dense_all where rank <= 30
+  union all select item_id, doc_id, rank from lex_all where rank <= 30)
+select item_id as query_id, doc_id as key, round(sum(1 / (8 + rank)::double), 6) as rrf from u group by 1, 2""")
+def rrf(spark, sf):
+    q, c = _questions(spark, sf), _corpus(spark, sf)
+    n = K.RERANK_CANDIDATES
+    return O.rrf(O.knn(q, c, n), O.bm25(q, c, n)).select("query_id", "key", F.round("rrf", 6).alias("rrf"))
+
+
+@query("e9_candidate_pool", f"""with {_POOL}
+select item_id as query_id, doc_id as key, round(distance, 4) as distance, pool_rank from pool""")
+def candidate_pool(spark, sf):
+    q, c = _questions(spark, sf), _corpus(spark, sf)
+    n = K.RERANK_CANDIDATES
+    return O.candidate_pool(O.knn(q, c, n), O.bm25(q, c, n), n).select(
+        "query_id", "key", F.round("distance", 4).alias("distance"), "pool_rank")
+
+
+_HIT_RERANK = HITS + f""", s as (select query_id, chunk_id, rank, distance,
+    len(list_intersect(list_distinct({Q.tokens("source || ' ' || section_title || ' the of and'")}), {Q.tokens('text')}))::double
+      / greatest(len(list_distinct({Q.tokens("source || ' ' || section_title || ' the of and'")})), 1) as rerank_score
+  from hits),
+r as (select *, row_number() over (partition by query_id order by round(rerank_score, 9) desc, rank) as rerank_rank from s)"""
+
+
+def _hit_pairs(spark, sf):
+    return hits(spark, sf).select(
+        "query_id", F.col("chunk_id").alias("key"), F.col("rank").alias("pool_rank"), "distance", "text",
+        F.concat("source", F.lit(" "), "section_title", F.lit(" the of and")).alias("question"))
+
+
+@query("e10_rerank", f"""{_HIT_RERANK}
+select query_id, chunk_id as key, round(rerank_score, 6) as rerank_score, rerank_rank from r where rerank_rank <= 3""")
+def rerank(spark, sf):
+    return O.rerank(_hit_pairs(spark, sf), 3).select(
+        "query_id", "key", F.round("rerank_score", 6).alias("rerank_score"), "rerank_rank")
+
+
+@query("e11_fuse_rerank", f"""{_HIT_RERANK},
+f as (select *, row_number() over (partition by query_id order by
+    round(1 / (8 + rank)::double + 1 / (8 + rerank_rank)::double, 9) desc, rank) as final from r)
+select query_id, chunk_id as key, final as rank from f where final <= 3""")
+def fuse_rerank(spark, sf):
+    return O.fuse_rerank(O.rerank(_hit_pairs(spark, sf), K.RERANK_CANDIDATES), 3).select("query_id", "key", "rank")
+
+
+@query("e12_distance_gate", HITS + """,
+h as (select query_id, chunk_id, rank, distance + (query_id % 4) * 0.6::double as distance,
+    case when query_id % 2 = 0 then 'doctor' else 'patient' end as role from hits),
+g as (select *, min(distance) over (partition by query_id) as best from h)
+select query_id, chunk_id, rank, role from g
+where best <= case when role = 'doctor' then 1.8 else 1.65 end and rank <= case when role = 'doctor' then 8 else 5 end""")
+def distance_gate(spark, sf):
+    h = hits(spark, sf).withColumn("distance", F.col("distance") + F.col("query_id") % 4 * 0.6).withColumn(
+        "role", F.when(F.col("query_id") % 2 == 0, "doctor").otherwise("patient"))
+    return O.distance_gate(h, O.role_gate("role")).filter(F.col("rank") <= O.role_limit("role")).select(
+        "query_id", "chunk_id", "rank", "role")
+
+
+@query("e13_project_hits", HITS + """
+select query_id, rank, case when title = '' then source else title end as title, source, document_id, source_url,
+  page_number, section_title, chunk_id, round(distance, 4) as distance, round(rerank_score, 4) as rerank_score from hits""")
+def project_hits(spark, sf):
+    h = hits(spark, sf).withColumnRenamed("source_url", "url")
+    return O.project_hits(h).drop("text", "publisher", "topic")
+
+
+@query("e14_chunk_key", """select doc_id, case when doc_id % 3 = 0 then 'd' || doc_id
+  else source || ':' || (doc_id % 97 + 1) || ':' || substr(text, 1, 50) end as key from documents""")
+def chunk_key(spark, sf):
+    n = F.col("doc_id")
+    return table(spark, sf, "documents").select("doc_id", O.chunk_key(
+        F.when(n % 3 == 0, F.concat(F.lit("d"), n.cast("string"))).when(n % 3 == 1, F.lit("")),
+        F.col("source"), n % 97 + 1, F.col("text")).alias("key"))
+
+
+@query("e15_hybrid_retrieve", f"""with {_RERANK}
+select item_id as query_id, doc_id as key, rank, round(distance, 4) as distance, round(rerank_score, 4) as rerank_score
+from fz where rank <= 10""")
+def hybrid_retrieve(spark, sf):
+    return O.hybrid_retrieve(_questions(spark, sf), _corpus(spark, sf), K.TOP_K).select(
+        "query_id", "key", "rank", F.round("distance", 4).alias("distance"),
+        F.round("rerank_score", 4).alias("rerank_score"))
+
+
+@query("e16_retrieve", f"""with {_RERANK},
+bst as (select item_id, min(distance) as best from dense_all group by 1)
+select item_id as query_id, fz.rank, d.source as title, d.source, round(fz.distance, 4) as distance,
+  round(rerank_score, 4) as rerank_score, fz.doc_id as key
+from fz join bst using (item_id) join documents d on d.doc_id = fz.doc_id where fz.rank <= 5 and best <= 0.5""")
+def retrieve(spark, sf):
+    c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
+    r = O.retrieve(_questions(spark, sf), c, gate=0.5)
+    return r.select("query_id", "rank", "title", "source", "distance", "rerank_score",
+                    F.col("chunk_id").cast("bigint").alias("key"))
+
+
+@query("e16_retrieve_without_rerank", f"""with {_TOKENS}, {_DENSE}
+select item_id as query_id, rank, source, round(distance, 4) as distance, doc_id as key
+from dense_all join documents using (doc_id) where rank <= 5""")
+def retrieve_without_rerank(spark, sf):
+    c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
+    r = O.retrieve(_questions(spark, sf), c, reranking=False)
+    return r.select("query_id", "rank", "source", "distance", F.col("chunk_id").cast("bigint").alias("key"))

@@ -57,3 +57,55 @@ GUIDE = PAGES + f""", gp as (
       || text || chr(10) || chr(10) || '1.2.3' || chr(10) || 'Page ' || page_number || ' of 50'
     end as text
   from pg)"""
+
+LINES = f"""ln as (
+  select document_id, page_number, unnest(l) as line, generate_subscripts(l, 1) - 1 as pos, len(l) as n
+  from (select document_id, page_number, string_split(text, chr(10)) as l from gp)),
+sl as (select *, {strip('line')} as s, pos < 8 or pos >= n - 8 as is_edge,
+    regexp_replace(lower({strip('line')}), '[^a-z]', '', 'g') as key,
+    regexp_matches({strip('line')}, '^[0-9]+(\\.[0-9]+)+$') as protected,
+    regexp_matches({strip('line')}, '(?i)^([0-9]{{1,4}}|page\\s+[0-9]+(\\s+of(\\s+[0-9]+)?)?|[0-9]+\\s+of\\s+[0-9]+)$')
+      as numbered
+  from ln)"""
+
+FURNITURE = f"""{GUIDE}, {LINES},
+tot as (select document_id, count(*) as pages from gp group by 1),
+fu as (
+  select document_id, key, count(*) as pages from (
+    select distinct document_id, page_number, key from sl
+    where is_edge and s <> '' and length(s) <= 250 and not protected and key <> '')
+  group by 1, 2),
+furniture as (select f.document_id, f.key, f.pages from fu f join tot t using (document_id)
+  where t.pages >= 4 and f.pages >= greatest(4, t.pages // 2))"""
+
+STRIPPED = f"""{FURNITURE},
+judged as (select s.*, s.is_edge and s.s <> '' and not s.protected and (f.key is not null or s.numbered) as gone
+  from sl s left join furniture f on f.document_id = s.document_id and f.key = s.key),
+st as (select g.document_id, g.source, g.page_number, g.text as raw,
+    {strip("regexp_replace(coalesce(k.t, ''), chr(10) || '{3,}', chr(10) || chr(10), 'g')")} as text
+  from gp g left join (
+    select document_id, page_number, string_agg(line, chr(10) order by pos) as t from judged where not gone
+    group by 1, 2) k using (document_id, page_number))"""
+
+_light = "regexp_replace(replace(text, chr(160), ' '), '\\.{4,}', ' ', 'g')"
+_light = f"regexp_replace({_light}, '[ \\t]{{2,}}', ' ', 'g')"
+_light = strip(f"regexp_replace({_light}, '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+def _phrases(e: str, phrases) -> str:
+    return "(" + " + ".join(f"contains(lower({e}), {lit(p)})::int" for p in phrases) + ")"
+
+
+def toc_ratio(e: str) -> str:
+    lines = f"list_filter(list_transform(string_split({e}, chr(10)), lambda x: {strip('x')}), lambda x: x <> '')"
+    return (f"case when len({lines}) < 8 then 0 else len(list_filter({lines}, "
+            f"lambda x: regexp_matches(x, '(\\s[0-9]{{1,3}}$)|(^[0-9]{{1,3}}$)')))::double / len({lines}) end")
+
+
+COPYRIGHT = _phrases("text", K.COPYRIGHT_PHRASES) + " >= 2"
+TOC = f"({_phrases('text', K.TOC_WORDS)} >= 2 or {toc_ratio('text')} >= 0.3)"
+
+CLASSIFIED = f"""{STRIPPED},
+lc as (select document_id, source, page_number, raw, {_light} as text from st),
+cp as (select *, case when {COPYRIGHT} then 'copyright' when {TOC} then 'table_of_contents' else 'content' end
+    as page_type, length(text) as char_count from lc where {strip('text')} <> '')"""
