@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
+from passagework.functions.once import once
 from passagework.operators.pages import DOC, content_pages, page_offsets
 
 
@@ -21,7 +22,7 @@ def document_lines(pages: DataFrame) -> DataFrame:
     """
     placed = page_offsets(pages)
     lines = placed.select(
-        DOC, "page_number", "start_offset", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+        DOC, "page_number", "start_offset", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy(DOC).orderBy("page_number", "pos")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     return (
@@ -73,7 +74,7 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
         .when(F.col("extra") == 1, F.concat_ws("\n", "line", "next1"))
         .otherwise(F.col("line")))
     return (
-        marked.withColumn("kind", kind)
+        once(marked, kind=kind)
         .withColumn("heading", F.when(F.col("kind") == "annex", wrapped).when(F.col("kind").isNotNull(), F.col("line")))
         .withColumn("blank_follows", F.coalesce(F.col("next1") == "", F.lit(False)))
         .drop("annex", "extra", "near", "run", "titles")
@@ -87,7 +88,7 @@ def kept_headings(candidates: DataFrame) -> DataFrame:
         & ~T.is_boilerplate_heading("heading")
         & (F.col("kind").isin("numbered", "annex") | F.col("blank_follows") | T.looks_titled("heading"))
     )
-    return candidates.withColumn("is_heading", F.coalesce(keep, F.lit(False)))
+    return once(candidates, is_heading=F.coalesce(keep, F.lit(False)))
 
 
 def split_sections(pages: DataFrame) -> DataFrame:
@@ -109,13 +110,12 @@ def split_sections(pages: DataFrame) -> DataFrame:
     )
     raw = F.concat(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n"))
     per_doc = Window.partitionBy(DOC)
-    shaped = (
-        body.withColumn("raw", raw).drop("l")
+    shaped = once(
+        once(body, raw=raw).drop("l")
         .withColumn("last_section", F.max("section_no").over(per_doc))
         .withColumn("general", F.col("last_section") == 0)
-        .withColumn("end", F.col("start") + F.length("raw"))
-        .withColumn("stripped", T.strip("raw"))
-    )
+        .withColumn("end", F.col("start") + F.length("raw")),
+        stripped=T.strip("raw"))
     lead = F.length("raw") - F.length(T.lstrip("raw"))
     return (
         shaped.filter(F.col("general") | (F.length("stripped") >= K.MIN_SECTION_CHARS))
@@ -235,11 +235,15 @@ def chunk_ids(chunks: DataFrame, order: list[str]) -> DataFrame:
 
 
 def section_chunks(sections: DataFrame) -> DataFrame:
-    """Chunks of each section with their document offset and the page they start on; tiny ones are gone."""
+    """Chunks of each section with their document offset and the page they start on; tiny ones are gone.
+
+    The outer explode keeps Spark from splitting every text twice to test for emptiness; a section without chunks
+    gives a null text, which the size filter drops.
+    """
     cut = sections.select(
         DOC, "section_no", F.col("heading").alias("section_title"), F.col("start").alias("section_start"), "page_map",
-        F.posexplode(split_overlapping("text")).alias("piece_no", "p"))
-    placed = cut.withColumn("offset", F.col("section_start") + F.col("p.start"))
+        F.posexplode_outer(split_overlapping("text")).alias("piece_no", "p"))
+    placed = cut.select("*", (F.col("section_start") + F.col("p.start")).alias("offset"))
     page = F.element_at(F.filter("page_map", lambda m: m.start <= F.col("offset")), -1).page
     return drop_tiny_chunks(placed.select(
         DOC, "section_no", "section_title", "piece_no", "offset", page.alias("page_number"),

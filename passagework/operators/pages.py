@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
+from passagework.functions.once import once
 from passagework.functions.windows import top_per_key
 
 DOC = "document_id"
@@ -97,7 +98,7 @@ def page_lines(pages: DataFrame) -> DataFrame:
     """One row per line with its position and whether it lies within the page edge."""
     n = F.size("__lines")
     lines = pages.withColumn("__lines", F.split("text", "\n")).select(
-        *[c for c in pages.columns if c != "text"], n.alias("line_count"), F.posexplode("__lines").alias("pos", "line"))
+        *[c for c in pages.columns if c != "text"], n.alias("line_count"), F.posexplode_outer("__lines").alias("pos", "line"))
     return lines.withColumn(
         "is_edge", (F.col("pos") < K.EDGE_LINES) | (F.col("pos") >= F.col("line_count") - K.EDGE_LINES))
 
@@ -116,7 +117,7 @@ def detect_furniture(pages: DataFrame) -> DataFrame:
 
     Keys are made distinct inside each page row, so the one aggregate counts pages, and it combines map-side.
     """
-    counts = pages.select(DOC, F.explode(_edge_keys()).alias("key")).groupBy(DOC, "key").agg(
+    counts = pages.select(DOC, F.explode_outer(_edge_keys()).alias("key")).filter(F.col("key").isNotNull()).groupBy(DOC, "key").agg(
         F.count(F.lit(1)).alias("pages"))
     totals = pages.groupBy(DOC).agg(F.count(F.lit(1)).alias("page_count"))
     limit = F.greatest(F.lit(K.FURNITURE_MIN_PAGES), F.floor(F.col("page_count") * F.lit(K.FURNITURE_PAGE_RATIO)))
@@ -146,15 +147,19 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     head = F.slice(lines, 1, e)
     middle = F.slice(lines, e + 1, F.greatest(n - 2 * e, F.lit(0)))
     tail = F.when(n > e, F.slice(lines, F.greatest(n - e + 1, F.lit(e + 1)), e)).otherwise(F.slice(lines, 1, 0))
-    split = joined.withColumn("__lines", F.split("text", "\n")).select(
-        *joined.columns, head.alias("__head"), middle.alias("__middle"), tail.alias("__tail"))
+    split = once(joined, __lines=F.split("text", "\n"))
+    split = once(split, __head=head, __middle=middle, __tail=tail).drop("__lines", "text")
+    split = once(split, __drop=F.transform("__head", drop), __last=F.transform("__tail", drop))
+
+    def pick(lines, flags, want: bool):
+        return F.filter(lines, lambda x, i: F.element_at(flags, i + 1) == want)
+
     kept = F.array_join(F.concat(
-        F.filter("__head", lambda x: ~drop(x)), F.col("__middle"), F.filter("__tail", lambda x: ~drop(x))), "\n")
-    gone = F.transform(F.concat(F.filter("__head", drop), F.filter("__tail", drop)), T.strip)
-    return (
-        split.withColumn("removed", gone)
-        .withColumn("text", T.strip(F.regexp_replace(kept, "\n{3,}", "\n\n")))
-        .drop("__keys", "__head", "__middle", "__tail"))
+        pick("__head", F.col("__drop"), False), F.col("__middle"), pick("__tail", F.col("__last"), False)), "\n")
+    gone = F.transform(
+        F.concat(pick("__head", F.col("__drop"), True), pick("__tail", F.col("__last"), True)), T.strip)
+    return once(split, text=T.strip(F.regexp_replace(kept, "\n{3,}", "\n\n")), removed=gone).drop(
+        "__keys", "__head", "__middle", "__tail", "__drop", "__last")
 
 
 def removed_line_report(stripped: DataFrame, n: int = 10) -> DataFrame:
@@ -173,21 +178,21 @@ def drop_empty_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _cleaned(pages: DataFrame) -> DataFrame:
     # Detection needs no co-location: page keys combine map-side.  Only the stripping side moves text.
-    return strip_furniture(with_pages(pages), detect_furniture(pages)).withColumn("text", T.light_clean("text"))
+    return once(strip_furniture(with_pages(pages), detect_furniture(pages)), text=T.light_clean("text"))
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Furniture off, light clean-up, blank pages out, ``page_type`` and ``char_count`` added."""
     clean = _cleaned(pages)
     kept, _ = drop_empty_pages(clean)
-    return kept.withColumn("page_type", T.page_type("text")).withColumn("char_count", F.length("text"))
+    return once(kept, page_type=T.page_type("text"), char_count=F.length("text"))
 
 
 def flagged_pages(pages: DataFrame) -> DataFrame:
     """Pages left out of the content with the reason: empty, copyright or table_of_contents."""
     clean = _cleaned(pages)
     reason = F.when(F.col("text") == "", F.lit("empty")).otherwise(T.page_type("text"))
-    return clean.select(*DOC_PAGE, reason.alias("reason")).filter(F.col("reason") != "content")
+    return once(clean, reason=reason).select(*DOC_PAGE, "reason").filter(F.col("reason") != "content")
 
 
 def cleanup_summary(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -6,7 +6,9 @@ share (a tenant, say): a query then sees, and lexical statistics count, only row
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,21 +34,27 @@ def _scoped(df: DataFrame, scope: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 # --- embedding ----------------------------------------------------------------------------------------
+@lru_cache(maxsize=1 << 20)
+def _bucket(term: str, dims: int) -> int:
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
+
+
 def hashed_vector(c, dims: int = 64) -> Column:
-    """Unit vector of hashed term counts: bucket = first 8 hex digits of md5(term) modulo ``dims``."""
-    buckets = F.transform(
-        T.tokenize(c), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims)
-    # The count of a bucket is what removing it takes away; array_remove is a native linear scan.
-    counts = F.transform(
-        F.array(buckets),
-        lambda b: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                              lambda i: (F.size(b) - F.size(F.array_remove(b, i.cast("bigint")))).cast("double")))
-    return F.element_at(F.transform(counts, unit), 1)
+    """Unit vector of hashed term counts: bucket = first 8 hex digits of md5(term) modulo ``dims``.
 
+    Terms come from :func:`T.tokenize` in the JVM; Arrow batches of them are counted with numpy.
+    """
+    @F.pandas_udf(S.ArrayType(S.DoubleType()))
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for terms in batches:
+            rows = []
+            for row in terms:
+                counts = np.bincount([_bucket(t, dims) for t in row], minlength=dims).astype(float)
+                norm = np.sqrt((counts * counts).sum())
+                rows.append(counts / norm if norm else counts)
+            yield pd.Series(rows)
 
-def unit(v: Column) -> Column:
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(v, lambda x: F.when(norm == 0, F.lit(0.0)).otherwise(x / norm))
+    return vectors(T.tokenize(c))
 
 
 def embed(df: DataFrame, text: str, out: str = "vector", embedder: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -139,7 +147,7 @@ def lexical_statistics(tokens: DataFrame, keys: list[str]) -> DataFrame:
     one row per term and partition whatever the text volume; the result is written once and read by all users.
     """
     terms = tokens.select(
-        *keys, "dl", F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
+        *keys, "dl", F.explode_outer(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"))
     return cut(terms.groupBy(*keys, "term").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("length")))
 
@@ -178,7 +186,8 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None
     vocabulary = broadcast_if_small(asked.select(*keys, "term").distinct())
     asked_terms = broadcast_if_small(asked)
     tf = (
-        placed.select(*keys, "key", "dl", F.explode("tokens").alias("term"))
+        # The outer form keeps Spark from testing the token array a second time below the shuffle.
+        placed.select(*keys, "key", "dl", F.explode_outer("tokens").alias("term"))
         .join(vocabulary, [*keys, "term"], "left_semi")
         .groupBy(*keys, "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     part = F.col("w") * F.col("tf") * (K.BM25_K1 + 1) / (

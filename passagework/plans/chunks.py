@@ -135,7 +135,7 @@ f as (select doc_id, k as piece_no, k * 850 as start, substr(body, k * 850 + 1,
 
 def _fixed(spark, sf):
     d = table(spark, sf, "documents").repartition("doc_id")
-    return d.select("doc_id", F.posexplode(O.fixed_windows("text")).alias("piece_no", "p")).select(
+    return d.select("doc_id", F.posexplode_outer(O.fixed_windows("text")).alias("piece_no", "p")).select(
         "doc_id", "piece_no", F.col("p.start").alias("start"), F.col("p.text").alias("text"))
 
 
@@ -147,8 +147,8 @@ def fixed_windows(spark, sf):
 @query("d7_split_overlapping")
 def split_overlapping(spark, sf):
     d = table(spark, sf, "documents").repartition("doc_id")
-    return d.select("doc_id", F.posexplode(O.split_overlapping("text")).alias("piece_no", "p")).select(
-        "doc_id", "piece_no", F.col("p.start").alias("start"), F.col("p.text").alias("text"))
+    return d.select("doc_id", F.posexplode_outer(O.split_overlapping("text")).alias("piece_no", "p")).select(
+        "doc_id", "piece_no", F.col("p.start").alias("start"), F.col("p.text").alias("text")).filter(F.col("text").isNotNull())
 
 
 @query("d8_drop_tiny_chunks",
@@ -181,7 +181,7 @@ i as (select *, row_number() over (partition by document_id order by page_number
 select document_id, k as piece_no, chunk_index, document_id || ':p' || page_number || ':c' || chunk_index as chunk_id from i""")
 def chunk_ids(spark, sf):
     p = text_pages(spark, sf)
-    c = p.select("document_id", "page_number", F.posexplode(O.fixed_windows("text")).alias("piece_no", "p"))
+    c = p.select("document_id", "page_number", F.posexplode_outer(O.fixed_windows("text")).alias("piece_no", "p"))
     return O.chunk_ids(c, ["page_number", "piece_no"]).select("document_id", "piece_no", "chunk_index", "chunk_id")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,18 +11,26 @@ from pyspark.sql import functions as F
 #: Rows a side may have to be broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 
+_LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark) -> str:
+    """The folder the session names in ``spark.checkpoint.dir``; only where none is named (tests) a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="passagework-"))
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names; survives lost executors.
+    """Write ``df`` once as a table in the shared folder and read it back.
 
-    Only where the session names no folder (local tests) a temporary one is set.
+    Lost executors then cost nothing upstream, the result is computed once however often it is used, and the
+    table's size is known, so Spark itself decides whether a join may broadcast it.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="passagework-checkpoint-"))
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/passagework-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
