@@ -1,8 +1,20 @@
-"""Clinic operations (placeholder)."""
-from pyspark.sql import DataFrame
+"""Clinic operations: slots, bookings, staffing, usage counts, row visibility, constraint audits.
+
+Counts per clinic or doctor are pre-aggregated before any join, so a clinic holding most rows arrives as one row per
+partition.  Joins on a clinic key are plain equi joins, which adaptive execution splits where a clinic is too large.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from passagework import constants as K
 from passagework.functions import text as T
-from passagework.functions.windows import row_numbers
+from passagework.functions.windows import row_numbers, top_per_key
 
 
 def unique_slugs(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -28,3 +40,333 @@ def unique_slugs(df: DataFrame, name: str, order: str) -> DataFrame:
         .withColumn("slug", F.when(F.col("__k") == 1, F.col("__base")).otherwise(
             F.concat("__base", F.lit("-"), k.cast("string"))))
         .select(*df.columns, "slug"))
+
+
+# --- scheduling ---------------------------------------------------------------------------------------
+def weekday_number(day, monday_first: bool = True) -> Column:
+    """0-6 counted from Monday, or from Sunday."""
+    return F.weekday(day) if monday_first else F.dayofweek(day) - 1
+
+
+def _at(day, clock) -> Column:
+    return F.to_timestamp(F.concat_ws(" ", T.col(day).cast("string"), T.col(clock)))
+
+
+def generate_slots(doctors: DataFrame, windows: DataFrame, now: Column, days: int = K.HORIZON_DAYS,
+                   minutes: int = K.SLOT_MINUTES, monday_first: bool = True) -> DataFrame:
+    """``(doctor_id, slot)`` for available doctors: every step of a weekly window within the horizon, after ``now``.
+
+    A slot need only start inside its window.  Rows come from the windows alone: days and steps are generated
+    inside each row.
+    """
+    free = doctors.filter(F.col("status") == "available").select("doctor_id")
+    today = F.to_date(now)
+    on_day = (
+        windows.join(free, "doctor_id", "left_semi")
+        .withColumn("day", F.explode(F.sequence(today, F.date_add(today, days - 1))))
+        .filter(weekday_number("day", monday_first) == F.col("day_of_week"))
+        .select("doctor_id", _at("day", "start_time").alias("s"), _at("day", "end_time").alias("e"))
+        .filter(F.col("s") < F.col("e")))
+    step = F.expr(f"interval {int(minutes)} minutes")
+    return on_day.select("doctor_id", "e", F.explode(F.sequence("s", "e", step)).alias("slot")).filter(
+        (F.col("slot") < F.col("e")) & (F.col("slot") > now)).select("doctor_id", "slot")
+
+
+def upcoming_appointments(appointments: DataFrame, doctors: DataFrame, now: Column, n: int | None = 10) -> DataFrame:
+    """Booked appointments from ``now`` on with the doctor's name; the first ``n`` per patient, or all."""
+    booked = appointments.filter((F.col("status") == "booked") & (F.col("slot") >= now))
+    if n is not None:
+        booked = top_per_key(booked, ["patient_id"], ["slot", "id"], n, "position")
+    names = doctors.select("doctor_id", F.col("name").alias("doctor_name"))
+    return booked.join(names, "doctor_id", "left")
+
+
+def valid_slot_requests(requests: DataFrame, slots: DataFrame, now: Column) -> DataFrame:
+    """Add ``reason``: ``not_future``, ``not_a_slot`` or null for a request that can be booked."""
+    offered = slots.select("doctor_id", "slot").distinct().withColumn("__offered", F.lit(True))
+    reason = F.when(F.col("slot") <= now, "not_future").when(F.col("__offered").isNull(), "not_a_slot")
+    return requests.join(offered, ["doctor_id", "slot"], "left").withColumn("reason", reason).drop("__offered")
+
+
+def double_bookings(appointments: DataFrame) -> DataFrame:
+    """``(doctor_id, slot, bookings)`` where more than one booked row claims a slot; cancelled rows free it."""
+    return appointments.filter(F.col("status") == "booked").groupBy("doctor_id", "slot").agg(
+        F.count(F.lit(1)).alias("bookings")).filter(F.col("bookings") > 1)
+
+
+def first_wins(appointments: DataFrame) -> DataFrame:
+    """The earliest booked row of each doctor and slot; an aggregate, so a contested slot combines map-side."""
+    return appointments.filter(F.col("status") == "booked").groupBy("doctor_id", "slot").agg(
+        F.min(F.struct("created_at", "id")).alias("w")).select("doctor_id", "slot", F.col("w.id").alias("id"))
+
+
+def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    clinic, taken, held = object(), {}, {}
+    for batch in batches:
+        out = []
+        for r in batch.itertuples(index=False):
+            if r.clinic_id != clinic:
+                clinic, taken, held = r.clinic_id, {}, {}
+            place = (r.doctor_id, r.slot)
+            reason = None
+            if r.action == "existing":
+                taken[place], held[r.appointment_id] = r.appointment_id, place
+                continue
+            if r.action in ("cancel", "reschedule") and r.appointment_id not in held:
+                reason = f"not_available_to_{r.action}"
+            elif r.action in ("book", "reschedule") and taken.get(place, r.appointment_id) != r.appointment_id:
+                reason = "slot_taken"
+            elif r.action == "book" and r.appointment_id in held:
+                reason = "already_booked"
+            else:
+                if r.action != "book":
+                    taken.pop(held.pop(r.appointment_id), None)
+                if r.action != "cancel":
+                    taken[place], held[r.appointment_id] = r.appointment_id, place
+            out.append((r.clinic_id, r.action_id, r.action, r.appointment_id, reason is None, reason))
+        yield pd.DataFrame(out, columns=["clinic_id", "action_id", "action", "appointment_id", "applied", "reason"])
+
+
+def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFrame:
+    """Outcome of confirmed book, cancel and reschedule actions taken in time order within each clinic.
+
+    A move can cross doctors, so the order that matters is the clinic's.  Rows are partitioned by clinic and sorted
+    on disk by Spark; the fold reads them as a stream of Arrow batches and keeps only the clinic's booked slots, never
+    its actions, in memory.
+    """
+    start = appointments.filter(F.col("status") == "booked").select(
+        "clinic_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"),
+        F.lit(None).cast("bigint").alias("action_id"), F.lit("existing").alias("action"),
+        F.col("id").alias("appointment_id"), "doctor_id", "slot")
+    todo = actions.select("clinic_id", F.lit(1).alias("kind"), "at", "action_id", "action", "appointment_id",
+                          "doctor_id", "slot")
+    ordered = start.unionByName(todo).repartition("clinic_id").sortWithinPartitions(
+        "clinic_id", "kind", "at", "action_id")
+    kind = dict(ordered.dtypes)
+    return ordered.mapInPandas(
+        _fold_bookings,
+        f"clinic_id {kind['clinic_id']}, action_id bigint, action string, appointment_id {kind['appointment_id']}, "
+        "applied boolean, reason string")
+
+
+def available_now(doctors: DataFrame, windows: DataFrame, now: Column, monday_first: bool = True) -> DataFrame:
+    """Available doctors on duty at ``now``; a clinic with none on duty lists all its available doctors."""
+    clock = F.date_format(now, "HH:mm:ss")
+    on_duty = windows.filter(
+        (F.col("day_of_week") == weekday_number(now, monday_first)) & (F.col("start_time") <= clock)
+        & (clock < F.col("end_time"))).select("doctor_id").distinct().withColumn("active", F.lit(True))
+    free = doctors.filter(F.col("status") == "available").join(on_duty, "doctor_id", "left").withColumn(
+        "active", F.coalesce("active", F.lit(False)))
+    any_on = free.groupBy("clinic_id").agg(F.max("active").alias("__any"))
+    return free.join(any_on, "clinic_id").filter(F.col("active") | ~F.col("__any")).drop("__any")
+
+
+# --- usage --------------------------------------------------------------------------------------------
+def patients_per_doctor(doctors: DataFrame, patients: DataFrame) -> DataFrame:
+    """Patient count of every doctor, zero included."""
+    counts = patients.groupBy("doctor_id").agg(F.count(F.lit(1)).alias("n"))
+    return doctors.join(counts, "doctor_id", "left").select(
+        "doctor_id", "name", F.coalesce("n", F.lit(0)).alias("patients"))
+
+
+def staffing_totals(doctors: DataFrame, patients: DataFrame) -> DataFrame:
+    both = doctors.select(F.lit(1).alias("d"), F.lit(0).alias("p")).unionAll(
+        patients.select(F.lit(0).alias("d"), F.lit(1).alias("p")))
+    return both.agg(F.coalesce(F.sum("d"), F.lit(0)).alias("doctors"), F.coalesce(F.sum("p"), F.lit(0)).alias("patients"))
+
+
+def clinic_stats(clinics: DataFrame, doctors: DataFrame, patients: DataFrame, documents: DataFrame,
+                 sentinel=K.SENTINEL_CLINIC) -> DataFrame:
+    """Doctor, patient and document counts per clinic without the sentinel clinic, plus a grand total (null clinic)."""
+    real = clinics.filter(F.col("clinic_id") != F.lit(sentinel))
+    for side, name in ((doctors, "doctor_count"), (patients, "patient_count"), (documents, "document_count")):
+        real = real.join(side.groupBy("clinic_id").agg(F.count(F.lit(1)).alias(name)), "clinic_id", "left")
+    names = ("doctor_count", "patient_count", "document_count")
+    return real.rollup("clinic_id").agg(
+        F.when(F.grouping("clinic_id") == 0, F.max("clinic_name")).alias("clinic_name"),
+        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+
+
+def session_list(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """Sessions holding at least one message with their message count, newest first."""
+    counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
+    return sessions.join(counts, "session_id").orderBy(F.desc("started_at"), "session_id")
+
+
+def transcripts(messages: DataFrame) -> DataFrame:
+    """Each session's messages in time order as one array; a session is one chat, typed by one person."""
+    return messages.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("messages"))
+
+
+def bug_report_queue(reports: DataFrame) -> DataFrame:
+    return reports.orderBy(F.desc("created_at"), "report_id")
+
+
+def set_status(reports: DataFrame, updates: DataFrame) -> DataFrame:
+    """Apply status updates (one per report); ``resolved_at`` is set only by ``resolved``."""
+    u = updates.select("report_id", F.col("status").alias("__s"), F.col("at").alias("__at"))
+    return (
+        reports.join(u, "report_id", "left")
+        .withColumn("resolved_at", F.when(F.col("__s").isNull(), F.col("resolved_at")).when(
+            F.col("__s") == "resolved", F.col("__at")))
+        .withColumn("status", F.coalesce("__s", "status")).drop("__s", "__at"))
+
+
+def document_stage_status(documents: DataFrame, indexing: DataFrame, retrieval: DataFrame,
+                          generation: DataFrame) -> DataFrame:
+    """Per document: each stage ``ok``, ``error`` or ``not_reached`` with its counts.
+
+    Stage tables hold one row per document that got there, with a nullable ``error``.
+    """
+    def stage(df, name, *cols):
+        return df.select("document_id", F.substring("error", 1, 1000).alias(f"{name}_error"), F.lit(True).alias(f"__{name}"),
+                         *cols)
+
+    joined = (
+        documents.join(stage(indexing, "indexing", "chunk_count"), "document_id", "left")
+        .join(stage(retrieval, "retrieval", "hit_count"), "document_id", "left")
+        .join(stage(generation, "generation", "grounded"), "document_id", "left"))
+
+    def status(name, before):
+        s = F.when(F.col(f"__{name}").isNull(), "not_reached").when(F.col(f"{name}_error").isNotNull(), "error").otherwise("ok")
+        return s if before is None else F.when(F.col(before) == "ok", s).otherwise("not_reached")
+
+    return (
+        joined.withColumn("indexing_status", status("indexing", None))
+        .withColumn("retrieval_status", status("retrieval", "indexing_status"))
+        .withColumn("generation_status", status("generation", "retrieval_status"))
+        .select("document_id", "indexing_status", "indexing_error", "chunk_count", "retrieval_status",
+                "retrieval_error", "hit_count", "generation_status", "generation_error", "grounded"))
+
+
+def stage_samples(chunks: DataFrame, n: int = 3) -> DataFrame:
+    """First ``n`` chunks of each document, text cut at 600 characters."""
+    top = top_per_key(chunks, ["document_id"], ["chunk_index"], n, "sample")
+    return top.select("document_id", "sample", "chunk_id", "page_number", "section_title",
+                      F.substring("text", 1, 600).alias("text"))
+
+
+# --- visibility and audits ----------------------------------------------------------------------------
+#: Who sees what, as separate branches: whole clinic by role, own rows as a patient, own rows as a doctor.
+_VISIBLE = {
+    "patients": (("admin", None), ("mine", "patient_id"), ("own", "doctor_id")),
+    "records": (("mine", "patient_id"), ("own", "p_doctor_id")),
+    "appointments": (("admin", None), ("mine", "patient_id"), ("own", "doctor_id")),
+    "documents": (("doctor", None), ("patient", "published")),
+    "chunks": (("doctor", None), ("patient", "p_published")),
+    "messages": (("mine", "p_patient_id"),),
+    "doctor_messages": (("own", "p_doctor_id"),),
+    "doctor_sessions": (("own", "doctor_id"),),
+    "reports": (("doctor", None),),
+    "availability": (("any", None),),
+}
+_PARENT = {"records": ("patient_id", ["doctor_id"]), "chunks": ("document_id", ["status", "verified"]),
+           "messages": ("session_id", ["patient_id"]), "doctor_messages": ("session_id", ["doctor_id"])}
+
+
+def visible_rows(table: str, rows: DataFrame, callers: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Rows each caller may see: ``caller_id`` plus the row.  A filtered view, not an access-control system.
+
+    ``callers(caller_id, role, clinic_id, doctor_id, patient_id)``; roles are admin, doctor, patient and it.
+    ``parents`` is the table a row's right hangs on: patients for medical records (``patient_id, doctor_id``),
+    documents for chunks (``document_id, status, verified``), sessions for messages (``session_id`` and owner).
+    Each branch of a rule is its own equi join, so callers meet only rows they will see; branches do not overlap.
+    """
+    c = callers.select("caller_id", "role", F.col("clinic_id").alias("c_clinic"), F.col("doctor_id").alias("c_doctor"),
+                       F.col("patient_id").alias("c_patient"))
+    if table == "access_log":
+        it = c.filter(F.col("role") == "it")
+        return rows.join(it, F.col("it_user_id") == F.col("caller_id")).select("caller_id", *rows.columns)
+    source = rows
+    if table in _PARENT:
+        key, extra = _PARENT[table]
+        source = rows.join(parents.select(key, *[F.col(x).alias(f"p_{x}") for x in extra]), key, "left")
+    branches = _VISIBLE[table]
+    kinds = [k for k, _ in branches]
+    own_patient = next((col for k, col in branches if k == "mine"), None)
+    same_clinic = F.col("clinic_id") == F.col("c_clinic")
+    out = None
+    for kind, column in branches:
+        who, left, on = c, source, same_clinic
+        if kind in ("admin", "doctor", "patient"):
+            who = c.filter(F.col("role") == kind)
+            if column is not None:
+                prefix = column.removesuffix("published")
+                left = source.filter((F.col(f"{prefix}status") == "ready") & F.col(f"{prefix}verified"))
+        elif kind == "mine":
+            who = c.filter(F.col("role") != "admin") if "admin" in kinds else c
+            on = same_clinic & (F.col(column) == F.col("c_patient"))
+        elif kind == "own":
+            who = c.filter(F.col("role") == "doctor")
+            on = same_clinic & (F.col(column) == F.col("c_doctor"))
+        seen = left.join(who, on)
+        if kind == "own" and own_patient is not None:
+            seen = seen.filter(~F.coalesce(F.col(own_patient) == F.col("c_patient"), F.lit(False)))
+        seen = seen.select("caller_id", *rows.columns)
+        out = seen if out is None else out.unionByName(seen)
+    return out
+
+
+def document_inventory(documents: DataFrame, callers: DataFrame) -> DataFrame:
+    """Documents each caller sees, newest first."""
+    return visible_rows("documents", documents, callers).orderBy("caller_id", F.desc("uploaded_at"), "document_id")
+
+
+def protected_column_changes(before: DataFrame, after: DataFrame, key: str,
+                             columns: tuple[str, ...] = ("doctor_id", "clinic_id", "auth_id")) -> DataFrame:
+    """Rows whose update alters a protected column, with the columns' names."""
+    old = before.select(key, *[F.col(c).alias(f"__{c}") for c in columns])
+    changed = F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(c)) for c in columns]))
+    return after.join(old, key).select(key, changed.alias("changed")).filter(F.size("changed") > 0)
+
+
+def constraint_violations(df: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """``(key, rule)`` for every rule a row breaks; ``rules`` map a name to the condition that must not be false."""
+    broken = F.array_compact(F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()]))
+    return df.select(key, F.explode(broken).alias("rule"))
+
+
+def schema_rules() -> dict[str, dict[str, Column]]:
+    """The schema's row rules by table; a null operand passes, as a check constraint does."""
+    def one_of(c, *values):
+        return F.col(c).isin(*values)
+    return {
+        "patients": {"age_range": F.col("age").between(0, 130)},
+        "appointments": {"status": one_of("status", "booked", "cancelled", "done")},
+        "windows": {"weekday": F.col("day_of_week").between(0, 6), "end_after_start": F.col("end_time") > F.col("start_time")},
+        "documents": {
+            "status": one_of("status", "uploaded", "processing", "ready", "failed"),
+            "verified_requires_ready": ~F.col("verified") | (F.col("status") == "ready"),
+            "sha256_format": F.col("file_sha256").rlike("^[0-9a-f]{64}$")},
+        "messages": {"role": one_of("role", "user", "assistant"),
+                     "evidence_strength": one_of("evidence_strength", "high", "medium", "low", "insufficient")},
+        "doctors": {"status": one_of("status", "available", "off")},
+        "bug_reports": {
+            "blank_issue": F.length(F.trim("issue")) > 0,
+            "status": one_of("status", "open", "investigating", "resolved"),
+            "resolution_consistency": (F.col("status") == "resolved") == F.col("resolved_at").isNotNull()},
+    }
+
+
+def assign_doctor(requests: DataFrame, doctors: DataFrame) -> DataFrame:
+    """Add ``assigned_doctor_id`` and ``error``: the named doctor must be in the clinic; a sole doctor is the default."""
+    per = doctors.groupBy("clinic_id").agg(F.count_distinct("doctor_id").alias("__n"), F.min("doctor_id").alias("__sole"))
+    member = doctors.select("clinic_id", "doctor_id").distinct().withColumn("__in", F.lit(True))
+    j = requests.join(per, "clinic_id", "left").join(member, ["clinic_id", "doctor_id"], "left")
+    error = (
+        F.when(F.col("__n").isNull(), "no_doctor_registered")
+        .when(F.col("doctor_id").isNotNull() & F.col("__in").isNull(), "doctor_not_in_clinic")
+        .when(F.col("doctor_id").isNull() & (F.col("__n") > 1), "choose_doctor"))
+    return j.withColumn("error", error).withColumn(
+        "assigned_doctor_id", F.when(F.col("error").isNull(), F.coalesce("doctor_id", "__sole"))).drop("__n", "__sole", "__in")
+
+
+def relabel_modes(df: DataFrame, column: str = "mode", old: str = "consult", new: str = "general") -> DataFrame:
+    return df.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)))
+
+
+def orphan_rows(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """Child rows naming a parent that does not exist."""
+    keys = parent.select(F.col(parent_key).alias("__k"))
+    return child.filter(F.col(child_key).isNotNull()).join(keys, F.col(child_key) == F.col("__k"), "left_anti")
