@@ -112,7 +112,7 @@ def duplicate_uploads(spark, sf):
 
 @query("a8_admit_blobs", """with f as (select doc_id, case when doc_id % 4 = 0 then 'f.txt' else 'F' || doc_id || '.PDF' end as name,
   case when doc_id % 5 = 0 then '' when doc_id % 3 = 0 then text else substr(text, 1, doc_id % 700) || '%PDF-1.7' || text end
-  as t, length(encode(substr(text, 1, doc_id % 700))) as before, doc_id % 6 = 1 as huge from documents)
+  as t, strlen(substr(text, 1, doc_id % 700)) as before, doc_id % 6 = 1 as huge from documents)
 select doc_id, case when not name like '%.PDF' then 'not_pdf_extension' when huge then 'file_too_large'
   when t = '' then 'empty_file' when doc_id % 3 = 0 or before + 5 > 1024 then 'not_a_pdf' end as reason from f""")
 def admit_blobs(spark, sf):
