@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
+from passagework.sources.lineage import cut
 
 _REF = "struct<source_id:bigint,excerpt:string>"
 _CLAIM = f"struct<text:string,evidence:array<{_REF}>>"
@@ -381,11 +382,13 @@ def answer_disposition(queries: DataFrame, hits: DataFrame, answers: DataFrame,
     quoted rescue), verifier off or failed, verdicts, grounded.
     """
     doctor = F.col("role") == "doctor"
-    refs = validate_refs(answer_claims(answers.filter("sufficient")), hits)
+    # Each stage table is written once and read by the later stages.
+    answers, verdicts = cut(answers), cut(verdicts)
+    refs = cut(validate_refs(answer_claims(answers.filter("sufficient")), hits))
     claims = surviving_claims(refs, number_citations(refs))
     errors = validation_errors(refs)
     own = rendered(claims).select("query_id", F.lit(True).alias("own"))
-    rescue = extractive_rescue(hits, queries)
+    rescue = cut(extractive_rescue(hits, queries))
     state = (
         queries.select("query_id", "question", "role", "generation_failure", "verification_failure")
         .join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")), "query_id", "left")
@@ -395,16 +398,17 @@ def answer_disposition(queries: DataFrame, hits: DataFrame, answers: DataFrame,
                             F.coalesce(F.col("rerank_score") > 0, F.lit(False)).alias("local_ok")), "query_id", "left"))
     no_own = F.col("own").isNull() | F.col("generation_failure").isNotNull()
     uses_rescue = doctor & no_own & F.col("quotable").isNotNull()
-    state = state.withColumn("uses_rescue", F.coalesce(uses_rescue, F.lit(False)))
+    state = cut(state.withColumn("uses_rescue", F.coalesce(uses_rescue, F.lit(False))))
     # The claims put before the verifier: the answer's own, or the quote where a clinician's answer had none.
     quoted = rescue.join(state.filter("uses_rescue").select("query_id"), "query_id", "left_semi")
     refs_q = validate_refs(answer_claims(rescue_answers(quoted)), hits)
     numbered_q = number_citations(refs_q)
-    before = claims.join(state.filter("uses_rescue").select("query_id"), "query_id", "left_anti").unionByName(
-        surviving_claims(refs_q, numbered_q))
+    before = cut(claims.join(state.filter("uses_rescue").select("query_id"), "query_id", "left_anti").unionByName(
+        surviving_claims(refs_q, numbered_q)))
     used_refs = refs.join(state.filter("uses_rescue").select("query_id"), "query_id", "left_anti").unionByName(refs_q)
     cites = citation_table(number_citations(used_refs), hits)
     outcome, kept = apply_verdicts(before, verdicts.join(before.select("query_id").distinct(), "query_id", "left_semi"))
+    outcome, kept = cut(outcome), cut(kept)
     flags = (
         state.select("query_id", "partial", "uses_rescue").join(errors, "query_id", "left")
         .join(outcome.select("query_id", "dropped"), "query_id", "left")
