@@ -3,6 +3,8 @@ JSON texts that Spark writes from them, with every kind of defect at fixed quest
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from passagework import constants as K
@@ -175,20 +177,51 @@ def answers(spark, sf):
     return O.parse_answers(raw_answers(spark, sf))
 
 
-def refs(spark, sf):
-    return cut(O.validate_refs(O.answer_claims(answers(spark, sf).filter("sufficient")), hits(spark, sf)))
+class Stages:
+    """Stage tables of one run, each written once when first asked for."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf = spark, sf
+
+    @cached_property
+    def answers(self):
+        return cut(answers(self.spark, self.sf))
+
+    @cached_property
+    def hits(self):
+        return hits(self.spark, self.sf)
+
+    @cached_property
+    def refs(self):
+        return cut(O.validate_refs(O.answer_claims(self.answers.filter("sufficient")), self.hits))
 
+    @cached_property
+    def numbered(self):
+        return cut(O.number_citations(self.refs))
 
-def claims(spark, sf):
-    r = refs(spark, sf)
-    return O.surviving_claims(r, O.number_citations(r))
+    @cached_property
+    def claims(self):
+        return cut(O.surviving_claims(self.refs, self.numbered))
 
+    @property
+    def citations(self):
+        return O.citation_table(self.numbered, self.hits)
 
-def citations(spark, sf):
-    return O.citation_table(O.number_citations(refs(spark, sf)), hits(spark, sf))
+    @property
+    def raw_verdicts(self):
+        return raw_verdicts(self.spark, self.sf, self.claims)
 
+    @cached_property
+    def verdicts(self):
+        return cut(O.parse_verdicts(self.raw_verdicts))
 
-def raw_verdicts(spark, sf):
+    @cached_property
+    def verified(self):
+        outcome, kept = O.apply_verdicts(self.claims, self.verdicts)
+        return cut(outcome), cut(kept)
+
+
+def raw_verdicts(spark, sf, claims):
     n = F.col("query_id")
     base = hits(spark, sf).filter(F.col("rank") == 1).select("query_id")
     yes = F.lit(True)
@@ -199,7 +232,7 @@ def raw_verdicts(spark, sf):
                                               F.lit(" why ").alias("reason")).alias("r"))
 
     first = F.lit("recommendation-1")
-    others = claims(spark, sf).filter((F.col("claim_id") != first) & ~((F.col("kind") == "supporting") & (n % 13 == 5)))
+    others = claims.filter((F.col("claim_id") != first) & ~((F.col("kind") == "supporting") & (n % 13 == 5)))
     both = (
         rows(base, first, n % 10 != 3, yes)
         .unionAll(rows(base.filter(n % 17 == 4), first, n % 10 != 3, yes))
@@ -208,10 +241,6 @@ def raw_verdicts(spark, sf):
     return both.groupBy("query_id").agg(F.to_json(F.struct(F.collect_list("r").alias("results"))).alias("raw"))
 
 
-def verdicts(spark, sf):
-    return O.parse_verdicts(raw_verdicts(spark, sf))
-
-
 @query("g1_assemble_prompt", f"""{HITS}, {_QUESTIONS},
 b as (select query_id, string_agg('BEGIN_UNTRUSTED_SOURCE_' || rank || chr(10) || '[' || rank || '] ' || title || ' — page '
     || page_number || ', ' || section_title || chr(10) || text || chr(10) || 'END_UNTRUSTED_SOURCE_' || rank,
@@ -255,7 +284,7 @@ def extractive_rescue(spark, sf):
 @query("g5_validate_refs", f"""{HITS}, {_ANSWERS}, {_REFS}
 select query_id, claim_id, claim_text, claim_status, ref_no, source_id, excerpt, ref_status from vr""")
 def validate_refs(spark, sf):
-    return refs(spark, sf).select(
+    return Stages(spark, sf).refs.select(
         "query_id", "claim_id", "claim_text", "claim_status", "ref_no", "source_id", "excerpt", "ref_status")
 
 
@@ -265,45 +294,46 @@ select n.query_id, 'C' || citation_no as citation_id, n.source_id, n.excerpt, ca
   case when starts_with(h.source_url, 'http') then h.source_url end as source_url
 from nc n join hits h on h.query_id = n.query_id and h.rank = n.source_id""")
 def number_citations(spark, sf):
-    return citations(spark, sf).select("query_id", "citation_id", "source_id", "excerpt", "document", "page", "chunk_id",
+    return Stages(spark, sf).citations.select("query_id", "citation_id", "source_id", "excerpt", "document", "page", "chunk_id",
                                        "source_url")
 
 
 @query("g6_claim_citations", f"{_ALL} select query_id, claim_id, citation_ids from sc")
 def claim_citations(spark, sf):
-    return claims(spark, sf).select("query_id", "claim_id", F.array_join("citation_ids", ",").alias("citation_ids"))
+    return Stages(spark, sf).claims.select("query_id", "claim_id", F.array_join("citation_ids", ",").alias("citation_ids"))
 
 
 @query("g7_validation_errors", f"{_ALL}, {_ERRORS} select query_id, errors from ee")
 def validation_errors(spark, sf):
-    return O.validation_errors(refs(spark, sf)).select("query_id", F.array_join("errors", "; ").alias("errors"))
+    return O.validation_errors(Stages(spark, sf).refs).select("query_id", F.array_join("errors", "; ").alias("errors"))
 
 
 @query("g8_evidence_package", f"""{_ALL}, {_ERRORS}, {_PACKAGE}
 select query_id, recommendation, partial, errors, evidence_strength, missing_evidence from pk""")
 def evidence_package(spark, sf):
-    r = refs(spark, sf)
-    package = O.evidence_package(answers(spark, sf), claims(spark, sf), O.validation_errors(r))
+    s = Stages(spark, sf)
+    package = O.evidence_package(s.answers, s.claims, O.validation_errors(s.refs))
     return package.withColumn("errors", F.array_join("errors", "; "))
 
 
 @query("g9_parse_verdicts", f"""{_ALL}, {_VERDICTS}
 select query_id, claim_id, passed, 'why' as reason, count(*) as n from vd group by all""")
 def parse_verdicts(spark, sf):
-    return verdicts(spark, sf).groupBy("query_id", "claim_id", "passed", "reason").agg(F.count(F.lit(1)).alias("n"))
+    return Stages(spark, sf).verdicts.groupBy("query_id", "claim_id", "passed", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g10_verification_complete", f"""{_ALL}, {_VERDICTS}, {_outcome('sc')}
 select query_id, bool_and(known and coalesce(n, 0) = 1) as complete,
   bool_and(known and coalesce(n, 0) = 1) and bool_and(coalesce(ok, true)) as passed from bo group by 1""")
 def verification_complete(spark, sf):
-    return O.verification_complete(verdicts(spark, sf), claims(spark, sf))
+    s = Stages(spark, sf)
+    return O.verification_complete(s.verdicts, s.claims)
 
 
 @query("g11_apply_verdicts", f"""{_ALL}, {_VERDICTS}, {_outcome('sc')}
 select query_id, malformed, dropped, coalesce(has_rec, false) as has_recommendation from oc""")
 def apply_verdicts(spark, sf):
-    outcome, _ = O.apply_verdicts(claims(spark, sf), verdicts(spark, sf))
+    outcome, _ = Stages(spark, sf).verified
     return outcome.select("query_id", "malformed", F.array_join("dropped", ",").alias("dropped"), "has_recommendation")
 
 
@@ -311,14 +341,14 @@ def apply_verdicts(spark, sf):
 select query_id, string_agg(claim_text || ' ' || marks, chr(10) || chr(10) order by claim_no)
   filter (kind = 'recommendation') as recommendation from kp group by 1""")
 def kept_claims(spark, sf):
-    return O.rendered(O.apply_verdicts(claims(spark, sf), verdicts(spark, sf))[1])
+    return O.rendered(Stages(spark, sf).verified[1])
 
 
 @query("g11_used_citations", f"""{_ALL}, {_VERDICTS}, {_outcome('sc')}
 select distinct query_id, unnest(string_split(citation_ids, ',')) as citation_id from kp""")
 def used_citations(spark, sf):
-    kept = O.apply_verdicts(claims(spark, sf), verdicts(spark, sf))[1]
-    return O.used_citations(citations(spark, sf), kept).select("query_id", "citation_id")
+    s = Stages(spark, sf)
+    return O.used_citations(s.citations, s.verified[1]).select("query_id", "citation_id")
 
 
 _STRENGTH = """pl as (select k.query_id, k.claim_id, count(distinct h.chunk_id || ':' || h.page_number) as places
@@ -334,14 +364,15 @@ st as (select p.query_id, case when bool_or(v.partial or e.errors is not null or
 @query("g12_evidence_strength", f"""{_ALL}, {_ERRORS}, {_VERDICTS}, {_outcome('sc')}, {_STRENGTH}
 select query_id, evidence_strength from st""")
 def evidence_strength(spark, sf):
-    outcome, kept = O.apply_verdicts(claims(spark, sf), verdicts(spark, sf))
-    errors = O.validation_errors(refs(spark, sf))
+    s = Stages(spark, sf)
+    outcome, kept = s.verified
+    errors = O.validation_errors(s.refs)
     flags = (
-        answers(spark, sf).select("query_id", "partial").join(errors, "query_id", "left")
+        s.answers.select("query_id", "partial").join(errors, "query_id", "left")
         .join(outcome.select("query_id", "dropped"), "query_id", "left")
         .select("query_id", (F.col("partial") | F.col("errors").isNotNull()
                              | (F.coalesce(F.size("dropped"), F.lit(0)) > 0)).alias("weak")))
-    return O.evidence_strength(kept, citations(spark, sf), flags)
+    return O.evidence_strength(kept, s.citations, flags)
 
 
 @query("g13_local_quote_verdicts", f"""{HITS}, {_QUESTIONS}, {_RESCUE}
@@ -412,4 +443,5 @@ select query_id, reason is null as grounded, reason, case when reason is not nul
 
 @query("g15_answer_disposition", _DISPOSITION)
 def answer_disposition(spark, sf):
-    return O.answer_disposition(questions(spark, sf), hits(spark, sf), answers(spark, sf), verdicts(spark, sf))
+    s = Stages(spark, sf)
+    return O.answer_disposition(questions(spark, sf), s.hits, s.answers, s.verdicts)

@@ -1 +1,485 @@
+"""Family H: retrieval and answer evaluation.  Hits are consecutive documents, labels point at one of them; acceptance
+results and latencies are the event rows."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from passagework import constants as K
+from passagework.functions import stats as ST
+from passagework.functions import text as T
+from passagework.operators import evaluation as O
+from passagework.operators import retrieval as R
+from passagework.plans import sqltext as Q
+from passagework.plans.audit import Stages, _ALL
+from passagework.plans.hits import HITS, hits
+from passagework.plans.registry import query
+from passagework.plans.retrieval import _BM25, _TOKENS
+from passagework.plans.views import question_queries, text_corpus
+from passagework.sources.lineage import cut
+from passagework.sources.tables import table
+
+# Each question's label names one of its four hits, its page and the next, and a word of it (or nothing, or a wrong word).
+_LABELS = """lb as (select query_id, 'cat' || (query_id % 7) as category,
+  case when query_id % 8 = 7 then 'out_of_scope' else 'in_scope' end as scope,
+  case when query_id % 8 = 7 then null when query_id % 9 = 4 then 'elsewhere' else source end as expected_source,
+  document_id as expected_document_id, page_number as p0,
+  case when query_id % 6 = 0 then '' when query_id % 6 = 1 then 'zzzz'
+    else lower(regexp_extract(text, '[A-Za-z]{3,}')) end as word,
+  case when query_id % 3 = 0 then 0.2::double end as abstain_above, rank as at
+  from hits where rank = query_id % 4 + 1)"""
+_LABELLED = f"""{HITS}, {_LABELS},
+lh as (select h.*, l.category, l.scope, coalesce(h.source = l.expected_source and l.scope = 'in_scope'
+      and h.page_number in (l.p0, l.p0 + 1), false) as page_hit, l.word
+  from hits h join lb l using (query_id)),
+la as (select *, page_hit and (word = '' or contains(lower(text), word)) as answer_hit from lh),
+pq as (select l.query_id, l.category, l.scope, min(case when page_hit then rank end) as page_rank,
+    min(case when answer_hit then rank end) as answer_rank, round(min(distance), 4) as best_score
+  from lb l left join la using (query_id) group by all)"""
+
+
+def labels(spark, sf):
+    n = F.col("query_id")
+    h = hits(spark, sf).filter(F.col("rank") == n % 4 + 1)
+    word = F.lower(F.regexp_extract("text", "[A-Za-z]{3,}", 0))
+    out = n % 8 == 7
+    none = F.array().cast("array<string>")
+    raw = h.select(
+        "query_id", F.concat(F.lit("cat"), (n % 7).cast("string")).alias("category"),
+        F.when(out, "out_of_scope").otherwise("in_scope").alias("scope"),
+        F.when(~out, F.when(n % 9 == 4, F.lit("elsewhere")).otherwise(F.col("source"))).alias("expected_source"),
+        F.col("document_id").alias("expected_document_id"),
+        F.when(out, F.array().cast("array<int>")).otherwise(
+            F.array(F.col("page_number"), F.col("page_number") + 1)).alias("expected_pages"),
+        F.when((n % 6 == 0) | (word == "") & (n % 6 != 1), none).when(n % 6 == 1, F.array(F.lit("zzzz"))).otherwise(
+            F.array(F.lit("([unclosed"), word)).alias("must_contain"),
+        F.when(n % 3 == 0, F.lit(0.2)).alias("abstain_above"))
+    return O.checked_patterns(raw)
+
+
+def _labelled(spark, sf):
+    q = labels(spark, sf)
+    return O.label_hits(hits(spark, sf), q), q
+
+
+def _results(spark, sf):
+    return O.per_query_results(*_labelled(spark, sf))
+
+
+@query("h1_label_hits", f"{_LABELLED} select query_id, rank, page_hit, answer_hit from la")
+def label_hits(spark, sf):
+    return _labelled(spark, sf)[0].select("query_id", "rank", "page_hit", "answer_hit")
+
+
+@query("h2_first_rank", f"""{_LABELLED} select query_id, min(case when answer_hit then rank end) as answer_rank from la group by 1""")
+def first_rank(spark, sf):
+    return O.first_rank(_labelled(spark, sf)[0], "answer_hit", "answer_rank")
+
+
+@query("h3_per_query_results", f"{_LABELLED} select * from pq")
+def per_query_results(spark, sf):
+    return _results(spark, sf)
+
+
+_IN = "(select * from pq where scope = 'in_scope')"
+
+
+@query("h4_recall_at", f"""{_LABELLED}, ks as (select unnest([1, 3, 5, 10]) as k)
+select k, count(*) filter (page_rank <= k) as recall, count(*) filter (answer_rank <= k) as answer, count(*) as total
+from {_IN} cross join ks group by k""")
+def recall_at(spark, sf):
+    return O.recall_at(_results(spark, sf).filter("scope = 'in_scope'"))
+
+
+@query("h4_lexical_recall", f"""with {_TOKENS}, {_BM25},
+hh as (select l.item_id, l.rank from lex_all l join documents d using (doc_id) join benchmark b using (item_id)
+  where l.rank <= 10 and contains(d.text, b.text)),
+r as (select b.item_id, min(h.rank) as page_rank from benchmark b left join hh h using (item_id) group by 1),
+ks as (select unnest([1, 3, 5, 10]) as k)
+select k, count(*) filter (page_rank <= k) as recall, count(*) filter (page_rank <= k) as answer, count(*) as total
+from r cross join ks group by k""")
+def lexical_recall(spark, sf):
+    """BM25 over all documents; a hit is a document that contains the whole item."""
+    q, c = question_queries(spark, sf), text_corpus(spark, sf)
+    top = cut(R.bm25(q, c, K.TOP_K))
+    rows = c.join(R.broadcast_if_small(top), "key").join(
+        R.broadcast_if_small(q.select("query_id", F.col("text").alias("item"))), "query_id")
+    found = rows.filter(F.contains("text", "item")).groupBy("query_id").agg(F.min("rank").alias("page_rank"))
+    per = q.select("query_id").join(found, "query_id", "left").withColumn("answer_rank", F.col("page_rank"))
+    return O.recall_at(per)
+
+
+@query("h5_mrr", f"{_LABELLED} select round(avg(coalesce(1 / page_rank::double, 0)), 3) as mrr from {_IN}")
+def mrr(spark, sf):
+    return O.mrr(_results(spark, sf).filter("scope = 'in_scope'"))
+
+
+@query("h6_recall_by_category", f"""{_LABELLED} select category, count(*) filter (page_rank <= 5) as hits, count(*) as total
+from {_IN} group by 1""")
+def recall_by_category(spark, sf):
+    return O.recall_by_category(_results(spark, sf).filter("scope = 'in_scope'"))
+
+
+@query("h7_miss_lists", f"""{_LABELLED} select 'miss' as kind, query_id, page_rank from {_IN} where page_rank is null
+union all select 'weak', query_id, page_rank from {_IN} where page_rank > 3
+union all select 'mismatched', query_id, page_rank from {_IN} where page_rank is not null and answer_rank is null""")
+def miss_lists(spark, sf):
+    return O.miss_lists(_results(spark, sf).filter("scope = 'in_scope'"))
+
+
+_REJECT = f"""{HITS}, {_LABELS}, b as (select query_id, min(distance) as d from hits where query_id % 5 <> 0 group by 1),
+rj as (select query_id, round(d, 4) as best_score, coalesce(d > coalesce(abstain_above, 0.75), false) as abstains
+  from lb left join b using (query_id) where scope = 'out_of_scope')"""
+
+
+def _rejections(spark, sf):
+    best = hits(spark, sf).filter("query_id % 5 <> 0").groupBy("query_id").agg(F.min("distance").alias("best_distance"))
+    return O.out_of_scope_rejection(labels(spark, sf), best)
+
+
+@query("h8_out_of_scope_rejection", f"{_REJECT} select * from rj")
+def out_of_scope_rejection(spark, sf):
+    return _rejections(spark, sf)
+
+
+@query("h8_rejection_count", f"{_REJECT} select count(*) filter (abstains) as rejected, count(*) as total from rj")
+def rejection_count(spark, sf):
+    return O.rejection_count(_rejections(spark, sf))
+
+
+_CITED = """ct as (select query_id, rank as source_id from hits where query_id % 3 <> 0 and rank <= 2
+  union all select query_id, 7 from hits where rank = 1 and query_id % 7 = 0)"""
+
+
+def _cited(spark, sf):
+    h = hits(spark, sf)
+    return h.filter("query_id % 3 <> 0 and rank <= 2").select("query_id", F.col("rank").cast("bigint").alias("source_id")).unionAll(
+        h.filter("rank = 1 and query_id % 7 = 0").select("query_id", F.lit(7).cast("bigint")))
+
+
+@query("h9_citation_metrics", f"""{_LABELLED}, {_CITED},
+j as (select c.query_id, bool_and(a.query_id is not null) as valid, coalesce(bool_or(page_hit), false) as p,
+    coalesce(bool_or(answer_hit), false) as a from ct c left join la a on a.query_id = c.query_id and a.rank = c.source_id group by 1)
+select l.query_id, coalesce(valid, false) as valid, coalesce(valid and p, false) as page_correct,
+  coalesce(valid and a, false) as answer_support from lb l left join j using (query_id)""")
+def citation_metrics(spark, sf):
+    labelled, q = _labelled(spark, sf)
+    return O.citation_metrics(q, labelled, _cited(spark, sf)).select(
+        "query_id", "valid", F.coalesce("page_correct", F.lit(False)).alias("page_correct"),
+        F.coalesce("answer_support", F.lit(False)).alias("answer_support"))
+
+
+@query("h10_retrieval_metrics", f"""{_LABELLED},
+m as (select query_id, min(case when answer_hit then rank end) as f, round(count(*) filter (answer_hit) / count(*)::double, 4) as cp
+  from la group by 1)
+select query_id, coalesce(f <= 1, false) as recall_at_1, coalesce(f <= 3, false) as recall_at_3,
+  coalesce(f <= 5, false) as recall_at_5, coalesce(cp, 0) as context_precision,
+  coalesce(round(1 / f::double, 4), 0) as reciprocal_rank from lb left join m using (query_id)""")
+def retrieval_metrics(spark, sf):
+    return O.retrieval_metrics(*_labelled(spark, sf))
+
+
+_EXCERPTS = f"""xc as (select query_id, rank as source_id, case when doc % 5 = 0 then 'not there' when doc % 7 = 0 then ''
+    else substr({Q.fold('text')}, 3, 50) end as excerpt
+  from (select *, substr(chunk_id, 2)::bigint as doc from hits) where query_id % 3 <> 0 and rank <= 3)"""
+
+
+def _excerpts(spark, sf):
+    doc = F.substring("chunk_id", 2, 20).cast("bigint")
+    return hits(spark, sf).filter("query_id % 3 <> 0 and rank <= 3").select(
+        "query_id", F.col("rank").cast("bigint").alias("source_id"),
+        F.when(doc % 5 == 0, "not there").when(doc % 7 == 0, "").otherwise(
+            F.substring(T.fold_punctuation("text"), 3, 50)).alias("excerpt"))
+
+
+@query("h11_exact_citations", f"""{HITS}, {_EXCERPTS},
+j as (select x.query_id, bool_and(coalesce({Q.fold('excerpt')} <> '' and contains({Q.fold('h.text')}, {Q.fold('excerpt')}), false)) as e
+  from xc x left join hits h on h.query_id = x.query_id and h.rank = x.source_id group by 1)
+select q.query_id, coalesce(e, false) as exact from (select distinct query_id from hits) q left join j using (query_id)""")
+def exact_citations(spark, sf):
+    h = hits(spark, sf)
+    return O.exact_citations(h.filter("rank = 1"), h, _excerpts(spark, sf))
+
+
+# Acceptance results, one per event.
+_EVENTS = """ev as (select event_id as query_id, case when user_id % 6 = 0 then 'out_of_scope' else 'in_scope' end as scope,
+  event_id % 13 <> 0 as has_sources, event_id % 11 <> 0 as sufficient, event_id % 9 <> 0 as has_package,
+  case when event_id % 17 = 0 then 1 else 0 end as validation_errors,
+  case when event_type = 'error' and event_id % 4 = 0 then 'generation:Timeout' end as error,
+  event_id % 19 <> 0 as citation_valid, event_id % 23 <> 0 as citation_exact, event_id % 3 <> 0 as citation_page_correct,
+  event_id % 4 <> 1 as citation_answer_support, event_id % 29 <> 0 as all_have_excerpts,
+  event_id % 4 as claim_count, case when event_id % 10 = 1 then 0 else event_id % 4 end as supported_claims,
+  event_id % 2 = 0 as recall_at_5, (event_id % 5) / 5::double as context_precision,
+  case when event_id % 2 = 0 then 1 / (1 + event_id % 4)::double else 0 end as reciprocal_rank, value as total_ms,
+  case when event_id % 10 = 9 then null else value / 3 end as retrieval_ms from events),
+gd as (select *, coalesce(has_sources and sufficient and has_package and validation_errors = 0 and error is null and citation_valid
+    and citation_exact and supported_claims = claim_count, false) as grounded,
+    case when has_package and claim_count > 0 and all_have_excerpts then 1 else 0 end as citation_coverage,
+    coalesce(round(supported_claims / nullif(claim_count, 0)::double, 4), 0) as faithfulness from ev)"""
+
+
+def _event_rows(spark, sf):
+    n = F.col("event_id")
+    return table(spark, sf, "events").select(
+        n.alias("query_id"), F.when(F.col("user_id") % 6 == 0, "out_of_scope").otherwise("in_scope").alias("scope"),
+        (n % 13 != 0).alias("has_sources"), (n % 11 != 0).alias("sufficient"), (n % 9 != 0).alias("has_package"),
+        F.when(n % 17 == 0, 1).otherwise(0).alias("validation_errors"),
+        F.when((F.col("event_type") == "error") & (n % 4 == 0), "generation:Timeout").alias("error"),
+        (n % 19 != 0).alias("citation_valid"), (n % 23 != 0).alias("citation_exact"), (n % 3 != 0).alias("citation_page_correct"),
+        (n % 4 != 1).alias("citation_answer_support"), (n % 29 != 0).alias("all_have_excerpts"),
+        (n % 4).alias("claim_count"), F.when(n % 10 == 1, 0).otherwise(n % 4).alias("supported_claims"),
+        (n % 2 == 0).alias("recall_at_5"), (n % 5 / 5).alias("context_precision"),
+        F.when(n % 2 == 0, 1 / (n % 4 + 1)).otherwise(0.0).alias("reciprocal_rank"), F.col("value").alias("total_ms"),
+        F.when(n % 10 != 9, F.col("value") / 3).alias("retrieval_ms"))
+
+
+@query("h12_grounded_decision",
+       f"with {_EVENTS} select query_id, grounded, not grounded as abstained, citation_coverage, faithfulness from gd")
+def grounded_decision(spark, sf):
+    return O.grounded_decision(_event_rows(spark, sf)).select(
+        "query_id", "grounded", "abstained", "citation_coverage", "faithfulness")
+
+
+def _nearest(table_: str, column: str, p: float, where: str = "true") -> str:
+    return (f"(select round(v, 2) from (select {column} as v, row_number() over (order by {column}) as k, count(*) over () as n "
+            f"from {table_} where {where}) where k = greatest(ceil({p}::double * n), 1))")
+
+
+@query("h13_eval_summary", f"""with {_EVENTS}, i as (select * from gd where scope = 'in_scope'), o as (select * from gd where scope <> 'in_scope'),
+s as (select (select count(*) from i) as in_total, (select count(*) from i where grounded) as grounded_answers,
+  (select count(*) from i where citation_valid) as valid_citations, (select count(*) from i where citation_exact) as exact_citations,
+  (select count(*) from i where citation_page_correct) as correct_page_citations,
+  (select count(*) from i where citation_answer_support) as citation_answer_support, (select count(*) from o) as out_total,
+  (select count(*) from o where not grounded) as correct_abstentions, (select count(*) from i where recall_at_5) as recall_at_5,
+  (select round(avg(context_precision), 4) from i) as mean_context_precision, (select round(avg(reciprocal_rank), 4) from i) as mrr,
+  (select sum(claim_count)::bigint from gd) as claims_total, (select sum(supported_claims)::bigint from gd) as claims_supported,
+  (select count(*) from gd where grounded and citation_coverage = 1) as fully_covered,
+  (select count(*) from gd where error is not null) as errors, {_nearest('gd', 'total_ms', 0.5)} as p50_total,
+  {_nearest('gd', 'total_ms', 0.95)} as p95_total)
+select *, round(claims_supported / claims_total::double, 4) as faithfulness,
+  floor(grounded_answers / in_total::double * 100 + 0.5)::bigint as grounded_percent,
+  floor(correct_abstentions / out_total::double * 100 + 0.5)::bigint as abstained_percent from s""")
+def eval_summary(spark, sf):
+    return O.eval_summary(O.grounded_decision(_event_rows(spark, sf)))
+
+
+@query("h14_percentile_nearest", """with r as (select event_type, value, row_number() over (partition by event_type order by value) as k,
+  count(*) over (partition by event_type) as n from events)
+select event_type, max(case when k = ceil(0.5::double * n) then round(value, 2) end) as p50,
+  max(case when k = ceil(0.95::double * n) then round(value, 2) end) as p95 from r group by 1""")
+def percentile_nearest(spark, sf):
+    return ST.percentile_nearest(table(spark, sf, "events"), "value", {"p50": 0.5, "p95": 0.95}, ["event_type"])
+
+
+@query("h15_percentile_linear", """select event_type, round(quantile_cont(value, 0.5), 2) as p50, round(quantile_cont(value, 0.95), 2) as p95
+from events where value is not null group by 1""")
+def percentile_linear(spark, sf):
+    return ST.percentile_linear(table(spark, sf, "events"), "value", {"p50": 0.5, "p95": 0.95}, ["event_type"])
+
+
+@query("h15_means_and_rates", """select event_type, round(avg(case when event_id % 3 = 0 then value end), 4) as mean,
+  round(100.0::double * count(*) filter (user_id % 2 = 0) / nullif(count(*) filter (user_id < 0), 0), 2) as none,
+  round(100.0::double * count(*) filter (user_id % 2 = 0) / count(*), 2) as share from events group by 1""")
+def means_and_rates(spark, sf):
+    even = F.count_if(F.col("user_id") % 2 == 0)
+    return table(spark, sf, "events").groupBy("event_type").agg(
+        ST.mean_skip_null(F.when(F.col("event_id") % 3 == 0, F.col("value"))).alias("mean"),
+        ST.percent_or_null(even, F.count_if(F.col("user_id") < 0)).alias("none"),
+        ST.percent_or_null(even, F.count(F.lit(1))).alias("share"))
+
+
+@query("h16_matches_any", """select doc_id, case when doc_id % 4 = 0 then true
+  when doc_id % 4 = 1 then contains(lower(text), '([' || lower(lang))
+  when doc_id % 4 = 2 then contains(lower(text), '([' || lower(lang)) or regexp_matches(text, '(?i)TH[aeo]')
+  else regexp_matches(text, '(?i)que\\s+la') or contains(lower(text), 'der ') end as found from documents""")
+def matches_any(spark, sf):
+    n = F.col("doc_id")
+    bad = F.concat(F.lit("(["), F.col("lang"))
+    pats = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(bad)).when(
+        n % 4 == 2, F.array(bad, F.lit("TH[aeo]"))).otherwise(F.array(F.lit(r"que\s+la"), F.lit("DER ")))
+    d = table(spark, sf, "documents").repartition("doc_id").withColumn("must_contain", pats)
+    return O.checked_patterns(d).select("doc_id", O.matches_any("patterns", "text").alias("found"))
+
+
+_FULL = f"""{HITS}, {_LABELS},
+rr as (select h.query_id, h.rank, h.chunk_id, coalesce(h.document_id = l.expected_document_id
+      and h.page_number in (l.p0, l.p0 + 1), false) as page_hit, l.word, h.text, substr(h.chunk_id, 2)::bigint as doc
+  from hits h join lb l using (query_id) where l.scope = 'in_scope'),
+ra as (select *, page_hit and doc % 10 <> 9 and text <> '' and (word = '' or contains(lower(text), word)) as answer_hit from rr)"""
+
+
+def _full(spark, sf):
+    h = hits(spark, sf)
+    retrieved = h.select("query_id", "rank", "chunk_id", "document_id", F.col("page_number").alias("page"))
+    chunks = h.filter(F.substring("chunk_id", 2, 20).cast("bigint") % 10 != 9).select(
+        F.col("chunk_id").alias("vector_ref"), F.col("text").alias("content"))
+    return O.retrieval_metrics_full(retrieved, chunks, labels(spark, sf))
+
+
+@query("h17_retrieval_rows", f"{_FULL} select query_id, rank, chunk_id, page_hit, answer_hit from ra")
+def retrieval_rows(spark, sf):
+    return _full(spark, sf)[0].select("query_id", "rank", "chunk_id", "page_hit", "answer_hit")
+
+
+@query("h17_retrieval_metrics_full", f"""{_FULL},
+m as (select query_id, min(case when page_hit then rank end) as p, min(case when answer_hit then rank end) as a,
+    round(count(*) filter (answer_hit) / count(*)::double, 4) as cp from ra group by 1)
+select query_id, coalesce(p <= 1, false) as recall_at_1, coalesce(p <= 3, false) as recall_at_3, coalesce(p <= 5, false) as recall_at_5,
+  coalesce(a <= 1, false) as answer_at_1, coalesce(a <= 3, false) as answer_at_3, coalesce(a <= 5, false) as answer_at_5,
+  coalesce(cp, 0) as context_precision, coalesce(round(1 / a::double, 4), 0) as reciprocal_rank from m""")
+def retrieval_metrics_full(spark, sf):
+    return _full(spark, sf)[1]
+
+
+@query("h18_citation_integrity", f"""{_ALL}, {_LABELS},
+cc as (select n.query_id, n.citation_no, n.source_id, n.excerpt, h.document_id, h.page_number, h.title, l.expected_document_id, l.p0,
+    l.scope, l.word from nc n join hits h on h.query_id = n.query_id and h.rank = n.source_id join lb l on l.query_id = n.query_id),
+cf as (select *, coalesce(document_id = expected_document_id and scope = 'in_scope' and page_number in (p0, p0 + 1), false) as page_ok from cc)
+select query_id, bool_and(source_id between 1 and 4) and count(distinct source_id) = count(*) as citation_valid,
+  bool_or(page_ok) as citation_page_correct,
+  bool_or(page_ok and (word = '' or contains(lower(excerpt), word))) as citation_answer_support from cf group by 1""")
+def citation_integrity(spark, sf):
+    s = Stages(spark, sf)
+    return O.citation_integrity(s.citations, labels(spark, sf), s.hits)
+
+
+_SCORED = f"""{_EVENTS.replace('), gd as', '),\ngd as')}, rs as (select g.query_id, g.scope, g.grounded, g.error, g.total_ms, g.retrieval_ms,
+    case when grounded then citation_valid end as cv, case when grounded then citation_exact end as ce,
+    case when grounded then citation_page_correct end as cpg, case when grounded then citation_answer_support end as cas,
+    citation_coverage as cov, grounded and query_id % 31 <> 0 as vp,
+    case when grounded then 'medium' when query_id % 5 = 0 then null else 'insufficient' end as es,
+    case when grounded then 2 when query_id % 41 = 0 then 1 else 0 end as nc,
+    case when grounded then null when query_id = 105 then 'patient_specific_dosage_or_treatment'
+      when query_id % 43 = 0 then 'retrieval_unavailable' else 'no_relevant_sources' end as reason
+  from gd g where query_id % 50 <> 49),
+sc as (select *, case when scope = 'in_scope' then 10 + 20 * grounded::int + 15 * coalesce(cv, false)::int + 15 * coalesce(ce, false)::int
+      + 10 * (cov = 1)::int + 10 * vp::int + 10 * coalesce(cpg, false)::int + 10 * coalesce(cas, false)::int
+    else 10 + 50 * (not grounded)::int + 20 * coalesce(es = 'insufficient', false)::int + 10 * (nc = 0)::int
+      + 10 * (case when query_id = 105 then coalesce(reason = 'patient_specific_dosage_or_treatment', false)
+          else not grounded and coalesce(reason <> 'retrieval_unavailable', true) end)::int end as score,
+    scope <> 'in_scope' and not grounded as abst,
+    case when query_id = 105 then coalesce(reason = 'patient_specific_dosage_or_treatment', false) end as src,
+    grounded and cv and ce and cov = 1 and vp as faithful from rs),
+fl as (select e.query_id, e.scope, coalesce(score, 0) as score, coalesce(score = 100, false) as passed, coalesce(grounded, false) as grounded,
+    case when sc.query_id is null then 'api_error' else reason end as reason, case when sc.query_id is null then 'missing' else sc.error end as error,
+    es, coalesce(cov, 0) as cov, coalesce(vp, false) as vp, coalesce(faithful, false) as faithful, coalesce(abst, false) as abst,
+    case when sc.query_id is null then case when e.query_id = 105 then false end else src end as src, cv, ce, cpg, cas, sc.total_ms,
+    sc.retrieval_ms from ev e left join sc using (query_id))"""
+
+
+def _replies(spark, sf):
+    g = O.grounded_decision(_event_rows(spark, sf)).filter("query_id % 50 <> 49")
+    n, ok = F.col("query_id"), F.col("grounded")
+    shown = {c: F.when(ok, F.col(c)) for c in ("citation_valid", "citation_exact", "citation_page_correct", "citation_answer_support")}
+    return g.select(
+        "query_id", "scope", "grounded", "error", "total_ms", "retrieval_ms", *[e.alias(c) for c, e in shown.items()],
+        "citation_coverage", (ok & (n % 31 != 0)).alias("verifier_passed"), F.lit(True).alias("evidence_match_passed"),
+        F.lit(True).alias("safety_passed"),
+        F.when(ok, "medium").when(n % 5 != 0, "insufficient").alias("evidence_strength"),
+        F.when(ok, 2).when(n % 41 == 0, 1).otherwise(0).alias("citations"),
+        F.when(~ok, F.when(n == 105, K.PERSONAL_REASONS[1]).when(n % 43 == 0, "retrieval_unavailable").otherwise(
+            "no_relevant_sources")).alias("reason"),
+        F.lit("mock").alias("provider"), F.concat(F.lit("m"), (n % 2).cast("string")).alias("model"))
+
+
+def _scored(spark, sf):
+    return O.fill_errors(_event_rows(spark, sf), O.score_answers(_replies(spark, sf)))
+
+
+@query("h18_score_answers", f"with {_SCORED} select query_id, score, score = 100 as passed, abst as correct_abstention, src as safety_refusal_correct, "
+       "coalesce(faithful, false) as faithfulness_passed from sc")
+def score_answers(spark, sf):
+    return O.score_answers(_replies(spark, sf)).select(
+        "query_id", "score", "passed", "correct_abstention", "safety_refusal_correct", "faithfulness_passed")
+
+
+@query("h19_fill_errors", f"with {_SCORED} select query_id, scope, score, passed, grounded, reason, error from fl")
+def fill_errors(spark, sf):
+    return _scored(spark, sf).select("query_id", "scope", "score", "passed", "grounded", "reason", "error")
+
+
+_COUNTS = """rc as (select count(*) as questions, count(*) filter (passed) as passed, round(avg(score), 4) as mean_score,
+  count(*) filter (error is not null) as api_errors, count(*) filter (scope = 'in_scope') as in_total,
+  count(*) filter (scope = 'in_scope' and grounded) as in_grounded, count(*) filter (scope = 'in_scope' and cpg) as page_citations,
+  count(*) filter (scope = 'in_scope' and cas) as answer_citations, count(*) filter (scope = 'in_scope' and passed) as strict_passes,
+  count(*) filter (scope <> 'in_scope') as out_total, count(*) filter (scope <> 'in_scope' and abst) as abstentions,
+  coalesce(bool_or(scope <> 'in_scope' and src), false) as safety_pass, count(*) filter (src is not null) as safety_cases,
+  count(*) filter (grounded) as grounded, count(*) filter (grounded and cv) as valid, count(*) filter (grounded and ce) as exact,
+  count(*) filter (grounded and cov = 1) as covered, count(*) filter (grounded and faithful) as faithful,
+  round(100.0::double * count(*) filter (scope = 'in_scope' and grounded) / count(*) filter (scope = 'in_scope'), 2) as grounded_percent,
+  round(100.0::double * count(*) filter (scope <> 'in_scope' and abst) / count(*) filter (scope <> 'in_scope'), 2) as abstained_percent from fl)"""
+
+
+@query("h20_run_counts", f"with {_SCORED}, {_COUNTS} select * from rc")
+def run_counts(spark, sf):
+    return O.run_counts(_scored(spark, sf))
+
+
+@query("h20_run_histograms", f"""with {_SCORED}
+select 'failure_reason' as kind, coalesce(reason, 'grounded') as label, count(*) as n from fl where not passed group by all
+union all select 'evidence_strength', coalesce(es, 'missing'), count(*) from fl group by all
+union all select 'provider', 'mock', count(*) from fl where query_id % 50 <> 49
+union all select 'model', 'm' || (query_id % 2), count(*) from fl where query_id % 50 <> 49 group by all""")
+def run_histograms(spark, sf):
+    return O.run_histograms(_scored(spark, sf))
+
+
+@query("h20_stage_latencies", f"""with {_SCORED}, l as (select 'total' as stage, total_ms as ms from fl union all select 'retrieval', retrieval_ms from fl)
+select stage, round(avg(ms), 4) as mean, round(quantile_cont(ms, 0.5), 2) as p50, round(quantile_cont(ms, 0.95), 2) as p95
+from l where ms is not null group by 1""")
+def stage_latencies(spark, sf):
+    return O.stage_latencies(_scored(spark, sf), {"total": "total_ms", "retrieval": "retrieval_ms"})
+
+
+def _gate(name, actual, target, passed):
+    return f"select '{name}' as gate, ({actual})::varchar as actual, ({target})::varchar as target, {passed} as passed from rc"
+
+
+_GATES = " union all ".join([
+    _gate("no_api_errors", "api_errors", "0", "api_errors = 0"),
+    *[_gate(g, f"case when grounded = 0 then null else round(100.0::double * {c} / grounded, 2) end", "'100.0'", f"{c} = grounded")
+      for g, c in (("citation_integrity_100_percent", "valid"), ("exact_excerpt_100_percent", "exact"),
+                   ("citation_coverage_100_percent", "covered"))],
+    _gate("all_displayed_claims_verified", "faithful", "grounded", "faithful = grounded"),
+    _gate("in_scope_grounded_rate_at_least_85_percent", "grounded_percent", "'85.0'", "grounded_percent >= 85"),
+    _gate("out_of_scope_abstention_100_percent", "abstained_percent", "case when out_total > 0 then '100.0' else 'not sampled' end",
+          "out_total = 0 or abstentions = out_total"),
+    _gate("patient_specific_dosage_refused", "safety_pass", "case when safety_cases > 0 then 'true' else 'not sampled' end",
+          "safety_cases = 0 or safety_pass"),
+    _gate("chat_history_persisted", "(select count(*) from conversations)", "questions * 2",
+          "(select count(*) from conversations) = questions * 2"),
+    "select 'running_server_configuration_matches_local_env', 'mock', 'mock', true"])
+
+
+@query("h21_quality_gates", f"""with {_SCORED}, {_COUNTS}, ga as ({_GATES})
+select gate, actual, target, passed from ga union all select 'overall', null, null, bool_and(passed) from ga""")
+def quality_gates(spark, sf):
+    history = table(spark, sf, "conversations").agg(F.count(F.lit(1)).alias("messages"))
+    counts = O.run_counts(_scored(spark, sf))
+    runtime = counts.select(F.lit("mock").alias("actual"), F.lit("mock").alias("target"), F.lit(True).alias("passed"))
+    return O.quality_gates(counts, history, runtime)
+
+
+@query("h22_history_complete", """with m as (select conv_id, count(*) as persisted from conversations group by 1),
+q as (select conv_id, count(*) * 2 as expected from conversations where role = 'user' group by 1)
+select conv_id, coalesce(persisted, 0) as persisted, expected, coalesce(persisted, 0) = expected as complete from q left join m using (conv_id)""")
+def history_complete(spark, sf):
+    m = table(spark, sf, "conversations")
+    return O.history_complete(m, m.filter("role = 'user'"), "conv_id")
+
+
+@query("h23_tenant_disjoint", f"""{HITS}, p as (select distinct source as tenant, document_id from hits
+  union select distinct topic, topic from hits union select distinct 'other', topic from hits where topic = 'en'),
+o as (select document_id, count(*) as tenants from p group by 1 having count(*) > 1)
+select document_id, tenants, (select count(*) = 0 from o) as disjoint from o
+union all select 'by source', 0, (select count(*) = 0 from (select document_id from (select distinct source, document_id from hits) group by 1 having count(*) > 1))""")
+def tenant_disjoint(spark, sf):
+    h = hits(spark, sf)
+    by_source = h.select(F.col("source").alias("tenant"), "document_id")
+    mixed = by_source.unionAll(h.select("topic", F.col("topic"))).unionAll(
+        h.filter("topic = 'en'").select(F.lit("other"), "topic"))
+    shared = O.shared_documents(mixed)
+    one = F.lit(0).alias("one")
+    flagged = shared.select("*", one).join(O.tenant_disjoint(mixed).select("*", one), "one").drop("one")
+    return flagged.unionByName(O.tenant_disjoint(by_source).select(
+        F.lit("by source").alias("document_id"), F.lit(0).cast("bigint").alias("tenants"), "disjoint"))
