@@ -144,7 +144,8 @@ def fixed_windows(spark, sf):
     return _fixed(spark, sf)
 
 
-@query("d7_split_overlapping")
+@query("d7_split_overlapping", f"""with recursive {Q.split_sql('documents', 'doc_id')}
+select doc_id, row_number() over (partition by doc_id order by start) - 1 as piece_no, start, chunk as text from ck""")
 def split_overlapping(spark, sf):
     d = table(spark, sf, "documents").repartition("doc_id")
     return d.select("doc_id", F.posexplode_outer(O.split_overlapping("text")).alias("piece_no", "p")).select(
@@ -185,7 +186,18 @@ def chunk_ids(spark, sf):
     return O.chunk_ids(c, ["page_number", "piece_no"]).select("document_id", "piece_no", "chunk_index", "chunk_id")
 
 
-@query("d11_build_chunks")
+_CHUNKS = f"""{_SECTIONS},
+sx as (select document_id || '|' || section_no as sid, text from se), {Q.split_sql('sx', 'sid')},
+cz as (select s.document_id, s.section_no, s.heading, s.start + c.start as "offset", c.chunk, c.start as piece from ck c
+  join se s on s.document_id || '|' || s.section_no = c.sid where length({Q.strip('c.chunk')}) >= 60),
+cy as (select z.document_id, section_no, heading, piece, chunk, max(co.page_number) as page_number from cz z join co
+  on co.document_id = z.document_id and co.start_offset <= z."offset" group by 1, 2, 3, 4, 5),
+bc as (select *, row_number() over (partition by document_id order by section_no, piece) - 1 as chunk_index from cy)"""
+
+
+@query("d11_build_chunks", f"""with recursive {_CHUNKS}
+select document_id || ':p' || page_number || ':c' || chunk_index as chunk_id, document_id, chunk_index, chunk as text,
+  heading as section_title, page_number from bc""")
 def build_chunks(spark, sf):
     pages = P.classify_pages(guide_pages(spark, sf))
     return O.build_chunks(pages)

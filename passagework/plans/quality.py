@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passagework.operators import chunks as C
 from passagework.operators import quality as O
 from passagework.plans import sqltext as Q
+from passagework.plans.chunks import _CHUNKS
 from passagework.plans.registry import query
 from passagework.plans.views import guide_pages, text_chunks
 
@@ -113,7 +114,16 @@ def page_citation_check(spark, sf):
     return O.page_citation_check(*_cited(spark, sf))
 
 
-@query("i8_built_chunk_citations")
+_BUILT = f"""{_CHUNKS}, nx as (select document_id, page_number, {Q.squeeze('text')} as t from co),
+pr as (select b.*, substr({Q.squeeze('chunk')}, 1, 60) as probe, coalesce(a.t, '') as here,
+    {Q.squeeze("coalesce(a.t, '') || ' ' || coalesce(c.t, '')")} as both_pages
+  from bc b left join nx a on a.document_id = b.document_id and a.page_number = b.page_number
+    left join nx c on c.document_id = b.document_id and c.page_number = b.page_number + 1)"""
+
+
+@query("i8_built_chunk_citations", f"""with recursive {_BUILT}
+select case when length(probe) < 20 then 'skipped' when contains(here, probe) then 'exact'
+    when contains(both_pages, probe) then 'spanning' else 'wrong' end as verdict, count(*) as chunks from pr group by 1""")
 def built_chunk_citations(spark, sf):
     """The same check on chunks built from classified pages, against those pages."""
     from passagework.operators.pages import classify_pages, content_pages

@@ -109,3 +109,51 @@ CLASSIFIED = f"""{STRIPPED},
 lc as (select document_id, source, page_number, raw, {_light} as text from st),
 cp as (select *, case when {COPYRIGHT} then 'copyright' when {TOC} then 'table_of_contents' else 'content' end
     as page_type, length(text) as char_count from lc where {strip('text')} <> '')"""
+
+
+def split_sql(src: str, key: str = "id") -> str:
+    """CTEs that cut ``src(key, text)`` as ``split_overlapping`` does; the result is ``ck(key, start, chunk)``.
+
+    Atoms are pieces below 1000 characters at the coarsest separator; greedy packing is a walk along precomputed jumps
+    from each atom to the atom the next chunk starts with.
+    """
+    def level(name, parent, sep, keys, where):
+        s = f"string_split(x, {sep})"
+        cols = ", ".join(["id", *keys[:-1]])
+        return (f"{name} as (select {cols}, {keys[-1]}, case when {keys[-1]} = 1 then y else {sep} || y end as x from (select {cols}, "
+                f"unnest({s}) as y, generate_subscripts({s}, 1) as {keys[-1]} from {parent} {where}) "
+                f"where {keys[-1]} > 1 or y <> '')")
+
+    big = "where length(x) >= 1000"
+    return f"""a0 as (select {key} as id, text as x from {src}),
+{level('ap', 'a0', "(chr(10) || chr(10))", ['i'], '')},
+{level('al', 'ap', "chr(10)", ['i', 'j'], big)},
+{level('az', 'al', "'. '", ['i', 'j', 'k'], big)},
+{level('aw', 'az', "' '", ['i', 'j', 'k', 'm'], big)},
+ac as (select *, greatest(ceil((length(x) - 1000) / 850.0)::bigint, 0) as last from aw {big}),
+aa as (
+  select id, i, 0 as j, 0 as k, 0 as m, 0 as n, x as t, 'r' as run, length(x) as adv from ap where length(x) < 1000
+  union all select id, i, j, 0, 0, 0, x, 'r.' || i, length(x) from al where length(x) < 1000
+  union all select id, i, j, k, 0, 0, x, 'r.' || i || '.' || j, length(x) from az where length(x) < 1000
+  union all select id, i, j, k, m, 0, x, 'r.' || i || '.' || j || '.' || k, length(x) from aw where length(x) < 1000
+  union all select id, i, j, k, m, n, substr(x, n * 850 + 1, 1000), 'r.' || i || '.' || j || '.' || k || '.' || m || '#' || n,
+      case when n < last then 850 else length(x) - 850 * last end
+    from (select *, unnest(range(0, last + 1)) as n from ac)),
+ab as (select *, row_number() over w as q, coalesce(sum(adv) over (partition by id order by i, j, k, m, n
+    rows between unbounded preceding and 1 preceding), 0) as s,
+    case when run = lag(run) over w then 0 else 1 end as fresh from aa window w as (partition by id order by i, j, k, m, n)),
+ad as (select id, q, s, s + length(t) as e, sum(fresh) over (partition by id order by q) as g from ab),
+-- The atom that no longer fits a chunk starting at each atom.
+ae as (select a.id, a.g, a.q, a.s, min(b.q) as nq from ad a left join ad b
+    on b.id = a.id and b.g = a.g and b.q > a.q and b.e - a.s > 1000 and b.s - a.s <= 1000 group by 1, 2, 3, 4),
+af as (select a.*, x.s as xs, x.e as xe from ae a left join ad x on x.id = a.id and x.q = a.nq),
+ag as (select a.id, a.g, a.q, a.s, a.nq, a.xs, min(c.q) as jump from af a left join ad c
+    on c.id = a.id and c.g = a.g and c.q > a.q and c.q <= a.nq and (c.q = a.nq or (a.xs - c.s <= 150 and a.xe - c.s <= 1000))
+  group by all),
+ah as (select id, g, min(q) as q, max(e) as ge from ad group by 1, 2),
+walk as (select id, g, q, ge from ah
+  union all select w.id, w.g, a.jump, w.ge from walk w join ag a on a.id = w.id and a.q = w.q where a.nq is not null),
+aj as (select w.id, a.s, coalesce(a.xs, w.ge) as e from walk w join ag a on a.id = w.id and a.q = w.q),
+ak as (select a.id, a.s, substr(z.x, a.s::bigint + 1, (a.e - a.s)::bigint) as c from aj a join a0 z on z.id = a.id),
+ck as (select id as {key}, (s + length(c) - length(ltrim(c, {WS_LIT})))::bigint as start, {strip('c')} as chunk from ak
+  where {strip('c')} <> '')"""

@@ -1 +1,50 @@
+"""Family K: streams over files that Spark writes from the given tables."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from passagework.plans import sqltext as Q
+from passagework.plans.lifecycle import write_documents
+from passagework.plans.registry import query
+from passagework.sources.documents import write_stage
+from passagework.sources.lineage import shared_folder
+from passagework.sources.tables import table
+from passagework.streaming import ingest as S
+
+
+_PLAIN = Q.CLASSIFIED.replace(Q.GUIDE, Q.PAGES + ", gp as (select document_id, source, doc_id, page_number, image_count, text from pg)")
+
+
+def _ingested_sql() -> str:
+    from passagework.plans import chunks as C
+    return "with recursive " + C._CHUNKS.replace(Q.CLASSIFIED, _PLAIN) + """
+select document_id || ':p' || page_number || ':c' || chunk_index as chunk_id, md5(chunk) as text_md5, heading as section_title from bc"""
+
+
+@query("k1_stream_chunk_ingest", _ingested_sql())
+def stream_chunk_ingest(spark, sf):
+    base = f"{shared_folder(spark)}/passagework-stream-{uuid.uuid4().hex}"
+    source = write_documents(spark, sf)
+    # Everything is ingested twice, the second time in another generation: the result must not change.
+    for generation in (0, 1):
+        S.stream_chunk_ingest(spark, source, f"{base}/store", f"{base}/checkpoint-{generation}", generation,
+                              files_per_batch=4).awaitTermination()
+    return S.current_chunks(spark, f"{base}/store").select("chunk_id", F.md5("text").alias("text_md5"), "section_title")
+
+
+@query("k2_stream_dedupe_uploads", "select distinct lang as tenant, sha256(text) as sha from documents")
+def stream_dedupe_uploads(spark, sf):
+    base = f"{shared_folder(spark)}/passagework-stream-{uuid.uuid4().hex}"
+    d = table(spark, sf, "documents")
+    write_stage(d.select(
+        F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 60).alias("ts")).repartition(4), f"{base}/in")
+    uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option(
+        "maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    S.stream_dedupe_uploads(uploads, "1 hour").select("tenant", "sha").writeStream.format("parquet").option(
+        "checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
