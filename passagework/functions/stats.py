@@ -94,8 +94,11 @@ def percentile_linear(df: DataFrame, value: str, ps: dict[str, float], keys: lis
     stats = order_statistics(df, value, targets, keys)
     whole, keys = not keys, list(keys or ["__all"])
     if whole:
-        df, stats = df.withColumn("__all", F.lit(0)), stats.withColumn("__all", F.lit(0))
-    n = df.groupBy(*keys).agg(F.count(value).alias("n"))
+        stats = stats.withColumn("__all", F.lit(0))
+        # Ungrouped, so that an empty input still gives its row of nulls.
+        n = df.agg(F.count(value).alias("n")).withColumn("__all", F.lit(0))
+    else:
+        n = df.groupBy(*keys).agg(F.count(value).alias("n"))
     wide = stats.groupBy(*keys).agg(*[F.max(F.when(F.col("t") == i, F.col("v"))).alias(f"q{i}")
                                       for i in range(len(targets))])
     joined = n.join(wide, keys, "left")
@@ -105,9 +108,3 @@ def percentile_linear(df: DataFrame, value: str, ps: dict[str, float], keys: lis
         lo, hi = F.col(f"q{2 * j}"), F.col(f"q{2 * j + 1}")
         out.append(F.round(lo + (hi - lo) * (pos - F.floor(pos)), 2).alias(k))
     return joined.select(*([] if whole else keys), *out)
-
-
-def median_of_counts(df: DataFrame, value, out: str, digits: int = 2) -> DataFrame:
-    """Median of a small-domain integer expression (lengths): counts per value first, then a weighted median."""
-    counts = df.select(value.alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.round(F.expr("percentile(v, 0.5, n)"), digits).alias(out))

@@ -11,6 +11,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from passagework import constants as K
 from passagework.functions import text as T
@@ -20,7 +21,7 @@ IN, OUT = "in_scope", "out_of_scope"
 
 
 # --- patterns -----------------------------------------------------------------------------------------
-@F.pandas_udf("array<boolean>")
+@F.pandas_udf(S.ArrayType(S.BooleanType()))
 def _compiles(patterns: pd.Series) -> pd.Series:
     def ok(p: str) -> bool:
         try:

@@ -5,12 +5,12 @@ Counts and percentages are single aggregates with map-side combine; example list
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
-from passagework.functions.stats import count_if, median_of_counts
+from passagework.functions.stats import count_if
 from passagework.functions.windows import row_numbers, top_per_key
 
 

@@ -97,10 +97,15 @@ def duplicate_uploads(uploads: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("copies")).filter(F.col("copies") > 1)
 
 
-def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Raw files as ``(name, length, content)``."""
-    return spark.read.format("binaryFile").load(path).select(
+def read_uploads(spark: SparkSession, path: str, announced: DataFrame | None = None) -> DataFrame:
+    """Raw files as ``(name, length, content)``.
+
+    Spark's file source passes over empty files; with ``announced(name)``, the uploads that were registered, those
+    come back with length 0.
+    """
+    files = spark.read.format("binaryFile").load(path).select(
         F.element_at(F.split("path", "/"), -1).alias("name"), "length", "content")
+    return files if announced is None else announced.select("name").join(files, "name", "left")
 
 
 def admit_blobs(files: DataFrame) -> DataFrame:
