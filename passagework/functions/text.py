@@ -30,9 +30,43 @@ def lstrip(c) -> Column:
     return F.ltrim(col(c), F.lit(WHITESPACE))
 
 
+# Single characters of the first 256 make one bit set in a Java class, so this pattern costs one lookup a character.
+_COMMON = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f"
+_RARE = [ch for ch in WHITESPACE if ord(ch) > 127]
+
+
+def _any(probes, x: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(x, F.lit(p)) for p in probes])
+
+
+def _is_ascii(x: Column) -> Column:
+    return F.octet_length(x) == F.length(x)
+
+
+def _bound(c, *rewrites) -> Column:
+    """Apply rewrites in order; a one-element array binds each step's text, so it is worked out once however often the
+    step mentions it."""
+    held = F.array(col(c))
+    for rewrite in rewrites:
+        held = F.transform(held, rewrite)
+    return F.element_at(held, 1)
+
+
+def _where(probes, rewrite):
+    """A rewrite for texts containing one of the probes.  Probes are native byte scans: clean text passes at that
+    price and runs no regular expression."""
+    return lambda x: F.when(_any(probes, x), rewrite(x)).otherwise(x)
+
+
+def _collapse(x: Column) -> Column:
+    # Single blanks stay as they are, which spares most replacements.
+    plain = F.regexp_replace(x, f"[ {_COMMON}]{{2,}}|[{_COMMON}]", " ")
+    return F.when(_is_ascii(x), plain).when(~_any(_RARE, x), plain).otherwise(F.regexp_replace(x, WS + "+", " "))
+
+
 def squeeze(c) -> Column:
     """Collapse every run of white space to one blank and strip."""
-    return F.btrim(F.regexp_replace(col(c), WS + "+", " "))
+    return F.btrim(_bound(c, _collapse))
 
 
 normalize_for_match = squeeze
@@ -40,22 +74,32 @@ normalize_for_match = squeeze
 
 def clean_extracted_text(c) -> Column:
     """Line ends, ligatures, end-of-line hyphens, trailing and repeated blanks, blank lines, strip."""
-    t = F.regexp_replace(col(c), "\r\n?", "\n")
-    t = F.replace(F.replace(t, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
-    t = F.regexp_replace(t, "-\n(?=[a-z])", "")
-    t = F.regexp_replace(t, "(?md)[ \t]+$", "")
-    t = F.regexp_replace(t, "[ \t]{2,}", " ")
-    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    return strip(_bound(
+        c,
+        _where(("\r",), lambda x: F.regexp_replace(x, "\r\n?", "\n")),
+        _where(("ﬁ", "ﬂ"), lambda x: F.replace(F.replace(x, F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))),
+        _where(("-\n",), lambda x: F.regexp_replace(x, "-\n(?=[a-z])", "")),
+        lambda x: F.when(_any((" \n", "\t"), x), F.regexp_replace(x, "(?md)[ \t]+$", "")).otherwise(F.rtrim(x)),
+        _BLANKS, _BLANK_LINES))
+
+
+_BLANKS = _where(("  ", "\t"), lambda x: F.regexp_replace(x, "[ \t]{2,}", " "))
+_BLANK_LINES = _where(("\n\n\n",), lambda x: F.regexp_replace(x, "\n{3,}", "\n\n"))
+_DOT_LEADERS = _where(("....",), lambda x: F.regexp_replace(x, r"\.{4,}", " "))
+
+
+def two_newlines(c) -> Column:
+    """Three and more newlines become two."""
+    return _bound(c, _BLANK_LINES)
 
 
 def remove_dot_leaders(c) -> Column:
-    return F.regexp_replace(col(c), r"\.{4,}", " ")
+    return _bound(c, _DOT_LEADERS)
 
 
 def light_clean(c) -> Column:
-    t = F.coalesce(F.translate(col(c), "\xa0", " "), F.lit(""))
-    t = F.regexp_replace(remove_dot_leaders(t), "[ \t]{2,}", " ")
-    return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
+    text = F.coalesce(col(c), F.lit(""))
+    return strip(_bound(text, _where(("\xa0",), lambda x: F.translate(x, "\xa0", " ")), _DOT_LEADERS, _BLANKS, _BLANK_LINES))
 
 
 _FOLD_FROM = K.DASHES + K.SINGLE_QUOTES + K.DOUBLE_QUOTES + K.SPACES
@@ -64,7 +108,11 @@ _FOLD_TO = "-" * len(K.DASHES) + "'" * len(K.SINGLE_QUOTES) + '"' * len(K.DOUBLE
 
 def fold_punctuation(c) -> Column:
     """ASCII forms of look-alike dashes, quotes and blanks, then :func:`squeeze`."""
-    return squeeze(F.translate(col(c), _FOLD_FROM, _FOLD_TO))
+    marks = K.DASHES + K.SINGLE_QUOTES + K.DOUBLE_QUOTES + K.SPACES
+    return F.btrim(_bound(
+        c,
+        lambda x: F.when(_is_ascii(x), x).when(~_any(marks, x), x).otherwise(F.translate(x, _FOLD_FROM, _FOLD_TO)),
+        _collapse))
 
 
 def normalize_message(c) -> Column:

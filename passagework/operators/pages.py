@@ -158,7 +158,7 @@ def strip_furniture(pages: DataFrame, furniture: DataFrame) -> DataFrame:
         pick("__head", F.col("__drop"), False), F.col("__middle"), pick("__tail", F.col("__last"), False)), "\n")
     gone = F.transform(
         F.concat(pick("__head", F.col("__drop"), True), pick("__tail", F.col("__last"), True)), T.strip)
-    return once(split, text=T.strip(F.regexp_replace(kept, "\n{3,}", "\n\n")), removed=gone).drop(
+    return once(split, text=T.strip(T.two_newlines(kept)), removed=gone).drop(
         "__keys", "__head", "__middle", "__tail", "__drop", "__last")
 
 
