@@ -25,13 +25,13 @@ def count_if(c) -> Column:
     return F.coalesce(F.count_if(col(c)), F.lit(0))
 
 
-def _narrow(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def _narrow(df: DataFrame, keys: list[str], buckets: int, small) -> DataFrame:
     """One refinement: keep, per target rank, only the value range slice that holds it."""
     span = df.groupBy(*keys, "t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
     b = F.when(F.col("hi") > F.col("lo"),
                F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
                        F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = df.join(F.broadcast(span), [*keys, "t"]).withColumn("b", b)
+    placed = df.join(small(span), [*keys, "t"]).withColumn("b", b)
     w = Window.partitionBy(*keys, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         placed.groupBy(*keys, "t", "b").agg(F.sum("n").alias("bn"), F.first("r").alias("r"))
@@ -39,7 +39,7 @@ def _narrow(df: DataFrame, keys: list[str], buckets: int) -> DataFrame:
         .filter((F.col("r") > F.col("before")) & (F.col("r") <= F.col("before") + F.col("bn")))
         .select(*keys, "t", "b", "before")
     )
-    return placed.join(F.broadcast(hist), [*keys, "t", "b"]).select(
+    return placed.join(small(hist), [*keys, "t", "b"]).select(
         *keys, "t", "v", "n", (F.col("r") - F.col("before")).alias("r")
     )
 
@@ -51,7 +51,7 @@ def order_statistics(df: DataFrame, value: str, targets: list[Column], keys: lis
     ``targets`` are expressions over ``n`` (the non-null count of the key) giving 1-based ranks.  Equal values are
     counted together first (partial aggregation absorbs hot values); each round then keeps one slice in
     ``buckets`` of the value range, so the last ordered step sees only a sliver of the distinct values and no task
-    ever holds a whole key.  The broadcast tables hold one row per key and target: a report has few keys.
+    ever holds a whole key.
     """
     whole, keys = not keys, list(keys or ["__all"])
     if whole:
@@ -61,9 +61,12 @@ def order_statistics(df: DataFrame, value: str, targets: list[Column], keys: lis
     total = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
     ranks = total.select(
         *keys, F.posexplode(F.array(*[t.cast("bigint") for t in targets])).alias("t", "r"))
-    base = counted.join(F.broadcast(ranks), keys)
+    # Ungrouped, the helper tables hold one row per target.  Grouped, they hold one per key and target and carry no
+    # hint: adaptive execution broadcasts them when they prove small and splits hot keys when they do not.
+    small = F.broadcast if whole else (lambda df: df)
+    base = counted.join(small(ranks), keys)
     for _ in range(rounds):
-        base = _narrow(base, keys, buckets)
+        base = _narrow(base, keys, buckets, small)
     w = Window.partitionBy(*keys, "t").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         base.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))

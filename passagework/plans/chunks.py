@@ -10,6 +10,7 @@ from passagework.operators import pages as P
 from passagework.plans import sqltext as Q
 from passagework.plans.registry import query
 from passagework.plans.views import guide_pages, text_pages
+from passagework.sources.lineage import spread
 from passagework.sources.tables import table
 
 _CONTENT = Q.CLASSIFIED + """, co as (
@@ -134,7 +135,7 @@ f as (select doc_id, k as piece_no, k * 850 as start, substr(body, k * 850 + 1,
 
 
 def _fixed(spark, sf):
-    d = table(spark, sf, "documents").repartition("doc_id")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     return d.select("doc_id", F.posexplode_outer(O.fixed_windows("text")).alias("piece_no", "p")).select(
         "doc_id", "piece_no", F.col("p.start").alias("start"), F.col("p.text").alias("text"))
 
@@ -147,7 +148,7 @@ def fixed_windows(spark, sf):
 @query("d7_split_overlapping", f"""with recursive {Q.split_sql('documents', 'doc_id')}
 select doc_id, row_number() over (partition by doc_id order by start) - 1 as piece_no, start, chunk as text from ck""")
 def split_overlapping(spark, sf):
-    d = table(spark, sf, "documents").repartition("doc_id")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     return d.select("doc_id", F.posexplode_outer(O.split_overlapping("text")).alias("piece_no", "p")).select(
         "doc_id", "piece_no", F.col("p.start").alias("start"), F.col("p.text").alias("text")).filter(F.col("text").isNotNull())
 

@@ -16,7 +16,7 @@ from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
 from passagework.plans.retrieval import _BM25, _TOKENS
 from passagework.plans.views import question_queries, text_corpus
-from passagework.sources.lineage import cut
+from passagework.sources.lineage import cut, spread
 from passagework.sources.tables import table
 
 # Each question's label names one of its four hits, its page and the next, and a word of it (or nothing, or a wrong word).
@@ -297,7 +297,7 @@ def matches_any(spark, sf):
     bad = F.concat(F.lit("(["), F.col("lang"))
     pats = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(bad)).when(
         n % 4 == 2, F.array(bad, F.lit("TH[aeo]"))).otherwise(F.array(F.lit(r"que\s+la"), F.lit("DER ")))
-    d = table(spark, sf, "documents").repartition("doc_id").withColumn("must_contain", pats)
+    d = spread(table(spark, sf, "documents"), "doc_id").withColumn("must_contain", pats)
     return O.checked_patterns(d).select("doc_id", O.matches_any("patterns", "text").alias("found"))
 
 

@@ -10,6 +10,7 @@ from passagework.plans import sqltext as Q
 from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
 from passagework.plans.views import question_queries, text_corpus
+from passagework.sources.lineage import spread
 from passagework.sources.tables import table
 
 _TOKENS = f"""tk as (select doc_id, unnest({Q.tokens('text')}) as term from documents),
@@ -64,7 +65,7 @@ def _questions(spark, sf):
 
 
 def _corpus(spark, sf):
-    return O.embed(text_corpus(spark, sf).repartition("key"), "text")
+    return O.embed(spread(text_corpus(spark, sf), "key"), "text")
 
 
 @query("e1_embed", f"""with {_TOKENS}, dv as (select doc_id, {_BUCKET} as dim, count(*)::double as c from tk group by 1, 2)

@@ -10,6 +10,7 @@ from passagework.operators.operations import unique_slugs
 from passagework.plans import sqltext as Q
 from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
+from passagework.sources.lineage import spread
 from passagework.sources.tables import table
 
 _NOISY = (
@@ -20,7 +21,7 @@ _BASE = f"with n as (select doc_id, {_NOISY} as t from documents)"
 
 
 def _noisy(spark, sf):
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"), "doc_id")
     t = F.concat(F.lit("  "), F.col("source"), F.lit("\r\n"), F.col("text"), F.lit(
         " manage-\nment ﬁne ....... 12  \t\n\n\n\n\xa0 say “a‑b’” v1.2.3 x"),
         F.col("doc_id").cast("string"), F.lit("\n"))

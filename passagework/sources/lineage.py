@@ -36,3 +36,12 @@ def cut(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint when ``df`` has at most ``rows`` rows; otherwise ``df`` unchanged, so the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows over all cores by ``keys`` where the input has fewer splits than there are cores.
+
+    A table of many files keeps its splits: nothing is shuffled on a cluster for work a scan task can do.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(*keys) if df.rdd.getNumPartitions() < cores else df
