@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import col
+from passagework.sources.lineage import cut
 
 
 def rate(numerator, denominator, digits: int = 2) -> Column:
@@ -49,15 +50,15 @@ def order_statistics(df: DataFrame, value: str, targets: list[Column], keys: lis
     """Exact k-th smallest values, found by histogram refinement.
 
     ``targets`` are expressions over ``n`` (the non-null count of the key) giving 1-based ranks.  Equal values are
-    counted together first (partial aggregation absorbs hot values); each round then keeps one slice in
+    counted together first (partial aggregation absorbs hot values) and written once; each round then keeps one slice in
     ``buckets`` of the value range, so the last ordered step sees only a sliver of the distinct values and no task
     ever holds a whole key.
     """
     whole, keys = not keys, list(keys or ["__all"])
     if whole:
         df = df.withColumn("__all", F.lit(0))
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n"))
+    counted = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
+        F.count(F.lit(1)).alias("n")))
     total = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
     ranks = total.select(
         *keys, F.posexplode(F.array(*[t.cast("bigint") for t in targets])).alias("t", "r"))
@@ -66,7 +67,7 @@ def order_statistics(df: DataFrame, value: str, targets: list[Column], keys: lis
     small = F.broadcast if whole else (lambda df: df)
     base = counted.join(small(ranks), keys)
     for _ in range(rounds):
-        base = _narrow(base, keys, buckets, small)
+        base = cut(_narrow(base, keys, buckets, small))
     w = Window.partitionBy(*keys, "t").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         base.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from passagework import constants as K
 from passagework.functions import text as T
 from passagework.functions.windows import row_numbers, top_per_key
+from passagework.sources.lineage import cut
 
 
 def unique_slugs(df: DataFrame, name: str, order: str) -> DataFrame:
@@ -101,12 +102,12 @@ def first_wins(appointments: DataFrame) -> DataFrame:
 
 
 def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    clinic, taken, held = object(), {}, {}
+    group, taken, held = None, {}, {}
     for batch in batches:
         out = []
         for r in batch.itertuples(index=False):
-            if r.clinic_id != clinic:
-                clinic, taken, held = r.clinic_id, {}, {}
+            if r.booking_group != group:
+                group, taken, held = r.booking_group, {}, {}
             place = (r.doctor_id, r.slot)
             reason = None
             if r.action == "existing":
@@ -127,12 +128,32 @@ def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["clinic_id", "action_id", "action", "appointment_id", "applied", "reason"])
 
 
+def _booking_groups(links: DataFrame) -> DataFrame:
+    """``(clinic_id, appointment_id, booking_group)``: appointments tied together through doctors, directly or by others.
+
+    Labels spread over distinct (appointment, doctor) pairs until none changes; actions never travel in these rounds.
+    """
+    links = cut(links.filter(F.col("doctor_id").isNotNull()).distinct())
+    labels = cut(links.groupBy("clinic_id", "appointment_id").agg(F.min("doctor_id").alias("booking_group")))
+    while True:
+        by_doctor = links.join(labels, ["clinic_id", "appointment_id"]).groupBy("clinic_id", "doctor_id").agg(
+            F.min("booking_group").alias("g"))
+        spread = cut(links.join(by_doctor, ["clinic_id", "doctor_id"]).groupBy("clinic_id", "appointment_id").agg(
+            F.min("g").alias("booking_group")))
+        old = labels.withColumnRenamed("booking_group", "old")
+        moved = spread.join(old, ["clinic_id", "appointment_id"]).filter(F.col("booking_group") < F.col("old"))
+        labels = spread
+        if moved.isEmpty():
+            return labels
+
+
 def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFrame:
     """Outcome of confirmed book, cancel and reschedule actions taken in time order within each clinic.
 
-    A move can cross doctors, so the order that matters is the clinic's.  Rows are partitioned by clinic and sorted
-    on disk by Spark; the fold reads them as a stream of Arrow batches and keeps only the clinic's booked slots, never
-    its actions, in memory.
+    Order matters only between actions that share a doctor or an appointment, a move tying two doctors together.  Those
+    groups are found first, so a large clinic falls into independent pieces.  Rows are partitioned by group and sorted on
+    disk by Spark; the fold reads them as a stream of Arrow batches and keeps only the group's booked slots, never its
+    actions, in memory.
     """
     start = appointments.filter(F.col("status") == "booked").select(
         "clinic_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"),
@@ -140,8 +161,13 @@ def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFr
         F.col("id").alias("appointment_id"), "doctor_id", "slot")
     todo = actions.select("clinic_id", F.lit(1).alias("kind"), "at", "action_id", "action", "appointment_id",
                           "doctor_id", "slot")
-    ordered = start.unionByName(todo).repartition("clinic_id").sortWithinPartitions(
-        "clinic_id", "kind", "at", "action_id")
+    rows = start.unionByName(todo)
+    groups = _booking_groups(rows.filter(F.col("action") != "cancel").select("clinic_id", "appointment_id", "doctor_id"))
+    # An appointment that is never booked has no group; its actions fail whatever stands around them.
+    ordered = (
+        rows.join(groups, ["clinic_id", "appointment_id"], "left")
+        .withColumn("booking_group", F.concat_ws("|", "clinic_id", "booking_group"))
+        .repartition("booking_group").sortWithinPartitions("booking_group", "kind", "at", "action_id"))
     kind = dict(ordered.dtypes)
     return ordered.mapInPandas(
         _fold_bookings,

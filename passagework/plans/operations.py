@@ -128,7 +128,30 @@ def first_wins(spark, sf):
     return O.first_wins(_bookings(spark, sf)).select("doctor_id", _text("slot").alias("slot"), "id")
 
 
-@query("j5_apply_booking_actions")
+# One step per action and clinic, with the booked places as a list; appointments outside the actions' slots cannot matter.
+_FOLD = f"""{_APPTS},
+ac as (select (user_id % 25)::int as clinic_id, event_id as action_id, case event_type when 'error' then 'cancel'
+      when 'click' then 'reschedule' else 'book' end as action, event_id % 211 as appt, user_id as doctor_id,
+    date_trunc('day', ts)::timestamp as slot, row_number() over (partition by user_id % 25 order by ts, event_id) as n from events),
+st as (select clinic_id, 0::bigint as n, (select list({{'a': (id + 1000000000)::bigint, 'd': doctor_id::bigint, 's': slot}}) from ap
+      where status = 'booked' and patient_id % 25 = c.clinic_id and slot in (select slot from ac)) as held,
+    null::bigint as action_id, null::varchar as action, null::bigint as appt, null::varchar as reason
+  from (select distinct clinic_id from ac) c
+  union all
+  select q.clinic_id, q.n, case when q.reason is not null then q.held
+      when q.action = 'cancel' then list_filter(q.held, lambda x: x.a <> q.appt)
+      else list_append(list_filter(q.held, lambda x: x.a <> q.appt), {{'a': q.appt, 'd': q.doctor_id, 's': q.slot}}) end,
+    q.action_id, q.action, q.appt, q.reason
+  from (select a.*, coalesce(s.held, []) as held, case
+      when a.action <> 'book' and len(list_filter(coalesce(s.held, []), lambda x: x.a = a.appt)) = 0 then 'not_available_to_' || a.action
+      when a.action <> 'cancel' and len(list_filter(coalesce(s.held, []), lambda x: x.d = a.doctor_id and x.s = a.slot and x.a <> a.appt)) > 0
+        then 'slot_taken'
+      when a.action = 'book' and len(list_filter(coalesce(s.held, []), lambda x: x.a = a.appt)) > 0 then 'already_booked' end as reason
+    from st s join ac a on a.clinic_id = s.clinic_id and a.n = s.n + 1) q)"""
+
+
+@query("j5_apply_booking_actions", f"""with recursive {_FOLD}
+select action_id, action, appt as appointment_id, reason is null as applied, reason from st where n > 0""")
 def apply_booking_actions(spark, sf):
     e = table(spark, sf, "events")
     clinic = (F.col("user_id") % 25).cast("int")
@@ -139,10 +162,10 @@ def apply_booking_actions(spark, sf):
         F.when(kind == "purchase", "book").when(kind == "error", "cancel").when(kind == "click", "reschedule").otherwise(
             "book").alias("action"),
         (F.col("event_id") % 211).alias("appointment_id"), F.col("user_id").alias("doctor_id"), slot.alias("slot"))
-    none = appointments(spark, sf).filter(F.col("status") == "booked").select(
+    booked = appointments(spark, sf).filter(F.col("status") == "booked").select(
         (F.col("patient_id") % 25).cast("int").alias("clinic_id"), (F.col("id") + 1_000_000_000).alias("id"),
         F.col("doctor_id"), "slot", "status")
-    return O.apply_booking_actions(none, actions).drop("clinic_id")
+    return O.apply_booking_actions(booked, actions).drop("clinic_id")
 
 
 @query("j6_available_now", f"""with {_DOCTORS}, {_WINDOWS},
