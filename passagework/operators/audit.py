@@ -140,7 +140,9 @@ def answer_claims(answers: DataFrame) -> DataFrame:
             F.lit("recommendation").alias("kind"), F.lit(0).alias("kind_no"), (i + 1).alias("claim_no"), c.alias("c"))),
         F.transform("supporting_claims", lambda c, i: F.struct(
             F.lit("supporting").alias("kind"), F.lit(1).alias("kind_no"), (i + 1).alias("claim_no"), c.alias("c"))))
-    return answers.select("query_id", F.explode(tagged).alias("x")).select(
+    # The outer explode keeps Spark from parsing every answer a second time to test for emptiness.
+    rows = answers.select("query_id", F.explode_outer(tagged).alias("x")).filter(F.col("x").isNotNull())
+    return rows.select(
         "query_id", "x.kind", "x.kind_no", "x.claim_no",
         F.concat("x.kind", F.lit("-"), F.col("x.claim_no").cast("string")).alias("claim_id"),
         T.fold_punctuation(F.col("x.c.text")).alias("claim_text"), F.col("x.c.evidence").alias("evidence"))
@@ -149,7 +151,7 @@ def answer_claims(answers: DataFrame) -> DataFrame:
 def parse_verdicts(raw: DataFrame) -> DataFrame:
     """Verifier rows ``(query_id, row_no, claim_id, supported, relevant, safe, overconfident, passed, reason)``."""
     p = raw.select("query_id", _object(F.col("raw"), VERDICT_SCHEMA).alias("v")).select(
-        "query_id", F.posexplode("v.results").alias("row_no", "r")).filter(F.col("r.claim_id").isNotNull())
+        "query_id", F.posexplode_outer("v.results").alias("row_no", "r")).filter(F.col("r.claim_id").isNotNull())
 
     def flag(name: str) -> Column:
         return F.coalesce(F.col(f"r.{name}"), F.lit(False)).alias(name)

@@ -214,7 +214,7 @@ _EVENTS = """ev as (select event_id as query_id, case when user_id % 6 = 0 then
   case when event_id % 10 = 9 then null else value / 3 end as retrieval_ms from events),
 gd as (select *, coalesce(has_sources and sufficient and has_package and validation_errors = 0 and error is null and citation_valid
     and citation_exact and supported_claims = claim_count, false) as grounded,
-    case when has_package and claim_count > 0 and all_have_excerpts then 1 else 0 end as citation_coverage,
+    case when has_package and claim_count > 0 and all_have_excerpts then 1::double else 0::double end as citation_coverage,
     coalesce(round(supported_claims / nullif(claim_count, 0)::double, 4), 0) as faithfulness from ev)"""
 
 

@@ -71,7 +71,7 @@ def _corpus(spark, sf):
 @query("e1_embed", f"""with {_TOKENS}, dv as (select doc_id, {_BUCKET} as dim, count(*)::double as c from tk group by 1, 2)
 select doc_id, dim, round(c / sqrt(sum(c * c) over (partition by doc_id)), 6) as value from dv""")
 def embed(spark, sf):
-    v = _corpus(spark, sf).select(F.col("key").alias("doc_id"), F.posexplode("vector").alias("dim", "value"))
+    v = _corpus(spark, sf).select(F.col("key").alias("doc_id"), F.posexplode_outer("vector").alias("dim", "value"))
     return v.filter(F.col("value") != 0).select("doc_id", "dim", F.round("value", 6).alias("value"))
 
 

@@ -9,6 +9,7 @@ from passagework.functions import text as T
 from passagework.operators.routing import route_messages
 from passagework.plans import sqltext as Q
 from passagework.plans.registry import query
+from passagework.sources.lineage import spread
 from passagework.sources.tables import table
 
 _PREFIX = (
@@ -28,7 +29,7 @@ def messages(spark, sf):
     for i, p in enumerate(_PREFIX):
         t = F.lit(p) if p.endswith("!") else F.concat(F.lit(p + " "), F.col("text"))
         out = F.when(n == i, t) if out is None else out.when(n == i, t)
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations"), "conv_id").select(
         "conv_id", "turn", F.when(F.col("role") == "assistant", "doctor").otherwise("patient").alias("role"),
         F.lit("general").alias("mode"), out.alias("text"))
 
