@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,11 +16,19 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark) -> str:
-    """The folder the session names in ``spark.checkpoint.dir``; only where none is named (tests) a temporary one."""
+    """The folder the session names in ``spark.checkpoint.dir``.
+
+    A local session (one machine, as in tests) that names none gets a temporary folder, made once.  On a cluster there
+    is no such fallback: executors would write to their own disks, so a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="passagework-"))
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+    if "dir" not in _LOCAL:
+        _LOCAL["dir"] = tempfile.mkdtemp(prefix="passagework-")
+    return _LOCAL["dir"]
 
 
 def cut(df: DataFrame) -> DataFrame:
