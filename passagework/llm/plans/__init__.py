@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat",)
+FAMILIES = ("chat", "pii")
 
 
 def load_all() -> None:
