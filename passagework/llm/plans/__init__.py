@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii")
+FAMILIES = ("chat", "pii", "packing")
 
 
 def load_all() -> None:
