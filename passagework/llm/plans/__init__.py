@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing")
+FAMILIES = ("chat", "pii", "packing", "toxicity")
 
 
 def load_all() -> None:
