@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing", "toxicity")
+FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn")
 
 
 def load_all() -> None:

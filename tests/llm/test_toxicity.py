@@ -30,7 +30,7 @@ def test_isotonic_rises_and_keeps_the_mean():
 def test_features():
     m = Marker({"vequ-": 3.0})
     f = dict(zip(FEATURES, m.features("You are an id10t and a LOSER, Vequsse!!")))
-    assert f["insults"] == f["lexicon"] == 1 / 8 and f["obfuscated_hits"] == 1 / 8 and abs(f["near_person"] - 2 / 3) < 1e-9 and f["exclaim"] > 0
+    assert f["insults"] == f["lexicon"] == 1 / 8 and f["obfuscated_hits"] == 1 / 8 and abs(f["near_person"] - 1 / 3) < 1e-9 and f["exclaim"] > 0
     assert len(m.features("")) == len(FEATURES) and not any(m.features(""))
     assert m.features("x " * 200_000)[0] == 0
 
