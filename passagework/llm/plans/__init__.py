@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn")
+FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language")
 
 
 def load_all() -> None:
