@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash")
+FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash", "decontaminate")
 
 
 def load_all() -> None:
