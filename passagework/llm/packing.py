@@ -73,6 +73,19 @@ def best_fit_decreasing(lengths: list[int], size: int) -> tuple[list[tuple[int,
     return placed, open_windows.opened
 
 
+def groups(records: Iterator[dict], chars: int = 1 << 20) -> Iterator[list[dict]]:
+    """Records in lists of about ``chars`` characters of text."""
+    held, size = [], 0
+    for r in records:
+        held.append(r)
+        size += len(r["text"] or "")
+        if size >= chars:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """Pieces of all documents packed into sequences of at most ``size`` ids.
 
@@ -88,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
            + ", ids binary" * with_ids)
 
     def rows(records: Iterator[dict]) -> Iterator[tuple]:
-        encode = encoder(tokenizer_path).encode
+        encode_all = encoder(tokenizer_path).encode_all
         end = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 40
@@ -102,13 +115,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
                 yield doc, start, n, crc, total, first + window, offset, *[ids] * with_ids
             first += opened
 
-        for r in records:
-            ids = encode(r["text"] or "") + end
-            total = len(ids) // 4
-            for start in range(0, total, size):
-                piece = ids[4 * start:4 * (start + size)]
-                held.append((r["doc_id"], start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None))
-            ids_held += total * with_ids
+        for some in groups(records):
+            for r, text_ids in zip(some, encode_all([r["text"] or "" for r in some])):
+                ids = text_ids + end
+                total = len(ids) // 4
+                for start in range(0, total, size):
+                    piece = ids[4 * start:4 * (start + size)]
+                    held.append((r["doc_id"], start, len(piece) // 4, zlib.crc32(piece), total, piece if with_ids else None))
+                ids_held += total * with_ids
             if len(held) >= BUFFER_PIECES or ids_held >= BUFFER_IDS:
                 yield from packed()
                 held, ids_held = [], 0
