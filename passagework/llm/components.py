@@ -1,0 +1,79 @@
+"""Connected components of an edge table, and bounded filters of ids."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from passagework.sources.lineage import cut
+
+#: Bits of an id filter: 8 MB whatever the number of ids.
+FILTER_BITS = 26
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``root``, the least node of its component, for every node of ``edges`` (a, b) that is not a root.
+
+    Large-star and small-star in turn: neighbours move to ever smaller nodes, in a number of rounds that is logarithmic in
+    the size of a component.  Minima are combined before they are shuffled, and every round is a table.
+    """
+    def both(e: DataFrame) -> DataFrame:
+        return e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+
+    def check(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = cut(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = check(now)
+    while state[0]:
+        two = both(now)
+        large = two.join(least(two), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        down = least(large)
+        small = large.join(down, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        now = cut(small.unionByName(down.select("a", F.col("m").alias("b"))).filter("a != b").distinct())
+        before, state = state, check(now)
+        if state == before:
+            break
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def id_filter(ids: DataFrame, column: str):
+    """A function of an array of ids that is true for every id of ``ids`` and for few others.
+
+    A bit map of fixed size, built by grouped aggregation; it saves moving rows whose id is not in the table, a join behind
+    it decides.  Null ids are never in it.
+    """
+    spark = ids.sparkSession
+    hashed = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
+    words = ids.filter(F.col(column).isNotNull()).select(F.shiftright(hashed, 5).alias("w"), F.expr(
+        "1L").alias("one"), F.pmod(hashed, F.lit(32)).cast("int").alias("k"))
+    got = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, k)")).alias("bits")).toArrow()
+    table = np.zeros(1 << FILTER_BITS - 5, np.uint32)
+    table[got["w"].to_numpy()] = got["bits"].to_numpy().astype(np.uint32)
+    shared = spark.sparkContext.broadcast(table)
+    return hashed, shared
+
+
+def split_by_filter(rows: DataFrame, ids: DataFrame, column: str, inside: bool) -> DataFrame:
+    """Rows of ``rows`` that the filter of ``ids`` (a table with ``column``) lets pass, or those it does not (null ids too)."""
+    hashed, shared = id_filter(ids, column)
+    marked = rows.withColumn("_id_place", hashed)
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            place = batch.column(len(names)).fill_null(0).to_numpy(zero_copy_only=False)
+            known = batch.column(names.index(column)).is_valid().to_numpy(zero_copy_only=False)
+            found = (table[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1
+            kept = (found & known) == inside
+            yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], names=names).filter(pa.array(kept))
+
+    return marked.mapInArrow(run, rows.schema)

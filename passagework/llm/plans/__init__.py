@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash", "decontaminate", "line_chunks")
+FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash", "decontaminate", "line_chunks", "near_dedup")
 
 
 def load_all() -> None:
