@@ -230,8 +230,10 @@ def bug_report_queue(reports: DataFrame) -> DataFrame:
 
 
 def set_status(reports: DataFrame, updates: DataFrame) -> DataFrame:
-    """Apply status updates (one per report); ``resolved_at`` is set only by ``resolved``."""
-    u = updates.select("report_id", F.col("status").alias("__s"), F.col("at").alias("__at"))
+    """Apply status updates; ``resolved_at`` is set only by ``resolved``.  Of several updates of one report the latest counts,
+    of equal times the greatest status."""
+    last = F.max(F.struct("at", "status"))
+    u = updates.groupBy("report_id").agg(last.alias("l")).select("report_id", F.col("l.status").alias("__s"), F.col("l.at").alias("__at"))
     return (
         reports.join(u, "report_id", "left")
         .withColumn("resolved_at", F.when(F.col("__s").isNull(), F.col("resolved_at")).when(
@@ -287,8 +289,10 @@ _VISIBLE = {
     "reports": (("doctor", None),),
     "availability": (("any", None),),
 }
-_PARENT = {"records": ("patient_id", ["doctor_id"]), "chunks": ("document_id", ["status", "verified"]),
-           "messages": ("session_id", ["patient_id"]), "doctor_messages": ("session_id", ["doctor_id"])}
+_PARENT = {"records": ("patient_id", ["doctor_id"]), "chunks": ("document_id", ["status", "verified", "clinic_id"]),
+           "messages": ("session_id", ["patient_id"]), "doctor_messages": ("session_id", ["doctor_id", "clinic_id"])}
+#: Branches whose parent must be of the caller's clinic too.
+_PARENT_IN_CLINIC = {("chunks", "patient"), ("doctor_messages", "own")}
 
 
 def visible_rows(table: str, rows: DataFrame, callers: DataFrame, parents: DataFrame | None = None) -> DataFrame:
@@ -296,7 +300,8 @@ def visible_rows(table: str, rows: DataFrame, callers: DataFrame, parents: DataF
 
     ``callers(caller_id, role, clinic_id, doctor_id, patient_id)``; roles are admin, doctor, patient and it.
     ``parents`` is the table a row's right hangs on: patients for medical records (``patient_id, doctor_id``),
-    documents for chunks (``document_id, status, verified``), sessions for messages (``session_id`` and owner).
+    documents for chunks (``document_id, status, verified, clinic_id``), sessions for messages (``session_id`` and owner, for
+    doctors also ``clinic_id``).  A chunk or doctor message under another clinic's document or session is not shown through it.
     Each branch of a rule is its own equi join, so callers meet only rows they will see; branches do not overlap.
     """
     c = callers.select("caller_id", "role", F.col("clinic_id").alias("c_clinic"), F.col("doctor_id").alias("c_doctor"),
@@ -326,6 +331,8 @@ def visible_rows(table: str, rows: DataFrame, callers: DataFrame, parents: DataF
         elif kind == "own":
             who = c.filter(F.col("role") == "doctor")
             on = same_clinic & (F.col(column) == F.col("c_doctor"))
+        if (table, kind) in _PARENT_IN_CLINIC:
+            on = on & (F.col("p_clinic_id") == F.col("c_clinic"))
         seen = left.join(who, on)
         if kind == "own" and own_patient is not None:
             seen = seen.filter(~F.coalesce(F.col(own_patient) == F.col("c_patient"), F.lit(False)))

@@ -34,12 +34,17 @@ def page_quality(pages: DataFrame) -> DataFrame:
 
 
 def extraction_report(pages: DataFrame) -> DataFrame:
-    """One quality row per document; ``pages`` must carry :func:`page_quality` columns."""
+    """One quality row per document; ``pages`` must carry :func:`page_quality` columns.
+
+    Where pages carry the document's declared ``total_pages``, that number counts, so a document read in part has the
+    ratio of the whole; otherwise, or where it is null, the page rows are counted.
+    """
     chars = F.coalesce(F.col("char_count"), F.lit(0))
     total, text_pages = F.col("total_pages"), F.col("text_pages")
     scanned = F.size("suspected_scanned_pages")
     agg = pages.groupBy(DOC).agg(
-        F.count(F.lit(1)).alias("total_pages"),
+        (F.coalesce(F.max("total_pages").cast("bigint"), F.count(F.lit(1))) if "total_pages" in pages.columns else F.count(F.lit(1))).alias(
+            "total_pages"),
         F.count_if(chars >= K.TEXT_PAGE_MIN_CHARS).alias("text_pages"),
         F.sort_array(F.collect_list(F.when(chars == 0, F.col("page_number")))).alias("empty_pages"),
         F.sort_array(F.collect_list(F.when(F.col("suspected_scanned"), F.col("page_number")))).alias(

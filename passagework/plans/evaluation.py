@@ -296,7 +296,7 @@ def matches_any(spark, sf):
     n = F.col("doc_id")
     bad = F.concat(F.lit("(["), F.col("lang"))
     pats = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(bad)).when(
-        n % 4 == 2, F.array(bad, F.lit("TH[aeo]"))).otherwise(F.array(F.lit(r"que\s+la"), F.lit("DER ")))
+        n % 4 == 2, F.array(bad, F.lit("TH[aeo]"))).otherwise(F.array(F.lit(r"(?P<q>que\s+la)"), F.lit("DER ")))
     d = spread(table(spark, sf, "documents"), "doc_id").withColumn("must_contain", pats)
     return O.checked_patterns(d).select("doc_id", O.matches_any("patterns", "text").alias("found"))
 
@@ -335,12 +335,13 @@ def retrieval_metrics_full(spark, sf):
 cc as (select n.query_id, n.citation_no, n.source_id, n.excerpt, h.document_id, h.page_number, h.title, l.expected_document_id, l.p0,
     l.scope, l.word from nc n join hits h on h.query_id = n.query_id and h.rank = n.source_id join lb l on l.query_id = n.query_id),
 cf as (select *, coalesce(document_id = expected_document_id and scope = 'in_scope' and page_number in (p0, p0 + 1), false) as page_ok from cc)
-select query_id, bool_and(source_id between 1 and 4) and count(distinct source_id) = count(*) as citation_valid,
+select query_id, min(source_id) >= 1 and max(source_id) <= case when query_id % 11 = 3 then count(*) else 4 end
+    and count(distinct source_id) = count(*) as citation_valid,
   bool_or(page_ok) as citation_page_correct,
   bool_or(page_ok and (word = '' or contains(lower(excerpt), word))) as citation_answer_support from cf group by 1""")
 def citation_integrity(spark, sf):
     s = Stages(spark, sf)
-    return O.citation_integrity(s.citations, labels(spark, sf), s.hits)
+    return O.citation_integrity(s.citations, labels(spark, sf), s.hits.filter("query_id % 11 <> 3"))
 
 
 _SCORED = f"""{_EVENTS.replace('), gd as', '),\ngd as')}, rs as (select g.query_id, g.scope, g.grounded, g.error, g.total_ms, g.retrieval_ms,

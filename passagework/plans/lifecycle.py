@@ -129,7 +129,8 @@ def admit_blobs(spark, sf):
 _DOCS = """dc as (select doc_id as document_id, case when doc_id % 3 = 0 then 'processing' else 'ready' end as status,
   doc_id % 2 = 0 and doc_id % 3 <> 0 as verified, case when doc_id % 2 = 0 and doc_id % 3 <> 0 then 'old' end as verified_by
   from documents), ds as (select doc_id as document_id, quality = 1 as v from labels
-  union all select 1000000 + doc_id, true from labels)"""
+  union all select 1000000 + doc_id, true from labels
+  union all select doc_id, quality <> 1 from labels where doc_id % 5 = 0), dl as (select doc_id as document_id, quality = 1 as v from labels)"""
 
 
 def _documents(spark, sf):
@@ -139,9 +140,10 @@ def _documents(spark, sf):
         n.alias("document_id"), F.when(n % 3 == 0, "processing").otherwise("ready").alias("status"), ok.alias("verified"),
         F.when(ok, F.lit("old")).alias("verified_by"), F.lit(None).cast("timestamp").alias("verified_at"))
     lab = table(spark, sf, "labels")
-    at = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    dec = lab.select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("verified")).unionAll(
-        lab.select(F.col("doc_id") + 1_000_000, F.lit(True))).withColumn("decided_by", F.lit("new")).withColumn("decided_at", at)
+    at, before = (F.lit(f"2024-0{m}-01 00:00:00").cast("timestamp") for m in (2, 1))
+    dec = lab.select(F.col("doc_id").alias("document_id"), (F.col("quality") == 1).alias("verified"), at.alias("decided_at")).unionAll(
+        lab.select(F.col("doc_id") + 1_000_000, F.lit(True), at)).unionAll(
+        lab.filter("doc_id % 5 = 0").select("doc_id", F.col("quality") != 1, before)).withColumn("decided_by", F.lit("new"))
     return d, dec
 
 
@@ -149,7 +151,7 @@ def _documents(spark, sf):
 select document_id, status, case when v is null then verified when not v then false when status = 'ready' then true
     else verified end as verified,
   case when v is null then verified_by when not v then null when status = 'ready' then 'new' else verified_by end as verified_by
-from dc left join ds using (document_id)""")
+from dc left join dl using (document_id)""")
 def apply_verification(spark, sf):
     return D.apply_verification(*_documents(spark, sf))[0].select("document_id", "status", "verified", "verified_by")
 
@@ -175,8 +177,10 @@ def finalize_ingestion(spark, sf):
                     none.cast("bigint").alias("chunk_count"))
     out = d.filter(n % 4 != 0).select(
         n.alias("document_id"), (n % 9 + 1).alias("page_count"), F.floor(F.length("text") / 850).alias("chunk_count"),
-        F.when(n % 5 == 0, F.col("text")).alias("error"))
-    return D.finalize_ingestion(docs, out)
+        F.when(n % 5 == 0, F.col("text")).alias("error"), F.lit(2).alias("finished_at"))
+    again = out.filter(F.col("document_id") % 3 == 0).withColumns(
+        {"error": F.when(F.col("error").isNull(), F.lit("first try")), "finished_at": F.lit(1)})
+    return D.finalize_ingestion(docs, out.unionByName(again))
 
 
 def _chunks(spark, sf):
@@ -193,7 +197,8 @@ def upsert_chunks(spark, sf):
     cols = ("chunk_id", F.length("text").alias("chars"))
     old = c.filter("doc_id % 2 = 0").select(*cols, F.lit("old").alias("version"))
     new = c.filter("doc_id % 3 = 0").select(*cols, F.lit("new").alias("version"))
-    return D.upsert_chunks(D.upsert_chunks(old, new), new)
+    new = new.unionByName(c.filter("doc_id % 6 = 0").select(*cols, F.lit("late").alias("version")))
+    return D.upsert_chunks(D.upsert_chunks(old, new, "version"), new, "version")
 
 
 @query("a11_replace_documents", """select 'd' || doc_id as chunk_id, case when (doc_id // 10) % 3 = 0 then 'new' else 'old' end

@@ -246,6 +246,8 @@ def set_status(spark, sf):
     u = table(spark, sf, "events").filter(n % 5 != 0).select(
         n.alias("report_id"), F.when(n % 4 == 0, "investigating").when(n % 4 == 1, "resolved").otherwise("open").alias(
             "status"), _now(_NOW).alias("at"))
+    u = u.unionByName(u.filter("report_id % 3 = 0").select(
+        "report_id", F.lit("resolved").alias("status"), (F.col("at") - F.expr("interval 1 hour")).alias("at")))
     return O.set_status(_reports(spark, sf), u).select("report_id", "status", _text("resolved_at").alias("resolved_at"))
 
 
@@ -356,12 +358,13 @@ def document_inventory(spark, sf):
 
 
 @query("j13_visible_chunks", f"""with {_CALLERS}, {_DOCS}, ck as (select conv_id, turn, conv_id as document_id,
-  (conv_id % 25)::int as clinic_id from conversations)
+  ((conv_id + (conv_id % 7 = 0)::int) % 25)::int as clinic_id from conversations)
 select caller_id, conv_id, turn from ca join ck on ca.clinic_id = ck.clinic_id left join dc on dc.document_id = ck.document_id
-where role = 'doctor' or (role = 'patient' and dc.status = 'ready' and dc.verified)""")
+where role = 'doctor' or (role = 'patient' and dc.status = 'ready' and dc.verified and dc.clinic_id = ca.clinic_id)""")
 def visible_chunks(spark, sf):
     chunks = table(spark, sf, "conversations").select(
-        "conv_id", "turn", F.col("conv_id").alias("document_id"), (F.col("conv_id") % 25).cast("int").alias("clinic_id"))
+        "conv_id", "turn", F.col("conv_id").alias("document_id"),
+        ((F.col("conv_id") + (F.col("conv_id") % 7 == 0).cast("int")) % 25).cast("int").alias("clinic_id"))
     return O.visible_rows("chunks", chunks, callers(spark, sf), _documents(spark, sf)).select("caller_id", "conv_id", "turn")
 
 
@@ -378,11 +381,12 @@ def _chat(spark, sf):
 @query("j13_visible_messages", f"""with {_CALLERS}, {_CHAT}
 select 'patient chat' as chat, caller_id, session_id, turn from ca join ms on ca.clinic_id = ms.clinic_id and me_p = ms.patient_id
 union all select 'doctor chat', caller_id, session_id, turn from ca join ms on ca.clinic_id = ms.clinic_id
-  and role = 'doctor' and me_d = ms.doctor_id""")
+  and role = 'doctor' and me_d = ms.doctor_id and session_id % 6 <> 0""")
 def visible_messages(spark, sf):
     chat = _chat(spark, sf)
     rows = chat.select("session_id", "turn", "clinic_id")
-    sessions = chat.select("session_id", "patient_id", "doctor_id").distinct()
+    other = F.col("clinic_id") + (F.col("session_id") % 6 == 0).cast("int")  # every sixth session is another clinic's
+    sessions = chat.select("session_id", "patient_id", "doctor_id", other.alias("clinic_id")).distinct()
     who = callers(spark, sf)
 
     def seen(kind, label):

@@ -13,20 +13,29 @@ from passagework.plans.views import guide_pages
 
 _QUALITY = Q.GUIDE + """, q as (select document_id, page_number, text, length(text) as char_count, image_count,
   image_count > 0 and length(text) < 40 as suspected_scanned from gp)"""
+# Documents of even numbers declare two hundred pages more than were read.
 _REPORT = _QUALITY + """, r as (
-  select document_id, count(*) as total_pages, count(*) filter (char_count >= 40) as text_pages,
+  select document_id, count(*) + 200 * any_value(regexp_matches(document_id, '[02468]$'))::int as total_pages, count(*) filter (char_count >= 40) as text_pages,
     coalesce(string_agg(page_number::varchar, ',' order by page_number) filter (char_count = 0), '') as empty_pages,
     coalesce(string_agg(page_number::varchar, ',' order by page_number) filter (suspected_scanned), '')
       as suspected_scanned_pages,
     count(*) filter (suspected_scanned) as n_scanned,
     sum(char_count)::bigint as total_characters,
-    round(count(*) filter (char_count >= 40)::double / count(*), 4) as text_page_ratio,
-    sum(char_count) >= 100 and count(*) filter (char_count >= 40) >= greatest(1, ceil(count(*) * 0.05)) as usable
+    round(count(*) filter (char_count >= 40)::double / (count(*) + 200 * any_value(regexp_matches(document_id, '[02468]$'))::int), 4)
+      as text_page_ratio,
+    sum(char_count) >= 100 and count(*) filter (char_count >= 40)
+      >= greatest(1, ceil((count(*) + 200 * any_value(regexp_matches(document_id, '[02468]$'))::int) * 0.05)) as usable
   from q group by document_id)"""
 
 
+def _declared(pages):
+    read = pages.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
+    total = F.when(F.col("document_id").rlike("[02468]$"), F.col("n") + 200)
+    return pages.join(read, "document_id").withColumn("total_pages", total).drop("n")
+
+
 def _report(spark, sf):
-    return O.extraction_report(O.page_quality(guide_pages(spark, sf)))
+    return O.extraction_report(_declared(O.page_quality(guide_pages(spark, sf))))
 
 
 @query("c1_page_quality",
@@ -63,7 +72,7 @@ def gate_documents(spark, sf):
     g = guide_pages(spark, sf)
     g = g.withColumn("text", F.when(F.col("document_id").rlike("[02468]-"), F.substring("text", 1, 2)).otherwise(
         F.col("text")))
-    return O.gate_documents(O.extraction_report(O.page_quality(g))).select(
+    return O.gate_documents(O.extraction_report(_declared(O.page_quality(g)))).select(
         "document_id", "accepted", "code", "message")
 
 

@@ -124,10 +124,13 @@ def admit_blobs(files: DataFrame) -> DataFrame:
 def apply_verification(documents: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(documents, conflicts)`` after ``decisions(document_id, verified, decided_by, decided_at)``.
 
-    Only a ready document can be verified; withdrawing works in any state.  Decisions on unknown documents, or
-    verifying one that is not ready, come back as conflicts.
+    Only a ready document can be verified; withdrawing works in any state.  Of several decisions on one document the
+    latest counts (of equal times the withdrawal, then the greatest decider).  Every decision on an unknown document, or
+    that verifies one that is not ready, comes back as a conflict.
     """
-    d = decisions.select("document_id", F.col("verified").alias("__v"), "decided_by", "decided_at")
+    last = F.max_by(F.struct("verified", "decided_by", "decided_at"), F.struct("decided_at", ~F.col("verified"), F.col("decided_by")))
+    d = decisions.groupBy("document_id").agg(last.alias("l")).select(
+        "document_id", F.col("l.verified").alias("__v"), "l.decided_by", "l.decided_at")
     joined = documents.join(d, "document_id", "left")
     applies = F.col("__v").isNotNull() & (~F.col("__v") | (F.col("status") == "ready"))
 
@@ -148,7 +151,15 @@ def apply_verification(documents: DataFrame, decisions: DataFrame) -> tuple[Data
 
 
 def finalize_ingestion(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Publish ``outcomes(document_id, page_count, chunk_count, error)``: ready with counts, or failed without chunks."""
+    """Publish ``outcomes(document_id, page_count, chunk_count, error)``: ready with counts, or failed without chunks.
+
+    Of several outcomes of one document the latest by an optional ``finished_at`` counts; without times, or at the same
+    time, a success before a failure, then the greater counts.  Errors are kept up to 2000 characters, as published.
+    """
+    time = [F.col("finished_at")] if "finished_at" in outcomes.columns else []
+    order = F.struct(*time, F.col("error").isNull().alias("ok"), F.col("page_count"), F.col("chunk_count"), F.col("error"))
+    last = F.max_by(F.struct("page_count", "chunk_count", "error"), order)
+    outcomes = outcomes.groupBy("document_id").agg(last.alias("l")).select("document_id", "l.*")
     o = outcomes.select("document_id", F.col("page_count").alias("__pages"), F.col("chunk_count").alias("__chunks"),
                         F.substring("error", 1, 2000).alias("__error"), F.lit(True).alias("__done"))
     j = documents.join(o, "document_id", "left")
@@ -168,8 +179,14 @@ def finalize_ingestion(documents: DataFrame, outcomes: DataFrame) -> DataFrame:
 
 
 # --- chunk rows ---------------------------------------------------------------------------------------
-def upsert_chunks(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming rows replace current ones of the same id; applying the same batch twice changes nothing."""
+def upsert_chunks(current: DataFrame, incoming: DataFrame, order: str | None = None) -> DataFrame:
+    """Incoming rows replace current ones of the same id; applying the same batch twice changes nothing.
+
+    Of incoming rows with one id the greatest by ``order`` stays, among equals (or without ``order``) the greatest row.
+    """
+    rest = [c for c in incoming.columns if c != "chunk_id"]
+    ranked = F.struct(*([order] if order else []), *[c for c in rest if c != order])
+    incoming = incoming.groupBy("chunk_id").agg(F.max_by(F.struct(*rest), ranked).alias("l")).select("chunk_id", "l.*").select(*incoming.columns)
     return incoming.unionByName(current.join(incoming.select("chunk_id"), "chunk_id", "left_anti"))
 
 

@@ -37,9 +37,10 @@ def test_publish_outcomes(spark):
     docs = spark.createDataFrame(
         [("good", "processing", False, None, None, None), ("bad", "processing", True, None, None, 9)],
         "document_id string, status string, verified boolean, processing_error string, page_count bigint, chunk_count bigint")
-    out = spark.createDataFrame([("good", 3, 12, None), ("bad", None, None, "e" * 3000)],
+    out = spark.createDataFrame([("good", 3, 12, None), ("good", None, None, "first try"), ("bad", None, None, "e" * 3000)],
                                 "document_id string, page_count bigint, chunk_count bigint, error string")
     r = {x.document_id: x for x in D.finalize_ingestion(docs, out).collect()}
+    assert D.finalize_ingestion(docs, out).count() == 2
     assert (r["good"].status, r["good"].verified, r["good"].chunk_count) == ("ready", False, 12)
     assert (r["bad"].status, r["bad"].verified, r["bad"].chunk_count, len(r["bad"].processing_error)) == ("failed", False, 0, 2000)
 
@@ -54,6 +55,18 @@ def test_upsert_and_delete(spark):
     assert sorted(r.chunk_id for r in D.replace_documents(c, new).collect()) == ["1", "3"]
 
 
+def test_repeated_updates_keep_one_row(spark):
+    docs = spark.createDataFrame([("a", "ready", False, None, None), ("b", "ready", True, "x", None)],
+                                 "document_id string, status string, verified boolean, verified_by string, verified_at string")
+    dec = spark.createDataFrame([("a", True, "p", "1"), ("a", False, "q", "2"), ("b", False, "p", "1"), ("b", True, "q", "3")],
+                                "document_id string, verified boolean, decided_by string, decided_at string")
+    got = {r.document_id: (r.verified, r.verified_by) for r in D.apply_verification(docs, dec)[0].collect()}
+    assert got == {"a": (False, None), "b": (True, "q")} and D.apply_verification(docs, dec)[0].count() == 2
+    new = spark.createDataFrame([("1", "b", 1), ("1", "a", 2), ("2", "c", 0)], "chunk_id string, v string, n int")
+    assert sorted(map(tuple, D.upsert_chunks(new.limit(0), new, "n").collect())) == [("1", "a", 2), ("2", "c", 0)]
+    assert sorted(r.v for r in D.upsert_chunks(new.limit(0), new).collect()) == ["b", "c"]
+
+
 def document(name, pages):
     text = "Offer the plan to adults and review it after some months. " * 12
     return json.dumps({"source": name, "pages": [{"page_number": n, "text": f"{n}.1 Managing part {n}\n{text}"} for n in range(1, pages + 1)]})
