@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
-from passagework.sources.lineage import broadcast_if_small, cut
+from passagework.sources.lineage import cut
 
 _REF = "struct<source_id:bigint,excerpt:string>"
 _CLAIM = f"struct<text:string,evidence:array<{_REF}>>"
@@ -59,7 +59,7 @@ def assemble_prompt(hits: DataFrame, queries: DataFrame, system: DataFrame | Non
     out = j.withColumn("prompt", prompt)
     if system is None:
         return out.select("query_id", "prompt")
-    return out.join(broadcast_if_small(system), ["role", "mode"], "left").select("query_id", "prompt", "system_prompt")
+    return out.join(system, ["role", "mode"], "left").select("query_id", "prompt", "system_prompt")
 
 
 def extractive_answer(hits: DataFrame) -> DataFrame:

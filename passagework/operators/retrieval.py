@@ -6,9 +6,8 @@ share (a tenant, say): a query then sees, and lexical statistics count, only row
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import types as S
 from passagework import constants as K
 from passagework.functions import text as T
 from passagework.functions.windows import top_per_key
-from passagework.sources.lineage import broadcast_if_small, cut
+from passagework.sources.lineage import cut, spread
 
 #: Vectors of one side held by one task of the nearest-neighbour search.
 VECTOR_BLOCK = 4096
@@ -34,27 +33,23 @@ def _scoped(df: DataFrame, scope: list[str]) -> tuple[DataFrame, list[str]]:
 
 
 # --- embedding ----------------------------------------------------------------------------------------
-@lru_cache(maxsize=1 << 20)
-def _bucket(term: str, dims: int) -> int:
-    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
-
-
 def hashed_vector(c, dims: int = 64) -> Column:
     """Unit vector of hashed term counts: bucket = first 8 hex digits of md5(term) modulo ``dims``.
 
-    Terms come from :func:`T.tokenize` in the JVM; Arrow batches of them are counted with numpy.
+    Terms are cut and hashed in the JVM; each Arrow batch of buckets is counted by one call.
     """
     @F.pandas_udf(S.ArrayType(S.DoubleType()))
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for terms in batches:
-            rows = []
-            for row in terms:
-                counts = np.bincount([_bucket(t, dims) for t in row], minlength=dims).astype(float)
-                norm = np.sqrt((counts * counts).sum())
-                rows.append(counts / norm if norm else counts)
-            yield pd.Series(rows)
+        for rows in batches:
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+            counts = np.bincount(np.repeat(np.arange(len(rows)) * dims, sizes) + flat, minlength=len(rows) * dims)
+            counts = counts.reshape(len(rows), dims).astype(float)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            yield pd.Series(list(counts / np.where(norm == 0, 1.0, norm)))
 
-    return vectors(T.tokenize(c))
+    return vectors(F.transform(T.tokenize(c), lambda t: (
+        F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint") % dims).cast("int")))
 
 
 def embed(df: DataFrame, text: str, out: str = "vector", embedder: Callable[[Column], Column] | None = None) -> DataFrame:
@@ -99,11 +94,17 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None =
     def blocks(side: DataFrame, name: str) -> DataFrame:
         return side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
 
-    sizes = broadcast_if_small(blocks(q, "__nq").join(blocks(c, "__nc"), keys))
+    if scope:
+        sizes = blocks(q, "__nq").join(blocks(c, "__nc"), keys)
+    else:  # one number for each side
+        n_q, n_c = (max(1, math.ceil(side.count() / block)) for side in (q, c))
+
+    def sized(side: DataFrame) -> DataFrame:
+        return side.join(sizes, keys) if scope else side.withColumns({"__nq": F.lit(n_q), "__nc": F.lit(n_c)})
 
     def deal(side: DataFrame, ident: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
         return (
-            side.select(*keys, F.col(ident), "vector").join(sizes, keys)
+            sized(side.select(*keys, F.col(ident), "vector"))
             .withColumn(own, F.pmod(F.xxhash64(ident), F.col(n_own)).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
             .drop("__nq", "__nc"))
@@ -156,11 +157,24 @@ def term_weights(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Okapi idf per term; a negative one becomes ``BM25_EPSILON`` times the mean idf of the vocabulary."""
     totals = stats.filter(F.col("term") == "").select(
         *keys, F.col("n").alias("docs"), (F.col("length") / F.col("n")).alias("avgdl"))
-    totals = broadcast_if_small(totals)
+    if keys == [_ALL]:  # one row: its numbers go into the plan
+        total = totals.first()
+        totals = None
     raw = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = stats.filter(F.col("term") != "").join(totals, keys).select(*keys, "term", raw.alias("idf"), "avgdl")
-    mean = broadcast_if_small(idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf")))
-    return idf.join(mean, keys).select(
+    terms = stats.filter(F.col("term") != "")
+    if totals is None:
+        docs, avgdl = (total["docs"], total["avgdl"]) if total else (0, 0.0)
+        terms = terms.withColumns({"docs": F.lit(docs), "avgdl": F.lit(avgdl)})
+    else:
+        terms = terms.join(totals, keys)
+    idf = terms.select(*keys, "term", raw.alias("idf"), "avgdl")
+    mean = idf.groupBy(*keys).agg(F.avg("idf").alias("mean_idf"))
+    if totals is None:
+        value = mean.first()
+        rows = idf.withColumn("mean_idf", F.lit(value["mean_idf"] if value else 0.0))
+    else:
+        rows = idf.join(mean, keys)
+    return rows.select(
         *keys, "term", "avgdl",
         F.when(F.col("idf") < 0, F.lit(K.BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
 
@@ -169,30 +183,28 @@ def bm25(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None
          pad: bool = True) -> DataFrame:
     """Okapi BM25 top ``k`` per query: ``(query_id, key, score, rank)`` plus scope columns.
 
-    The corpus is hash-partitioned once by ``key``.  Counting terms, joining the query terms (broadcast behind a
-    size check) and adding up scores then all stay in that partitioning; only ``k`` rows per query and partition
-    travel to the ranking.  Queries with fewer than ``k`` matches are filled up with unmatched rows in key order.
+    Texts are cut into terms once, where they are read, and never shuffled: the terms are a table that document
+    frequencies and term counts both read.  Only (key, length, term, count) of query terms are shuffled, summed in the
+    tasks before, and ``k`` rows per query and partition travel to the ranking.  Queries with fewer than ``k`` matches are filled up with unmatched rows in key order.
     """
     q, keys = _scoped(queries, scope or [])
     c, _ = _scoped(corpus, scope or [])
-    # Spread first: one large input split must not tokenise on one core.
-    placed = c.select(*keys, "key", "text").repartition("key").select(
-        *keys, "key", T.tokenize("text").alias("tokens")).withColumn("dl", F.size("tokens"))
+    # One large input split must not tokenise on one core; a table of many splits stays where it is.
+    placed = cut(spread(c.select(*keys, "key", "text"), "key").select(*keys, "key", T.tokenize("text").alias("tokens")))
+    placed = placed.withColumn("dl", F.size("tokens"))
     weights = term_weights(lexical_statistics(placed, keys), keys)
     asked = q.select(*keys, "query_id", F.explode(T.tokenize("text")).alias("term")).groupBy(
         *keys, "query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = cut(asked.join(weights, [*keys, "term"]).select(
         *keys, "query_id", "term", (F.col("qtf") * F.col("idf")).alias("w"), "avgdl"))
-    vocabulary = broadcast_if_small(asked.select(*keys, "term").distinct())
-    asked_terms = broadcast_if_small(asked)
+    vocabulary = asked.select(*keys, "term").distinct()
     tf = (
-        # The outer form keeps Spark from testing the token array a second time below the shuffle.
-        placed.select(*keys, "key", "dl", F.explode_outer("tokens").alias("term"))
+        placed.select(*keys, "key", "dl", F.explode("tokens").alias("term"))
         .join(vocabulary, [*keys, "term"], "left_semi")
         .groupBy(*keys, "key", "dl", "term").agg(F.count(F.lit(1)).alias("tf")))
     part = F.col("w") * F.col("tf") * (K.BM25_K1 + 1) / (
         F.col("tf") + K.BM25_K1 * (1 - K.BM25_B + K.BM25_B * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(asked_terms, [*keys, "term"]).groupBy(*keys, "query_id", "key").agg(F.sum(part).alias("score"))
+    scores = tf.join(asked, [*keys, "term"]).groupBy(*keys, "query_id", "key").agg(F.sum(part).alias("score"))
     top = top_per_key(scores, [*keys, "query_id"], [F.desc(F.round("score", TIE_DIGITS)), "key"], k)
     if pad:
         top = _pad(top, q, c, keys, k)
@@ -311,9 +323,8 @@ def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, k: int, candidate_k:
         dense = knn(queries, allowed, n, scope)
     lexical = bm25(queries, allowed, n, scope)
     pool = cut(candidate_pool(dense, lexical, n))
-    text = allowed.select("key", "text").join(broadcast_if_small(pool.select("key").distinct()), "key", "left_semi")
-    pairs = pool.join(text, "key").join(
-        broadcast_if_small(queries.select("query_id", F.col("text").alias("question"))), "query_id")
+    text = allowed.select("key", "text").join(pool.select("key").distinct(), "key", "left_semi")
+    pairs = pool.join(text, "key").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
     return fuse_rerank(rerank(pairs, n, scorer), k)
 
 
@@ -331,5 +342,5 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_K, gate
         ranked = dense.filter(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
     meta = allowed.drop("vector", *([] if "text" not in ranked.columns else ["text"]), *(scope or []))
     small = cut(ranked)
-    picked = meta.join(broadcast_if_small(small.select("key").distinct()), "key", "left_semi")
+    picked = meta.join(small.select("key").distinct(), "key", "left_semi")
     return project_hits(small.join(picked, "key"))

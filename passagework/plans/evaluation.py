@@ -102,8 +102,7 @@ def lexical_recall(spark, sf):
     """BM25 over all documents; a hit is a document that contains the whole item."""
     q, c = question_queries(spark, sf), text_corpus(spark, sf)
     top = cut(R.bm25(q, c, K.TOP_K))
-    rows = c.join(R.broadcast_if_small(top), "key").join(
-        R.broadcast_if_small(q.select("query_id", F.col("text").alias("item"))), "query_id")
+    rows = c.join(top, "key").join(q.select("query_id", F.col("text").alias("item")), "query_id")
     found = rows.filter(F.contains("text", "item")).groupBy("query_id").agg(F.min("rank").alias("page_rank"))
     per = q.select("query_id").join(found, "query_id", "left").withColumn("answer_rank", F.col("page_rank"))
     return O.recall_at(per)

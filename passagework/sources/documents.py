@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions.once import once
-from passagework.sources.lineage import broadcast_if_small
 
 PAGE = "struct<page_number:int,text:string,char_count:int,image_count:int,page_type:string>"
 DOCUMENT_SCHEMA = (
@@ -55,7 +54,7 @@ def attach_source_metadata(documents: DataFrame, registry: DataFrame) -> DataFra
         return F.coalesce(F.nullif(F.col(f"__{c}"), F.lit("")), F.lit(default)).alias(c)
 
     keep = [c for c in documents.columns if c not in ("title", "publisher", "url", "topic", "source")]
-    return documents.join(broadcast_if_small(reg), "source", "left").select(
+    return documents.join(reg, "source", "left").select(
         "source", *keep, value("title", K.UNKNOWN_TITLE), value("publisher", K.UNKNOWN_PUBLISHER), value("url", ""),
         value("topic", ""), F.coalesce("registered", F.lit(False)).alias("registered"))
 
@@ -82,8 +81,7 @@ def load_queries(spark: SparkSession, path: str, multi_line: bool = True) -> Dat
 
 def pick_queries(queries: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(picked, missing)`` for wanted ``ids(id, position)``: picked rows carry ``position``, missing ids are listed."""
-    wanted = broadcast_if_small(ids)
-    return queries.join(wanted, "id"), ids.join(queries.select("id"), "id", "left_anti")
+    return queries.join(ids, "id"), ids.join(queries.select("id"), "id", "left_anti")
 
 
 # --- uploads ------------------------------------------------------------------------------------------

@@ -1,4 +1,4 @@
-"""Cutting lineage and size-checked broadcasts."""
+"""Cutting lineage and spreading small inputs."""
 
 from __future__ import annotations
 
@@ -7,10 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-#: Rows a side may have to be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -42,11 +38,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint when ``df`` has at most ``rows`` rows; otherwise ``df`` unchanged, so the join shuffles."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows over all cores by ``keys`` where the input has fewer splits than there are cores.
 
