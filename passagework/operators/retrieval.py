@@ -328,18 +328,31 @@ def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, k: int, candidate_k:
     return fuse_rerank(rerank(pairs, n, scorer), k)
 
 
-def retrieve(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_K, gate: float = K.DISTANCE_GATE,
+def retrieve(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_K, gate: float | Column = K.DISTANCE_GATE,
              ids: DataFrame | None = None, scope: list[str] | None = None, reranking: bool = True,
-             scorer: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """Allowed documents → dense search → distance gate → hybrid ranking → hits."""
+             scorer: Callable[[Column, Column], Column] | None = None, role: str | None = None) -> DataFrame:
+    """Allowed documents → dense search → distance gate → hybrid ranking → hits.
+
+    ``role`` names a column of ``queries``: each question then has the number of hits of its own role, and ``gate`` may be
+    a column over it (see :func:`role_gate`), so one run serves all roles.
+    """
+    if role:
+        k = max(K.RETRIEVAL_K, K.DOCTOR_RETRIEVAL_K)
     n = max(k, K.RERANK_CANDIDATES) if reranking else k
     allowed = allow_list(corpus, ids)
-    dense = cut(distance_gate(knn(queries, allowed, n, scope), F.lit(gate)))
+    near = knn(queries, allowed, n, scope)
+    if role:
+        near = near.join(queries.select("query_id", F.col(role).alias("role")), "query_id")
+    dense = distance_gate(near, gate if isinstance(gate, Column) else F.lit(gate))
+    dense = cut(dense.drop("role") if role else dense)
     if reranking:
         alive = queries.join(dense.select("query_id").distinct(), "query_id", "left_semi")
         ranked = hybrid_retrieve(alive, allowed, k, n, None, scope, scorer, dense)
     else:
         ranked = dense.filter(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
+    if role:
+        ranked = ranked.join(queries.select("query_id", F.col(role).alias("role")), "query_id").filter(
+            F.col("rank") <= role_limit("role")).drop("role")
     meta = allowed.drop("vector", *([] if "text" not in ranked.columns else ["text"]), *(scope or []))
     small = cut(ranked)
     picked = meta.join(small.select("key").distinct(), "key", "left_semi")

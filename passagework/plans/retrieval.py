@@ -289,3 +289,16 @@ def retrieve_without_rerank(spark, sf):
     c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
     r = O.retrieve(_questions(spark, sf), c, reranking=False)
     return r.select("query_id", "rank", "source", "distance", F.col("chunk_id").cast("bigint").alias("key"))
+
+
+@query("e16_retrieve_by_role", f"""with {_RERANK},
+bst as (select item_id, min(distance) as best from dense_all group by 1)
+select item_id as query_id, fz.rank, round(fz.distance, 4) as distance, fz.doc_id as key
+from fz join bst using (item_id)
+where fz.rank <= case when item_id % 2 = 0 then 8 else 5 end and best <= case when item_id % 2 = 0 then 0.6 else 0.5 end""")
+def retrieve_by_role(spark, sf):
+    role = F.when(F.col("query_id") % 2 == 0, "doctor").otherwise("patient")
+    c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
+    gate = F.when(F.col("role") == "doctor", F.lit(0.6)).otherwise(F.lit(0.5))
+    r = O.retrieve(_questions(spark, sf).withColumn("role", role), c, gate=gate, role="role")
+    return r.select("query_id", "rank", "distance", F.col("chunk_id").cast("bigint").alias("key"))
