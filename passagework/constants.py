@@ -112,6 +112,10 @@ DROPPED_TEXT_NOTE = (
 DROPPED_VERDICT_NOTE = (
     "Some generated statements did not pass independent evidence verification and were excluded."
 )
+SAFETY_NOTICE = (
+    "This answer summarizes the clinic's verified sources. It supports, but does not replace, clinical judgment or an "
+    "in-person assessment."
+)
 DEFAULT_MISSING = "A clinic-approved source that directly and specifically supports the requested answer."
 PERSONAL_REASONS = ("patient_specific_diagnosis", "patient_specific_dosage_or_treatment")
 DEPENDENCY_FAILURES = (

@@ -303,6 +303,25 @@ def apply_verdicts(claims: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, D
     return outcome, kept
 
 
+def verified_answer(package: DataFrame, outcome: DataFrame, kept: DataFrame) -> DataFrame:
+    """The answer that may be shown: ``(query_id, recommendation, supporting_evidence, missing_evidence, safety_notice)``.
+
+    Only questions that keep a recommendation are there.  It is rendered again from the claims that passed; supporting
+    claims that passed stay, in order, as (claim_id, claim, citation_ids); a dropped claim adds a note to what is missing.
+    """
+    supporting = kept.filter(F.col("kind") == "supporting").groupBy("query_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("claim_no", "claim_id", F.col("claim_text").alias("claim"), "citation_ids"))),
+        lambda c: F.struct(c.claim_id.alias("claim_id"), c.claim.alias("claim"), c.citation_ids.alias("citation_ids"))).alias("supporting_evidence"))
+    empty = F.array().cast("array<struct<claim_id:string,claim:string,citation_ids:array<string>>>")
+    note = F.when(F.size("dropped") > 0, F.lit(" " + K.DROPPED_VERDICT_NOTE)).otherwise(F.lit(""))
+    return (
+        rendered(kept).join(package.select("query_id", "missing_evidence"), "query_id").join(outcome.select("query_id", "dropped"), "query_id")
+        .join(supporting, "query_id", "left").select(
+            "query_id", "recommendation", F.coalesce("supporting_evidence", empty).alias("supporting_evidence"),
+            T.strip(F.concat(F.coalesce("missing_evidence", F.lit("")), note)).alias("missing_evidence"),
+            F.lit(K.SAFETY_NOTICE).alias("safety_notice")))
+
+
 def used_citations(citations: DataFrame, kept: DataFrame) -> DataFrame:
     """Citations some kept claim still uses."""
     used = kept.select("query_id", F.explode("citation_ids").alias("citation_id"))
@@ -350,13 +369,30 @@ def failure_class(error_type, status_code) -> Column:
                   F.when(limited, "rate_limited").otherwise("unavailable"))
 
 
+def refusal_reply(reason, role, mode) -> Column:
+    """What a refused question is told: by reason, for a clinician or a patient, and for a patient by mode."""
+    reply = {(audience, kind): F.lit(text) for audience, kind, text in K.REPLIES}
+    doctor, triage = T.col(role) == "doctor", T.col(mode) == "triage"
+    reason = T.col(reason)
+    patient = F.when(triage, reply["patient", "personal_triage"]).otherwise(reply["patient", "personal_general"])
+    gap = F.when(triage, reply["patient", "insufficient_triage"]).otherwise(reply["patient", "insufficient_general"])
+    return (
+        F.when(reason == "non_medical_question", reply["doctor", "non_medical_question"])
+        .when(reason.isin(*K.PERSONAL_REASONS), F.when(doctor, reply["doctor", "personal"]).otherwise(patient))
+        .when(F.endswith(reason, F.lit("_rate_limited")), reply["any", "rate_limited"])
+        .when(reason.isin(*K.DEPENDENCY_FAILURES), reply["any", "unavailable"])
+        .otherwise(F.when(doctor, reply["doctor", "insufficient"]).otherwise(gap)))
+
+
 def refusals(refused: DataFrame, hits: DataFrame) -> DataFrame:
-    """Ungrounded answer rows for ``refused(query_id, reason, missing_evidence)`` with checks and checked sources."""
+    """Ungrounded answer rows for ``refused(query_id, reason, missing_evidence)`` with checks, checked sources and the safety
+    notice; with ``role`` and ``mode`` in ``refused`` also the ``recommendation``, the text that the question is told."""
     src = checked_sources(hits)
+    told = [refusal_reply("reason", "role", "mode").alias("recommendation")] if {"role", "mode"} <= set(refused.columns) else []
     no = F.lit(False)
     missing = F.coalesce(F.nullif(F.col("missing_evidence"), F.lit("")), F.lit(K.DEFAULT_MISSING))
     return refused.join(src, "query_id", "left").select(
-        "query_id", no.alias("grounded"), "reason", F.lit("insufficient").alias("evidence_strength"),
+        "query_id", *told, F.lit(K.SAFETY_NOTICE).alias("safety_notice"), no.alias("grounded"), "reason", F.lit("insufficient").alias("evidence_strength"),
         missing.alias("missing_evidence"), F.coalesce("sources", F.array().cast("array<string>")).alias("evidence_checked"),
         F.struct(
             F.col("sources").isNotNull().alias("retrieval_passed"), no.alias("exact_excerpts_passed"),
@@ -379,8 +415,8 @@ def answer_disposition(queries: DataFrame, hits: DataFrame, answers: DataFrame,
     """Final ``(query_id, grounded, reason, evidence_strength, rescued)`` of every question.
 
     ``queries(query_id, question, role, generation_failure, verification_failure)`` with failure classes (null when the
-    call worked), parsed ``answers`` and parsed ``verdicts``.  Stages are left-joined tables; one ordered ``when``
-    decides: off-topic, personal, no sources, generation failure, insufficient, validation (a clinician gets the
+    call worked) and an optional boolean ``retrieval_failed``, parsed ``answers`` and parsed ``verdicts``.  Stages are left-joined tables; one ordered ``when``
+    decides: off-topic, personal, retrieval down, no sources, generation failure, insufficient, validation (a clinician gets the
     quoted rescue), verifier off or failed, verdicts, grounded.
     """
     doctor = F.col("role") == "doctor"
@@ -392,7 +428,8 @@ def answer_disposition(queries: DataFrame, hits: DataFrame, answers: DataFrame,
     own = rendered(claims).select("query_id", F.lit(True).alias("own"))
     rescue = cut(extractive_rescue(hits, queries))
     state = (
-        queries.select("query_id", "question", "role", "generation_failure", "verification_failure")
+        queries.select("query_id", "question", "role", "generation_failure", "verification_failure", (
+            F.coalesce("retrieval_failed", F.lit(False)) if "retrieval_failed" in queries.columns else F.lit(False)).alias("retrieval_failed"))
         .join(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits")), "query_id", "left")
         .join(answers.select("query_id", "sufficient", "partial"), "query_id", "left")
         .join(own, "query_id", "left")
@@ -430,6 +467,7 @@ def answer_disposition(queries: DataFrame, hits: DataFrame, answers: DataFrame,
     reason = (
         F.when(doctor & off, "non_medical_question")
         .when(personal.isNotNull(), personal)
+        .when(F.col("retrieval_failed"), "retrieval_unavailable")
         .when(F.col("n_hits").isNull(), "no_relevant_sources")
         .when(gen.isNotNull() & ~doctor, F.concat(F.lit("generation_"), gen))
         .when(gen.isNull() & ~sufficient, "model_reported_insufficient_context")

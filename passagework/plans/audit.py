@@ -14,6 +14,7 @@ from passagework.plans import sqltext as Q
 from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
 from passagework.sources.lineage import cut
+from passagework.sources.tables import table
 
 # --- the same answers as SQL relations ----------------------------------------------------------------
 _QUESTIONS = """qs as (select query_id, case when query_id % 2 = 0 then 'doctor' else 'patient' end as role,
@@ -344,6 +345,20 @@ def kept_claims(spark, sf):
     return O.rendered(Stages(spark, sf).verified[1])
 
 
+@query("g11_verified_answer", f"""{_ALL}, {_ERRORS}, {_PACKAGE}, {_VERDICTS}, {_outcome('sc')}
+select k.query_id, string_agg(claim_text || ' ' || marks, chr(10) || chr(10) order by claim_no) filter (kind = 'recommendation') as recommendation,
+  coalesce(string_agg(claim_id || '=' || claim_text || '=' || citation_ids, '; ' order by claim_no) filter (kind = 'supporting'), '') as supporting,
+  trim(coalesce(any_value(pk.missing_evidence), '') || case when any_value(oc.dropped) <> '' then {Q.lit(' ' + K.DROPPED_VERDICT_NOTE)} else '' end)
+    as missing_evidence
+from kp k join pk using (query_id) join oc using (query_id) group by 1""")
+def verified_answer(spark, sf):
+    s = Stages(spark, sf)
+    package = O.evidence_package(s.answers, s.claims, O.validation_errors(s.refs))
+    shown = O.verified_answer(package, *s.verified)
+    one = F.transform("supporting_evidence", lambda c: F.concat_ws("=", c.claim_id, c.claim, F.array_join(c.citation_ids, ",")))
+    return shown.select("query_id", "recommendation", F.array_join(one, "; ").alias("supporting"), "missing_evidence")
+
+
 @query("g11_used_citations", f"""{_ALL}, {_VERDICTS}, {_outcome('sc')}
 select distinct query_id, unnest(string_split(citation_ids, ',')) as citation_id from kp""")
 def used_citations(spark, sf):
@@ -425,6 +440,7 @@ s2 as (select s1.*, coalesce(oc.malformed, true) as malformed, coalesce(oc.has_r
 s3 as (select *, case when role = 'doctor' and regexp_matches(question, {Q.lit(K.OFF_TOPIC)}) then 'non_medical_question'
     when regexp_matches(question, {Q.lit(K.PERSONAL_DIAGNOSIS)}) then 'patient_specific_diagnosis'
     when regexp_matches({Q.squeeze('question')}, {Q.lit(K.PERSONAL_DOSAGE)}) then 'patient_specific_dosage_or_treatment'
+    when query_id % 37 = 6 then 'retrieval_unavailable'
     when generation_failure is not null and role <> 'doctor' then 'generation_' || generation_failure
     when generation_failure is null and not sufficient then 'model_reported_insufficient_context'
     when not (uses_rescue or (own and generation_failure is null)) then 'evidence_validation_failed'
@@ -444,4 +460,27 @@ select query_id, reason is null as grounded, reason, case when reason is not nul
 @query("g15_answer_disposition", _DISPOSITION)
 def answer_disposition(spark, sf):
     s = Stages(spark, sf)
-    return O.answer_disposition(questions(spark, sf), s.hits, s.answers, s.verdicts)
+    q = questions(spark, sf).withColumn("retrieval_failed", F.col("query_id") % 37 == 6)
+    return O.answer_disposition(q, s.hits, s.answers, s.verdicts)
+
+
+@query("g14_refusal_replies", f"""with q as (select doc_id, case doc_id % 7 when 0 then 'patient_specific_diagnosis' when 1 then 'non_medical_question'
+    when 2 then 'generation_rate_limited' when 3 then 'retrieval_unavailable' when 4 then 'no_relevant_sources'
+    when 5 then 'patient_specific_dosage_or_treatment' else 'evidence_validation_failed' end as reason,
+    case when doc_id % 2 = 0 then 'doctor' else 'patient' end as role, case when doc_id % 3 = 0 then 'triage' else 'general' end as mode from documents),
+r(audience, kind, reply) as (values {', '.join('(' + ', '.join(Q.lit(x) for x in row) + ')' for row in K.REPLIES)}),
+k as (select *, case when reason = 'non_medical_question' then 'non_medical_question'
+    when reason like 'patient_specific%' then case when role = 'doctor' then 'personal' else 'personal_' || mode end
+    when reason = 'generation_rate_limited' then 'rate_limited' when reason = 'retrieval_unavailable' then 'unavailable'
+    else case when role = 'doctor' then 'insufficient' else 'insufficient_' || mode end end as kind,
+  case when reason = 'non_medical_question' then 'doctor' when reason in ('generation_rate_limited', 'retrieval_unavailable') then 'any'
+    else role end as audience from q)
+select doc_id, reason, reply from k join r using (audience, kind)""")
+def refusal_replies(spark, sf):
+    n = F.col("doc_id")
+    reasons = ("patient_specific_diagnosis", "non_medical_question", "generation_rate_limited", "retrieval_unavailable", "no_relevant_sources",
+               "patient_specific_dosage_or_treatment", "evidence_validation_failed")
+    q = table(spark, sf, "documents").select(
+        "doc_id", F.element_at(F.array(*map(F.lit, reasons)), (n % 7 + 1).cast("int")).alias("reason"),
+        F.when(n % 2 == 0, "doctor").otherwise("patient").alias("role"), F.when(n % 3 == 0, "triage").otherwise("general").alias("mode"))
+    return q.select("doc_id", "reason", O.refusal_reply("reason", "role", "mode").alias("reply"))
