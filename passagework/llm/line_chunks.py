@@ -78,14 +78,13 @@ def removals(docs: DataFrame) -> DataFrame:
         for r in records:
             own = dict(bodies(r["text"]))
             for w in r["wanted"]:
-                yield w["digest"], own[w["first_number"]]
+                yield w["digest"], r["first_row"], w["first_number"], own[w["first_number"]]
 
     wanted = first.groupBy("first_row").agg(F.collect_list(F.struct("digest", "first_number")).alias("wanted"))
-    holders = texts.join(wanted, F.col(LC + "row") == F.col("first_row")).dropDuplicates([LC + "row"]).select("text", "wanted")
-    known = map_rows(holders, first_bodies, "digest binary, body string")
-    again = places.join(first, "digest").filter((F.col(LC + "row") != F.col("first_row")) | (F.col("number") != F.col("first_number")))
-    return (again.select(LC + "row", "number", "digest").join(known, "digest")
-            .groupBy(LC + "row").agg(F.collect_list(F.struct("number", "body")).alias(LC + "seen")))
+    holders = texts.join(wanted, F.col(LC + "row") == F.col("first_row")).dropDuplicates([LC + "row"]).select("first_row", "text", "wanted")
+    known = cut(map_rows(holders, first_bodies, "digest binary, first_row string, first_number int, body string"))
+    again = places.join(known, "digest").filter((F.col(LC + "row") != F.col("first_row")) | (F.col("number") != F.col("first_number")))
+    return again.groupBy(LC + "row").agg(F.collect_list(F.struct("number", "body")).alias(LC + "seen"))
 
 
 def remove_repeated(docs: DataFrame, report: bool = False) -> DataFrame:
