@@ -114,10 +114,10 @@ def links_across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, width:
     mixed = rows.groupBy("key").agg(F.min("node_root").alias("low"), F.max("node_root").alias("high")).filter("low != high").select("key")
     rows = cut(rows.join(mixed, "key"))
     sizes = rows.groupBy("key", "node_root").agg(F.count("*").alias("n"))
-    frame = sizes.groupBy("key").agg(
+    frame = cut(sizes.groupBy("key").agg(
         F.max(F.struct("n", F.col("node_root").alias("root"))).alias("major"), F.sum("n").alias("all")).select(
         "key", F.col("major.root").alias("major"), F.ceil((F.col("all") - F.col("major.n")) / MINOR_BLOCK).cast("int").alias("minors"),
-        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks"))
+        F.ceil(F.col("all") / BLOCK).cast("int").alias("blocks")))
     told = rows.join(frame, "key").withColumn("h", F.xxhash64("node"))
     minor = told.filter("node_root != major").select(
         "key", F.pmod("h", "minors").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), "node", "node_root",
