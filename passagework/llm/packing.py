@@ -101,7 +101,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
            + ", ids binary" * with_ids)
 
     def rows(records: Iterator[dict]) -> Iterator[tuple]:
-        encode_all = encoder(tokenizer_path).encode_all
+        words = encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         context = TaskContext.get()
         first = (context.partitionId() if context else 0) << 40
@@ -116,7 +116,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             first += opened
 
         for some in groups(records):
-            for r, text_ids in zip(some, encode_all([r["text"] or "" for r in some])):
+            for r, text_ids in zip(some, words.encode_all([r["text"] or "" for r in some])):
                 ids = text_ids + end
                 total = len(ids) // 4
                 for start in range(0, total, size):
@@ -126,6 +126,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 1
             if len(held) >= BUFFER_PIECES or ids_held >= BUFFER_IDS:
                 yield from packed()
                 held, ids_held = [], 0
+        words.forget()
         yield from packed()
 
     return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), rows, ddl)

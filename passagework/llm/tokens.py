@@ -10,8 +10,8 @@ from functools import cache
 
 import numpy as np
 
-#: Words that a worker remembers; beyond it the cache begins anew.
-CACHE_WORDS = 1_000_000
+#: Words that a task remembers; beyond it the cache begins anew.
+CACHE_WORDS = 500_000
 #: Characters that are split into words at once.
 SLICE_CHARS = 1 << 20
 #: Python splits at these, the tokenizers' white space does not hold them.
@@ -24,7 +24,7 @@ ASCII_SPACE = re.compile("[ \t\n\v\f\r]+")
 class WordEncoder:
     """Ids of a tokenizer that drops white space, so that a text's ids are its words' ids one after the other.
 
-    Words are looked up in a cache of this process; new ones are encoded together.  A word of letters and marks behind it
+    Words are looked up in a cache; new ones are encoded together.  A word of letters and marks behind it
     shares the ids of the word and of the marks.
     """
 
@@ -100,6 +100,10 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+    def forget(self) -> None:
+        """Give the cache's memory back: a worker lives on for stages that encode nothing."""
+        self.known = {}
+
 
 def is_latin(text: str) -> bool:
     """Whether every character is of Latin-1, where lower case is one character for one and normal form changes nothing."""
