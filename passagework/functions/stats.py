@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from passagework.functions.text import col
 from passagework.sources.lineage import cut
 
+#: Distinct values that the last ordered step of a percentile may hold.
+SLICE_ROWS = 50_000
+
 
 def rate(numerator, denominator, digits: int = 2) -> Column:
     """Percentage; null when the denominator is 0."""
@@ -26,13 +32,16 @@ def count_if(c) -> Column:
     return F.coalesce(F.count_if(col(c)), F.lit(0))
 
 
-def _narrow(df: DataFrame, keys: list[str], buckets: int, small) -> DataFrame:
-    """One refinement: keep, per target rank, only the value range slice that holds it."""
-    span = df.groupBy(*keys, "t").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    b = F.when(F.col("hi") > F.col("lo"),
-               F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets),
-                       F.lit(buckets - 1))).otherwise(F.lit(0))
-    placed = df.join(small(span), [*keys, "t"]).withColumn("b", b)
+@F.pandas_udf(S.LongType())
+def _ordered_bits(v: pd.Series) -> pd.Series:
+    """64 bits of each number that rise, read without a sign, as the number does; both zeros alike, NaN last."""
+    bits = np.where(v == 0, 0.0, v.to_numpy(np.float64)).view(np.int64)
+    return pd.Series(np.where(bits < 0, ~bits, bits ^ np.iinfo(np.int64).min))
+
+
+def _narrow(df: DataFrame, keys: list[str], shift: int, small) -> DataFrame:
+    """One refinement: of each target's slice keep the part, by the next twelve bits, that holds its rank."""
+    placed = df.withColumn("b", F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(4095)))
     w = Window.partitionBy(*keys, "t").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     hist = (
         placed.groupBy(*keys, "t", "b").agg(F.sum("n").alias("bn"), F.first("r").alias("r"))
@@ -41,33 +50,37 @@ def _narrow(df: DataFrame, keys: list[str], buckets: int, small) -> DataFrame:
         .select(*keys, "t", "b", "before")
     )
     return placed.join(small(hist), [*keys, "t", "b"]).select(
-        *keys, "t", "v", "n", (F.col("r") - F.col("before")).alias("r")
+        *keys, "t", "v", "u", "n", (F.col("r") - F.col("before")).alias("r")
     )
 
 
 def order_statistics(df: DataFrame, value: str, targets: list[Column], keys: list[str] | None = None,
-                     buckets: int = 4096, rounds: int = 2) -> DataFrame:
-    """Exact k-th smallest values, found by histogram refinement.
+                     slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Exact k-th smallest values, found by refining histograms of the values' bits.
 
     ``targets`` are expressions over ``n`` (the non-null count of the key) giving 1-based ranks.  Equal values are
-    counted together first (partial aggregation absorbs hot values) and written once; each round then keeps one slice in
-    ``buckets`` of the value range, so the last ordered step sees only a sliver of the distinct values and no task
-    ever holds a whole key.
+    counted together first (partial aggregation absorbs hot values) and written once.  Each round keeps, per target, the
+    part of the slice that holds it, by twelve more bits, until every slice has at most ``slice_rows`` distinct values;
+    after six rounds a slice is one value, however the values lie.  So the last ordered step is bounded.
     """
     whole, keys = not keys, list(keys or ["__all"])
     if whole:
         df = df.withColumn("__all", F.lit(0))
     counted = cut(df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")))
+        F.count(F.lit(1)).alias("n")).withColumn("u", _ordered_bits("v")))
     total = counted.groupBy(*keys).agg(F.sum("n").alias("n"))
     ranks = total.select(
         *keys, F.posexplode(F.array(*[t.cast("bigint") for t in targets])).alias("t", "r"))
     # Ungrouped, the helper tables hold one row per target.  Grouped, they hold one per key and target and carry no
     # hint: adaptive execution broadcasts them when they prove small and splits hot keys when they do not.
     small = F.broadcast if whole else (lambda df: df)
+    largest = counted.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     base = counted.join(small(ranks), keys)
-    for _ in range(rounds):
-        base = cut(_narrow(base, keys, buckets, small))
+    for shift in (52, 40, 28, 16, 4, 0):
+        if largest <= slice_rows:
+            break
+        base = cut(_narrow(base, keys, shift, small))
+        largest = base.groupBy(*keys, "t").count().agg(F.max("count")).first()[0] or 0
     w = Window.partitionBy(*keys, "t").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     return (
         base.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))

@@ -1,8 +1,8 @@
 """Ordered numbering that never needs a whole key in one task.
 
 A plain ``row_number() over (partition by key)`` sends one key to one task, which a key holding a third of the
-rows would stall.  Here the key is cut into blocks by its unique integer order column: each block is numbered on
-its own (at most ``block`` rows), and only one total per block travels to the window over the whole key.
+rows would stall.  Here rows are dealt by sampled ranges of (key, order), so a large key is many blocks however its order
+values lie: each block is numbered on its own, and only one total per block travels to the window over the whole key.
 """
 
 from __future__ import annotations
@@ -10,13 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 65_536
+from passagework.sources.lineage import cut
 
 
-def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, block: int = BLOCK) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over all earlier rows of the same key (0 for the first row)."""
+def running_total(df: DataFrame, keys: list[str], order: str, value, out: str) -> DataFrame:
+    """Add ``out`` = sum of ``value`` over all earlier rows of the same key (0 for the first row).
+
+    ``order`` must be unique within a key, or its ties must not matter.  The dealt rows are a table, so that both readers
+    see the same blocks.
+    """
     blk = "__block"
-    work = df.withColumn(blk, F.floor(F.col(order) / F.lit(block))).withColumn("__v", value.cast("bigint"))
+    dealt = df.withColumn("__v", value.cast("bigint")).repartitionByRange(*keys, order)
+    work = cut(dealt.withColumn(blk, F.spark_partition_id()))
     inside = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
     bases = (
@@ -32,9 +37,9 @@ def running_total(df: DataFrame, keys: list[str], order: str, value, out: str, b
     )
 
 
-def row_numbers(df: DataFrame, keys: list[str], order: str, out: str, block: int = BLOCK) -> DataFrame:
-    """1-based position of each row within its key, by the unique integer column ``order``."""
-    return running_total(df, keys, order, F.lit(1), "__before", block).withColumn(
+def row_numbers(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+    """1-based position of each row within its key, by the unique column ``order``."""
+    return running_total(df, keys, order, F.lit(1), "__before").withColumn(
         out, F.col("__before") + 1
     ).drop("__before")
 

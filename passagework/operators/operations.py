@@ -14,32 +14,41 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
-from passagework.functions.windows import row_numbers, top_per_key
+from passagework.functions.windows import row_numbers, running_total, top_per_key
 from passagework.sources.lineage import cut
 
 
 def unique_slugs(df: DataFrame, name: str, order: str) -> DataFrame:
     """Add ``slug``: the name's slug, with ``-2``, ``-3``… for later rows of the same slug in ``order``.
 
-    Numbers come from block numbering, so a slug shared by a third of the rows is still spread over many tasks.  A
-    number whose result is itself some row's plain slug is passed over, so slugs stay unique.
+    A number whose result is itself some row's plain slug is passed over, so slugs stay unique.  The k-th row of a slug
+    has the number k plus the count of taken numbers that lie before it.  With taken numbers sorted, t_1 < t_2 < …, those
+    are the i with t_i - i + 1 <= k, so one running total over rows and taken numbers together counts them.  Numbers come
+    from range blocks: neither a slug shared by a third of the rows nor its taken numbers meet in one task.  Of literal
+    numbers only those up to eighteen digits can ever be reached by counting rows; longer ones need no look.
     """
     based = df.withColumn("__base", T.slugify(name))
     numbered = row_numbers(based, ["__base"], order, "__k")
-    bases = based.groupBy("__base").agg(F.count(F.lit(1)).alias("__n"))
+    bases = cut(based.groupBy("__base").agg(F.count(F.lit(1)).alias("__n")))
+    pattern = r"^(.*)-([1-9][0-9]{0,17})$"
     literal = bases.select(
-        F.regexp_extract("__base", r"^(.*)-([1-9][0-9]{0,8})$", 1).alias("__root"),
-        F.regexp_extract("__base", r"^(.*)-([1-9][0-9]{0,8})$", 2).alias("__num")).filter(F.col("__root") != "")
-    taken = (
-        literal.join(bases.filter(F.col("__n") > 1).select(F.col("__base").alias("__root")), "__root", "left_semi")
-        .groupBy(F.col("__root").alias("__base"))
-        .agg(F.sort_array(F.collect_set(F.col("__num").cast("bigint"))).alias("__taken")))
-    k = F.when(F.col("__taken").isNull(), F.col("__k")).otherwise(F.aggregate(
-        "__taken", F.col("__k"), lambda a, t: F.when((t >= 2) & (t <= a), a + 1).otherwise(a)))
+        F.regexp_extract("__base", pattern, 1).alias("__root"),
+        F.regexp_extract("__base", pattern, 2).alias("__num")).filter(F.col("__root") != "").select(
+        F.col("__root").alias("__base"), F.col("__num").cast("bigint").alias("__num")).filter("__num >= 2")
+    reach = bases.filter(F.col("__n") > 1).join(literal.groupBy("__base").agg(F.count(F.lit(1)).alias("__m")), "__base")
+    taken = literal.join(reach, "__base").filter(F.col("__num") <= F.col("__n") + F.col("__m"))
+    taken = row_numbers(taken.select("__base", "__num"), ["__base"], "__num", "__i")
+    # Rows and taken numbers on one scale; a taken number stands before the row that it pushes on.
+    marks = taken.select("__base", ((F.col("__num") - F.col("__i") + 1) * 2).alias("__at"), F.lit(1).alias("__one"),
+                         F.lit(None).cast(df.schema[order].dataType).alias(order))
+    touched = numbered.join(taken.select("__base").distinct(), "__base", "left_semi").filter(F.col("__k") > 1)
+    places = touched.select("__base", (F.col("__k") * 2 + 1).alias("__at"), F.lit(0).alias("__one"), order)
+    pushed = running_total(marks.unionByName(places), ["__base"], "__at", F.col("__one"), "__push").filter("__one = 0")
+    number = F.col("__k") + F.coalesce("__push", F.lit(0))
     return (
-        numbered.join(taken, "__base", "left")
+        numbered.join(pushed.select("__base", order, "__push"), ["__base", order], "left")
         .withColumn("slug", F.when(F.col("__k") == 1, F.col("__base")).otherwise(
-            F.concat("__base", F.lit("-"), k.cast("string"))))
+            F.concat("__base", F.lit("-"), number.cast("string"))))
         .select(*df.columns, "slug"))
 
 

@@ -75,13 +75,18 @@ def content_words(spark, sf):
 
 
 @query("b9_unique_slugs", """
-with s as (select c_custkey, trim(regexp_replace(lower(trim(' ' || c_mktsegment || ' & Co. ')), '[^a-z0-9]+', '-', 'g'), '-') as b
+with s as (select c_custkey, trim(regexp_replace(lower(trim(' ' || c_mktsegment || ' & Co. ' ||
+             case when c_custkey % 7 = 0 then c_custkey % 29 + 1 else '' end)), '[^a-z0-9]+', '-', 'g'), '-') as b
            from customer),
-r as (select c_custkey, b, row_number() over (partition by b order by c_custkey) as k from s)
-select c_custkey, case when k = 1 then b else b || '-' || k end as slug from r""")
+r as (select c_custkey, b, row_number() over (partition by b order by c_custkey) as k from s),
+f as (select b, m, row_number() over (partition by b order by m) + 1 as k
+  from (select b, unnest(range(2, n + 40)) as m from (select b, count(*) as n from s group by b))
+  where b || '-' || m not in (select b from s))
+select c_custkey, case when r.k = 1 then b else b || '-' || f.m end as slug from r left join f using (b, k)""")
 def slugs(spark, sf):
     c = table(spark, sf, "customer").select(
-        "c_custkey", F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" & Co. ")).alias("name"))
+        "c_custkey", F.concat(F.lit(" "), F.col("c_mktsegment"), F.lit(" & Co. "), F.when(
+            F.col("c_custkey") % 7 == 0, (F.col("c_custkey") % 29 + 1).cast("string")).otherwise("")).alias("name"))
     return unique_slugs(c, "name", "c_custkey").select("c_custkey", "slug")
 
 

@@ -68,15 +68,24 @@ def test_percentiles_against_sorted_lists(spark):
 
 
 def test_block_numbering(spark):
-    rows = [(k, i, i % 5) for i in range(100) for k in ("a", "b") if (i * 7 + len(k)) % 3]
+    rows = [(k, i * 1_000_003, i % 5) for i in range(100) for k in ("a", "b") if (i * 7 + len(k)) % 3]  # sparse ids
     df = spark.createDataFrame(rows, "k string, i bigint, v int")
-    got = {(r.k, r.i): r.s for r in running_total(df, ["k"], "i", F.col("v"), "s", block=8).collect()}
-    pos = {(r.k, r.i): r.n for r in row_numbers(df, ["k"], "i", "n", block=8).collect()}
+    got = {(r.k, r.i): r.s for r in running_total(df, ["k"], "i", F.col("v"), "s").collect()}
+    pos = {(r.k, r.i): r.n for r in row_numbers(df, ["k"], "i", "n").collect()}
     for k, i, _ in rows:
         assert got[(k, i)] == sum(v for kk, j, v in rows if kk == k and j < i)
         assert pos[(k, i)] == sum(1 for kk, j, _ in rows if kk == k and j <= i)
 
 
+def test_percentiles_with_outliers(spark):
+    rng = random.Random(4)
+    values = [rng.random() for _ in range(3000)] + [1e15, 1e30, -1e300, 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    targets = [F.lit(k) for k in (1, 2, 1500, 3003, 3005)]
+    got = {r.t: r.v for r in ST.order_statistics(df, "v", targets, slice_rows=3).collect()}
+    assert [got[k] for k in range(5)] == [sorted(values)[k - 1] for k in (1, 2, 1500, 3003, 3005)]
+
+
 def result(**kw):
     base = dict(query_id=1, scope="in_scope", grounded=True, citation_valid=True, citation_exact=True, citation_coverage=1.0,
                 verifier_passed=True, citation_page_correct=True, citation_answer_support=True, evidence_match_passed=True,
