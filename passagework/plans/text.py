@@ -76,7 +76,7 @@ def content_words(spark, sf):
 
 @query("b9_unique_slugs", """
 with s as (select c_custkey, trim(regexp_replace(lower(trim(' ' || c_mktsegment || ' & Co. ' ||
-             case when c_custkey % 7 = 0 then c_custkey % 29 + 1 else '' end)), '[^a-z0-9]+', '-', 'g'), '-') as b
+             case when c_custkey % 7 = 0 then (c_custkey % 29 + 1)::varchar else '' end)), '[^a-z0-9]+', '-', 'g'), '-') as b
            from customer),
 r as (select c_custkey, b, row_number() over (partition by b order by c_custkey) as k from s),
 f as (select b, m, row_number() over (partition by b order by m) + 1 as k
