@@ -82,26 +82,32 @@ def page_citation_rows(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """Each chunk's verdict: exact, spanning, wrong or skipped.
 
     The opening 60 squeezed characters must stand on the cited page, or on it and the next page number together.
-    Pages are squeezed once each; both joins share the hash partitioning by document and page.
+    Pages are squeezed and moved once, without each other: the probe visits both pages and brings back whether it stands
+    there and the 60 characters next to the page break.
     """
-    text = pages.select("document_id", "page_number", T.squeeze("text").alias("page_text"))
-    nxt = text.select("document_id", (F.col("page_number") - 1).alias("page_number"),
-                      F.col("page_text").alias("next_text"))
+    size = 60
+    text = pages.select("document_id", F.col("page_number").alias("__at"), T.squeeze("text").alias("page_text"))
     known = pages.select("document_id").distinct().withColumn("known", F.lit(True))
-    probe = F.substring(T.squeeze("text"), 1, 60)
-    joined = (
-        chunks.withColumn("probe", probe)
-        .join(text, ["document_id", "page_number"], "left")
-        .join(nxt, ["document_id", "page_number"], "left")
+    asked = chunks.select("chunk_id", "document_id", "page_number", F.substring(T.squeeze("text"), 1, size).alias("probe"),
+                          F.monotonically_increasing_id().alias("__row"))
+    asked = asked.withColumn("__next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__at", F.col("page_number") + F.col("__next"))
+    here = F.col("__next") == 0
+    found = F.coalesce(F.contains(F.col("page_text"), F.col("probe")), F.lit(False))
+    edge = F.when(here, F.right(F.col("page_text"), F.lit(size))).otherwise(F.left(F.col("page_text"), F.lit(size)))
+    met = (
+        asked.join(text, ["document_id", "__at"], "left")
+        .select("__row", "chunk_id", "document_id", "page_number", "probe", here.alias("here"), found.alias("found"), edge.alias("edge"))
+        .groupBy("__row", "chunk_id", "document_id", "page_number", "probe")
+        .agg(F.bool_or(F.col("here") & F.col("found")).alias("on_page"), F.bool_or(~F.col("here") & F.col("found")).alias("on_next"),
+             F.max(F.when(F.col("here"), F.col("edge"))).alias("tail"), F.max(F.when(~F.col("here"), F.col("edge"))).alias("head"))
         .join(known, "document_id", "left"))
-    here = F.coalesce("page_text", F.lit(""))
-    both = T.squeeze(F.concat(here, F.lit(" "), F.coalesce("next_text", F.lit(""))))
+    across = T.squeeze(F.concat(F.coalesce("tail", F.lit("")), F.lit(" "), F.coalesce("head", F.lit(""))))
     verdict = (
         F.when(F.col("known").isNull() | F.col("page_number").isNull() | (F.length("probe") < 20), "skipped")
-        .when(F.contains(here, F.col("probe")), "exact")
-        .when(F.contains(both, F.col("probe")), "spanning")
+        .when(F.col("on_page"), "exact")
+        .when(F.col("on_next") | F.contains(across, F.col("probe")), "spanning")
         .otherwise("wrong"))
-    return joined.select("chunk_id", "document_id", "page_number", "probe", verdict.alias("verdict"))
+    return met.select("chunk_id", "document_id", "page_number", "probe", verdict.alias("verdict"))
 
 
 def page_citation_check(chunks: DataFrame, pages: DataFrame) -> DataFrame:
