@@ -230,4 +230,3 @@ REPLIES = (
 SLOT_MINUTES = 30
 HORIZON_DAYS = 14
 SENTINEL_CLINIC = "00000000-0000-0000-0000-000000000000"
-SENTINEL_CLINIC_NAME = "__internal__"

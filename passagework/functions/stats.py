@@ -20,10 +20,6 @@ def rate(numerator, denominator, digits: int = 2) -> Column:
     return F.round(F.try_divide(F.lit(100.0) * col(numerator), col(denominator)), digits)
 
 
-def percent_or_null(numerator, denominator) -> Column:
-    return rate(numerator, denominator, 2)
-
-
 def mean_skip_null(c) -> Column:
     return F.round(F.avg(col(c)), 4)
 

@@ -231,12 +231,6 @@ def looks_titled(line) -> Column:
     return all_upper | ((F.size(words) >= 2) & (capital >= 0.6 * F.size(words)))
 
 
-def is_probable_heading(line, blank_follows) -> Column:
-    return (
-        is_numbered_heading(line) | is_annex_heading(line) | col(blank_follows) | looks_titled(line)
-    )
-
-
 # --- splitting ----------------------------------------------------------------------------------------
 def sentences(c) -> Column:
     """Pieces between a full stop, question or exclamation mark and the white space after it."""

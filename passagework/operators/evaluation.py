@@ -350,11 +350,6 @@ def stage_latencies(rows: DataFrame, stages: dict[str, str]) -> DataFrame:
     return mean.join(percentile_linear(long, "ms", {"p50": 0.5, "p95": 0.95}, ["stage"]), "stage")
 
 
-def run_summary(scored: DataFrame, stages: dict[str, str]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(counts, histograms, latencies)`` of an acceptance run."""
-    return run_counts(scored), run_histograms(scored), stage_latencies(scored, stages)
-
-
 def quality_gates(counts: DataFrame, history: DataFrame, runtime: DataFrame | None = None) -> DataFrame:
     """``(gate, actual, target, passed)`` rows and ``overall``.
 

@@ -283,8 +283,8 @@ def means_and_rates(spark, sf):
     even = F.count_if(F.col("user_id") % 2 == 0)
     return table(spark, sf, "events").groupBy("event_type").agg(
         ST.mean_skip_null(F.when(F.col("event_id") % 3 == 0, F.col("value"))).alias("mean"),
-        ST.percent_or_null(even, F.count_if(F.col("user_id") < 0)).alias("none"),
-        ST.percent_or_null(even, F.count(F.lit(1))).alias("share"))
+        ST.rate(even, F.count_if(F.col("user_id") < 0)).alias("none"),
+        ST.rate(even, F.count(F.lit(1))).alias("share"))
 
 
 @query("h16_matches_any", """select doc_id, case when doc_id % 4 = 0 then true
