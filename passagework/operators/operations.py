@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from passagework import constants as K
 from passagework.functions import text as T
+from passagework.functions.graph import components
 from passagework.functions.windows import row_numbers, running_total, top_per_key
 from passagework.sources.lineage import cut
 
@@ -140,20 +141,15 @@ def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _booking_groups(links: DataFrame) -> DataFrame:
     """``(clinic_id, appointment_id, booking_group)``: appointments tied together through doctors, directly or by others.
 
-    Labels spread over distinct (appointment, doctor) pairs until none changes; actions never travel in these rounds.
+    Doctors of one appointment are linked to its least doctor; the groups are the connected components of doctors.
     """
     links = cut(links.filter(F.col("doctor_id").isNotNull()).distinct())
-    labels = cut(links.groupBy("clinic_id", "appointment_id").agg(F.min("doctor_id").alias("booking_group")))
-    while True:
-        by_doctor = links.join(labels, ["clinic_id", "appointment_id"]).groupBy("clinic_id", "doctor_id").agg(
-            F.min("booking_group").alias("g"))
-        spread = cut(links.join(by_doctor, ["clinic_id", "doctor_id"]).groupBy("clinic_id", "appointment_id").agg(
-            F.min("g").alias("booking_group")))
-        old = labels.withColumnRenamed("booking_group", "old")
-        moved = spread.join(old, ["clinic_id", "appointment_id"]).filter(F.col("booking_group") < F.col("old"))
-        labels = spread
-        if moved.isEmpty():
-            return labels
+    first = cut(links.groupBy("clinic_id", "appointment_id").agg(F.min("doctor_id").alias("first")))
+    edges = links.join(first, ["clinic_id", "appointment_id"]).select(
+        F.struct("clinic_id", "doctor_id").alias("a"), F.struct("clinic_id", F.col("first").alias("doctor_id")).alias("b"))
+    roots = components(edges).select("node.clinic_id", F.col("node.doctor_id").alias("first"), F.col("root.doctor_id").alias("root"))
+    return first.join(roots, ["clinic_id", "first"], "left").select(
+        "clinic_id", "appointment_id", F.coalesce("root", "first").alias("booking_group"))
 
 
 def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFrame:
@@ -172,10 +168,11 @@ def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFr
                           "doctor_id", "slot")
     rows = start.unionByName(todo)
     groups = _booking_groups(rows.filter(F.col("action") != "cancel").select("clinic_id", "appointment_id", "doctor_id"))
-    # An appointment that is never booked has no group; its actions fail whatever stands around them.
+    # An appointment that is never booked has no group; its actions fail whatever stands around them, so it stands alone.
     ordered = (
         rows.join(groups, ["clinic_id", "appointment_id"], "left")
-        .withColumn("booking_group", F.concat_ws("|", "clinic_id", "booking_group"))
+        .withColumn("booking_group", F.concat_ws("|", "clinic_id", F.coalesce(F.col("booking_group").cast("string"), F.concat_ws(
+            "|", F.lit(""), "appointment_id"))))
         .repartition("booking_group").sortWithinPartitions("booking_group", "kind", "at", "action_id"))
     kind = dict(ordered.dtypes)
     return ordered.mapInPandas(
