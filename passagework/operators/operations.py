@@ -347,6 +347,22 @@ def visible_rows(table: str, rows: DataFrame, callers: DataFrame, parents: DataF
     return out
 
 
+def visible_counts(table: str, rows: DataFrame, callers: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """``(caller_id, n)``: how many rows each caller may see.
+
+    Rows that every rule of the table treats alike are counted first, so callers meet one row per such kind of row instead
+    of every row of their clinic.
+    """
+    if table == "access_log":
+        keys = ["it_user_id"]
+    else:
+        columns = [c for _, c in _VISIBLE[table] if c is not None and not c.startswith("p_")]
+        keys = ["clinic_id", *[x for c in columns for x in (("status", "verified") if c == "published" else (c,))]]
+        keys += [_PARENT[table][0]] if table in _PARENT and _PARENT[table][0] not in keys else []
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return visible_rows(table, counted, callers, parents).groupBy("caller_id").agg(F.sum("n").alias("n"))
+
+
 def document_inventory(documents: DataFrame, callers: DataFrame) -> DataFrame:
     """Documents each caller sees, newest first."""
     return visible_rows("documents", documents, callers).orderBy("caller_id", F.desc("uploaded_at"), "document_id")

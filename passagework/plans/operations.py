@@ -351,10 +351,10 @@ def visible_documents(spark, sf):
 
 
 @query("j13_document_inventory", f"""with {_CALLERS}, {_DOCS}
-select caller_id, document_id from ca join dc on ca.clinic_id = dc.clinic_id where role = 'doctor'""")
+select caller_id, document_id from ca join dc on ca.clinic_id = dc.clinic_id
+where role = 'doctor' or (role = 'patient' and status = 'ready' and verified)""")
 def document_inventory(spark, sf):
-    return O.document_inventory(_documents(spark, sf), callers(spark, sf).filter(F.col("role") == "doctor")).select(
-        "caller_id", "document_id")
+    return O.document_inventory(_documents(spark, sf), callers(spark, sf)).select("caller_id", "document_id")
 
 
 @query("j13_visible_chunks", f"""with {_CALLERS}, {_DOCS}, ck as (select conv_id, turn, conv_id as document_id,
@@ -413,8 +413,7 @@ def visible_operations(spark, sf):
         none.alias("patient_id"))
     out = None
     for kind, rows, c in (("availability", w, who), ("reports", reports, who), ("access_log", log, it)):
-        part = O.visible_rows(kind, rows, c).groupBy("caller_id").agg(F.count(F.lit(1)).alias("n")).select(
-            F.lit(kind).alias("kind"), "caller_id", "n")
+        part = O.visible_counts(kind, rows, c).select(F.lit(kind).alias("kind"), "caller_id", "n")
         out = part if out is None else out.unionAll(part)
     return out
 
