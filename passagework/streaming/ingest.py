@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,19 +23,25 @@ def _newest(batch: DataFrame) -> DataFrame:
         F.max_by("pages", F.struct("modified_at", "file")).alias("pages"))
 
 
+def _attempt() -> str:
+    """A name that sorts by time."""
+    return f"t{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
 def ingest_batch(batch: DataFrame, store: str, version: int) -> None:
     """Chunk every document of a micro-batch and publish them as ``version``.
 
-    Each version is a directory of its own, overwritten as a whole when the batch is replayed; the manifest that makes
-    it visible is written last.  A document's newest version replaces all its older chunks, also when it now has
-    fewer, and nothing already stored is rewritten.
+    Every attempt writes a path of its own and the manifest that makes it visible last, so a replayed batch takes nothing
+    from a reader of its first attempt.  A document's newest version, and of one version the newest attempt, replaces
+    all its older chunks, also when it now has fewer, and nothing already stored is rewritten.
     """
+    attempt = f"version={version}/attempt={_attempt()}"
     docs = _newest(batch)
     page = docs.select("document_id", F.explode("pages").alias("p")).select(
         "document_id", "p.page_number", F.coalesce("p.text", F.lit("")).alias("text"))
     chunks = build_chunks(classify_pages(page))
-    chunks.write.mode("overwrite").parquet(f"{store}/chunks/version={version}")
-    docs.select("document_id").write.mode("overwrite").parquet(f"{store}/manifest/version={version}")
+    chunks.write.parquet(f"{store}/chunks/{attempt}")
+    docs.select("document_id").write.parquet(f"{store}/manifest/{attempt}")
 
 
 def stream_chunk_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, generation: int = 0,
@@ -54,16 +63,16 @@ def stream_chunk_ingest(spark: SparkSession, source: str, store: str, checkpoint
 def current_chunks(spark: SparkSession, store: str) -> DataFrame:
     """Chunks of each document's newest published version."""
     manifest = spark.read.option("basePath", f"{store}/manifest").parquet(f"{store}/manifest")
-    newest = manifest.groupBy("document_id").agg(F.max("version").alias("version"))
+    newest = manifest.groupBy("document_id").agg(F.max(F.struct("version", "attempt")).alias("v")).select("document_id", "v.*")
     chunks = spark.read.option("basePath", f"{store}/chunks").parquet(f"{store}/chunks")
-    return chunks.join(newest, ["document_id", "version"], "left_semi")
+    return chunks.join(newest, ["document_id", "version", "attempt"], "left_semi")
 
 
 def compact(spark: SparkSession, store: str, target: str) -> None:
     """Write the current chunks as the only version of a new store; readers then switch to ``target``."""
-    current_chunks(spark, store).drop("version").write.mode("overwrite").parquet(f"{target}/chunks/version=0")
-    spark.read.parquet(f"{store}/manifest").select("document_id").distinct().write.mode("overwrite").parquet(
-        f"{target}/manifest/version=0")
+    attempt = f"version=0/attempt={_attempt()}"
+    current_chunks(spark, store).drop("version", "attempt").write.parquet(f"{target}/chunks/{attempt}")
+    spark.read.parquet(f"{store}/manifest").select("document_id").distinct().write.parquet(f"{target}/manifest/{attempt}")
 
 
 def stream_dedupe_uploads(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
