@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -19,6 +21,17 @@ def schema_of(ddl: str) -> StructType:
     return _parse_datatype_string(ddl)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``run``, after which the worker hands freed memory back: it lives on, and other stages' workers stand beside it."""
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return bounded
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], ddl: str) -> DataFrame:
     """Run ``rows`` over the records of each partition as dicts; its tuples become rows of ``ddl``.
 
@@ -35,7 +48,7 @@ def map_batches(df: DataFrame, tuples: Callable[[Iterator[pa.RecordBatch]], Iter
         arrow = to_arrow_schema(schema)
         return gather(tuples(batches), arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def gather(tuples: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from passagework.llm.arrow import pieces
+from passagework.llm.arrow import lean, pieces
 from passagework.llm.fm_index import FMIndex
 from passagework.llm.text_bytes import column_bytes
 from passagework.llm.words import ALPHANUMERIC, LOWER, word_bounds, word_hashes
@@ -185,7 +185,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
                                pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in own), *(f.name for f in marks)])
 
-        docs = (cut(docs) if number else docs).mapInArrow(run, StructType([*own, *marks]))
+        docs = (cut(docs) if number else docs).mapInArrow(lean(run), StructType([*own, *marks]))
     return docs if keep_text else docs.drop("text")
 
 
@@ -204,34 +204,44 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
     """``docs`` with the same columns, the hit spans cut out of ``text``; a text of which no word is left goes.
 
     What a cut joins is searched again, until no window stands in the text.  Texts without a hit stay byte for byte,
-    also null and empty ones.
+    also null and empty ones.  Blocks of the benchmark take their turns, with the texts so far written in between; while a
+    later block changed a text, all blocks take another turn.
     """
     names, at = docs.columns, docs.columns.index("text")
-    marked = mark(docs, benchmark, block_bytes)
-    small = list(blocks(benchmark, block_bytes))
-
-    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = batch.column(len(names) + 2)
-            changed = np.flatnonzero(np.diff(spans.offsets.to_numpy())).tolist()
-            if not changed:
-                yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], names=names)
-                continue
-            texts, gone = batch.column(at).to_pylist(), set()
-            for k in changed:
-                text, found = texts[k].encode("utf-8", "surrogatepass"), spans[k].as_py()
-                while found:
-                    text = b"".join(text[a:b] for a, b in zip([0, *found[1::2]], [*found[::2], len(text)]))
-                    found = []
-                    for phrases in small:
-                        words, _, more, _ = next(phrases.hits(pa.array([text.decode("utf-8", "surrogatepass")])))
-                        found = merged(found, more.ravel().tolist())
-                texts[k] = text.decode("utf-8", "surrogatepass")
-                if not words:
-                    gone.add(k)
-            columns = [*batch.columns[:len(names)]]
-            columns[at] = pa.array(texts, columns[at].type)
-            whole = pa.RecordBatch.from_arrays(columns, names=names)
-            yield whole.filter(pa.array([k not in gone for k in range(len(texts))])) if gone else whole
-
-    return marked.mapInArrow(cut_out, docs.schema)
+    some = list(blocks(benchmark, block_bytes))
+
+    def cutter(phrases: Phrases):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in pieces(whole, SHARD_BYTES):
+                    texts = batch.column(at)
+                    found = {k: spans for k, (_, _, spans, _) in enumerate(phrases.hits(texts)) if len(spans)}
+                    if not found:
+                        yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+                        continue
+                    texts, gone = texts.to_pylist(), set()
+                    for k, spans in found.items():
+                        text, words = texts[k].encode("utf-8", "surrogatepass"), 1
+                        while len(spans):
+                            edges = spans.ravel().tolist()
+                            text = b"".join(text[a:b] for a, b in zip([0, *edges[1::2]], [*edges[::2], len(text)]))
+                            words, _, spans, _ = next(phrases.hits(pa.array([text.decode("utf-8", "surrogatepass")])))
+                        texts[k] = text.decode("utf-8", "surrogatepass")
+                        if not words:
+                            gone.add(k)
+                    columns = batch.columns
+                    columns[at] = pa.array(texts, columns[at].type)
+                    kept = pa.array([k not in gone for k in range(len(texts))])
+                    yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
+
+        return lean(run)
+
+    left = docs.mapInArrow(cutter(some[0]), docs.schema)
+    turn, since = 1, 0
+    while len(some) > 1 and since < len(some) - 1:
+        before = cut(left)
+        left = cut(before.mapInArrow(cutter(some[turn % len(some)]), docs.schema))
+        size = [F.count("*"), F.sum(F.octet_length("text"))]
+        since = since + 1 if before.agg(*size).first() == left.agg(*size).first() else 0
+        turn += 1
+    return left

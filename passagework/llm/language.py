@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from passagework.functions.once import once
-from passagework.llm.arrow import map_batches, pieces
+from passagework.llm.arrow import lean, map_batches, pieces
 from passagework.llm.text_bytes import column_bytes, windows
 from passagework.sources.lineage import cut
 
@@ -127,7 +127,7 @@ def text_scores(docs: DataFrame, likelihood: np.ndarray, text: str = "text") ->
                 lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32), sums.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counted)], names=[*names, EV + "likelihood", EV + "threes"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def given_language(scored: DataFrame, column: Column, best: Column, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.arrow import map_rows, pieces
+from passagework.llm.arrow import lean, map_rows, pieces
 from passagework.sources.lineage import cut
 
 #: A chunk ends after a line where the rolling hash over so many line hashes is 0 modulo ``MODULUS``.
@@ -134,4 +134,4 @@ def remove_repeated(docs: DataFrame, report: bool = False) -> DataFrame:
                 out = pa.RecordBatch.from_arrays(columns, names=names)
                 yield out.filter(pa.array([total == 0 or gone < total for _, total, gone in done]))
 
-    return joined.mapInArrow(run, docs.schema)
+    return joined.mapInArrow(lean(run), docs.schema)

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.arrow import map_batches, pieces
-from passagework.llm.components import components, split_by_filter
+from passagework.functions.graph import components
+from passagework.llm.arrow import lean, map_batches, pieces
+from passagework.llm.id_filter import split_by_filter
 from passagework.llm.setsketch import REGISTERS, band_keys, jaccard_estimate, registers
 from passagework.llm.shingles import shingle_sets
 from passagework.sources.lineage import cut
@@ -51,7 +52,7 @@ def bucket_rows(nodes: DataFrame) -> DataFrame:
                 node = np.repeat(part.column(0).to_numpy(), keys.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(rows, "key long, node long")
+    return nodes.select("node", "registers").mapInArrow(lean(rows), "key long, node long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -73,7 +74,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             on = (guess >= percent / 100 - MARGIN) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
             yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(guess[on])], names=["a", "b", "estimate"])
 
-    return both.mapInArrow(rows, "a long, b long, estimate double")
+    return both.mapInArrow(lean(rows), "a long, b long, estimate double")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -95,7 +96,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                     on.append(100 * common >= percent * (len(x) + len(y) - common))
                 yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return both.mapInArrow(rows, "a long, b long")
+    return both.mapInArrow(lean(rows), "a long, b long")
 
 
 def rooted(nodes: DataFrame, roots: DataFrame, name: str) -> DataFrame:
@@ -167,9 +168,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Rows that share an id are judged text by text.
 
     Equal sets are one node, the least id that has them.  Nodes that share a band of registers meet the least and the
-    greatest node of that bucket, never each other all at once: estimates by likelihood sort out pairs, each node's best
-    pair is confirmed on full sets first, then all pairs that still join two components.  Buckets that hold several
-    components after that are compared block by block, so that no link is lost whatever a bucket's size.
+    greatest node of that bucket, never each other all at once: estimates by likelihood sort out pairs, the rest is
+    confirmed on full sets.  Buckets that hold several components after that are compared block by block, so that no link is lost whatever a bucket's size.
     """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = cut(sketches(ready, width))
@@ -190,13 +190,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     chosen = split_by_filter(ready, wanted.withColumnRenamed("node", "doc_id"), "doc_id", True)
     texts = cut(chosen.join(wanted.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
 
-    best = likely.select("a", "b", "estimate").unionByName(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "estimate"))
-    best = best.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = cut(confirmed(best, texts, width, percent))
-    roots = components(links)
-    open_pairs = rooted(rooted(likely.join(best, ["a", "b"], "left_anti"), roots, "a"), roots, "b").filter("a_root != b_root")
-    links = cut(links.unionByName(confirmed(open_pairs, texts, width, percent)))
+    links = cut(confirmed(likely, texts, width, percent))
     roots = components(links)
     more = cut(links_across(met.filter("n > 3").select("key", "node"), roots, texts, width, percent))
     if more.take(1):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of a column that are worked on at once, however texts are cut by it.
-WINDOW = 1 << 20
+WINDOW = 1 << 18
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

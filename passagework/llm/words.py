@@ -41,8 +41,14 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     return starts, np.flatnonzero(inside & ~after) + 1
 
 
+#: Words that are hashed at once: their bytes take ten times their size meanwhile.
+HASH_WORDS = 1 << 15
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """One 64-bit hash per word: a polynomial over random byte codes, mixed."""
+    if len(starts) > HASH_WORDS:
+        return np.concatenate([word_hashes(data, starts[k:k + HASH_WORDS], ends[k:k + HASH_WORDS]) for k in range(0, len(starts), HASH_WORDS)])
     if not len(starts):
         return np.zeros(0, np.uint64)
     sizes = ends - starts

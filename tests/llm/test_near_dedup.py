@@ -9,7 +9,8 @@ import pytest
 
 import __spark_entry__ as entry
 from passagework.llm import near_dedup
-from passagework.llm.components import components, split_by_filter
+from passagework.functions.graph import components
+from passagework.llm.id_filter import split_by_filter
 from passagework.llm.near_dedup import keep_one, near_duplicates
 from passagework.llm.setsketch import band_keys, jaccard_estimate, registers
 from passagework.llm.shingles import shingle_sets
