@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = os.environ.get("PASSAGEWORK_SF_DIR", "/root/testdata/sf0.001")
-ALWAYS = ("a11_upsert_chunks", "b1_clean_extracted_text", "b9_unique_slugs", "c15_classify_pages", "d11_build_chunks", "e7_bm25", "f5_route_messages",
-          "g8_evidence_package", "h4_recall_at", "h13_eval_summary", "i8_page_citation_check", "j1_generate_slots", "k2_stream_dedupe_uploads")
+ALWAYS = ("a9_apply_verification", "a11_upsert_chunks", "b1_clean_extracted_text", "b9_unique_slugs", "c15_classify_pages", "d11_build_chunks", "e7_bm25", "f5_route_messages",
+          "g11_verified_answer", "g14_refusal_replies", "h4_recall_at", "h13_eval_summary", "h16_matches_any", "i8_page_citation_check", "j1_generate_slots", "j5_apply_booking_actions", "j13_visible_chunks", "k2_stream_dedupe_uploads")
 NAMES = list(entry.queries()) if os.environ.get("PASSAGEWORK_ALL_QUERIES") else ALWAYS
 
 
