@@ -39,7 +39,7 @@ FEATURES = ("insults", "lexicon", "lexicon_weight", "lexicon_hits", "obfuscated_
             "upper_words", "exclaim", "punctuation", "obfuscation", "stretched", "log_words")
 DDL = ", ".join(f"{f} double" for f in FEATURES)
 INSULT, LEARNED, HIDDEN, PERSON, UPPER, ODD, LONG = (1 << k for k in range(7))
-#: Words that a worker remembers the marks of.
+#: Words that a worker remembers the marks of when a text begins.
 MEMO_WORDS = 400_000
 REACH = 5
 
@@ -69,14 +69,14 @@ class Marker:
         code = INSULT * (w in INSULTS) | LEARNED * (weight > 0) | PERSON * (w in SECOND_PERSON)
         code |= UPPER * (len(word) > 2 and word.isupper()) | ODD * bool(ODD_INSIDE.search(word)) | LONG * bool(STRETCHED.search(w))
         code |= HIDDEN * (hidden != w and (hidden in INSULTS or hidden in self.lexicon))
-        if len(self.memo) >= MEMO_WORDS:
-            self.memo, self.weight = {}, {}
         self.memo[word] = code
         if weight:
             self.weight[word] = weight
         return code
 
     def features(self, text: str) -> tuple[float, ...]:
+        if len(self.memo) >= MEMO_WORDS:  # never within a text, whose weights are read after all its words are marked
+            self.memo, self.weight = {}, {}
         words = text.split()
         found = [self.memo.get(w) for w in words]
         if None in found:

@@ -3,6 +3,7 @@
 import numpy as np
 
 import __spark_entry__ as entry
+from passagework.llm import toxicity
 from passagework.llm.toxicity import FEATURES, Marker, Trees, fit, isotonic, score
 from pyspark.sql import functions as F
 
@@ -35,6 +36,20 @@ def test_features():
     assert m.features("x " * 200_000)[0] == 0
 
 
+def test_a_full_memo_loses_no_weights(monkeypatch):
+    rng = np.random.default_rng(4)
+    lexicon = {f"w{k}": float(k) for k in range(1, 40)}
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 80, rng.integers(1, 60))) for _ in range(50)]
+    m = Marker(lexicon)
+    want = [m.features(t) for t in texts]
+    assert any(w[FEATURES.index("lexicon_weight")] for w in want)
+    for words in (1, 3, 30):
+        monkeypatch.setattr(toxicity, "MEMO_WORDS", words)
+        m = Marker(lexicon)
+        assert [m.features(t) for t in texts] == want
+        assert len(m.memo) < words + 60
+
+
 def test_rows(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (3, "idiot you", 3), (3, "idiot you", 3), (None, "a", 4)],
                                  "doc_id long, text string, score int")
