@@ -122,8 +122,9 @@ class Spans:
                 self.keep(kind, start, start + len(body))
 
     def scheme(self, start: int, end: int) -> None:
-        """A locator is personal only where it carries a user and a password."""
-        if start >= self.after["url"] and (m := USER_URL.match(self.text, end, end + 2048)):
+        """A locator is personal only where it carries a user and a password.  It is read as far as it goes: no part of it
+        may hold the slashes of a scheme, so no character is read for two locators."""
+        if start >= self.after["url"] and (m := USER_URL.match(self.text, end)):
             self.after["url"] = m.end()
             self.keep("url", start, m.end())
 

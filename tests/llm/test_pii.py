@@ -1,6 +1,7 @@
 """Anchor expansion against the plain patterns."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -55,6 +56,21 @@ def test_cues_add_spans():
     assert [t for k, t in got if k == "url"] == ["http://joe:pw@host.example"]
 
 
+@pytest.mark.parametrize("size", [2040, 2048, 3000, 200_000])
+def test_long_locators_are_whole(size):
+    long = "a" * size
+    for url in (f"http://{long}:pw@host.example", f"ftp://joe:{long}@host.example", f"https://joe:pw@{long}.example:8080"):
+        text = f"see {url}/x http://{long}/ http://{long}:{long}"
+        assert [text[s:e] for s, e, k in find_spans(text) if k == "url"] == [url]
+
+
+def test_locators_cost_linear_time():
+    for text in ("http://" + "a:" * 200_000, "http://" * 100_000, "http://a:" * 100_000, "http://a:b" * 100_000 + "@h"):
+        began = time.process_time()
+        find_spans(text)
+        assert time.process_time() - began < 5
+
+
 def test_rows(spark):
     docs = spark.createDataFrame(
         [(1, None, "x"), (2, "", None), (3, "a@b.co", "y"), (3, "a@b.co", "y"), (None, "+1 499 555 6503", "z")],
