@@ -135,14 +135,25 @@ class Phrases:
             yield int(bounds[k + 1] - bounds[k]), runs - bounds[k], spans, items.get(k, set())
 
 
-def blocks(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> Iterator[Phrases]:
-    """Items in blocks of about ``limit`` bytes; each is small enough for the driver and for every task.  A null id counts as empty."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+def dealt(benchmark: DataFrame, limit: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Distinct items in blocks of about ``limit`` bytes; each is small enough for the driver and for every task.
+
+    Items are dealt by id and text together, so an id of any number of texts is spread over the blocks.  A null id counts
+    as empty.  Nothing is read here but sizes: :func:`phrases_of` builds a block when its turn comes.
+    """
+    items = benchmark.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).distinct()
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.octet_length("item")), F.lit(0))).first()[0]
     n = max(1, -(-size // limit))
-    for k in range(n):
-        block = items.filter(F.pmod(F.xxhash64("item"), F.lit(n)) == k) if n > 1 else items
-        yield Phrases.of([(r["item"], r["text"]) for r in block.collect()])
+    if n == 1:
+        return [items]
+    items = cut(items)
+    return [items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def phrases_of(block: DataFrame) -> Phrases:
+    """The windows of one block, built in the driver."""
+    return Phrases.of([(r["item"], r["text"]) for r in block.collect()])
 
 
 def merged(a: list[int], b: list[int]) -> list[int]:
@@ -169,7 +180,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
              StructField(DC + "spans", ArrayType(LongType())), StructField(DC + "items", ArrayType(StringType()))]
     own = docs.schema.fields
 
-    for number, phrases in enumerate(blocks(benchmark, block_bytes)):
+    for number, phrases in enumerate(map(phrases_of, dealt(benchmark, block_bytes))):
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases, number=number) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in pieces(whole, SHARD_BYTES):
@@ -205,10 +216,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 
     What a cut joins is searched again, until no window stands in the text.  Texts without a hit stay byte for byte,
     also null and empty ones.  Blocks of the benchmark take their turns, with the texts so far written in between; while a
-    later block changed a text, all blocks take another turn.
+    later block changed a text, all blocks take another turn.  A block's windows are built anew for each of its turns.
     """
     names, at = docs.columns, docs.columns.index("text")
-    some = list(blocks(benchmark, block_bytes))
+    some = dealt(benchmark, block_bytes)
 
     def cutter(phrases: Phrases):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,11 +247,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
 
         return lean(run)
 
-    left = docs.mapInArrow(cutter(some[0]), docs.schema)
+    left = docs.mapInArrow(cutter(phrases_of(some[0])), docs.schema)
     turn, since = 1, 0
     while len(some) > 1 and since < len(some) - 1:
         before = cut(left)
-        left = cut(before.mapInArrow(cutter(some[turn % len(some)]), docs.schema))
+        left = cut(before.mapInArrow(cutter(phrases_of(some[turn % len(some)])), docs.schema))
         size = [F.count("*"), F.sum(F.octet_length("text"))]
         since = since + 1 if before.agg(*size).first() == left.agg(*size).first() else 0
         turn += 1

@@ -1,8 +1,10 @@
 """The index against naive search, marks and removal against a loop over words."""
 
+import gc
 import hashlib
 import random
 import re
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +92,30 @@ def test_report_and_remove(spark, block_bytes):
     assert 503 not in {k for k, _ in left}
 
 
+def test_blocks_are_bounded_and_built_in_their_turn(spark, monkeypatch):
+    """Items without id or of one id are dealt over the blocks as well, and the driver holds few blocks at a time."""
+    rng = random.Random(6)
+    items = [(rng.choice([None, 7]), " ".join(f"w{rng.randrange(3000)}" for _ in range(12))) for _ in range(60)] + [(None, "hot " * 11)] * 300
+    docs = [(k, f"lead {items[k][1]} tail") for k in range(60)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    built, alive, most, of = [], weakref.WeakSet(), [0], Phrases.of.__func__
+
+    def watched(cls, some):
+        gc.collect()
+        most[0] = max(most[0], len(alive))
+        built.append(sum(len(t) for _, t in some))
+        out = of(cls, some)
+        alive.add(out)
+        return out
+
+    monkeypatch.setattr(Phrases, "of", classmethod(watched))
+    monkeypatch.setattr(Phrases, "__hash__", object.__hash__)
+    limit = 1000
+    assert {(r.doc_id, r.text) for r in remove(d, b, limit).collect()} == {(k, "lead  tail") for k, _ in docs}
+    assert len(built) > 3 and max(built) < 3 * limit and most[0] <= 1
+    assert all(r.contaminated and r.n_items >= 1 for r in report(d, b, limit).collect())
+
+
 def test_short_items_and_empty_tables(spark):
     docs, items = sample(7, 20)
     d = spark.createDataFrame(docs, "doc_id long, text string")
