@@ -27,6 +27,8 @@ MARGIN = 0.16
 #: Rows of the two sides of a block in which sets are compared with each other.
 MINOR_BLOCK, BLOCK = 256, 1024
 
+ND = "_nd_"
+
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """``doc_id``, ``n`` (size of its set), ``digest`` of the set and ``registers`` (null for an empty set) of every row."""
@@ -206,8 +208,25 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``docs`` with the same columns, of every component of near-duplicates the document of the least id.
 
-    Rows whose id no filter suspects stay where they are; only suspected rows are moved to meet the list of dropped ids.
+    Rows that share id and text are one document, of which one row stays (any, if other columns differ; null and empty texts
+    too).  Texts of the same id are documents of their own, in the order of their digests, and rows without id stand after
+    all others: both are linked by their texts like any other document here.
+
+    Where all ids are there once, rows whose id no filter suspects stay where they are; only suspected rows are moved to
+    meet the list of dropped ids.  Else every distinct document is numbered first, which moves the texts.
     """
-    dropped = cut(near_duplicates(docs, width, percent).filter("not kept").select("doc_id").distinct())
-    clear = split_by_filter(docs, dropped, "doc_id", False)
-    return clear.unionByName(split_by_filter(docs, dropped, "doc_id", True).join(dropped, "doc_id", "left_anti").select(*docs.columns))
+    shared = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null")
+    if not shared.take(1):
+        return without_dropped(docs, "doc_id", width, percent)
+    told = docs.withColumn(ND + "text", F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")))
+    told = told.dropDuplicates(["doc_id", ND + "text"]).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), ND + "text")
+    numbered = cut(told.withColumn(ND + "number", F.monotonically_increasing_id()))
+    return without_dropped(numbered, ND + "number", width, percent).select(*docs.columns)
+
+
+def without_dropped(docs: DataFrame, number: str, width: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` whose ``number``, which no two rows share, is the least of its component."""
+    judged = near_duplicates(docs.select(F.col(number).alias("doc_id"), "text"), width, percent)
+    dropped = cut(judged.filter("not kept").select(F.col("doc_id").alias(number)).distinct())
+    clear = split_by_filter(docs, dropped, number, False)
+    return clear.unionByName(split_by_filter(docs, dropped, number, True).join(dropped, number, "left_anti").select(*docs.columns))

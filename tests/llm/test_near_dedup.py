@@ -136,6 +136,22 @@ def test_odd_rows(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_one_document_of_each_group(spark):
+    rng = random.Random(9)
+    x, y, z = (" ".join(f"{c}{k}" for k in rng.sample(range(1000), 40)) for c in "xyz")
+    x_near, y_near, z_near = (f"{t} tail" for t in (x, y, z))
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (5, "other text that is its own"),
+            (7, x), (7, y), (8, x_near), (9, y_near), (None, z), (None, z_near), (None, z), (None, None), (None, None), (1, ""), (1, ""), (1, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, node int")
+    got = sorted([(r.doc_id, r.text) for r in keep_one(docs, 2).collect()], key=repr)
+    one_z = [r for r in got if r[1] in (z, z_near)]
+    assert len(one_z) == 1 and one_z[0][0] is None
+    assert sorted([r for r in got if r not in one_z], key=repr) == sorted([
+        (4, "a b c d e f"), (5, "other text that is its own"), (7, x), (7, y), (None, None), (1, ""), (1, None)], key=repr)
+    assert keep_one(docs, 2).columns == docs.columns
+    assert keep_one(docs.limit(0), 2).count() == 0
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
