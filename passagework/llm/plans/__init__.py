@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash", "decontaminate", "line_chunks", "near_dedup", "alignment")
+FAMILIES = ("chat", "pii", "packing", "toxicity", "quality_cnn", "language", "prefix_hash", "decontaminate", "line_chunks", "near_dedup", "alignment", "importance", "weak_rules")
 
 
 def load_all() -> None:
