@@ -32,7 +32,17 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return bounded
 
 
-def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], ddl: str) -> DataFrame:
+def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with :func:`lean`, whatever characters the columns' names hold."""
+    names = df.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.rename_columns(names) for b in batches)
+
+    return df.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(lean(named), schema)
+
+
+def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], ddl: str | StructType) -> DataFrame:
     """Run ``rows`` over the records of each partition as dicts; its tuples become rows of ``ddl``.
 
     Records are streamed: no more than one incoming and one outgoing batch is held.
@@ -40,15 +50,15 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[dict]], Iterable[tuple]], d
     return map_batches(df, lambda batches: rows(r for b in batches for part in pieces(b) for r in part.to_pylist()), ddl)
 
 
-def map_batches(df: DataFrame, tuples: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], ddl: str) -> DataFrame:
+def map_batches(df: DataFrame, tuples: Callable[[Iterator[pa.RecordBatch]], Iterable[tuple]], ddl: str | StructType) -> DataFrame:
     """Run ``tuples`` over the Arrow batches of each partition; the tuples that it yields become rows of ``ddl``."""
-    schema = schema_of(ddl)
+    schema = schema_of(ddl) if isinstance(ddl, str) else ddl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow = to_arrow_schema(schema)
         return gather(tuples(batches), arrow)
 
-    return df.mapInArrow(lean(run), schema)
+    return arrow_map(df, run, schema)
 
 
 def gather(tuples: Iterable[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

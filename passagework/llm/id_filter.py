@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passagework.llm.arrow import lean
+from passagework.llm.arrow import arrow_map
 
 #: Bits of an id filter: 8 MB whatever the number of ids.
 FILTER_BITS = 26
@@ -19,10 +19,10 @@ def id_filter(ids: DataFrame, column: str):
     """A function of an array of ids that is true for every id of ``ids`` and for few others.
 
     A bit map of fixed size, built by grouped aggregation; it saves moving rows whose id is not in the table, a join behind
-    it decides.  Null ids are never in it.
+    it decides.  Null ids are never in it.  Ids are hashed as the type that ``ids`` has, to which those of other tables are cast.
     """
     spark = ids.sparkSession
-    hashed = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << FILTER_BITS))
+    hashed = F.pmod(F.xxhash64(F.col(column).cast(ids.schema[column].dataType)), F.lit(1 << FILTER_BITS))
     words = ids.filter(F.col(column).isNotNull()).select(F.shiftright(hashed, 5).alias("w"), F.expr(
         "1L").alias("one"), F.pmod(hashed, F.lit(32)).cast("int").alias("k"))
     got = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, k)")).alias("bits")).toArrow()
@@ -47,4 +47,4 @@ def split_by_filter(rows: DataFrame, ids: DataFrame, column: str, inside: bool)
             kept = (found & known) == inside
             yield pa.RecordBatch.from_arrays(batch.columns[:len(names)], names=names).filter(pa.array(kept))
 
-    return marked.mapInArrow(lean(run), rows.schema)
+    return arrow_map(marked, run, rows.schema)

@@ -4,23 +4,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from passagework.functions.graph import components
 from passagework.llm.arrow import lean, map_batches, pieces
 from passagework.llm.id_filter import split_by_filter
 from passagework.llm.setsketch import REGISTERS, band_keys, jaccard_estimate, registers
 from passagework.llm.shingles import shingle_sets
+from passagework.llm.words import mix
 from passagework.sources.lineage import cut
 
 WIDTH = 5
 PERCENT = 80
-#: Registers of a band: with 42 bands a pair at similarity 0.8 meets in none with a chance of 3 in a million.
+#: Registers of a band, and which registers the bands take: all in one random order, half of them again in another.  With 63
+#: bands a pair at similarity 0.8 meets in none with a chance of 5 in a thousand million.
 BAND = 6
+ORDER = np.concatenate([np.random.default_rng(8).permutation(REGISTERS)[:252], np.random.default_rng(9).permutation(REGISTERS)[:126]])
+#: Elements of a set, and of those that it may have beside the common ones, for which sets also meet without any chance of a miss.
+SMALL, SMALL_REST = 14, 2
 #: Registers that travel with a pair for its estimate, and how far below the threshold an estimate may lie (over four deviations).
 HEAD = 128
 MARGIN = 0.16
@@ -30,8 +37,24 @@ MINOR_BLOCK, BLOCK = 256, 1024
 ND = "_nd_"
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id``, ``n`` (size of its set), ``digest`` of the set and ``registers`` (null for an empty set) of every row."""
+def small_keys(elements: np.ndarray, percent: int) -> list[int]:
+    """Keys of a small set that every set linked with it shares, if that is small too.
+
+    Linked sets of n and m elements have at least ``percent`` of the greater of both in common.  So the common set is
+    what is left of each after so few elements are taken out, and every such rest is a key.  Larger sets have none.
+    """
+    n = len(elements)
+    rest = n * (100 - percent) // 100
+    if not 0 < n <= SMALL or rest > SMALL_REST:
+        return []
+    codes = mix(elements + np.uint64(SMALL)).tolist()
+    whole = sum(codes)
+    left = [whole - sum(out) & (1 << 64) - 1 for k in range(rest + 1) for out in combinations(codes, k)]
+    return mix(np.array(left, np.uint64)).view(np.int64).tolist()
+
+
+def sketches(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``doc_id``, ``n`` (size of its set), ``digest`` of the set, ``registers`` (null for an empty set) and ``small`` keys of every row."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterable[tuple]:
         for whole in batches:
             for batch in pieces(whole, 1 << 20):
@@ -39,26 +62,32 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 found = registers(elements, offsets)
                 for k, doc in enumerate(batch.column(0).to_pylist()):
                     own = elements[offsets[k]:offsets[k + 1]]
-                    yield doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), found[k].tobytes() if len(own) else None
+                    yield (doc, len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest(), found[k].tobytes() if len(own) else None,
+                           small_keys(own, percent))
 
-    return map_batches(docs, rows, "doc_id long, n long, digest binary, registers binary")
+    return map_batches(docs, rows, "doc_id long, n long, digest binary, registers binary, small array<long>")
 
 
 def bucket_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node): a row for every band of every node's registers."""
+    """(key, node): a row for every band of every node's registers and for every key of a small set."""
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 2048) for k in range(0, batch.num_rows, 2048)):
                 sketch = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                keys = band_keys(sketch, BAND)
-                node = np.repeat(part.column(0).to_numpy(), keys.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+                keys = band_keys(sketch[:, ORDER], BAND)
+                node = part.column(0).to_numpy()
+                small = part.column(2).to_pylist()
+                few = np.array([k for own in small for k in own], np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([keys.ravel().view(np.int64), few])),
+                    pa.array(np.concatenate([np.repeat(node, keys.shape[1]), np.repeat(node, [len(own) for own in small])]))], names=["key", "node"])
 
-    return nodes.select("node", "registers").mapInArrow(lean(rows), "key long, node long")
+    return nodes.select("node", "registers", "small").mapInArrow(lean(rows), "key long, node long")
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with the ``estimate`` of their similarity, those that lie ``MARGIN`` below the threshold or whose set sizes rule a link out left out."""
+    """Pairs (a, b) with the ``estimate`` of their similarity, those left out that lie ``MARGIN`` below the threshold, unless both are
+    small, or whose set sizes rule a link out."""
     heads = nodes.select("node", "n", F.substring("registers", 1, 2 * HEAD).alias("head"))
 
     def side(name: str) -> DataFrame:
@@ -73,7 +102,7 @@ def estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             a, b, n_a, n_b = (batch.column(k).to_numpy() for k in range(4))
             head_a, head_b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HEAD) for k in (4, 5))
             guess = jaccard_estimate(head_a, head_b, n_a.astype(float), n_b.astype(float))
-            on = (guess >= percent / 100 - MARGIN) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
+            on = ((guess >= percent / 100 - MARGIN) | (np.maximum(n_a, n_b) <= SMALL)) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
             yield pa.RecordBatch.from_arrays([pa.array(a[on]), pa.array(b[on]), pa.array(guess[on])], names=["a", "b", "estimate"])
 
     return both.mapInArrow(lean(rows), "a long, b long, estimate double")
@@ -169,15 +198,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     (null text too) and rows without id are linked with nothing; a row without id has a null component and is kept.
     Rows that share an id are judged text by text.
 
-    Equal sets are one node, the least id that has them.  Nodes that share a band of registers meet the least and the
+    Equal sets are one node, the least id that has them.  Nodes that share a band of registers, or a key of small sets, meet the least and the
     greatest node of that bucket, never each other all at once: estimates by likelihood sort out pairs, the rest is
     confirmed on full sets.  Buckets that hold several components after that are compared block by block, so that no link is lost whatever a bucket's size.
     """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(sketches(ready, width))
+    found = cut(sketches(ready, width, percent))
     linkable = found.filter("n > 0 and doc_id is not null")
     classes = cut(linkable.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = cut(linkable.join(classes, "digest").filter("doc_id = node").dropDuplicates(["digest"]).select("node", "n", "registers"))
+    nodes = cut(linkable.join(classes, "digest").filter("doc_id = node").dropDuplicates(["digest"]).select("node", "n", "registers", "small"))
 
     rows = bucket_rows(nodes)
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high"))
@@ -212,21 +241,28 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     too).  Texts of the same id are documents of their own, in the order of their digests, and rows without id stand after
     all others: both are linked by their texts like any other document here.
 
-    Where all ids are there once, rows whose id no filter suspects stay where they are; only suspected rows are moved to
-    meet the list of dropped ids.  Else every distinct document is numbered first, which moves the texts.
+    Ids that are no integers are ordered by the integer that they spell, then by their own order.
+
+    Where all ids are integers and there once, rows whose id no filter suspects stay where they are; only suspected rows
+    are moved to meet the list of dropped ids.  Else every distinct document is numbered first, which moves the texts.
+    Jobs run while the frame is built.
     """
-    shared = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count("*").alias("n")).filter("n > 1 or id is null")
-    if not shared.take(1):
-        return without_dropped(docs, "doc_id", width, percent)
+    number = ND + "number"
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+        if not shared.take(1):
+            return without_dropped(docs.withColumn(number, F.col("doc_id").cast("long")), number, width, percent).drop(number)
     told = docs.withColumn(ND + "text", F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit("")))
-    told = told.dropDuplicates(["doc_id", ND + "text"]).orderBy(F.col("doc_id").cast("long").asc_nulls_last(), ND + "text")
-    numbered = cut(told.withColumn(ND + "number", F.monotonically_increasing_id()))
-    return without_dropped(numbered, ND + "number", width, percent).select(*docs.columns)
+    spelled = F.col("doc_id").cast("string").try_cast("long")
+    told = told.dropDuplicates(["doc_id", ND + "text"]).orderBy(spelled.asc_nulls_last(), F.col("doc_id").asc_nulls_last(), ND + "text")
+    numbered = cut(told.withColumn(number, F.monotonically_increasing_id()))
+    return without_dropped(numbered, number, width, percent).drop(number, ND + "text")
 
 
 def without_dropped(docs: DataFrame, number: str, width: int, percent: int) -> DataFrame:
-    """The rows of ``docs`` whose ``number``, which no two rows share, is the least of its component."""
+    """The rows of ``docs`` whose ``number``, a long that no two rows share, is the least of its component."""
     judged = near_duplicates(docs.select(F.col(number).alias("doc_id"), "text"), width, percent)
     dropped = cut(judged.filter("not kept").select(F.col("doc_id").alias(number)).distinct())
     clear = split_by_filter(docs, dropped, number, False)
-    return clear.unionByName(split_by_filter(docs, dropped, number, True).join(dropped, number, "left_anti").select(*docs.columns))
+    left = split_by_filter(docs, dropped, number, True).join(dropped, number, "left_anti")
+    return clear.unionByName(left)

@@ -127,6 +127,33 @@ def test_rows(spark, width, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(k for k, v in want.items() if v[2])
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_small_linked_sets_share_a_key(percent):
+    rng, met = np.random.default_rng(5), 0
+    for _ in range(4000):
+        both, a, b = rng.integers(1, 13), rng.integers(0, 3), rng.integers(0, 3)
+        pool = rng.integers(0, 1 << 63, both + a + b, dtype=np.uint64)
+        x, y = np.sort(pool[:both + a]), np.sort(np.concatenate([pool[:both], pool[both + a:]]))
+        if 100 * both >= percent * (both + a + b) and max(len(x), len(y)) <= near_dedup.SMALL:
+            met += 1
+            assert set(near_dedup.small_keys(x, percent)) & set(near_dedup.small_keys(y, percent))
+    assert met > 400 and not near_dedup.small_keys(rng.integers(0, 99, 200, dtype=np.uint64), percent)
+
+
+@pytest.mark.parametrize("kind", ["tinyint", "int", "long", "string", "decimal(20,0)"])
+def test_one_stays_whatever_the_type_of_ids(spark, kind):
+    """Equal texts 1 to 5, another 9: with ids that are there once, and with repeated rows and a null id."""
+    rows = [(k, "a b c d e f g h") for k in (3, 1, 2, 5, 4)] + [(9, "something else that is its own text")]
+    for more, want in (([], ["1", "9"]), ([(1, "a b c d e f g h"), (None, "a b c d e f g h")], ["1", "9"])):
+        docs = spark.createDataFrame(rows + more, "doc_id int, text string").selectExpr(f"cast(doc_id as {kind}) doc_id", "text")
+        kept = keep_one(docs)
+        assert kept.schema["doc_id"].dataType == docs.schema["doc_id"].dataType and kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    if kind == "string":
+        docs = spark.createDataFrame([("x", "a b c d e f"), ("10", "a b c d e f"), ("9", "a b c d e f")], "doc_id string, text string")
+        assert [r.doc_id for r in keep_one(docs).collect()] == ["9"]
+
+
 def test_odd_rows(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, None), (4, "a b c d e f"), (5, "other text that is its own")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
