@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from passagework.llm.language import OTHER, SURE, evidence_of_documents, identify
 from tests.llm.test_decontaminate import brute as hits
-from tests.llm.test_line_chunks import brute as without_chunks
+from tests.llm.test_line_chunks import brute as without_repeats
 from tests.llm.test_near_dedup import brute as groups
 from tests.llm.test_packing import check_layout
 
@@ -41,7 +41,7 @@ def test_language(steps):
 
 def test_line_dedup(steps):
     rows = sorted(texts(steps[1]).items())
-    want = {k: t for (k, _), (t, n, gone) in zip(rows, without_chunks(rows)) if n == 0 or gone < n}
+    want = {k: t for (k, _), (t, n, gone) in zip(rows, without_repeats(rows)) if n == 0 or gone < n}
     assert texts(steps[2]) == want != dict(rows)
 
 
