@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from passagework.llm.arrow import lean, pieces
+from passagework.llm.arrow import arrow_map, pieces
 from passagework.llm.fm_index import FMIndex
 from passagework.llm.text_bytes import column_bytes
 from passagework.llm.words import ALPHANUMERIC, LOWER, word_bounds, word_hashes
@@ -196,7 +196,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES,
                                pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=[*(f.name for f in own), *(f.name for f in marks)])
 
-        docs = (cut(docs) if number else docs).mapInArrow(lean(run), StructType([*own, *marks]))
+        docs = arrow_map(cut(docs) if number else docs, run, StructType([*own, *marks]))
     return docs if keep_text else docs.drop("text")
 
 
@@ -245,13 +245,13 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES
                     kept = pa.array([k not in gone for k in range(len(texts))])
                     yield pa.RecordBatch.from_arrays(columns, names=names).filter(kept)
 
-        return lean(run)
+        return run
 
-    left = docs.mapInArrow(cutter(phrases_of(some[0])), docs.schema)
+    left = arrow_map(docs, cutter(phrases_of(some[0])), docs.schema)
     turn, since = 1, 0
     while len(some) > 1 and since < len(some) - 1:
         before = cut(left)
-        left = cut(before.mapInArrow(cutter(phrases_of(some[turn % len(some)])), docs.schema))
+        left = cut(arrow_map(before, cutter(phrases_of(some[turn % len(some)])), docs.schema))
         size = [F.count("*"), F.sum(F.octet_length("text"))]
         since = since + 1 if before.agg(*size).first() == left.agg(*size).first() else 0
         turn += 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from passagework.functions.once import once
-from passagework.llm.arrow import lean, map_batches, pieces
+from passagework.llm.arrow import arrow_map, map_batches, pieces
 from passagework.llm.text_bytes import column_bytes, windows
 from passagework.sources.lineage import cut
 
@@ -127,7 +127,7 @@ def text_scores(docs: DataFrame, likelihood: np.ndarray, text: str = "text") ->
                 lists = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32), sums.ravel())
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(counted)], names=[*names, EV + "likelihood", EV + "threes"])
 
-    return docs.mapInArrow(lean(run), schema)
+    return arrow_map(docs, run, schema)
 
 
 def given_language(scored: DataFrame, column: Column, best: Column, n: int) -> DataFrame:
@@ -251,9 +251,10 @@ def identify(docs: DataFrame, languages: Sequence[str] = LANGUAGES, text: str =
 
 def accept(docs: DataFrame, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """The rows of a table like ``documents`` (text, lang, source) whose language is accepted, with the same columns."""
-    given = evidence_of_documents(docs)
     names = docs.columns
+    plain = docs.toDF(*[c if c in ("text", "lang", "source") else f"{EV}own_{k}" for k, c in enumerate(names)])
+    given = evidence_of_documents(plain)
     fusion, _ = learn(given.select("text", *[EV + c for c in ("declared", "host", "domain", "suffix")]), languages)
-    renamed = given.withColumnsRenamed({c: f"{EV[1:]}own_{c}" for c in names if c != "text"})
-    kept = fuse(text_scores(renamed, fusion.likelihood), fusion).filter("accepted")
-    return kept.select(*[F.col("text" if c == "text" else f"{EV[1:]}own_{c}").alias(c) for c in names])
+    hidden = {c: f"{EV[1:]}own_{k}" for k, c in enumerate(plain.columns) if c != "text"}
+    kept = fuse(text_scores(given.withColumnsRenamed(hidden), fusion.likelihood), fusion).filter("accepted")
+    return kept.select(*[hidden.get(c, c) for c in plain.columns]).toDF(*names)

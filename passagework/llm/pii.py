@@ -174,7 +174,9 @@ def personal_data(docs: DataFrame, find: Callable[[str], list[tuple[int, int, st
 
 
 def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
-    """``docs`` with the same columns, each span of ``text`` replaced by its kind; of overlapping spans the first stays."""
+    """``docs`` with the same columns, each span of ``text`` replaced by its kind; of overlapping spans the first stays.
+
+    Null and empty texts stay as they are, every row gives one row, columns may have any names."""
     kept = docs.columns
 
     def rows(records: Iterator[dict]) -> Iterator[tuple]:
@@ -186,7 +188,7 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
                     at = e
             yield tuple(r[c] if c != "text" or text is None else "".join(out) + text[at:] for c in kept)
 
-    return map_rows(docs, rows, docs.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    return map_rows(docs, rows, docs.schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
