@@ -198,8 +198,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     (null text too) and rows without id are linked with nothing; a row without id has a null component and is kept.
     Rows that share an id are judged text by text.
 
-    Equal sets are one node, the least id that has them.  Nodes that share a band of registers, or a key of small sets, meet the least and the
-    greatest node of that bucket, never each other all at once: estimates by likelihood sort out pairs, the rest is
+    Equal sets are one node, the least id that has them.  Nodes that share a band of registers, or a key of small sets, meet the least
+    node of that bucket, never each other all at once: estimates by likelihood sort out pairs, the rest is
     confirmed on full sets.  Buckets that hold several components after that are compared block by block, so that no link is lost whatever a bucket's size.
     """
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     rows = bucket_rows(nodes)
     shared = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).filter("low != high"))
     met = cut(rows.join(shared, "key").select("key", "node", "n", "low", "high"))
-    ends = met.select("node", F.explode(F.array("low", "high")).alias("end")).filter("node != end")
+    # In buckets of two or three nodes that is every pair; larger ones meet their least node first, and are gone through later.
+    ends = met.select("node", F.explode(F.when(F.col("n") > 3, F.array("low")).otherwise(F.array("low", "high"))).alias("end")).filter("node != end")
     pairs = ends.select(F.least("node", "end").alias("a"), F.greatest("node", "end").alias("b")).distinct()
     likely = cut(estimated(pairs, nodes, percent))
 
