@@ -267,6 +267,37 @@ def evidence_package(answers: DataFrame, claims: DataFrame, errors: DataFrame) -
         F.when(alive, noted).alias("missing_evidence"))
 
 
+def full_package(package: DataFrame, claims: DataFrame, hits: DataFrame, outcome: DataFrame | None = None) -> DataFrame:
+    """:func:`evidence_package` with what a reader is shown beside it, null where no recommendation survived:
+    ``recommendation_claims``, ``supporting_evidence`` (claim id, text, citation ids, in claim order), ``safety_notice``,
+    ``evidence_checked`` (labels of all sources) and ``checks``.
+
+    Of the six checks those of retrieval, excerpts and citation coverage hold of every package, as only claims with an exact
+    excerpt are left in it.  The other three are false until an audit passed: ``verdicts`` is the outcome of
+    :func:`apply_verdicts`, whose failure is null where the package was verified.  All sides are keyed by the
+    question and bounded by it, so the package is one exchange of each.
+    """
+    def of(kind: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(
+            "claim_no", F.struct("claim_id", F.col("claim_text").alias("claim"), "citation_ids").alias("c")))))
+        return F.transform(rows, lambda x: x.c)
+
+    per_query = claims.groupBy("query_id").agg(of("recommendation").alias("recommendation_claims"), of("supporting").alias("supporting_evidence"))
+    j = package.join(per_query, "query_id", "left").join(
+        checked_sources(hits).withColumnRenamed("sources", "evidence_checked"), "query_id", "left")
+    verified = F.lit(False)
+    if outcome is not None:
+        j = j.join(outcome.select("query_id", (F.col("has_recommendation") & ~F.col("malformed")).alias("__verified")), "query_id", "left")
+        verified = F.coalesce("__verified", F.lit(False))
+    alive = F.col("recommendation").isNotNull()
+    checks = F.struct(
+        F.lit(True).alias("retrieval_passed"), F.lit(True).alias("exact_excerpts_passed"), F.lit(1.0).alias("citation_coverage"),
+        *[verified.alias(n) for n in ("evidence_match_passed", "safety_passed", "verifier_passed")])
+    added = {"recommendation_claims": F.col("recommendation_claims"), "supporting_evidence": F.col("supporting_evidence"),
+             "safety_notice": F.lit(K.SAFETY_NOTICE), "evidence_checked": F.col("evidence_checked"), "checks": checks}
+    return j.select(*package.columns, *[F.when(alive, c).alias(n) for n, c in added.items()])
+
+
 # --- verification -------------------------------------------------------------------------------------
 def verification_complete(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     """``(query_id, complete, passed)``: every claim judged exactly once and nothing else; all rows pass."""

@@ -6,6 +6,9 @@ become running section numbers, a section's lines come together again and are cu
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,76 +134,73 @@ def split_sections(pages: DataFrame) -> DataFrame:
 
 
 # --- splitting ----------------------------------------------------------------------------------------
-_ATOM = "struct<t:string,run:string>"
-
-
-def _pieces(c: Column, sep: str) -> Column:
-    """Split at ``sep``, each separator staying with the piece after it; empty pieces go."""
-    pattern = sep.replace(".", r"\.")
-    return F.array_remove(
-        F.transform(F.split(c, pattern), lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.lit(sep), x))), "")
-
-
-def _atoms(c: Column, seps: tuple[str, ...], run: Column, size: int, overlap: int) -> Column:
-    """Pieces shorter than ``size`` with the run they may be packed in; longer ones go to the next separator."""
+def _atoms(text: str, seps: tuple[str, ...], run: tuple, size: int, overlap: int) -> Iterator[tuple[str, tuple]]:
+    """Pieces shorter than ``size`` with the run they may be packed in; longer ones go to the next separator, at last to
+    fixed windows, each a run of its own.  Separators stay with the piece after them."""
     if not seps:
-        step = size - overlap
-        last = F.greatest(F.ceil((F.length(c) - size) / F.lit(step)), F.lit(0)).cast("int")
-        return F.transform(
-            F.sequence(F.lit(0), last),
-            lambda k: F.struct(F.substring(c, k * step + 1, F.lit(size)).alias("t"),
-                               F.concat(run, F.lit("#"), k.cast("string")).alias("run")))
-    return F.flatten(F.transform(
-        _pieces(c, seps[0]),
-        lambda p, i: F.when(F.length(p) < size, F.array(F.struct(p.alias("t"), run.alias("run")))).otherwise(
-            _atoms(p, seps[1:], F.concat(run, F.lit("."), i.cast("string")), size, overlap))))
+        for k, at in enumerate(range(0, max(len(text) - overlap, 1), size - overlap)):
+            yield text[at:at + size], (*run, "fixed", k)
+        return
+    parts = text.split(seps[0])
+    pieces = [p for p in (parts[0], *(seps[0] + p for p in parts[1:])) if p]
+    for i, piece in enumerate(pieces):
+        if len(piece) < size:
+            yield piece, run
+        else:
+            yield from _atoms(piece, seps[1:], (*run, i), size, overlap)
+
+
+def split_text(text: str, size: int, overlap: int, seps: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    """(start, chunk) of one text, in one walk that holds no more than a chunk's pieces."""
+    held: list[tuple[str, int]] = []  # pieces of the open chunk and where they start
+    at, open_run = 0, None
+
+    def chunk() -> Iterator[tuple[int, str]]:
+        joined = "".join([t for t, _ in held])
+        if stripped := joined.strip(T.WHITESPACE):
+            yield held[0][1] + len(joined) - len(joined.lstrip(T.WHITESPACE)), stripped
+
+    for piece, run in _atoms(text, seps, (), size, overlap):
+        if run[-2:-1] == ("fixed",) and run[-1]:
+            at -= overlap  # a window begins inside the one before it
+        end = at + len(piece)
+        if run != open_run:
+            yield from chunk()
+            held = []
+        elif held and end - held[0][1] > size:
+            yield from chunk()
+            held = [(t, s) for t, s in held if at - s <= overlap and end - s <= size]
+        held.append((piece, at))
+        at, open_run = end, run
+    yield from chunk()
 
 
 def split_overlapping(c, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
                       seps: tuple[str, ...] = K.CHUNK_SEPARATORS) -> Column:
-    """Array of ``struct<start,text>``: pieces of at most ``size`` characters overlapping by at most ``overlap``.
+    """Array of ``struct<start,text>``: pieces of at most ``size`` characters overlapping by at most ``overlap``; null for null.
 
     Text is cut at the coarsest separator (blank line, line, sentence, word, character) that gives pieces below
     ``size``; pieces are packed greedily, separators stay with the piece after them, and each new chunk takes
     over trailing pieces totalling at most ``overlap``.  A piece too long for its separator is cut by the next one
     and packed on its own.  ``start`` is the true offset of the trimmed chunk, so no search is needed to place it.
+
+    Each text is walked once with a cursor, Arrow batch by batch: a fold in SQL copies the growing array of chunks.
     """
-    text = T.col(c)
-    win = "array<struct<t:string,s:int,e:int>>"
-    out = "array<struct<start:int,text:string>>"
-
-    def emit(acc):
-        joined = F.array_join(F.transform(acc.win, lambda x: x.t), "")
-        start = F.element_at(acc.win, 1).s
-        lead = F.length(joined) - F.length(T.lstrip(joined))
-        piece = F.struct((start + lead).cast("int").alias("start"), T.strip(joined).alias("text"))
-        return F.when((F.size(acc.win) == 0) | (T.strip(joined) == ""), acc.out).otherwise(
-            F.concat(acc.out, F.array(piece)))
-
-    def atom(a, acc):
-        e = (acc.pos + F.length(a.t)).cast("int")
-        return F.struct(a.t.alias("t"), acc.pos.alias("s"), e.alias("e"))
-
-    def state(pos, run, w, o):
-        return F.struct(pos.cast("int").alias("pos"), run.cast("string").alias("run"), w.cast(win).alias("win"),
-                        o.cast(out).alias("out"))
-
-    # Characters stepped back when a run of fixed windows overlaps the one before it.
-    def step(acc, a):
-        fixed = F.contains(a.run, F.lit("#"))
-        again = fixed & ~F.endswith(a.run, F.lit("#0"))
-        pos = F.when(again, acc.pos - overlap).otherwise(acc.pos)
-        here = F.struct(a.t.alias("t"), pos.cast("int").alias("s"), (pos + F.length(a.t)).cast("int").alias("e"))
-        fresh = acc.run != a.run
-        full = (~fresh) & (F.size(acc.win) > 0) & (here.e - F.element_at(acc.win, 1).s > size)
-        tail = F.filter(acc.win, lambda x: (acc.pos - x.s <= overlap) & (here.e - x.s <= size))
-        return (
-            F.when(fresh, state(here.e, a.run, F.array(here), emit(acc)))
-            .when(full, state(here.e, a.run, F.concat(tail, F.array(here)), emit(acc)))
-            .otherwise(state(here.e, a.run, F.concat(acc.win, F.array(here)), acc.out)))
-
-    zero = state(F.lit(0), F.lit(""), F.array(), F.array())
-    return F.aggregate(_atoms(text, tuple(seps), F.lit("r"), size, overlap).cast(f"array<{_ATOM}>"), zero, step, emit)
+    seps = tuple(seps)
+
+    @F.arrow_udf("array<struct<start:int,text:string>>")
+    def chunks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            starts, found, offsets = [], [], [0]
+            for text in texts.to_pylist():
+                for start, chunk in split_text(text, size, overlap, seps) if text is not None else ():
+                    starts.append(start)
+                    found.append(chunk)
+                offsets.append(len(starts))
+            rows = pa.StructArray.from_arrays([pa.array(starts, pa.int32()), pa.array(found, pa.string())], names=["start", "text"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=texts.is_null())
+
+    return chunks(T.col(c))
 
 
 def fixed_windows(c, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> Column:

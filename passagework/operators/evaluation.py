@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from re import _parser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,46 +23,143 @@ IN, OUT = "in_scope", "out_of_scope"
 
 
 # --- patterns -----------------------------------------------------------------------------------------
+#: Seconds that one search of an expression with nested repeats may take.
+SEARCH_SECONDS = 1.0
+#: Letters that match an ASCII letter when case is ignored, and that letter.
+ODD_CASES, THEIR_CASES = "\u0130\u0131\u017f\u212a", "iisk"
+
+
+def _parsed(pattern: str):
+    try:
+        re.compile(pattern, re.IGNORECASE)
+        return _parser.parse(pattern, re.IGNORECASE)
+    except (re.error, OverflowError, RecursionError):
+        return None
+
+
+def _literal(tokens) -> str:
+    """The longest run of ASCII characters that stands in every match of parsed ``tokens``."""
+    best = run = ""
+    for op, value in [*tokens, (None, None)]:
+        name = str(op)
+        if name == "LITERAL" and 32 <= value < 127:
+            run += chr(value).lower()
+            continue
+        inner = ""
+        if name == "SUBPATTERN":
+            inner = _literal(value[3])
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            inner = _literal(value[2])
+        elif name == "ATOMIC_GROUP":
+            inner = _literal(value)
+        best = max(best, run, inner, key=len)
+        run = ""
+    return best
+
+
+def required_literal(pattern: str) -> str:
+    """Lower-case ASCII text that stands in every text which ``pattern`` matches, empty if none is known."""
+    tokens = _parsed(pattern)
+    if tokens is None:
+        return pattern.lower() if pattern.isascii() else ""
+    return _literal(tokens)
+
+
+def _nested(tokens, inside: bool = False) -> bool:
+    """Whether a repeat without bound holds another one, or alternatives: only such expressions can take time beyond any bound."""
+    for op, value in tokens:
+        name = str(op)
+        if name in ("MAX_REPEAT", "MIN_REPEAT"):
+            free = value[1] is _parser.MAXREPEAT
+            if inside and free or _nested(value[2], inside or free):
+                return True
+        elif name == "BRANCH":
+            if inside or any(_nested(t, inside) for t in value[1]):
+                return True
+        elif name == "SUBPATTERN" and _nested(value[3], inside):
+            return True
+        elif name in ("ASSERT", "ASSERT_NOT") and _nested(value[1], inside):
+            return True
+        elif name == "ATOMIC_GROUP" and _nested(value, inside):
+            return True
+    return False
+
+
 @lru_cache(4096)
 def _finder(pattern: str):
-    """Search of one expression; one that is no Python expression is looked up literally."""
-    try:
-        return re.compile(pattern, re.IGNORECASE).search
-    except re.error:
+    """Search of one expression; one that is no Python expression is looked up literally.
+
+    An expression that may backtrack without bound is searched under a time limit, beyond which it counts as not found.
+    """
+    tokens = _parsed(pattern)
+    if tokens is None:
         low = pattern.lower()
         return lambda text: low in text.lower()
+    if not _nested(tokens):
+        return re.compile(pattern, re.IGNORECASE).search
+    import regex
+    search = regex.compile(pattern, regex.IGNORECASE).search
+
+    def bounded(text: str) -> bool:
+        try:
+            return search(text, timeout=SEARCH_SECONDS) is not None
+        except TimeoutError:
+            return False
+
+    return bounded
+
+
+@F.pandas_udf(S.ArrayType(S.StringType()))
+def _literals(patterns: pd.Series) -> pd.Series:
+    def of(ps):
+        found = [required_literal(p) for p in ps if p is not None]
+        return found if all(found) else None
+
+    return pd.Series([of(ps) for ps in patterns], dtype=object)
 
 
 @F.pandas_udf(S.BooleanType())
 def _found(patterns: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([len(ps) == 0 or any(_finder(p)(t) for p in ps if p is not None) for ps, t in zip(patterns, texts)], dtype=bool)
+    out = []
+    for ps, t in zip(patterns, texts):
+        out.append(t is not None and any(_finder(p)(t) for p in ps if p is not None))
+    return pd.Series(out, dtype=bool)
 
 
 def checked_patterns(queries: DataFrame, column: str = "must_contain", out: str = "patterns") -> DataFrame:
-    """Add ``patterns``, the label's expressions, an empty list where it has none."""
-    return queries.withColumn(out, F.coalesce(column, F.array().cast("array<string>")))
+    """Add ``patterns``, the label's expressions, an empty list where it has none, and ``literals``: one for each expression,
+    text that stands in all of its matches, or null where some expression has none.  Worked out once per label."""
+    listed = queries.withColumn(out, F.coalesce(column, F.array().cast("array<string>")))
+    return listed.withColumn("literals", _literals(F.col(out)))
 
 
-def matches_any(patterns, text) -> Column:
+def matches_any(patterns, text, literals=None) -> Column:
     """Any pattern found, ignoring case; no pattern matches all.
 
     Labels are written as Python expressions, so Python both checks and matches them: a dialect of its own, or an
-    expression that does not compile, cannot fail the job.  Texts go through Arrow in batches; callers null the texts that
-    need no look.
+    expression that does not compile, cannot fail the job.  With ``literals`` (:func:`checked_patterns`) the JVM looks
+    for these first, and a text without any goes to Python as a null.  Callers null the texts that need no look.  A search
+    that may backtrack without bound ends after ``SEARCH_SECONDS`` and counts as not found.
     """
-    return _found(F.coalesce(T.col(patterns), F.array().cast("array<string>")), F.coalesce(T.col(text), F.lit("")))
+    ps = F.coalesce(T.col(patterns), F.array().cast("array<string>"))
+    t = F.coalesce(T.col(text), F.lit(""))
+    if literals is None:
+        return F.when(F.size(ps) == 0, True).otherwise(_found(ps, F.when(F.size(ps) > 0, t)))
+    folded = F.lower(F.translate(t, ODD_CASES, THEIR_CASES))
+    may = F.col(literals).isNull() | F.exists(F.col(literals), lambda x: F.contains(folded, x))
+    return F.when(F.size(ps) == 0, True).otherwise(may & _found(ps, F.when(may & (F.size(ps) > 0), t)))
 
 
 # --- labels and ranks ---------------------------------------------------------------------------------
 def label_hits(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """Add ``page_hit`` (expected source and page) and ``answer_hit`` (page hit whose text has an expected pattern)."""
-    q = queries.select("query_id", "expected_source", "expected_pages", "patterns")
+    q = queries.select("query_id", "expected_source", "expected_pages", "patterns", "literals")
     page = F.coalesce((F.col("source") == F.col("expected_source"))
                       & F.array_contains("expected_pages", F.col("page_number").cast("int")), F.lit(False))
     return (
         hits.join(q, "query_id").withColumn("page_hit", page)
-        .withColumn("answer_hit", F.when(F.col("page_hit"), matches_any("patterns", F.when(F.col("page_hit"), F.col("text")))).otherwise(F.lit(False)))
-        .drop("expected_source", "expected_pages", "patterns"))
+        .withColumn("answer_hit", F.when(F.col("page_hit"), matches_any("patterns", F.when(F.col("page_hit"), F.col("text")), "literals")).otherwise(F.lit(False)))
+        .drop("expected_source", "expected_pages", "patterns", "literals"))
 
 
 def first_rank(labelled: DataFrame, flag: str, out: str) -> DataFrame:
@@ -175,12 +273,12 @@ def citation_integrity(citations: DataFrame, queries: DataFrame, retrieved: Data
         ok = F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
         full = ok if full is None else full & ok
     n = retrieved.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    q = queries.select("query_id", "expected_document_id", "expected_pages", "patterns")
+    q = queries.select("query_id", "expected_document_id", "expected_pages", "patterns", "literals")
     j = citations.join(n, "query_id", "left").join(q, "query_id", "left")
     page = F.coalesce((F.col("document_id") == F.col("expected_document_id"))
                       & F.array_contains("expected_pages", F.col("page").cast("int")), F.lit(False))
     j = j.withColumn("page_ok", page).withColumn(
-        "answer_ok", F.when(F.col("page_ok"), matches_any("patterns", F.when(F.col("page_ok"), F.col("excerpt")))).otherwise(F.lit(False)))
+        "answer_ok", F.when(F.col("page_ok"), matches_any("patterns", F.when(F.col("page_ok"), F.col("excerpt")), "literals")).otherwise(F.lit(False)))
     total = F.count(F.lit(1))
     return j.groupBy("query_id").agg(
         (F.bool_and(full & (F.col("source_id") >= 1)) & (F.max("source_id") <= F.coalesce(F.max("n"), total)) & (F.count_distinct("citation_id") == total)
@@ -244,13 +342,13 @@ def retrieval_metrics_full(retrieved: DataFrame, chunks: DataFrame, queries: Dat
     """
     q = queries.filter(F.col("scope") == IN)
     rows = retrieved.join(
-        q.select("query_id", "expected_document_id", "expected_pages", "patterns"), "query_id").join(
+        q.select("query_id", "expected_document_id", "expected_pages", "patterns", "literals"), "query_id").join(
         chunks.select(F.col("vector_ref").alias("chunk_id"), "content"), "chunk_id", "left")
     page = F.coalesce((F.col("document_id") == F.col("expected_document_id"))
                       & F.array_contains("expected_pages", F.col("page").cast("int")), F.lit(False))
     rows = rows.withColumn("page_hit", page)
     answer = F.col("page_hit") & (F.coalesce("content", F.lit("")) != "")
-    rows = rows.withColumn("answer_hit", F.when(answer, matches_any("patterns", F.when(answer, F.col("content")))).otherwise(F.lit(False))).select(
+    rows = rows.withColumn("answer_hit", F.when(answer, matches_any("patterns", F.when(answer, F.col("content")), "literals")).otherwise(F.lit(False))).select(
         "query_id", "rank", "chunk_id", "document_id", "page", "page_hit", "answer_hit")
     per = rows.groupBy("query_id").agg(
         F.min(F.when(F.col("page_hit"), F.col("rank"))).alias("p"), F.min(F.when(F.col("answer_hit"), F.col("rank"))).alias("a"),

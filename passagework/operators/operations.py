@@ -18,6 +18,9 @@ from passagework.functions.graph import components
 from passagework.functions.windows import row_numbers, running_total, top_per_key
 from passagework.sources.lineage import cut
 
+#: Rows of a group of bookings that one task folds.
+FOLD_ROWS = 1_000_000
+
 
 def unique_slugs(df: DataFrame, name: str, order: str) -> DataFrame:
     """Add ``slug``: the name's slug, with ``-2``, ``-3``… for later rows of the same slug in ``order``.
@@ -120,8 +123,10 @@ def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 group, taken, held = r.booking_group, {}, {}
             place = (r.doctor_id, r.slot)
             reason = None
-            if r.action == "existing":
-                taken[place], held[r.appointment_id] = r.appointment_id, place
+            if r.action in ("existing", "holds"):  # one that only holds its place leaves it to others
+                held[r.appointment_id] = place
+                if r.action == "existing":
+                    taken[place] = r.appointment_id
                 continue
             if r.action in ("cancel", "reschedule") and r.appointment_id not in held:
                 reason = f"not_available_to_{r.action}"
@@ -138,27 +143,76 @@ def _fold_bookings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["clinic_id", "action_id", "action", "appointment_id", "applied", "reason"])
 
 
-def _booking_groups(links: DataFrame) -> DataFrame:
-    """``(clinic_id, appointment_id, booking_group)``: appointments tied together through doctors, directly or by others.
+def booking_groups(rows: DataFrame) -> DataFrame:
+    """``(clinic_id, appointment_id, booking_group)``: appointments tied together through places (a doctor and a slot),
+    directly or by others.
 
-    Doctors of one appointment are linked to its least doctor; the groups are the connected components of doctors.
+    Appointments of one place are linked to its least appointment; the groups are the connected components.
+    """
+    links = cut(rows.filter((F.col("action") != "cancel") & F.col("doctor_id").isNotNull()).select(
+        "clinic_id", "appointment_id", "doctor_id", "slot").distinct())
+    first = links.groupBy("clinic_id", "doctor_id", "slot").agg(F.min("appointment_id").alias("first"))
+    same = F.col("l.clinic_id").eqNullSafe(F.col("f.clinic_id")) & (F.col("l.doctor_id") == F.col("f.doctor_id")) & F.col("l.slot").eqNullSafe(F.col("f.slot"))
+    edges = links.alias("l").join(first.alias("f"), same).select(
+        F.struct("l.clinic_id", "appointment_id").alias("a"), F.struct("l.clinic_id", F.col("first").alias("appointment_id")).alias("b"))
+    roots = components(edges)
+    return roots.select("node.clinic_id", "node.appointment_id", F.col("root.appointment_id").alias("booking_group"))
+
+
+def settle_round(todo: DataFrame, held: DataFrame, taken: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(outcomes, held, taken)`` of all open actions that need not wait for another one, and the bookings after them.
+
+    ``held`` has the place of each appointment, ``taken`` the appointment that counts for each place.  An action touches its
+    appointment, the place it asks for and the place that its appointment holds.  The first open action of all that it
+    touches settles now, all such at once: no two of them touch the same.  So does every booking of a taken place
+    that nobody may leave before it: it fails, whatever its own appointment does meanwhile.
     """
-    links = cut(links.filter(F.col("doctor_id").isNotNull()).distinct())
-    first = cut(links.groupBy("clinic_id", "appointment_id").agg(F.min("doctor_id").alias("first")))
-    edges = links.join(first, ["clinic_id", "appointment_id"]).select(
-        F.struct("clinic_id", "doctor_id").alias("a"), F.struct("clinic_id", F.col("first").alias("doctor_id")).alias("b"))
-    roots = components(edges).select("node.clinic_id", F.col("node.doctor_id").alias("first"), F.col("root.doctor_id").alias("root"))
-    return first.join(roots, ["clinic_id", "first"], "left").select(
-        "clinic_id", "appointment_id", F.coalesce("root", "first").alias("booking_group"))
-
-
-def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFrame:
-    """Outcome of confirmed book, cancel and reschedule actions taken in time order within each clinic.
-
-    Order matters only between actions that share a doctor or an appointment, a move tying two doctors together.  Those
-    groups are found first, so a large clinic falls into independent pieces.  Rows are partitioned by group and sorted on
-    disk by Spark; the fold reads them as a stream of Arrow batches and keeps only the group's booked slots, never its
-    actions, in memory.
+    order = F.struct("at", "action_id")
+    moves, wants = F.col("action") != "book", F.col("action") != "cancel"
+    own = held.select("clinic_id", "appointment_id", F.col("doctor_id").alias("held_doctor"), F.col("held_slot"))
+    now = todo.withColumn("o", order).join(own, ["clinic_id", "appointment_id"], "left")
+    none = F.lit(None)
+
+    def touched(on: Column, **of: Column) -> Column:
+        return F.when(on, F.struct(*[of.get(n, none).cast("string").alias(n) for n in ("appointment", "doctor", "slot")]))
+
+    things = F.array_compact(F.array(
+        touched(F.lit(True), appointment=F.col("appointment_id")), touched(wants, doctor=F.col("doctor_id"), slot=F.col("slot")),
+        touched(moves & F.col("held_doctor").isNotNull(), doctor=F.col("held_doctor"), slot=F.col("held_slot"))))
+    each = now.select("clinic_id", "action_id", "o", F.explode(F.array_distinct(things)).alias("thing"))
+    first = each.groupBy("clinic_id", "thing").agg(F.min("o").alias("first"))
+    waiting = each.join(first, ["clinic_id", "thing"]).filter(F.col("o") != F.col("first")).select("action_id").distinct()
+    place = ["clinic_id", "doctor_id", "slot"]
+    leaves = now.filter(moves & F.col("held_doctor").isNotNull()).groupBy(
+        "clinic_id", F.col("held_doctor").alias("doctor_id"), F.col("held_slot").alias("slot")).agg(F.min("o").alias("leaves"))
+    taker = taken.join(leaves, place, "left")
+    told = now.join(waiting.withColumn("waits", F.lit(True)), "action_id", "left").join(taker, place, "left")
+    other = wants & F.col("taker").isNotNull() & (F.col("taker") != F.col("appointment_id"))
+    lost = (F.col("action") == "book") & other & (F.col("leaves").isNull() | (F.col("o") < F.col("leaves")))
+    has = F.col("held_doctor").isNotNull()
+    reason = (
+        F.when(F.col("waits") & lost, "slot_taken").when(moves & ~has, F.concat(F.lit("not_available_to_"), "action"))
+        .when(other, "slot_taken").when(~moves & has, "already_booked"))
+    outcomes = cut(told.filter(F.col("waits").isNull() | lost).select(
+        "clinic_id", "action_id", "action", "appointment_id", "doctor_id", "slot", "held_doctor", "held_slot", reason.alias("reason")))
+    applied = outcomes.filter(F.col("reason").isNull())
+    left = applied.filter(moves).select("clinic_id", F.col("held_doctor").alias("doctor_id"), F.col("held_slot").alias("slot"))
+    added = applied.filter(wants).select("clinic_id", "appointment_id", "doctor_id", "slot")
+    held = held.join(applied.select("clinic_id", "appointment_id"), ["clinic_id", "appointment_id"], "left_anti").unionByName(
+        added.withColumnRenamed("slot", "held_slot"))
+    taken = taken.join(left, place, "left_anti").unionByName(added.withColumnRenamed("appointment_id", "taker"))
+    return outcomes.drop("doctor_id", "slot", "held_doctor", "held_slot"), cut(held), cut(taken)
+
+
+def apply_booking_actions(appointments: DataFrame, actions: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """Outcome of confirmed book, cancel and reschedule actions (``action_id`` is unique) taken in time order within each clinic.
+
+    Order matters only between actions that share an appointment or a place, directly or by others.  Those groups are
+    found first, so a clinic of any size falls into many independent pieces.  Rows are partitioned by group and sorted on disk
+    by Spark; a fold reads them as a stream of Arrow batches and keeps only the group's booked slots in memory.
+
+    A group of more than ``fold_rows`` rows is no single task: its actions are settled in rounds (:func:`settle_round`), all
+    that need not wait at once, until the rest is small, or is a chain that has an order and nothing else.
     """
     start = appointments.filter(F.col("status") == "booked").select(
         "clinic_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"),
@@ -166,19 +220,58 @@ def apply_booking_actions(appointments: DataFrame, actions: DataFrame) -> DataFr
         F.col("id").alias("appointment_id"), "doctor_id", "slot")
     todo = actions.select("clinic_id", F.lit(1).alias("kind"), "at", "action_id", "action", "appointment_id",
                           "doctor_id", "slot")
-    rows = start.unionByName(todo)
-    groups = _booking_groups(rows.filter(F.col("action") != "cancel").select("clinic_id", "appointment_id", "doctor_id"))
-    # An appointment that is never booked has no group; its actions fail whatever stands around them, so it stands alone.
-    ordered = (
-        rows.join(groups, ["clinic_id", "appointment_id"], "left")
-        .withColumn("booking_group", F.concat_ws("|", "clinic_id", F.coalesce(F.col("booking_group").cast("string"), F.concat_ws(
-            "|", F.lit(""), "appointment_id"))))
-        .repartition("booking_group").sortWithinPartitions("booking_group", "kind", "at", "action_id"))
-    kind = dict(ordered.dtypes)
-    return ordered.mapInPandas(
-        _fold_bookings,
-        f"clinic_id {kind['clinic_id']}, action_id bigint, action string, appointment_id {kind['appointment_id']}, "
-        "applied boolean, reason string")
+    rows = grouped_bookings(start.unionByName(todo))
+    kind = dict(rows.dtypes)
+    done = f"clinic_id {kind['clinic_id']}, action_id bigint, action string, appointment_id {kind['appointment_id']}, applied boolean, reason string"
+    large = cut(rows.groupBy("booking_group").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > fold_rows).select("booking_group"))
+    if not large.take(1):
+        return folded(rows, done)
+    rows = cut(rows)
+    settled, rest = _settled(rows.join(large, "booking_group", "left_semi"), fold_rows)
+    small = rows.join(large, "booking_group", "left_anti").unionByName(grouped_bookings(rest))
+    return folded(small, done).unionByName(settled.select(
+        "clinic_id", "action_id", "action", "appointment_id", F.col("reason").isNull().alias("applied"), "reason"))
+
+
+def grouped_bookings(rows: DataFrame) -> DataFrame:
+    """Rows with ``booking_group``.  An appointment that is never booked has no group: its actions fail whatever stands around
+    them, so it stands alone."""
+    groups = booking_groups(rows)
+    return rows.join(groups, ["clinic_id", "appointment_id"], "left").withColumn(
+        "booking_group", F.concat_ws("|", "clinic_id", F.coalesce("booking_group", "appointment_id").cast("string")))
+
+
+def folded(rows: DataFrame, schema: str) -> DataFrame:
+    columns = ["clinic_id", "kind", "at", "action_id", "action", "appointment_id", "doctor_id", "slot", "booking_group"]
+    return rows.select(*columns).repartition("booking_group").sortWithinPartitions(
+        "booking_group", "kind", "at", "action_id", "appointment_id").mapInPandas(_fold_bookings, schema)
+
+
+def _settled(rows: DataFrame, fold_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``(outcomes, rows)`` after rounds: what is settled, and bookings and open actions that are left for the fold.
+
+    Rounds end when no more than ``fold_rows`` actions are open, or one settled less than a hundredth of them.
+    """
+    plain = rows.drop("booking_group")
+    booked = plain.filter(F.col("kind") == 0)
+    held = cut(booked.select("clinic_id", "appointment_id", "doctor_id", F.col("slot").alias("held_slot")))
+    taken = cut(booked.groupBy("clinic_id", "doctor_id", "slot").agg(F.max("appointment_id").alias("taker")))
+    still = cut(plain.filter(F.col("kind") == 1))
+    n, outcomes = still.count(), None
+    while n > fold_rows:
+        some, held, taken = settle_round(still, held, taken)
+        outcomes = some if outcomes is None else outcomes.unionByName(some)
+        still = cut(still.join(some.select("action_id"), "action_id", "left_anti"))
+        before, n = n, still.count()
+        if before - n < before / 100:
+            break
+    counts = F.when(F.col("taker") == F.col("appointment_id"), "existing").otherwise("holds")
+    start = held.withColumnRenamed("held_slot", "slot").join(taken, ["clinic_id", "doctor_id", "slot"], "left").select(
+        "clinic_id", F.lit(0).alias("kind"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("bigint").alias("action_id"),
+        counts.alias("action"), "appointment_id", "doctor_id", "slot")
+    if outcomes is None:
+        outcomes = still.limit(0).withColumn("reason", F.lit(None).cast("string")).drop("kind", "at", "doctor_id", "slot")
+    return outcomes, start.unionByName(still)
 
 
 def available_now(doctors: DataFrame, windows: DataFrame, now: Column, monday_first: bool = True) -> DataFrame:

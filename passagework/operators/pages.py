@@ -2,13 +2,13 @@
 
 A page table has ``document_id, page_number, text`` plus whatever else travels along.  A document is one uploaded
 file, bounded by the upload limit (``K.MAX_UPLOAD_BYTES``), so windows over one document hold a bounded group;
-nothing here groups by tenant or source.  :func:`with_pages` hash-partitions the pages once by ``document_id`` and
-every later step of the family reuses that partitioning.
+nothing here groups by tenant or source.  The first window hash-partitions the pages once by ``document_id``, unless they lie
+so already, and every later step of the family reuses that partitioning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework import constants as K
@@ -20,11 +20,6 @@ DOC = "document_id"
 DOC_PAGE = [DOC, "page_number"]
 
 
-def with_pages(pages: DataFrame) -> DataFrame:
-    """Co-locate each document's pages; everything per document after this runs without another shuffle."""
-    return pages.repartition(DOC)
-
-
 def page_quality(pages: DataFrame) -> DataFrame:
     """Add ``char_count`` and ``suspected_scanned`` (an image but hardly any text)."""
     n = F.length("text")
@@ -120,28 +115,58 @@ def _edge_keys():
 def detect_furniture(pages: DataFrame) -> DataFrame:
     """``(document_id, key, pages)`` of edge lines repeated on enough pages of their document.
 
-    Keys are made distinct inside each page row, so the one aggregate counts pages, and it combines map-side.
+    Keys are made distinct inside each page row, so the one aggregate counts pages, and it combines map-side; its rows
+    without a key count all pages of a document.
     """
-    counts = pages.select(DOC, F.explode_outer(_edge_keys()).alias("key")).filter(F.col("key").isNotNull()).groupBy(DOC, "key").agg(
-        F.count(F.lit(1)).alias("pages"))
-    totals = pages.groupBy(DOC).agg(F.count(F.lit(1)).alias("page_count"))
-    limit = F.greatest(F.lit(K.FURNITURE_MIN_PAGES), F.floor(F.col("page_count") * F.lit(K.FURNITURE_PAGE_RATIO)))
-    return (
-        counts.join(totals, DOC)
-        .filter((F.col("page_count") >= K.FURNITURE_MIN_PAGES) & (F.col("pages") >= limit))
-        .select(DOC, "key", "pages")
-    )
+    marks = F.concat(F.array(F.lit(None).cast("string")), F.coalesce(_edge_keys(), F.array().cast("array<string>")))
+    counts = pages.filter(F.col(DOC).isNotNull()).select(DOC, F.explode(marks).alias("key")).groupBy(DOC, "key").agg(F.count(F.lit(1)).alias("pages"))
+    total = F.max(F.when(F.col("key").isNull(), F.col("pages"))).over(Window.partitionBy(DOC))
+    return counts.withColumn("__total", total).filter(
+        F.col("key").isNotNull() & is_furniture(F.col("__total"), F.col("pages"))).select(DOC, "key", "pages")
+
+
+def is_furniture(page_count: Column, pages: Column) -> Column:
+    """Whether an edge key on ``pages`` of a document's ``page_count`` pages is repeated on enough of them."""
+    limit = F.greatest(F.lit(K.FURNITURE_MIN_PAGES), F.floor(page_count * F.lit(K.FURNITURE_PAGE_RATIO)))
+    return (page_count >= K.FURNITURE_MIN_PAGES) & (pages >= limit)
 
 
 def strip_furniture(pages: DataFrame, furniture: DataFrame) -> DataFrame:
     """Drop furniture and page-number lines from page edges; ``removed`` lists the dropped lines.
 
-    The keys of one document travel as one small array to its pages (keyed join, no broadcast), and lines are
-    judged inside the page row, so the text is neither exploded nor collected again.
+    The keys of one document travel as one small array to its pages (keyed join, no broadcast).  Where the furniture is that
+    of these very pages, :func:`clean_furniture` needs no such join.
     """
     keys = furniture.groupBy(DOC).agg(F.collect_set("key").alias("__keys"))
-    joined = pages.join(keys, DOC, "left").withColumn(
-        "__keys", F.coalesce("__keys", F.array().cast("array<string>")))
+    return _without_edges(pages.join(keys, DOC, "left").withColumn(
+        "__keys", F.coalesce("__keys", F.array().cast("array<string>"))))
+
+
+def clean_furniture(pages: DataFrame) -> DataFrame:
+    """:func:`detect_furniture` and :func:`strip_furniture` on one scan and one exchange of the text.
+
+    Edge keys are worked out in the row.  A page's keys stand beside it as slim rows, which meet in the partition of
+    their document: windows there count the pages of each key, and what is repeated often enough comes back to the page rows
+    as one small array.  Where the pages lie by document already, nothing is shuffled.
+    """
+    cols = [c for c in pages.columns if c != DOC]
+    keyed = once(pages, __edge=_edge_keys())
+    page = F.struct(F.lit(True).alias("__page"), F.lit(None).cast("string").alias("__key"))
+    slim = F.transform(F.coalesce("__edge", F.array().cast("array<string>")), lambda k: F.struct(F.lit(False).alias("__page"), k.alias("__key")))
+    rows = keyed.select(DOC, *cols, F.inline(F.concat(F.array(page), slim))).select(
+        DOC, *[F.when(F.col("__page"), F.col(c)).alias(c) for c in cols], "__page", "__key")
+    # One sort serves the three windows; the first one's partitioning by document holds for the second as well.
+    whole = Window.partitionBy(DOC).orderBy("__key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    same = Window.partitionBy(DOC, "__key")
+    total = F.count_if("__page").over(whole)
+    counted = rows.withColumn("__total", total).withColumn("__pages", F.count(F.lit(1)).over(same))
+    told = counted.withColumn("__keys", F.collect_set(F.when(
+        F.col("__key").isNotNull() & F.col(DOC).isNotNull() & is_furniture(F.col("__total"), F.col("__pages")), F.col("__key"))).over(whole))
+    return _without_edges(told.filter("__page").drop("__page", "__key", "__total", "__pages"))
+
+
+def _without_edges(joined: DataFrame) -> DataFrame:
+    """Lines are judged inside the page row by its ``__keys``, so the text is neither exploded nor collected again."""
     def drop(x):
         t = T.strip(x)
         return (t != "") & ~T.is_protected(t) & (
@@ -182,8 +207,7 @@ def drop_empty_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _cleaned(pages: DataFrame) -> DataFrame:
-    # Detection needs no co-location: page keys combine map-side.  Only the stripping side moves text.
-    return once(strip_furniture(with_pages(pages), detect_furniture(pages)), text=T.light_clean("text"))
+    return once(clean_furniture(pages), text=T.light_clean("text"))
 
 
 def classify_pages(pages: DataFrame) -> DataFrame:

@@ -6,7 +6,6 @@ share (a tenant, say): a query then sees, and lexical statistics count, only row
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,12 +17,12 @@ from pyspark.sql import types as S
 from passagework import constants as K
 from passagework.functions import text as T
 from passagework.functions.windows import top_per_key
+from passagework.operators import neighbours
+from passagework.operators.postings import PostingIndex, search_index
 from passagework.sources.lineage import cut, spread
 
-#: Vectors of one side held by one task of the nearest-neighbour search.
-VECTOR_BLOCK = 4096
 #: Scores and distances are compared after rounding to this many places; ties then go by key.
-TIE_DIGITS = 6
+TIE_DIGITS = neighbours.TIE_DIGITS
 
 _ALL = "__all"
 
@@ -59,67 +58,13 @@ def embed(df: DataFrame, text: str, out: str = "vector", embedder: Callable[[Col
 
 
 # --- dense search -------------------------------------------------------------------------------------
-def _nearest(k: int, keys: list[str]):
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        cols = [*keys, "query_id", "key", "distance"]
-        if q.empty or c.empty:
-            return pd.DataFrame(columns=cols)
-        a = np.stack(q["vector"].to_numpy()).astype(np.float64)
-        b = np.stack(c["vector"].to_numpy()).astype(np.float64)
-        d = np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0)
-        r = np.round(d, TIE_DIGITS)
-        ckeys = c["key"].to_numpy()
-        n = min(k, len(ckeys))
-        by_key = np.argsort(ckeys, kind="stable")
-        order = by_key[np.argsort(r[:, by_key], axis=1, kind="stable")[:, :n]]
-        rows = np.repeat(np.arange(len(a)), n)
-        pick = order.ravel()
-        out = {key: q[key].to_numpy()[rows] for key in keys}
-        out |= {"query_id": q["query_id"].to_numpy()[rows], "key": ckeys[pick], "distance": d[rows, pick]}
-        return pd.DataFrame(out)[cols]
-    return search
-
-
-def knn(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None = None,
-        block: int = VECTOR_BLOCK) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None = None, block: int = neighbours.VECTOR_BLOCK) -> DataFrame:
     """Exact ``k`` nearest by squared Euclidean distance: ``(query_id, key, distance, rank)`` plus scope columns.
 
-    Both sides are dealt into blocks of about ``block`` vectors per scope; each pair of blocks meets in one task as
-    one matrix product and gives back only ``k`` rows per query, so no pair table is ever built, nothing is
-    broadcast, and a hot scope is simply more blocks.
+    See :mod:`passagework.operators.neighbours`: few questions travel to the corpus, many meet only the cells that the
+    triangle inequality leaves.  No pair table is built and a hot scope is more blocks.
     """
-    q, keys = _scoped(queries, scope or [])
-    c, _ = _scoped(corpus, scope or [])
-
-    def blocks(side: DataFrame, name: str) -> DataFrame:
-        return side.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias(name))
-
-    if scope:
-        sizes = blocks(q, "__nq").join(blocks(c, "__nc"), keys)
-    else:  # one number for each side
-        n_q, n_c = (max(1, math.ceil(side.count() / block)) for side in (q, c))
-
-    def sized(side: DataFrame) -> DataFrame:
-        return side.join(sizes, keys) if scope else side.withColumns({"__nq": F.lit(n_q), "__nc": F.lit(n_c)})
-
-    def deal(side: DataFrame, ident: str, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        return (
-            sized(side.select(*keys, F.col(ident), "vector"))
-            .withColumn(own, F.pmod(F.xxhash64(ident), F.col(n_own)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1)))
-            .drop("__nq", "__nc"))
-
-    qs = deal(q, "query_id", "__qb", "__nq", "__cb", "__nc")
-    cs = deal(c, "key", "__cb", "__nc", "__qb", "__nq")
-    schema = S.StructType([*[q.schema[x] for x in keys], q.schema["query_id"], c.schema["key"],
-                           S.StructField("distance", S.DoubleType())])
-    group = [*keys, "__qb", "__cb"]
-    # Both sides may come from one table; own names keep the two groupings apart.
-    cs = cs.select(*[F.col(g).alias(f"{g}_c") for g in group], "key", "vector")
-    local = qs.groupBy(*group).cogroup(cs.groupBy(*[f"{g}_c" for g in group])).applyInPandas(
-        _nearest(k, keys), schema)
-    ranked = top_per_key(local, ["query_id"], [F.round("distance", TIE_DIGITS), "key"], k)
-    return ranked.drop(_ALL)
+    return neighbours.knn(queries, corpus, k, list(scope or []), block)
 
 
 def allow_list(corpus: DataFrame, ids: DataFrame | None, column: str = "document_id") -> DataFrame:
@@ -180,15 +125,21 @@ def term_weights(stats: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bm25(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str] | None = None,
-         pad: bool = True) -> DataFrame:
+         pad: bool = True, index: PostingIndex | None = None) -> DataFrame:
     """Okapi BM25 top ``k`` per query: ``(query_id, key, score, rank)`` plus scope columns.
 
+    With the stored ``index`` of this corpus only the posting folders of the queries' terms are read.  Without one, as for a
+    corpus that was filtered for this call:
     Texts are cut into terms once, where they are read, and never shuffled: the terms are a table that document
     frequencies and term counts both read.  Only (key, length, term, count) of query terms are shuffled, summed in the
     tasks before, and ``k`` rows per query and partition travel to the ranking.  Queries with fewer than ``k`` matches are filled up with unmatched rows in key order.
     """
     q, keys = _scoped(queries, scope or [])
     c, _ = _scoped(corpus, scope or [])
+    if index is not None:
+        top = _scoped(search_index(index, queries, k), scope or [])[0]
+        top = _pad(top, q, c, keys, k) if pad else top
+        return top.select(*[x for x in keys if x != _ALL], "query_id", "key", "score", "rank")
     # One large input split must not tokenise on one core; a table of many splits stays where it is.
     placed = cut(spread(c.select(*keys, "key", "text"), "key").select(*keys, "key", T.tokenize("text").alias("tokens")))
     placed = placed.withColumn("dl", F.size("tokens"))
@@ -312,16 +263,17 @@ def chunk_key(chunk_id, source, page, text) -> Column:
 def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, k: int, candidate_k: int | None = None,
                     ids: DataFrame | None = None, scope: list[str] | None = None,
                     scorer: Callable[[Column, Column], Column] | None = None,
-                    dense: DataFrame | None = None) -> DataFrame:
+                    dense: DataFrame | None = None, index: PostingIndex | None = None) -> DataFrame:
     """Dense and lexical candidates over the same filtered corpus, fused, reranked and fused again.
 
-    ``dense`` reuses a nearest-neighbour result already at hand.
+    ``dense`` reuses a nearest-neighbour result already at hand, ``index`` the stored postings of the whole corpus; with
+    ``ids`` statistics are those of the allowed documents, which no stored index has.
     """
     n = max(k, candidate_k or K.RERANK_CANDIDATES)
     allowed = allow_list(corpus, ids)
     if dense is None:
         dense = knn(queries, allowed, n, scope)
-    lexical = bm25(queries, allowed, n, scope)
+    lexical = bm25(queries, allowed, n, scope, index=index if ids is None else None)
     pool = cut(candidate_pool(dense, lexical, n))
     text = allowed.select("key", "text").join(pool.select("key").distinct(), "key", "left_semi")
     pairs = pool.join(text, "key").join(queries.select("query_id", F.col("text").alias("question")), "query_id")
@@ -330,7 +282,8 @@ def hybrid_retrieve(queries: DataFrame, corpus: DataFrame, k: int, candidate_k:
 
 def retrieve(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_K, gate: float | Column = K.DISTANCE_GATE,
              ids: DataFrame | None = None, scope: list[str] | None = None, reranking: bool = True,
-             scorer: Callable[[Column, Column], Column] | None = None, role: str | None = None) -> DataFrame:
+             scorer: Callable[[Column, Column], Column] | None = None, role: str | None = None,
+             index: PostingIndex | None = None) -> DataFrame:
     """Allowed documents → dense search → distance gate → hybrid ranking → hits.
 
     ``role`` names a column of ``queries``: each question then has the number of hits of its own role, and ``gate`` may be
@@ -347,7 +300,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, k: int = K.RETRIEVAL_K, gate
     dense = cut(dense.drop("role") if role else dense)
     if reranking:
         alive = queries.join(dense.select("query_id").distinct(), "query_id", "left_semi")
-        ranked = hybrid_retrieve(alive, allowed, k, n, None, scope, scorer, dense)
+        ranked = hybrid_retrieve(alive, allowed, k, n, None, scope, scorer, dense, index if ids is None else None)
     else:
         ranked = dense.filter(F.col("rank") <= k).withColumn("rerank_score", F.lit(None).cast("double"))
     if role:

@@ -19,14 +19,15 @@ from passagework.sources.tables import table
 # --- the same answers as SQL relations ----------------------------------------------------------------
 _QUESTIONS = """qs as (select query_id, case when query_id % 2 = 0 then 'doctor' else 'patient' end as role,
   case when query_id % 19 = 3 then 'best pizza place' when query_id % 23 = 5 then 'do I have asthma'
-    when query_id % 3 = 0 then 'which further care is next: ' || substr(text, 1, 60)
-    else 'which care: ' || substr(text, 1, 60) end as question,
+    when query_id % 3 = 0 then 'which further care is next: ' || text
+    else 'which care: ' || text end as question,
   case when query_id % 31 = 2 then 'rate_limited' when query_id % 31 = 3 then 'unavailable' end as generation_failure,
   case when query_id % 37 = 2 then 'rate_limited' when query_id % 37 in (3, 4) then 'unavailable' end as verification_failure
   from hits where rank = 4)"""
 
 _ANSWERS = f"""pv as (select query_id, max(case when rank = 1 then {Q.squeeze('text')} end) as s1,
-    max(case when rank = 2 then {Q.squeeze('text')} end) as s2, max(case when rank = 3 then {Q.squeeze('text')} end) as s3
+    max(case when rank = 2 then {Q.squeeze('text')} end) as s2, max(case when rank = 3 then {Q.squeeze('text')} end) as s3,
+    max(case when rank = 4 then {Q.squeeze('text')} end) as s4
   from hits group by 1),
 va as (select *, query_id % 11 <> 0 as valid, query_id % 7 <> 0 and query_id % 11 <> 0 as sufficient,
     query_id % 6 = 0 and query_id % 11 <> 0 as partial from pv),
@@ -35,12 +36,12 @@ cl as (select query_id, 'recommendation' as kind, 0 as kind_no, 1 as claim_no, '
   union all select query_id, 'recommendation', 0, 2, 'Also consider' from va where valid and query_id % 4 = 0
   union all select query_id, 'supporting', 1, 1, 'Background' from va where valid),
 r0 as (select query_id, 0 as kind_no, 1 as claim_no, 0 as o, 1 as source_id,
-      case when query_id % 12 = 5 then 'made up words' else substr(s1, 1, 80) end as excerpt from va where valid
-  union all select query_id, 0, 1, 1, 2, substr(s2, 5, 60) from va where valid and query_id % 3 = 0
+      case when query_id % 12 = 5 then 'made up words' else substr(s1, length(s1) // 2 + 1, 80) end as excerpt from va where valid
+  union all select query_id, 0, 1, 1, 2, substr(s2, greatest(length(s2) - 59, 1), 60) from va where valid and query_id % 3 = 0
   union all select query_id, 0, 2, 0, 1, 'no such words in any source' from va where valid and query_id % 4 = 0
-  union all select query_id, 0, 2, 1, 2, substr(s2, 1, 50) from va where valid and query_id % 8 = 0
+  union all select query_id, 0, 2, 1, 4, substr(s4, length(s4) // 2 + 1, 50) from va where valid and query_id % 8 = 0
   union all select query_id, 1, 1, 0, 9, 'whatever here' from va where valid and query_id % 5 = 0
-  union all select query_id, 1, 1, 0, 3, substr(s3, 1, 40) from va where valid and query_id % 5 > 1
+  union all select query_id, 1, 1, 0, 3, substr(s3, length(s3) // 3 + 1, 40) from va where valid and query_id % 5 > 1
   union all select query_id, 1, 1, 1, 1, substr(s1, 1, 80) from va where valid and query_id % 5 > 1),
 rf as (select query_id, kind_no, claim_no, source_id, {Q.fold('excerpt')} as excerpt,
     row_number() over (partition by query_id, kind_no, claim_no order by o) - 1 as ref_no
@@ -132,12 +133,11 @@ rs as (select query_id, rank as source_id, s as excerpt, 'The verified guideline
 def questions(spark, sf):
     n = F.col("query_id")
     h = hits(spark, sf).filter(F.col("rank") == 4)
-    head = F.substring("text", 1, 60)
     return h.select(
         "query_id", F.when(n % 2 == 0, "doctor").otherwise("patient").alias("role"), F.lit("general").alias("mode"),
         F.when(n % 19 == 3, F.lit("best pizza place")).when(n % 23 == 5, F.lit("do I have asthma"))
-        .when(n % 3 == 0, F.concat(F.lit("which further care is next: "), head))
-        .otherwise(F.concat(F.lit("which care: "), head)).alias("question"),
+        .when(n % 3 == 0, F.concat(F.lit("which further care is next: "), F.col("text")))
+        .otherwise(F.concat(F.lit("which care: "), F.col("text"))).alias("question"),
         F.when(n % 31 == 2, "rate_limited").when(n % 31 == 3, "unavailable").alias("generation_failure"),
         F.when(n % 37 == 2, "rate_limited").when((n % 37).isin(3, 4), "unavailable").alias("verification_failure"))
 
@@ -149,7 +149,12 @@ def raw_answers(spark, sf):
     def squeezed(r):
         return F.max(F.when(F.col("rank") == r, T.squeeze("text"))).alias(f"s{r}")
 
-    p = h.groupBy("query_id").agg(squeezed(1), squeezed(2), squeezed(3))
+    def deep(c, part, n):
+        """``n`` characters from the given part of the passage on; without a part its last ones."""
+        start = F.floor(F.length(c) / part) + 1 if part else F.greatest(F.length(c) - (n - 1), F.lit(1))
+        return F.substring(F.col(c), start.cast("int"), F.lit(n))
+
+    p = h.groupBy("query_id").agg(squeezed(1), squeezed(2), squeezed(3), squeezed(4))
 
     def ref(cond, source, text):
         return F.when(cond, F.struct(F.lit(source).alias("source_id"), text.alias("excerpt")))
@@ -158,14 +163,14 @@ def raw_answers(spark, sf):
         return F.when(cond, F.struct(text.alias("text"), F.array_compact(F.array(*refs)).alias("evidence")))
 
     yes = F.lit(True)
-    first = F.when(n % 12 == 5, F.lit("made up words")).otherwise(F.substring("s1", 1, 80))
+    first = F.when(n % 12 == 5, F.lit("made up words")).otherwise(deep("s1", 2, 80))
     recs = F.array_compact(F.array(
         claim(yes, F.concat(F.lit(" Offer  the care plan "), n.cast("string")), ref(yes, 1, first),
-              ref(n % 3 == 0, 2, F.substring("s2", 5, 60))),
+              ref(n % 3 == 0, 2, deep("s2", None, 60))),
         claim(n % 4 == 0, F.lit("Also\nconsider"), ref(yes, 1, F.lit("no such words in any source")),
-              ref(n % 8 == 0, 2, F.substring("s2", 1, 50)))))
+              ref(n % 8 == 0, 4, deep("s4", 2, 50)))))
     sups = F.array(claim(
-        yes, F.lit("Background"), ref(n % 5 == 0, 9, F.lit("whatever here")), ref(n % 5 > 1, 3, F.substring("s3", 1, 40)),
+        yes, F.lit("Background"), ref(n % 5 == 0, 9, F.lit("whatever here")), ref(n % 5 > 1, 3, deep("s3", 3, 40)),
         ref(n % 5 > 1, 1, F.substring("s1", 1, 80))))
     body = F.to_json(F.struct(
         (n % 7 != 0).alias("sufficient"), (n % 6 == 0).alias("partial"), F.lit(" gap ").alias("missing_evidence"),
@@ -317,6 +322,29 @@ def evidence_package(spark, sf):
     return package.withColumn("errors", F.array_join("errors", "; "))
 
 
+@query("g8_full_package", f"""{_ALL}, {_ERRORS}, {_PACKAGE}, {_VERDICTS}, {_outcome('sc')},
+lb as (select query_id, case when title = '' then 'Verified clinic document' else title end
+    || case when page_number <> 0 then ' (p. ' || page_number || ')' else '' end as label, min(rank) as r from hits group by 1, 2),
+ck as (select query_id, string_agg(label, '; ' order by r) as evidence_checked from lb group by 1),
+cs as (select query_id, string_agg(claim_id || '=' || claim_text || '=' || citation_ids, '; ' order by claim_no) filter (kind = 'recommendation') as recs,
+    coalesce(string_agg(claim_id || '=' || claim_text || '=' || citation_ids, '; ' order by claim_no) filter (kind = 'supporting'), '') as sups
+  from sc group by 1)
+select pk.query_id, pk.recommendation, cs.recs as recommendation_claims, cs.sups as supporting_evidence, pk.evidence_strength,
+  {Q.lit(K.SAFETY_NOTICE)} as safety_notice, ck.evidence_checked, pk.missing_evidence, true as retrieval_passed, true as exact_excerpts_passed,
+  1.0::double as citation_coverage, has_rec and not malformed as evidence_match_passed, has_rec and not malformed as safety_passed,
+  has_rec and not malformed as verifier_passed
+from pk join cs using (query_id) join ck using (query_id) join oc using (query_id) where pk.recommendation is not null""")
+def full_package(spark, sf):
+    """Packages with a recommendation, as they stand after the audit of their claims."""
+    s = Stages(spark, sf)
+    package = O.evidence_package(s.answers, s.claims, O.validation_errors(s.refs))
+    one = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("=", x.claim_id, x.claim, F.array_join(x.citation_ids, ","))), "; ")
+    return O.full_package(package, s.claims, s.hits, s.verified[0]).filter("recommendation is not null").select(
+        "query_id", "recommendation", one("recommendation_claims").alias("recommendation_claims"), one("supporting_evidence").alias(
+            "supporting_evidence"), "evidence_strength", "safety_notice", F.array_join("evidence_checked", "; ").alias("evidence_checked"),
+        "missing_evidence", "checks.*")
+
+
 @query("g9_parse_verdicts", f"""{_ALL}, {_VERDICTS}
 select query_id, claim_id, passed, 'why' as reason, count(*) as n from vd group by all""")
 def parse_verdicts(spark, sf):

@@ -15,7 +15,7 @@ from passagework.plans.audit import Stages, _ALL
 from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
 from passagework.plans.retrieval import _BM25, _TOKENS
-from passagework.plans.views import question_queries, text_corpus
+from passagework.plans.views import corpus_index, question_queries, text_corpus
 from passagework.sources.lineage import cut, spread
 from passagework.sources.tables import table
 
@@ -101,7 +101,7 @@ from r cross join ks group by k""")
 def lexical_recall(spark, sf):
     """BM25 over all documents; a hit is a document that contains the whole item."""
     q, c = question_queries(spark, sf), text_corpus(spark, sf)
-    top = cut(R.bm25(q, c, K.TOP_K))
+    top = cut(R.bm25(q, c, K.TOP_K, index=corpus_index(spark, sf)))
     rows = c.join(top, "key").join(q.select("query_id", F.col("text").alias("item")), "query_id")
     found = rows.filter(F.contains("text", "item")).groupBy("query_id").agg(F.min("rank").alias("page_rank"))
     per = q.select("query_id").join(found, "query_id", "left").withColumn("answer_rank", F.col("page_rank"))
@@ -297,7 +297,7 @@ def matches_any(spark, sf):
     pats = F.when(n % 4 == 0, F.array().cast("array<string>")).when(n % 4 == 1, F.array(bad)).when(
         n % 4 == 2, F.array(bad, F.lit("TH[aeo]"))).otherwise(F.array(F.lit(r"(?P<q>que\s+la)"), F.lit("DER ")))
     d = spread(table(spark, sf, "documents"), "doc_id").withColumn("must_contain", pats)
-    return O.checked_patterns(d).select("doc_id", O.matches_any("patterns", "text").alias("found"))
+    return O.checked_patterns(d).select("doc_id", O.matches_any("patterns", "text", "literals").alias("found"))
 
 
 _FULL = f"""{HITS}, {_LABELS},

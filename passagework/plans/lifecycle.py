@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from passagework import constants as K
@@ -11,12 +9,12 @@ from passagework.plans import sqltext as Q
 from passagework.plans.registry import query
 from passagework.plans.views import text_pages
 from passagework.sources import documents as D
-from passagework.sources.lineage import shared_folder
+from passagework.sources.lineage import new_folder
 from passagework.sources.tables import table
 
 
 def _folder(spark) -> str:
-    return f"{shared_folder(spark)}/passagework-stage-{uuid.uuid4().hex}"
+    return new_folder(spark, "passagework-stage")
 
 
 def write_documents(spark, sf) -> str:
@@ -190,6 +188,13 @@ def _chunks(spark, sf):
         F.concat(F.lit("doc"), F.floor(n / 10).cast("string")).alias("document_id"), "text")
 
 
+def tenant_chunks(spark, sf):
+    """Chunks in a folder for each tenant, each split by document."""
+    path = _folder(spark)
+    D.write_tenant_stage(_chunks(spark, sf), path, "tenant", "document_id")
+    return spark.read.parquet(path)
+
+
 @query("a11_upsert_chunks", """select 'd' || doc_id as chunk_id, case when doc_id % 3 = 0 then 'new' else 'old' end as version,
   length(text) as chars from documents where doc_id % 2 = 0 or doc_id % 3 = 0""")
 def upsert_chunks(spark, sf):
@@ -219,7 +224,8 @@ def delete_document_chunks(spark, sf):
 
 @query("a13_drop_tenant", "select source as tenant, count(*) as n from documents where source <> 'src3' group by 1")
 def drop_tenant(spark, sf):
-    return D.drop_tenant(_chunks(spark, sf), "src3").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
+    """Chunks stored by tenant: the folder of the one that goes is not read."""
+    return D.drop_tenant(tenant_chunks(spark, sf), "src3").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a14_latest_run", """with r as (select *, row_number() over (partition by event_type order by ts desc, event_id desc) as k

@@ -107,12 +107,11 @@ def page_lines(spark, sf):
 
 @query("c8_detect_furniture", f"with {Q.FURNITURE} select document_id, key, pages from furniture")
 def detect_furniture(spark, sf):
-    return O.detect_furniture(O.with_pages(guide_pages(spark, sf)))
+    return O.detect_furniture(guide_pages(spark, sf))
 
 
 def _stripped(spark, sf):
-    p = O.with_pages(guide_pages(spark, sf))
-    return O.strip_furniture(p, O.detect_furniture(p))
+    return O.clean_furniture(guide_pages(spark, sf))
 
 
 @query("c9_strip_furniture", f"with {Q.STRIPPED} select document_id, page_number, text from st")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework import constants as K
+from passagework.operators import neighbours
 from passagework.operators import retrieval as O
+from passagework.operators.postings import append_rows, build_index
 from passagework.plans import sqltext as Q
 from passagework.plans.hits import HITS, hits
 from passagework.plans.registry import query
-from passagework.plans.views import question_queries, text_corpus
-from passagework.sources.lineage import spread
+from passagework.plans.views import corpus_index, question_queries, text_corpus
+from passagework.sources.lineage import new_folder, spread
 from passagework.sources.tables import table
 
 _TOKENS = f"""tk as (select doc_id, unnest({Q.tokens('text')}) as term from documents),
@@ -98,6 +100,16 @@ def knn(spark, sf):
     return _rows(O.knn(q, c, K.TOP_K))
 
 
+@query("e2_knn_cells", f"""with v as ({_VEC}),
+d as (select a.vec_id as query_id, b.vec_id as key, list_distance(a.v, b.v) ** 2 as distance from v a cross join v b),
+r as (select *, row_number() over (partition by query_id order by round(distance, 6), key) as rank from d)
+select query_id, key, round(distance, 4) as distance, rank from r where rank <= 10""")
+def knn_cells(spark, sf):
+    """The way of two large sides: cells about pivots, bounded by the triangle inequality."""
+    q, c = _vectors(spark, sf)
+    return _rows(neighbours.knn(q, c, K.TOP_K, [], block=512, small_bytes=0))
+
+
 _ALLOWED = """al as (select label from embeddings group by label
   having count(*) >= (select avg(n) from (select count(*) as n from embeddings group by label)))"""
 
@@ -140,6 +152,17 @@ def tenant_search(spark, sf):
     return r.select("label", "query_id", "key", F.round("distance", 4).alias("distance"), "rank")
 
 
+@query("e5_tenant_search_cells", f"""with v as ({_VEC}),
+d as (select a.label, a.vec_id as query_id, b.vec_id as key, list_distance(a.v, b.v) ** 2 as distance
+  from v a join v b on a.label = b.label),
+r as (select *, row_number() over (partition by query_id order by round(distance, 6), key) as rank from d)
+select label, query_id, key, round(distance, 4) as distance, rank from r where rank <= 5""")
+def tenant_search_cells(spark, sf):
+    q, c = _vectors(spark, sf)
+    r = neighbours.knn(q, c, K.RETRIEVAL_K, ["label"], block=256, small_bytes=0)
+    return r.select("label", "query_id", "key", F.round("distance", 4).alias("distance"), "rank")
+
+
 @query("e6_eligible_documents", """select doc_id, source from documents join labels using (doc_id) where quality = 1""")
 def eligible_documents(spark, sf):
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
@@ -151,10 +174,32 @@ def eligible_documents(spark, sf):
 @query("e7_bm25", f"""with {_TOKENS}, {_BM25}
 select item_id as query_id, doc_id as key, round(score, 4) as score, rank from lex_all where rank <= 10""")
 def bm25(spark, sf):
-    return O.bm25(question_queries(spark, sf), text_corpus(spark, sf), K.TOP_K).select(
+    """Over the stored postings."""
+    return O.bm25(question_queries(spark, sf), text_corpus(spark, sf), K.TOP_K, index=corpus_index(spark, sf)).select(
+        "query_id", "key", F.round("score", 4).alias("score"), "rank")
+
+
+@query("e7_bm25_appended", f"""with {_TOKENS}, {_BM25}
+select item_id as query_id, doc_id as key, round(score, 4) as score, rank from lex_all where rank <= 10""")
+def bm25_appended(spark, sf):
+    """The index of one half of the corpus, to which the other half is added in two parts, answers like that of the whole."""
+    c = text_corpus(spark, sf)
+    index = build_index(c.filter("key % 2 = 0"), new_folder(spark, "passagework-index"))
+    append_rows(index, c.filter("key % 4 = 1"))
+    append_rows(index, c.filter("key % 4 = 3"))
+    return O.bm25(question_queries(spark, sf), c, K.TOP_K, index=index).select(
         "query_id", "key", F.round("score", 4).alias("score"), "rank")
 
 
+@query("e7_posting_terms", f"""with {_TOKENS}, t as (select term, doc_id, count(*) as tf from tk group by all)
+select term, count(*) as rows, sum(tf)::bigint as occurrences, max(tf) as most from t group by 1""")
+def posting_terms(spark, sf):
+    """What the stored postings hold of every term."""
+    index = corpus_index(spark, sf)
+    return index.postings(0).select("term", F.inline("entries")).groupBy("term").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
+
+
 _SCOPED_BM25 = f"""with src as (select item_id, text, 'src' || (item_id % 20) as source from benchmark),
 tk as (select source, doc_id, unnest({Q.tokens('text')}) as term from documents),
 dl as (select source, doc_id, len({Q.tokens('text')})::double as dl from documents),
@@ -180,7 +225,7 @@ select source, item_id as query_id, doc_id as key, round(score, 4) as score, ran
 def bm25_per_tenant(spark, sf):
     q = question_queries(spark, sf).withColumn(
         "source", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    return O.bm25(q, text_corpus(spark, sf), K.TOP_K, scope=["source"]).select(
+    return O.bm25(q, text_corpus(spark, sf), K.TOP_K, scope=["source"], index=corpus_index(spark, sf, "source")).select(
         "source", "query_id", "key", F.round("score", 4).alias("score"), "rank")
 
 
@@ -265,7 +310,7 @@ def chunk_key(spark, sf):
 select item_id as query_id, doc_id as key, rank, round(distance, 4) as distance, round(rerank_score, 4) as rerank_score
 from fz where rank <= 10""")
 def hybrid_retrieve(spark, sf):
-    return O.hybrid_retrieve(_questions(spark, sf), _corpus(spark, sf), K.TOP_K).select(
+    return O.hybrid_retrieve(_questions(spark, sf), _corpus(spark, sf), K.TOP_K, index=corpus_index(spark, sf)).select(
         "query_id", "key", "rank", F.round("distance", 4).alias("distance"),
         F.round("rerank_score", 4).alias("rerank_score"))
 
@@ -277,7 +322,7 @@ select item_id as query_id, fz.rank, d.source as title, d.source, round(fz.dista
 from fz join bst using (item_id) join documents d on d.doc_id = fz.doc_id where fz.rank <= 5 and best <= 0.5""")
 def retrieve(spark, sf):
     c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
-    r = O.retrieve(_questions(spark, sf), c, gate=0.5)
+    r = O.retrieve(_questions(spark, sf), c, gate=0.5, index=corpus_index(spark, sf))
     return r.select("query_id", "rank", "title", "source", "distance", "rerank_score",
                     F.col("chunk_id").cast("bigint").alias("key"))
 
@@ -300,5 +345,5 @@ def retrieve_by_role(spark, sf):
     role = F.when(F.col("query_id") % 2 == 0, "doctor").otherwise("patient")
     c = _corpus(spark, sf).withColumn("title", F.lit("")).withColumn("chunk_id", F.col("key").cast("string"))
     gate = F.when(F.col("role") == "doctor", F.lit(0.6)).otherwise(F.lit(0.5))
-    r = O.retrieve(_questions(spark, sf).withColumn("role", role), c, gate=gate, role="role")
+    r = O.retrieve(_questions(spark, sf).withColumn("role", role), c, gate=gate, role="role", index=corpus_index(spark, sf))
     return r.select("query_id", "rank", "distance", F.col("chunk_id").cast("bigint").alias("key"))

@@ -17,8 +17,10 @@ _PREFIX = (
     "which doctors are in", "when is my appointment", "do I have asthma", "best pizza place",
     "what dose should I take", "See you!", "")
 
+# A greeting is a message of its own, whatever marks stand around it: it gets the marks of the whole text.
+_MARKS = r"regexp_replace(text, '[\p{L}\p{N}\p{M}_]+', '', 'g')"
 _CASES = " ".join(
-    f"when {i} then {Q.lit(p)}" + ("" if p.endswith("!") else " || ' ' || text") for i, p in enumerate(_PREFIX))
+    f"when {i} then {Q.lit(p)} || " + (_MARKS if p.endswith("!") else "' ' || text") for i, p in enumerate(_PREFIX))
 _MSG = f"""with m as (select conv_id, turn, case when role = 'assistant' then 'doctor' else 'patient' end as role,
   case (conv_id * 3 + turn) % 11 {_CASES} end as text from conversations)"""
 
@@ -27,7 +29,7 @@ def messages(spark, sf):
     n = (F.col("conv_id") * 3 + F.col("turn")) % 11
     out = None
     for i, p in enumerate(_PREFIX):
-        t = F.lit(p) if p.endswith("!") else F.concat(F.lit(p + " "), F.col("text"))
+        t = F.concat(F.lit(p), F.regexp_replace("text", r"[\p{L}\p{N}\p{M}_]+", "")) if p.endswith("!") else F.concat(F.lit(p + " "), F.col("text"))
         out = F.when(n == i, t) if out is None else out.when(n == i, t)
     return spread(table(spark, sf, "conversations"), "conv_id").select(
         "conv_id", "turn", F.when(F.col("role") == "assistant", "doctor").otherwise("patient").alias("role"),

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from passagework.plans import sqltext as Q
 from passagework.plans.lifecycle import write_documents
 from passagework.plans.registry import query
 from passagework.sources.documents import write_stage
-from passagework.sources.lineage import shared_folder
+from passagework.sources.lineage import new_folder
 from passagework.sources.tables import table
 from passagework.streaming import ingest as S
 
@@ -26,7 +24,7 @@ select document_id || ':p' || page_number || ':c' || chunk_index as chunk_id, md
 
 @query("k1_stream_chunk_ingest", _ingested_sql())
 def stream_chunk_ingest(spark, sf):
-    base = f"{shared_folder(spark)}/passagework-stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "passagework-stream")
     source = write_documents(spark, sf)
     # Everything is ingested twice, the second time in another generation: the result must not change.
     for generation in (0, 1):
@@ -37,7 +35,7 @@ def stream_chunk_ingest(spark, sf):
 
 @query("k2_stream_dedupe_uploads", "select distinct lang as tenant, sha256(text) as sha from documents")
 def stream_dedupe_uploads(spark, sf):
-    base = f"{shared_folder(spark)}/passagework-stream-{uuid.uuid4().hex}"
+    base = new_folder(spark, "passagework-stream")
     d = table(spark, sf, "documents")
     write_stage(d.select(
         F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
@@ -48,3 +46,18 @@ def stream_dedupe_uploads(spark, sf):
         "checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query("k2_stream_new_uploads", """select lang as tenant, sha256(text) as sha, count(*) as published
+from (select distinct lang, text from documents) group by all""")
+def stream_new_uploads(spark, sf):
+    """Files come ten hours apart, under a watermark of one hour: state is long gone when most copies come."""
+    base = new_folder(spark, "passagework-stream")
+    d = table(spark, sf, "documents")
+    for part in range(4):
+        d.filter(F.col("doc_id") % 4 == part).select(
+            F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
+            F.timestamp_seconds(F.lit(1_704_067_200 + part * 36_000) + F.col("doc_id") % 60).alias("ts")).coalesce(2).write.mode("append").parquet(f"{base}/in")
+    uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    S.stream_new_uploads(uploads, f"{base}/store", f"{base}/checkpoint").awaitTermination()
+    return S.stored_uploads(spark, f"{base}/store").groupBy("tenant", "sha").agg(F.count(F.lit(1)).alias("published"))

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from passagework.operators.postings import PostingIndex, build_index, open_index
+from passagework.sources.lineage import new_folder
 from passagework.sources.tables import table
 
+_INDEXES: dict[tuple, PostingIndex] = {}
+
 
 def text_pages(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as pages: a document is one source and one thousand consecutive ids, a row is a page.
@@ -56,3 +60,13 @@ def question_queries(spark: SparkSession, sf: str) -> DataFrame:
 def text_corpus(spark: SparkSession, sf: str) -> DataFrame:
     """``documents`` as a searchable corpus keyed by ``doc_id``."""
     return table(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text", "source")
+
+
+def corpus_index(spark: SparkSession, sf: str, *scope: str) -> PostingIndex:
+    """The stored postings of :func:`text_corpus`, built once by an application and read by all its questions."""
+    name = (spark.sparkContext.applicationId, sf, scope)
+    try:
+        return open_index(spark, _INDEXES[name].path, list(scope))
+    except (KeyError, ValueError):  # not built yet, or cleaned up since
+        _INDEXES[name] = build_index(text_corpus(spark, sf), new_folder(spark, "passagework-index"), list(scope))
+        return _INDEXES[name]

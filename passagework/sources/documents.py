@@ -65,6 +65,16 @@ def write_stage(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     (writer.partitionBy(*partition_by) if partition_by else writer).save(path)
 
 
+def write_tenant_stage(df: DataFrame, path: str, tenant: str, document: str, files: int = 8) -> None:
+    """Persist a stage in a folder for each tenant, so that reading, searching or dropping one touches no other.
+
+    Rows are dealt by tenant and one of ``files`` parts of its documents: a document lies whole in one file, a large
+    tenant is written by many tasks, and a small one is no more than ``files`` files.
+    """
+    part = F.pmod(F.xxhash64(document), F.lit(files))
+    df.repartition(F.col(tenant), part).write.mode("overwrite").partitionBy(tenant).parquet(path)
+
+
 def load_chunks(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Chunks from a flat list of chunk objects or from objects wrapping a ``chunks`` list."""
     one = _struct(CHUNK_FIELDS)

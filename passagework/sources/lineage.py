@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame
 
 _LOCAL: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
 
 
 def shared_folder(spark) -> str:
@@ -27,17 +28,37 @@ def shared_folder(spark) -> str:
     return _LOCAL["dir"]
 
 
+def new_folder(spark, kind: str = "passagework") -> str:
+    """The path of a new folder below the shared one, which :func:`clean_up` knows."""
+    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
     Lost executors then cost nothing upstream, the result is computed once however often it is used, and the
     table's size is known, so Spark itself decides whether a join may broadcast it.
     """
-    path = f"{shared_folder(df.sparkSession)}/passagework-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clean_up(spark) -> int:
+    """Delete the folders that this application made below the shared one, and say how many there were.
+
+    Frames that the library returned may still read them: call it when their results are written.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    made = _MADE.pop(spark.sparkContext.applicationId, [])
+    for path in made:
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(made)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal rows over all cores by ``keys`` where the input has fewer splits than there are cores.
 

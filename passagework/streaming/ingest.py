@@ -12,7 +12,10 @@ from pyspark.sql.streaming import StreamingQuery
 from passagework.operators.chunks import build_chunks
 from passagework.operators.pages import classify_pages
 from passagework.sources.documents import DOCUMENT_SCHEMA, fingerprint
+from passagework.sources.lineage import cut
 
+#: Hexadecimal digits of a hash that name its folder.
+HASH_HEAD = 2
 #: Room for the micro-batches of one generation of a stream.
 GENERATION = 1_000_000_000
 
@@ -76,6 +79,46 @@ def compact(spark: SparkSession, store: str, target: str) -> None:
 
 
 def stream_dedupe_uploads(uploads: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First upload of each (tenant, content) within the watermark ``delay`` of a stream with event time ``ts``."""
+    """First upload of each (tenant, content) within the watermark ``delay`` of a stream with event time ``ts``.
+
+    State is dropped behind the watermark, so a copy that comes later passes; :func:`stream_new_uploads` catches those too.
+    """
     return uploads.withColumn("sha", fingerprint("content")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["tenant", "sha"])
+
+
+def stream_new_uploads(uploads: DataFrame, store: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
+    """Publish every (tenant, content) of a stream once, however long after the first a copy comes.
+
+    Two steps.  Keyed state with timers takes copies that are near in time: it is bounded by what arrives within ``delay``.
+    What it lets pass meets the stored hashes, which lie in folders by the hash's beginning: a batch reads those of its own
+    hashes only.  Uploads that are late by more than ``delay`` are dropped by the watermark, as in any such stream; they are no
+    duplicates of what was published, so their sender must send them again.
+    """
+    near = stream_dedupe_uploads(uploads, delay)
+    return (
+        near.writeStream.foreachBatch(lambda df, batch_id: publish_new(df, store, batch_id))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def publish_new(batch: DataFrame, store: str, batch_id: int) -> None:
+    """Append the uploads of a micro-batch whose (tenant, hash) no other batch has published.
+
+    A batch writes folders of its own number, so a replay writes the same rows again in their place.
+    """
+    spark = batch.sparkSession
+    rows = cut(batch.groupBy("tenant", "sha").agg(F.min("ts").alias("ts")).withColumn("head", F.substring("sha", 1, HASH_HEAD)))
+    heads = [r[0] for r in rows.select("head").distinct().collect()]  # at most 16 ** HASH_HEAD
+    known = stored_uploads(spark, store).filter(F.col("head").isin(heads) & (F.col("batch") != batch_id)).select("tenant", "sha")
+    same = rows["tenant"].eqNullSafe(known["tenant"]) & (rows["sha"] == known["sha"])
+    new = rows.join(known, same, "left_anti")
+    new.repartition("head").write.mode("overwrite").partitionBy("head").parquet(f"{store}/batch={batch_id}")
+
+
+def stored_uploads(spark: SparkSession, store: str) -> DataFrame:
+    """``tenant``, ``sha``, ``ts`` of all published uploads, with their ``batch`` and the ``head`` of the hash (folders)."""
+    schema = "tenant string, sha string, ts timestamp, batch bigint, head string"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(store)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(store)

@@ -181,3 +181,25 @@ def test_prompt_has_delimiters(spark):
     assert rows[1].startswith("SOURCES:\nBEGIN_UNTRUSTED_SOURCE_1\n[1] Guide — page 1, Sec\n")
     assert rows[1].endswith("\n\nValid source_id integers: 1 to 1.\n\nBEGIN_PATIENT_QUESTION\nWhy?\nEND_PATIENT_QUESTION")
     assert rows[2].startswith("SOURCES:\n(none)\n\nBEGIN_UNTRUSTED_PATIENT_CONTEXT\nage 50\n")
+
+
+def test_full_package(spark):
+    """All parts of a package that survives, and nothing but flags of its failure where no recommendation does."""
+    h = hits(spark, hit(1, SOURCE), hit(2, SOURCE), hit(1, SOURCE, q=2), hit(3, "other text altogether", page=1))
+    a = answers(spark, {"sufficient": True, "partial": True, "missing_evidence": "doses", "recommendation_claims": [
+        claim("Offer it", (1, "self-monitoring of blood glucose"), (2, "Review the plan after 1-3 months")), claim("Invent it", (1, "no such words at all"))],
+        "supporting_claims": [claim("Because", (1, "self-monitoring of blood glucose"))]},
+        {"sufficient": True, "recommendation_claims": [claim("Invent it", (1, "no such words at all"))]})
+    claims, _, package = checked(spark, h, a)
+    got = {r.query_id: r for r in A.full_package(package, claims, h).collect()}
+    r = got[1]
+    assert [(c.claim_id, c.claim, c.citation_ids) for c in r.recommendation_claims] == [("recommendation-1", "Offer it", ["C1", "C2"])]
+    assert [(c.claim_id, c.citation_ids) for c in r.supporting_evidence] == [("supporting-1", ["C1"])]
+    assert r.evidence_checked == ["Guide (p. 1)", "Guide (p. 2)"] and r.evidence_strength == "low" and r.missing_evidence.startswith("doses Some generated")
+    assert r.safety_notice.startswith("This answer summarizes")
+    assert r.checks.asDict() == {"retrieval_passed": True, "exact_excerpts_passed": True, "citation_coverage": 1.0, "evidence_match_passed": False,
+                                 "safety_passed": False, "verifier_passed": False}
+    assert got[2].recommendation is None and got[2].checks is None and got[2].evidence_checked is None and got[2].recommendation_claims is None
+    outcome = spark.createDataFrame([(1, False, True)], "query_id bigint, malformed boolean, has_recommendation boolean")
+    assert A.full_package(package, claims, h, outcome).filter("query_id = 1").first().checks.verifier_passed
+    assert A.full_package(package.limit(0), claims, h).count() == 0

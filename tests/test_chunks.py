@@ -68,6 +68,21 @@ def test_splitter_matches_a_plain_walk(spark, size, overlap):
         assert all(t[s:s + len(x)] == x and len(x) <= size for s, x in got[i])
 
 
+def test_splitting_is_linear():
+    """A section of 10 MB takes about eight times as long as one of 1.25 MB."""
+    import time
+    rng = random.Random(2)
+    unit = "".join(random_text(rng) for _ in range(40))
+    took = []
+    for n in (1_250_000, 10_000_000):
+        text = (unit * (n // len(unit) + 1))[:n]
+        start = time.process_time()
+        chunks = list(C.split_text(text, 1000, 150, ("\n\n", "\n", ". ", " ")))
+        took.append(time.process_time() - start)
+        assert len(chunks) > n // 1000 and all(text.startswith(t, s) for s, t in chunks[-20:])
+    assert took[1] < 20 * took[0] and took[1] < 30
+
+
 def pages(spark, rows, doc="d"):
     return spark.createDataFrame([(doc, n, t) for n, t in rows], "document_id string, page_number int, text string")
 
@@ -136,6 +151,19 @@ def test_furniture_threshold_and_protection(spark):
     assert stripped.text == "Running title 1\n1.1.1\nbody 1"
 
 
+def test_one_pass_equals_detection_and_stripping(spark):
+    """Documents of other sizes, pages without text, without edge keys and without a document."""
+    rows = [(f"d{d}" if d else None, n, None if n == 5 else f"Title of {d}\nown {n * d}\nsome line {chr(97 + n * d % 26)}\n" * (n % 3) + f"Page {n}", n * 10)
+            for d in range(6) for n in range(1, 3 * d + 2)]
+    p = spark.createDataFrame(rows, "document_id string, page_number int, text string, `key` int")
+    want = P.strip_furniture(p, P.detect_furniture(p))
+    got = P.clean_furniture(p)
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got.select(*columns).collect()), key=repr) == sorted(map(tuple, want.select(*columns).collect()), key=repr)
+    assert P.detect_furniture(p).count() > 3 and P.clean_furniture(p.limit(0)).count() == 0
+
+
 def test_middle_lines_stay(spark):
     text = "\n".join(["top"] * 8 + ["41"] + ["end"] * 8)
     p = pages(spark, [(1, text)])

@@ -48,6 +48,34 @@ def test_patterns_fall_back_to_literals(spark):
     assert [r.m for r in df.select(E.matches_any("patterns", "t").alias("m")).collect()] == [True, False, True, True, False, True]
 
 
+def test_required_literals():
+    known = {"metformin": "metformin", r"HbA1c\s+target": "target", r"(?P<q>que\s+la)": "que", "TH[aeo]": "th", "a|b": "", "x?yes": "yes", "(abc)+d": "abc",
+             "(abc)?d": "d", r"\bdose\b": "dose", "([X": "([x", "(?:first|second) line": " line", "": "", "é+": "", "(?x) a b c": "abc", "[0-9]{3}": ""}
+    assert {p: E.required_literal(p) for p in known} == known
+
+
+def test_literals_decide_without_python(spark):
+    """Whatever literals leave out, Python would not find either; what they leave out never reaches it."""
+    rng = random.Random(3)
+    pats = ["metformin", r"HbA1c\s+target", "TH[aeo]", "a|b", "(ab)+c", "([X", r"\bdose\b", "Insk", None]
+    words = ["Metformin", "hba1c target", "THo", "ababc", "([x", "DOSE", "\u0130n\u017f\u212a", "İNSK", "other", "ınsk", ""]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randrange(3))), rng.sample(pats, rng.randrange(4))) for k in range(300)]
+    df = E.checked_patterns(spark.createDataFrame(rows, "k int, t string, must_contain array<string>"))
+    got = {r.k: (r.a, r.b) for r in df.select("k", E.matches_any("patterns", "t").alias("a"), E.matches_any("patterns", "t", "literals").alias("b")).collect()}
+    assert all(a == b for a, b in got.values()) and len({a for a, _ in got.values()}) == 2
+    plan = df.select(E.matches_any("patterns", "t", "literals"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "exists(literals" in plan and "Contains(lower(translate" in plan
+
+
+def test_backtracking_ends(spark):
+    import time
+    assert E._nested(E._parsed("(a+)+b")) and E._nested(E._parsed("(a|aa)*b")) and not E._nested(E._parsed(r"a+\s+(b|c)d*"))
+    start = time.time()
+    df = E.checked_patterns(spark.createDataFrame([("a" * 5000, ["(a+)+b"]), ("aab", ["(a+)+b"]), ("a" * 5000 + "c", ["(a|aa)+$"])], "t string, must_contain array<string>"))
+    assert [r.m for r in df.select(E.matches_any("patterns", "t").alias("m")).collect()] == [False, True, False]
+    assert time.time() - start < 30
+
+
 def test_percentiles_against_sorted_lists(spark):
     rng = random.Random(2)
     for n in (1, 2, 3, 10, 101):

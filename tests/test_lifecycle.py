@@ -115,3 +115,30 @@ def test_duplicate_uploads_are_dropped_once_per_tenant(spark, tmp_path):
     S.stream_dedupe_uploads(up).select("tenant", "sha").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
         "checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_copies_long_after_the_first(spark, tmp_path):
+    """A copy two hours later, under a watermark of one, is not published again; nor is a replayed batch; late files are dropped."""
+    from passagework.streaming import ingest
+    day = "2024-01-01 "
+    parts = [[("a", "x", "10:00:00"), ("a", "x", "10:10:00"), ("a", "y", "10:00:00"), ("b", "x", "10:00:00")],
+             [("a", "x", "12:30:00"), ("a", "z", "12:30:00"), (None, "x", "12:30:00")],
+             [("a", "late", "09:00:00"), ("a", "x", "20:00:00"), ("b", "w", "20:00:00"), (None, "x", "23:00:00")]]
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame([(t, c.encode(), day + at) for t, c, at in rows], "tenant string, content binary, at string")
+        df.selectExpr("tenant", "content", "cast(at as timestamp) ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    store = str(tmp_path / "store")
+    query = ingest.stream_new_uploads(uploads, store, str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    from pyspark.sql import functions as F
+    published = ingest.stored_uploads(spark, store)
+    sha = {c: spark.range(1).select(F.sha2(F.lit(c), 256)).first()[0] for c in ("x", "y", "z", "w", "late")}
+    want = sorted([("a", sha["x"]), ("a", sha["y"]), ("b", sha["x"]), ("a", sha["z"]), ("None", sha["x"]), ("b", sha["w"])])
+    assert sorted((str(r.tenant), r.sha) for r in published.collect()) == want
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 6
+    assert query.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] <= 3  # what lies behind the watermark is dropped
+    again = spark.createDataFrame([("a", sha["z"], day + "12:30:00")], "tenant string, sha string, at string").selectExpr("tenant", "sha", "cast(at as timestamp) ts")
+    ingest.publish_new(again, store, 77)
+    ingest.publish_new(again, store, 1)  # a replay of the batch that published z
+    assert ingest.stored_uploads(spark, store).filter(F.col("sha") == sha["z"]).count() == 1
