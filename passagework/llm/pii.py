@@ -192,7 +192,7 @@ def redact(docs: DataFrame, mark: str = "[{}]") -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
-    """Counts per base kind, the digest of the base spans and all spans as text, of :func:`personal_data`'s rows."""
+    """Counts per base kind and of all spans, the digest of the base spans and all spans as text, of :func:`personal_data`'s rows."""
     def of(*kinds):
         return F.filter(spans, lambda s: s["kind"].isin(*kinds))
 
@@ -203,4 +203,4 @@ def digests(found: DataFrame) -> DataFrame:
     spans = F.col("spans")
     return found.select(
         "doc_id", *[F.size(of(k)).cast("long").alias(f"n_{k}") for k in BASE],
-        F.sha2(text(of(*BASE)), 256).alias("base_sha256"), text(spans).alias("spans"))
+        F.size(spans).cast("long").alias("n_spans"), F.sha2(text(of(*BASE)), 256).alias("base_sha256"), text(spans).alias("spans"))

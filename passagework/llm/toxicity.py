@@ -241,7 +241,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = SAMPLE_DO
     """Learn from at most ``rows`` labelled documents for which ``learn`` (over ``doc_id``) holds.
 
     The lexicon of each half makes the features of the other half, so that no text is described by words learned from
-    itself.  Isotonic calibration is fitted on margins of trees that have not seen the row.  With fewer than ten rows of
+    itself; words beyond its ``LEXICON_SIZE`` best entries say nothing.  Isotonic calibration is fitted on margins of trees
+    that have not seen the row: those of one half on the rows of the other, while scores come from trees of both, whose
+    margins are spread a little wider.  With fewer than ten rows of
     either label the score is the share of toxic rows (0 without any).
     """
     sample = cut(labelled_sample(docs, labels, "toxic", learn, rows))

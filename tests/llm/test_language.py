@@ -1,5 +1,10 @@
 """Language evidence: threes against a loop, fusion on small cases, held-out agreement on the given tables."""
 
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 
@@ -50,7 +55,96 @@ def test_fusion(rows):
     assert got[104].language == lid.OTHER
 
 
+def places(text):
+    """Hashed threes of one text, by a loop."""
+    data = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode()]
+    out = []
+    for a, b, c in zip(data, data[1:], data[2:]):
+        if (a, b, c).count(32) < 2:
+            out.append(((((a * 0x9E5 + b) % 2**32 * 0x85F1 + c) % 2**32 * 0x9E3779B1) % 2**32) >> 16)
+    return out
+
+
+def plain_identify(rows, languages):
+    """(language, probability, accepted) of rows (text, declared, host, domain, suffix), table by table with dictionaries."""
+    n = len(languages)
+
+    def primary(tag):
+        return re.split("[-_]", tag)[0].strip().lower() if tag is not None else None
+
+    def code(row):
+        return languages.index(primary(row[1])) if primary(row[1]) in languages else None
+
+    found = [places(r[0]) for r in rows]
+    counts, totals = Counter(), [0] * n
+    for r, own in zip(rows, found):
+        if code(r) is not None:
+            counts.update((k, code(r)) for k in own)
+            totals[code(r)] += len(own)
+    text = [[lid.TEMPER * sum(math.log((counts[k, c] + 0.05) / (totals[c] + 0.05 * lid.PLACES)) for k in own) for c in range(n)]
+            + [lid.TEMPER * -math.log(lid.PLACES) * len(own)] for own in found]
+    best = [t.index(max(t)) for t in text]
+
+    def given(values):
+        per, total = Counter(), Counter()
+        for v, b, own in zip(values, best, found):
+            if own and v is not None:
+                per[v, b] += 1
+                total[b] += 1
+        every = max(sum(total.values()), 1)
+        return {v: [math.log((per[v, k] + lid.TABLE_PULL * sum(per[v, j] for j in range(n + 1)) / every + 1e-9) / (total[k] + lid.TABLE_PULL))
+                    for k in range(n + 1)] for v, _ in per}
+
+    declared, suffix = given([primary(r[1]) for r in rows]), given([r[4] for r in rows])
+
+    def counted(key):
+        out = defaultdict(lambda: [0.0] * n)
+        for r in rows:
+            if code(r) is not None:
+                out[key(r)][code(r)] += 1
+        return out
+
+    def pulled(own, above, pull):
+        return [(c + pull * p) / (sum(own) + pull) for c, p in zip(own, above)]
+
+    everywhere, by_suffix, by_domain, by_host = counted(lambda r: 0)[0], counted(lambda r: r[4]), counted(lambda r: (r[3], r[4])), counted(lambda r: r[2])
+    overall = [(c + 1 / n) / (sum(everywhere) + 1) for c in everywhere]
+    out = []
+    for r, own, scores in zip(rows, found, text):
+        parent = pulled(by_domain[r[3], r[4]], pulled(by_suffix[r[4]], overall, lid.SUFFIX_PULL), lid.DOMAIN_PULL)
+        left = [c - (k == code(r)) for k, c in enumerate(by_host[r[2]])]
+        prior = [(1 - lid.OTHER_PRIOR) * p for p in pulled(left, parent, lid.HOST_PULL)] + [lid.OTHER_PRIOR]
+        nothing = [0.0] * (n + 1)
+        joint = [a + math.log(b) + c + d for a, b, c, d in zip(scores, prior, declared.get(primary(r[1]), nothing), suffix.get(r[4], nothing))]
+        top = joint.index(max(joint))
+        sure = 1 / sum(math.exp(v - joint[top]) for v in joint)
+        out.append(([*languages, lid.OTHER][top], sure, top < n and sure >= lid.SURE and len(own) > 0))
+    return out
+
+
+def test_fusion_equals_a_plain_version(spark):
+    """Texts so short that every kind of evidence matters; hosts under domains under suffixes, odd tags, nulls, repeated rows."""
+    rng = random.Random(12)
+    words = {"en": "the of and to in".split(), "fr": "le la de et que".split(), "de": "der die und das".split(), "es": "el los que y".split()}
+    rows = []
+    for k in range(160):
+        lang = rng.choice([*words])
+        text = " ".join(rng.choices(words[rng.choice([lang, lang, *words])], k=rng.randrange(4)))
+        host = rng.choice(["a", "b", "c", "d"])
+        rows.append((rng.choice([text, text, None, "12 !"]), rng.choice([lang, lang.upper() + "-x", None, "xx", " en_us"]), rng.choice([f"{host}.site.{lang}", None]),
+                     rng.choice([f"site.{lang}", None]), rng.choice([lang[:2], "com", None])))
+    rows += rows[:3]
+    names = [lid.EV + c for c in ("declared", "host", "domain", "suffix")]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], ", ".join(["at int", "text string", *(f"{c} string" for c in names)]))
+    got = sorted(tuple(r) for r in lid.identify(docs).select("at", "language", "probability", "accepted").collect())
+    want = plain_identify(rows, list(lid.LANGUAGES))
+    for (at, language, probability, accepted), (name, sure, fine) in zip(got, want):
+        assert abs(probability - sure) < 1e-3 and (language == name or sure < 0.51) and (accepted == fine or abs(sure - lid.SURE) < 1e-3), rows[at]
+    assert len(got) == len(want) and len({w[0] for w in want}) > 3 and 20 < sum(w[2] for w in want) < 150
+
+
 def test_accept_keeps_columns_and_clean_rows(rows):
+    assert lid.accept(rows.withColumnRenamed("doc_id", "a.b")).columns == ["a.b", "text", "lang", "source"]
     kept = lid.accept(rows.withColumnRenamed("doc_id", "accepted"))
     assert kept.columns == ["accepted", "text", "lang", "source"]
     assert sorted(r.accepted for r in kept.collect()) == [*range(48), *([100] if kept.filter("accepted = 100").count() else []), 101, 106, 106]
