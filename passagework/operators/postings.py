@@ -24,6 +24,8 @@ from passagework.sources.lineage import cut, spread
 BUCKETS, FILE_ROWS = 256, 200_000
 #: Postings of a block, and of a slice of a frequent term that one task puts in order.
 BLOCK_ROWS, SLICE_ROWS = 128, 1 << 16
+#: Terms of a question for which sums over the best blocks are worked out.
+SEED_TERMS = 8
 #: Scores are compared after rounding; bounds leave room for it.
 SLACK = 4 * 10 ** -TIE_DIGITS
 
@@ -165,10 +167,13 @@ def search_index(index: PostingIndex, queries: DataFrame, k: int, report: bool =
     weight = F.col("qtf") * F.when(raw < 0, F.lit(K.BM25_EPSILON) * F.col("mean_idf")).otherwise(raw)
     weighed = cut(asked.join(term, [*scope, "term"]).withColumn("w", weight))
     whole = weighed.groupBy(*scope, "query_id").agg(
-        F.max(F.col("w") * F.col("floor")).alias("least"), F.sum(F.col("w") * F.col("top")).alias("most"), F.min("w").alias("w_min"))
+        F.max(F.col("w") * F.col("floor")).alias("least"), F.sum(F.col("w") * F.col("top")).alias("most"), F.min("w").alias("w_min"),
+        F.count(one).alias("terms"))
     # Sums over the best blocks of all terms are less than whole scores: what the k-th has, k rows have at least.
+    # Beside many other terms no block is out of reach, so only questions of a few terms are worth it.
+    few = weighed.join(whole.filter(F.col("terms") <= SEED_TERMS).select(*scope, "query_id"), [*scope, "query_id"], "left_semi")
     best = postings.filter(F.col("block") == 0).select(*scope, "term", F.inline("entries")).join(
-        weighed.select(*scope, "term", "query_id", "w", "now"), [*scope, "term"])
+        few.select(*scope, "term", "query_id", "w", "now"), [*scope, "term"])
     seeds = best.groupBy(*scope, "query_id", "key").agg(F.sum(F.col("w") * impact(F.col("tf"), F.col("dl"), F.col("now"))).alias("seed"))
     seeds = top_per_key(seeds, [*scope, "query_id"], [F.desc("seed")], k).filter(F.col("rank") == k).select(*scope, "query_id", "seed")
     whole = whole.join(seeds, [*scope, "query_id"], "left").withColumn("least", F.greatest("least", "seed"))
