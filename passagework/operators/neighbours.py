@@ -126,14 +126,21 @@ class Nearest:
             asked = np.flatnonzero(near)
             if not len(asked):
                 continue
-            d = distances(self.questions[asked], some)
-            row, col = best(d, self.k, rank_of(keys[part]), self.reach[asked])
-            new = pd.DataFrame({"q": asked[row], "rounded": np.round(d[row, col], TIE_DIGITS), "key": keys[part][col], "distance": d[row, col]})
-            both = (pd.concat([self.found, new]) if len(self.found) else new).sort_values(["q", "rounded", "key"])
-            place = both.groupby("q").cumcount()
-            self.found = both[place < self.k]
-            last = both[place == self.k - 1]
-            self.reach[last["q"].to_numpy()] = last["rounded"].to_numpy()
+            self.take(asked, distances(self.questions[asked], some), keys[part])
+
+    def take(self, asked: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
+        """Distances of the questions ``asked`` to rows ``keys``; infinite ones are none."""
+        row, col = best(d, self.k, rank_of(keys), self.reach[asked])
+        some = np.isfinite(d[row, col])
+        row, col = row[some], col[some]
+        if not len(row):
+            return
+        new = pd.DataFrame({"q": asked[row], "rounded": np.round(d[row, col], TIE_DIGITS), "key": keys[col], "distance": d[row, col]})
+        both = (pd.concat([self.found, new]) if len(self.found) else new).sort_values(["q", "rounded", "key"])
+        place = both.groupby("q").cumcount()
+        self.found = both[place < self.k]
+        last = both[place == self.k - 1]
+        self.reach[last["q"].to_numpy()] = last["rounded"].to_numpy()
 
 
 def sent(q: DataFrame, c: DataFrame, k: int, scope: list[str], row_bytes: int) -> DataFrame:
