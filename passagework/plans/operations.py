@@ -345,9 +345,7 @@ def _documents(spark, sf):
 select role, document_id, count(*) as callers from ca join dc on ca.clinic_id = dc.clinic_id
 where role = 'doctor' or (role = 'patient' and status = 'ready' and verified) group by all""")
 def visible_documents(spark, sf):
-    c = callers(spark, sf)
-    return O.visible_rows("documents", _documents(spark, sf), c).join(c.select("caller_id", "role"), "caller_id").groupBy(
-        "role", "document_id").agg(F.count(F.lit(1)).alias("callers"))
+    return O.caller_counts("documents", _documents(spark, sf), callers(spark, sf)).select("role", "document_id", "callers")
 
 
 @query("j13_document_inventory", f"""with {_CALLERS}, {_DOCS}
