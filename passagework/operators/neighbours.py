@@ -3,7 +3,8 @@
 A small question side travels: its vectors are sent in batches of bounded bytes to the corpus rows where they are read, and
 only the best of each input split are shuffled.  Two large sides meet by cells: corpus vectors lie in the cell of their
 nearest pivot, a cell knows its radius, and a question meets only cells that the triangle inequality does not rule
-out after it has seen the ones nearest to it.
+out after it has seen the ones nearest to it.  What is left is met in tiles, crowds of questions against slabs of cells: both
+sides move once for each crowd or slab of the other, which are large, and a slab streams past the crowd.
 """
 
 from __future__ import annotations
@@ -23,13 +24,17 @@ from passagework.functions.windows import top_per_key
 from passagework.sources.lineage import cut
 
 #: Bytes of question vectors that may travel to the corpus, and how many of them go at once.
-SMALL_SIDE_BYTES, BATCH_BYTES = 64 << 20, 16 << 20
+SMALL_SIDE_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
 #: Values of a scope column that a filter lists.
 MOST_SCOPES = 1000
 #: Distances that a task holds at once.
 MATRIX = 4 << 20
 #: Vectors of a side that meet in one task.
 VECTOR_BLOCK = 4096
+#: Questions that a task holds while corpus rows stream past them, and about how many of these.
+CROWD, SLAB = 1 << 14, 1 << 17
+#: Candidates that a task gathers before they are ranked.
+GATHERED = 1 << 18
 #: Cells of the corpus at most; the pivots of all cells travel to every task.
 MOST_PIVOTS = 1024
 #: Distances are compared after rounding to this many places, ties go by key; bounds leave room for it.
@@ -112,6 +117,7 @@ class Nearest:
         self.questions, self.k = questions, k
         self.reach = np.full(len(questions), np.inf)  # rounded distance of the k-th
         self.found = pd.DataFrame({"q": np.zeros(0, np.int64), "rounded": np.zeros(0), "key": np.zeros(0, object), "distance": np.zeros(0)})
+        self.pending, self.gathered = [], 0
         self.parts = self.skipped = 0
 
     def meet(self, keys: np.ndarray, rows: np.ndarray) -> None:
@@ -124,23 +130,42 @@ class Nearest:
             self.parts += len(near)
             self.skipped += int((~near).sum())
             asked = np.flatnonzero(near)
-            if not len(asked):
-                continue
-            self.take(asked, distances(self.questions[asked], some), keys[part])
+            if len(asked):
+                self.gather(asked, distances(self.questions[asked], some), keys[part])
+        self.settle()
 
     def take(self, asked: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
         """Distances of the questions ``asked`` to rows ``keys``; infinite ones are none."""
-        row, col = best(d, self.k, rank_of(keys), self.reach[asked])
-        some = np.isfinite(d[row, col])
-        row, col = row[some], col[some]
-        if not len(row):
+        self.gather(asked, d, keys)
+        self.settle()
+
+    def gather(self, asked: np.ndarray, d: np.ndarray, keys: np.ndarray) -> None:
+        """Candidates within the reach; they are ranked when there are many of them, or while a question has no reach."""
+        reach = self.reach[asked]
+        if endless := bool(np.isinf(reach).any()):
+            row, col = best(d, self.k, rank_of(keys), reach)
+        else:
+            row, col = np.nonzero(d <= (reach + SLACK)[:, None])
+        value = d[row, col]
+        rounded = np.round(value, TIE_DIGITS)
+        some = np.isfinite(value) & (rounded <= reach[row])
+        if some.any():
+            self.pending.append((asked[row[some]], rounded[some], keys[col[some]], value[some]))
+            self.gathered += int(some.sum())
+            if endless or self.gathered > GATHERED:
+                self.settle()
+
+    def settle(self) -> None:
+        if not self.pending:
             return
-        new = pd.DataFrame({"q": asked[row], "rounded": np.round(d[row, col], TIE_DIGITS), "key": keys[col], "distance": d[row, col]})
+        new = pd.DataFrame(dict(zip(self.found.columns, (np.concatenate(x) for x in zip(*self.pending)))))
+        self.pending, self.gathered = [], 0
         both = (pd.concat([self.found, new]) if len(self.found) else new).sort_values(["q", "rounded", "key"])
         place = both.groupby("q").cumcount()
         self.found = both[place < self.k]
         last = both[place == self.k - 1]
-        self.reach[last["q"].to_numpy()] = last["rounded"].to_numpy()
+        q = last["q"].to_numpy()
+        self.reach[q] = np.minimum(self.reach[q], last["rounded"].to_numpy())
 
 
 def sent(q: DataFrame, c: DataFrame, k: int, scope: list[str], row_bytes: int) -> DataFrame:
@@ -287,8 +312,8 @@ def met(going: DataFrame, placed: DataFrame, cells: DataFrame, k: int, scope: li
 
 
 def by_cells(q: DataFrame, c: DataFrame, k: int, scope: list[str], block: int) -> DataFrame:
-    """``k`` rows at most per question and block that it meets.  Corpus rows move once per round to their block, and once
-    more for each further ``block`` questions that meet it there; questions move to the blocks that their bounds leave."""
+    """``k`` rows at most per question and tile that it meets.  A first round, among the blocks nearest to a question, gives
+    its reach; corpus rows move once to their block there, and once more for each further ``block`` questions that meet it."""
     pivots = pivots_of(c, block)
     if not len(pivots):
         return c.sparkSession.createDataFrame([], result_schema(q, c, scope))
@@ -297,5 +322,113 @@ def by_cells(q: DataFrame, c: DataFrame, k: int, scope: list[str], block: int) -
     home = cut(met(cut(visits(q, cells, pivots, k, scope, True)), placed, cells, k, scope, block))
     kth = top_per_key(home, [*scope, "query_id"], [F.round("distance", TIE_DIGITS), "key"], k).filter(F.col("rank") == k)
     kth = kth.select(*scope, "query_id", F.round("distance", TIE_DIGITS).alias("reach"))
-    further = cut(visits(q.join(kth, [*scope, "query_id"], "left"), cells, pivots, k, scope, False))
-    return met(further, placed, cells, k, scope, block)
+    return tiles(q.join(kth, [*scope, "query_id"], "left"), placed, cells, pivots, k, scope)
+
+
+def in_line(pivots: np.ndarray) -> np.ndarray:
+    """The place of every pivot along the direction in which they differ most, from 0 to below 1."""
+    away = pivots - pivots.mean(axis=0)
+    return rank_of(away @ np.linalg.svd(away, full_matrices=False)[2][0]) / len(pivots)
+
+
+def needs(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: list[str], crowds: int) -> tuple[DataFrame, DataFrame]:
+    """Questions (with ``reach``) in their ``crowd``, and the cells that some question of a crowd may need: scope, ``crowd``, ``cell``.
+
+    A crowd has the questions of pivots in line; a cell is needed as in :func:`visits`.
+    """
+    line = in_line(pivots)
+    schema = S.StructType([*q.schema.fields, S.StructField("crowd", S.IntegerType())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nearest = distances(vectors(batch.column("vector")), pivots).argmin(axis=1) if batch.num_rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((line[nearest] * crowds).astype(np.int32), pa.int32())], names=schema.names)
+
+    dealt = cut(q.mapInArrow(deal, schema))
+    told = dealt.join(cells, scope).select(*scope, "crowd", "vector", "reach", "cells") if scope else dealt.select("crowd", "vector", "reach")
+    all_cells = None if scope else [x.asDict() for x in cells.first()["cells"]]
+    wanted = S.StructType([*[q.schema[x] for x in scope], S.StructField("crowd", S.IntegerType()), S.StructField("cell", S.IntegerType())])
+    arrow = to_arrow_schema(wanted)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = batch.select([*scope, "crowd"]).to_pandas().groupby([*scope, "crowd"]).indices if batch.num_rows else {}
+            out = []
+            for g, where in groups.items():
+                mine = batch.column("cells")[int(where[0])].as_py() if scope else all_cells
+                number, n, radius = (np.array([x[name] for x in mine]) for name in ("cell", "n", "radius"))
+                rows = batch.take(pa.array(where))
+                reach = rows.column("reach").to_numpy(zero_copy_only=False).astype(float)
+                d = np.sqrt(distances(vectors(rows.column("vector")), pivots[number]))
+                ends = np.argsort(d + radius, axis=1, kind="stable")  # k rows lie within the farthest ends of the first cells that hold them
+                first = np.minimum((np.cumsum(n[ends], axis=1) < k).sum(axis=1), len(number) - 1)
+                at = np.arange(len(where))
+                limit = (d + radius)[at, ends[at, first]] ** 2 if n.sum() >= k else np.full(len(where), np.inf)
+                limit = np.fmin(limit, reach)
+                may = (np.maximum(d - radius, 0) ** 2 <= (limit + SLACK)[:, None]).any(axis=0)
+                g = g if isinstance(g, tuple) else (g,)
+                out += [(*g, int(x)) for x in number[may]]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=arrow.names), schema=arrow, preserve_index=False)
+
+    return dealt, told.mapInArrow(look, wanted).distinct()
+
+
+def tiles(q: DataFrame, placed: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: list[str]) -> DataFrame:
+    """The ``k`` best within its ``reach`` of every question in every slab of cells that its crowd needs.
+
+    A tile is a crowd and a slab.  It comes to its task as rows in order, the questions first; corpus rows then stream past
+    them, so that memory is bounded by a crowd, however many rows a cell has.
+    """
+    session = q.sparkSession
+    cores, scopes = session.sparkContext.defaultParallelism, max(1, cells.count())
+    crowds = max(1, math.ceil(q.count() / scopes / CROWD))
+    slabs = max(math.ceil(placed.count() / scopes / SLAB), math.ceil(2 * cores / (crowds * scopes)))
+    dealt, wanted = needs(q, cells, pivots, k, scope, crowds)
+    slab = F.lit([int(x * slabs) for x in in_line(pivots)])[F.col("cell")]
+    wanted = cut(wanted.withColumn("slab", slab))
+    # A crowd about which most questions gather is several.
+    turns = dealt.groupBy(*scope, "crowd").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("turns"))
+    wanted = wanted.join(turns, [*scope, "crowd"])
+    dealt = dealt.join(turns, [*scope, "crowd"]).withColumn("turn", F.pmod(F.xxhash64("query_id"), "turns").cast("int"))
+    tile = F.to_json(F.struct(*scope, "crowd", "turn", "slab")).alias("tile")
+    asked = dealt.join(wanted.select(*scope, "crowd", "slab").distinct(), [*scope, "crowd"]).select(
+        tile, F.lit(0).alias("cell"), *scope, "query_id", F.lit(None).cast(placed.schema["key"].dataType).alias("key"), "vector", "reach")
+    held = placed.join(wanted.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))), [*scope, "cell"]).select(
+        tile, (F.col("cell") + 1).alias("cell"), *scope, F.lit(None).cast(q.schema["query_id"].dataType).alias("query_id"), "key", "vector",
+        F.lit(None).cast("double").alias("reach"))
+    count = min(8 * cores, 2 * cores + crowds * scopes * slabs)
+    rows = asked.unionByName(held).repartition(count, "tile").sortWithinPartitions("tile", "cell")
+    schema = result_schema(q, placed, scope)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, crowd, nearest, own = None, [], None, None
+
+        def told() -> Iterator[pa.RecordBatch]:
+            if nearest is not None and len(found := nearest.found):
+                mine = own.take(pa.array(found["q"].to_numpy()))
+                columns = [*[mine.column(x).combine_chunks() for x in [*scope, "query_id"]], pa.array(found["key"], arrow.field("key").type), pa.array(found["distance"])]
+                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+
+        for batch in batches:
+            names, asks = batch.column("tile").to_pandas().to_numpy(), batch.column("cell").to_numpy() == 0
+            edges = np.flatnonzero((names[1:] != names[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for lo, hi in zip([0, *edges], [*edges, batch.num_rows]):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                if names[lo] != name:
+                    yield from told()
+                    name, crowd, nearest = names[lo], [], None
+                if asks[lo]:
+                    crowd.append(part.select([*scope, "query_id", "vector", "reach"]))
+                    continue
+                if nearest is None:
+                    own = pa.Table.from_batches(crowd)
+                    nearest = Nearest(vectors(own.column("vector")), k)
+                    reach = own.column("reach").to_numpy().astype(float)
+                    nearest.reach = np.where(np.isnan(reach), np.inf, reach)
+                nearest.meet(part.column("key").to_pandas().to_numpy(), vectors(part.column("vector")))
+        yield from told()
+
+    return rows.mapInArrow(run, schema)

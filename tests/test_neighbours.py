@@ -118,3 +118,17 @@ def test_only_folders_of_asked_tenants_are_read(spark, tmp_path, small_bytes):
     if small_bytes:
         assert "PartitionFilters: [isnotnull(tenant" in got._jdf.queryExecution().executedPlan().toString()
     assert found(got) == want
+
+
+def test_tiles_hold_few_rows_without_structure(spark, monkeypatch):
+    """Vectors that no bound separates: results of a tile, not of every block, and both sides move once per crowd or slab."""
+    monkeypatch.setattr(neighbours, "CROWD", 50)
+    monkeypatch.setattr(neighbours, "SLAB", 200)
+    monkeypatch.setattr(neighbours, "GATHERED", 30)
+    rng = np.random.default_rng(9)
+    data = rng.normal(0, 1, (400, 20))
+    q, c = frame(spark, data[:200], "query_id"), frame(spark, data, "key")
+    made, plain = [], neighbours.tiles
+    monkeypatch.setattr(neighbours, "tiles", lambda *args: made.append(plain(*args)) or made[-1])
+    assert found(knn(q, c, 5, [], 10, 0)) == brute(data[:200], data, 5)
+    assert made[0].count() <= 200 * 5 * 4  # a block holds 10 rows: every block's best would be 200 * 5 * 40 rows
