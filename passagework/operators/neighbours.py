@@ -10,7 +10,7 @@ sides move once for each crowd or slab of the other, which are large, and a slab
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,6 +27,8 @@ from passagework.sources.lineage import cut
 SMALL_SIDE_BYTES, BATCH_BYTES = 4 << 20, 2 << 20
 #: Values of a scope column that a filter lists.
 MOST_SCOPES = 1000
+#: Cells of all scopes that travel to the questions; more of them meet these in a join.
+SENT_CELLS = 1 << 18
 #: Distances that a task holds at once.
 MATRIX = 4 << 20
 #: Vectors of a side that meet in one task.
@@ -235,6 +237,22 @@ def cells_of(placed: DataFrame, scope: list[str], block: int) -> DataFrame:
     return one.groupBy(*scope).agg(F.array_sort(F.collect_list(F.struct("cell", "n", "radius", "subs"))).alias("cells"))
 
 
+def with_cells(q: DataFrame, cells: DataFrame, columns: list[str], scope: list[str]) -> tuple[DataFrame, Callable]:
+    """Questions of known scopes, and what says a batch's cells (number, rows, radius, subs as arrays) for each of its scopes.
+
+    A list of cells is long, so it travels once to every task and not with every question, unless there are very many scopes.
+    """
+    def arrays(listed: list) -> tuple:
+        return tuple(np.array([x[name] for x in listed]) for name in ("cell", "n", "radius", "subs"))
+
+    total = cells.agg(F.sum(F.size("cells")).alias("n")).first()["n"] or 0
+    if scope and total > SENT_CELLS:
+        return q.join(cells, scope).select(*columns, "cells"), lambda batch, g, row: arrays(batch.column("cells")[row].as_py())
+    shared = q.sparkSession.sparkContext.broadcast({tuple(r[x] for x in scope): arrays([x.asDict() for x in r["cells"]]) for r in cells.collect()})
+    known = q.join(cells.select(*scope), scope, "left_semi") if scope else q
+    return known.select(*columns), lambda batch, g, row: shared.value[g]
+
+
 def visits(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: list[str], first: bool) -> DataFrame:
     """(question, ``cell``, ``sub``): the blocks that questions go to.
 
@@ -245,8 +263,7 @@ def visits(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: li
     """
     kept = [*scope, "query_id", "vector"]
     own = [] if first else ["reach"]
-    told = q.join(cells, scope).select(*kept, *own, "cells") if scope else q.select(*kept, *own)
-    all_cells = None if scope else [x.asDict() for x in cells.first()["cells"]]
+    told, cells_in = with_cells(q, cells, [*kept, *own], scope)
     schema = S.StructType([*[told.schema[x] for x in kept], S.StructField("cell", S.IntegerType()), S.StructField("sub", S.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,8 +272,12 @@ def visits(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: li
                 away = np.sqrt(distances(vectors(batch.column("vector")), pivots))
                 reach = [None] * batch.num_rows if first else batch.column("reach").to_pylist()
                 row, cell, sub = [], [], []
-                for r, mine in enumerate(batch.column("cells").to_pylist() if scope else [all_cells] * batch.num_rows):
-                    number, n, radius, subs = (np.array([x[name] for x in mine]) for name in ("cell", "n", "radius", "subs"))
+                groups = [tuple(g) for g in batch.select(scope).to_pandas().itertuples(index=False)] if scope else [()] * batch.num_rows
+                seen = {}
+                for r, g in enumerate(groups):
+                    if g not in seen:
+                        seen[g] = cells_in(batch, g, r)
+                    number, n, radius, subs = seen[g]
                     d = away[r, number]
                     near = np.argsort(d, kind="stable")
                     home = near[:np.searchsorted(np.cumsum(n[near]), k) + 1]  # cells whose first blocks are seen first
@@ -345,8 +366,7 @@ def needs(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: lis
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((line[nearest] * crowds).astype(np.int32), pa.int32())], names=schema.names)
 
     dealt = cut(q.mapInArrow(deal, schema))
-    told = dealt.join(cells, scope).select(*scope, "crowd", "vector", "reach", "cells") if scope else dealt.select("crowd", "vector", "reach")
-    all_cells = None if scope else [x.asDict() for x in cells.first()["cells"]]
+    told, cells_in = with_cells(dealt, cells, [*scope, "crowd", "vector", "reach"], scope)
     wanted = S.StructType([*[q.schema[x] for x in scope], S.StructField("crowd", S.IntegerType()), S.StructField("cell", S.IntegerType())])
     arrow = to_arrow_schema(wanted)
 
@@ -355,9 +375,9 @@ def needs(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: lis
             groups = batch.select([*scope, "crowd"]).to_pandas().groupby([*scope, "crowd"]).indices if batch.num_rows else {}
             out = []
             for g, where in groups.items():
-                mine = batch.column("cells")[int(where[0])].as_py() if scope else all_cells
-                number, n, radius = (np.array([x[name] for x in mine]) for name in ("cell", "n", "radius"))
-                rows = batch.take(pa.array(where))
+                g = g if isinstance(g, tuple) else (g,)
+                number, n, radius, _ = cells_in(batch, g[:-1], int(where[0]))
+                rows = batch.select(["vector", "reach"]).take(pa.array(where))
                 reach = rows.column("reach").to_numpy(zero_copy_only=False).astype(float)
                 d = np.sqrt(distances(vectors(rows.column("vector")), pivots[number]))
                 ends = np.argsort(d + radius, axis=1, kind="stable")  # k rows lie within the farthest ends of the first cells that hold them
@@ -366,7 +386,6 @@ def needs(q: DataFrame, cells: DataFrame, pivots: np.ndarray, k: int, scope: lis
                 limit = (d + radius)[at, ends[at, first]] ** 2 if n.sum() >= k else np.full(len(where), np.inf)
                 limit = np.fmin(limit, reach)
                 may = (np.maximum(d - radius, 0) ** 2 <= (limit + SLACK)[:, None]).any(axis=0)
-                g = g if isinstance(g, tuple) else (g,)
                 out += [(*g, int(x)) for x in number[may]]
             yield pa.RecordBatch.from_pandas(pd.DataFrame(out, columns=arrow.names), schema=arrow, preserve_index=False)
 
