@@ -352,7 +352,7 @@ def visible_documents(spark, sf):
 select caller_id, document_id from ca join dc on ca.clinic_id = dc.clinic_id
 where role = 'doctor' or (role = 'patient' and status = 'ready' and verified)""")
 def document_inventory(spark, sf):
-    return O.document_inventory(_documents(spark, sf), callers(spark, sf)).select("caller_id", "document_id")
+    return O.document_inventory(_documents(spark, sf), callers(spark, sf), ordered=False).select("caller_id", "document_id")
 
 
 @query("j13_visible_chunks", f"""with {_CALLERS}, {_DOCS}, ck as (select conv_id, turn, conv_id as document_id,
