@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passagework.plans import sqltext as Q
 from passagework.plans.lifecycle import write_documents
 from passagework.plans.registry import query
-from passagework.sources.documents import write_stage
+from passagework.sources.documents import fingerprint
 from passagework.sources.lineage import new_folder
 from passagework.sources.tables import table
 from passagework.streaming import ingest as S
@@ -33,16 +33,23 @@ def stream_chunk_ingest(spark, sf):
     return S.current_chunks(spark, f"{base}/store").select("chunk_id", F.md5("text").alias("text_md5"), "section_title")
 
 
+def _write_uploads(d, after, folder) -> int:
+    """Append documents as uploads to a folder, in as many files as there are splits to read (two at least), and say how many."""
+    rows = d.select(F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
+                    F.timestamp_seconds(F.lit(1_704_067_200) + after + F.col("doc_id") % 60).alias("ts"))
+    files = max(2, rows.rdd.getNumPartitions())
+    (rows if rows.rdd.getNumPartitions() >= 2 else rows.repartition(2)).write.mode("append").parquet(folder)
+    return files
+
+
 @query("k2_stream_dedupe_uploads", "select distinct lang as tenant, sha256(text) as sha from documents")
 def stream_dedupe_uploads(spark, sf):
     base = new_folder(spark, "passagework-stream")
-    d = table(spark, sf, "documents")
-    write_stage(d.select(
-        F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
-        F.timestamp_seconds(F.lit(1_704_067_200) + F.col("doc_id") % 60).alias("ts")).repartition(4), f"{base}/in")
+    files = _write_uploads(table(spark, sf, "documents"), F.lit(0), f"{base}/in")
     uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option(
-        "maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    S.stream_dedupe_uploads(uploads, "1 hour").select("tenant", "sha").writeStream.format("parquet").option(
+        "maxFilesPerTrigger", -(-files // 2)).parquet(f"{base}/in")
+    hashed = uploads.select("tenant", "ts", fingerprint("content").alias("sha"))
+    S.stream_dedupe_uploads(hashed, "1 hour").select("tenant", "sha").writeStream.format("parquet").option(
         "checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out").trigger(
         availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{base}/out")
@@ -55,9 +62,7 @@ def stream_new_uploads(spark, sf):
     base = new_folder(spark, "passagework-stream")
     d = table(spark, sf, "documents")
     for part in range(4):
-        d.filter(F.col("doc_id") % 4 == part).select(
-            F.col("lang").alias("tenant"), F.encode("text", "utf-8").alias("content"),
-            F.timestamp_seconds(F.lit(1_704_067_200 + part * 36_000) + F.col("doc_id") % 60).alias("ts")).coalesce(2).write.mode("append").parquet(f"{base}/in")
-    uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+        files = _write_uploads(d.filter(F.col("doc_id") % 4 == part), F.lit(part * 36_000), f"{base}/in")
+    uploads = spark.readStream.schema("tenant string, content binary, ts timestamp").option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     S.stream_new_uploads(uploads, f"{base}/store", f"{base}/checkpoint").awaitTermination()
     return S.stored_uploads(spark, f"{base}/store").groupBy("tenant", "sha").agg(F.count(F.lit(1)).alias("published"))

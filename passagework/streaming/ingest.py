@@ -82,8 +82,10 @@ def stream_dedupe_uploads(uploads: DataFrame, delay: str = "1 hour") -> DataFram
     """First upload of each (tenant, content) within the watermark ``delay`` of a stream with event time ``ts``.
 
     State is dropped behind the watermark, so a copy that comes later passes; :func:`stream_new_uploads` catches those too.
+    A stream that carries ``sha`` already needs no ``content``, which is then not shuffled.
     """
-    return uploads.withColumn("sha", fingerprint("content")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(
+    hashed = uploads if "sha" in uploads.columns else uploads.withColumn("sha", fingerprint("content"))
+    return hashed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(
         ["tenant", "sha"])
 
 
@@ -95,7 +97,8 @@ def stream_new_uploads(uploads: DataFrame, store: str, checkpoint: str, delay: s
     hashes only.  Uploads that are late by more than ``delay`` are dropped by the watermark, as in any such stream; they are no
     duplicates of what was published, so their sender must send them again.
     """
-    near = stream_dedupe_uploads(uploads, delay)
+    # What is published needs no content: only hashes are shuffled and kept as state.
+    near = stream_dedupe_uploads(uploads.select("tenant", "ts", fingerprint("content").alias("sha")), delay)
     return (
         near.writeStream.foreachBatch(lambda df, batch_id: publish_new(df, store, batch_id))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

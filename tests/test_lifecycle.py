@@ -142,3 +142,14 @@ def test_copies_long_after_the_first(spark, tmp_path):
     ingest.publish_new(again, store, 77)
     ingest.publish_new(again, store, 1)  # a replay of the batch that published z
     assert ingest.stored_uploads(spark, store).filter(F.col("sha") == sha["z"]).count() == 1
+
+
+def test_uploads_are_written_split_by_split(spark, tmp_path):
+    """No task of the k2 queries writes or reads a fixed share of all uploads, and hashed uploads need no content."""
+    from passagework.plans import streams
+    d = spark.range(60).selectExpr("id as doc_id", "'en' as lang", "concat('text ', id % 20) as text").repartition(6)
+    files = streams._write_uploads(d, F.lit(0), str(tmp_path / "in"))
+    assert files == len(list((tmp_path / "in").glob("part-*.parquet"))) == 6
+    up = spark.readStream.schema("tenant string, content binary, ts timestamp").parquet(str(tmp_path / "in"))
+    hashed = up.select("tenant", "ts", F.sha2("content", 256).alias("sha"))
+    assert S.stream_dedupe_uploads(hashed).columns == ["tenant", "ts", "sha"]
