@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from passagework.functions.once import once
 from passagework.functions.windows import top_per_key
 from passagework.sources.lineage import cut
 
@@ -30,7 +31,7 @@ MOST_SCOPES = 1000
 #: Cells of all scopes that travel to the questions; more of them meet these in a join.
 SENT_CELLS = 1 << 18
 #: Distances that a task holds at once.
-MATRIX = 4 << 20
+MATRIX = 1 << 20
 #: Vectors of a side that meet in one task.
 VECTOR_BLOCK = 4096
 #: Questions that a task holds while corpus rows stream past them, and about how many of these.
@@ -88,10 +89,11 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, scope: list[str], block:
     ``MOST_SCOPES`` of them.  Jobs that measure the question side run while the frame is built.
     """
     def side(df: DataFrame, ident: str) -> DataFrame:
-        known = [F.col(c).isNotNull() for c in [*scope, "vector"]]
-        for condition in known:
-            df = df.filter(condition)
-        return df.select(*scope, ident, F.col("vector").cast("array<double>").alias("vector"))
+        for x in scope:
+            df = df.filter(F.col(x).isNotNull())
+        # A filter on a vector that Python makes would have it made twice, by two Python processes of a task.
+        made = once(df.select(*scope, ident, "vector"), vector=F.col("vector").cast("array<double>"))
+        return made.filter(F.col("vector").isNotNull())
 
     q, c = cut(side(queries, "query_id")), side(corpus, "key")
     for x in scope:  # a corpus that is stored by scope is read where there are questions

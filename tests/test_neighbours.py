@@ -132,3 +132,14 @@ def test_tiles_hold_few_rows_without_structure(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "tiles", lambda *args: made.append(plain(*args)) or made[-1])
     assert found(knn(q, c, 5, [], 10, 0)) == brute(data[:200], data, 5)
     assert made[0].count() <= 200 * 5 * 4  # a block holds 10 rows: every block's best would be 200 * 5 * 40 rows
+
+
+def test_a_vector_that_python_makes_is_made_once(spark):
+    """The filter on rows without a vector does not run the embedding a second time."""
+    from passagework.operators import retrieval as R
+    c = R.embed(spark.createDataFrame([(k, f"a{k} b", "x") for k in range(9)] + [(9, "", "x")], "key long, text string, tenant string"), "text")
+    q = R.embed(spark.createDataFrame([(1, "a3 b", "x")], "query_id long, text string, tenant string"), "text")
+    found = R.knn(q, c, 3)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") + plan.count("vectors(") <= 2 and plan.count("ArrowEvalPython") == 1
+    assert found.filter("rank = 1").first().key == 3
