@@ -10,6 +10,7 @@ from passagework.plans import sqltext as Q
 from passagework.plans.chunks import _CHUNKS
 from passagework.plans.registry import query
 from passagework.plans.views import guide_pages, text_chunks
+from passagework.sources.lineage import cut
 
 _BODY = Q.strip("text")
 
@@ -127,7 +128,7 @@ select case when length(probe) < 20 then 'skipped' when contains(here, probe) th
 def built_chunk_citations(spark, sf):
     """The same check on chunks built from classified pages, against those pages."""
     from passagework.operators.pages import classify_pages, content_pages
-    pages = content_pages(classify_pages(guide_pages(spark, sf)))
+    pages = cut(content_pages(classify_pages(guide_pages(spark, sf))))  # both sides of the check read the same pages
     return O.page_citation_check(C.build_chunks(pages), pages)
 
 
