@@ -21,25 +21,30 @@ from passagework.operators.pages import DOC, content_pages, page_offsets
 def document_lines(pages: DataFrame) -> DataFrame:
     """Lines of each document in reading order with their character offset.
 
-    Offsets are page start plus the lines before it on the page; both are running sums over narrow columns.
+    Lines are numbered page by page before they are spread, so that every later window has the order of ``line_no`` and
+    Spark sorts the lines once.  ``next1`` and ``next2`` are the next two lines where these are short enough to be wrapped
+    titles, else null: rows do not carry their neighbours' text.
     """
-    placed = page_offsets(pages)
+    ahead = Window.partitionBy(DOC).orderBy("page_number").rowsBetween(Window.unboundedPreceding, -1)
+    n = F.greatest(F.size(F.split("text", "\n")), F.lit(1))  # a page without text is one line without text
+    placed = page_offsets(pages).withColumn("__ahead", F.coalesce(F.sum(n).over(ahead), F.lit(0)))
     lines = placed.select(
-        DOC, "page_number", "start_offset", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line"))
-    w = Window.partitionBy(DOC).orderBy("page_number", "pos")
+        DOC, "page_number", "start_offset", "__ahead", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn(
+        "line_no", (F.col("__ahead") + F.coalesce("pos", F.lit(0)) + 1).cast("int")).drop("__ahead")
+    w = Window.partitionBy(DOC).orderBy("line_no")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
+    short = F.when(F.length("line") <= K.WRAPPED_LINE[1], F.col("line"))
     return (
         lines.withColumn("start", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
-        .withColumn("line_no", F.row_number().over(w))
-        .withColumn("next1", F.lead("line", 1).over(w))
-        .withColumn("next2", F.lead("line", 2).over(w))
+        .withColumn("next1", F.lead(short, 1).over(w))
+        .withColumn("next2", F.lead(short, 2).over(w))
     )
 
 
 def _annex_extra() -> Column:
     """How many wrapped lines (2-40 characters each, at most two) belong to an annex title."""
     def fits(c):
-        return F.coalesce(F.length(c).between(2, 40), F.lit(False))
+        return F.coalesce(F.length(c).between(*K.WRAPPED_LINE), F.lit(False))
     return F.when(fits("next1") & fits("next2"), 2).when(fits("next1"), 1).otherwise(0)
 
 
@@ -56,7 +61,8 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
 
     An annex title may wrap onto two more lines, which then start no heading of their own.  The title word and
     its number stand on one line.  Whether a line is wrapped text depends only on the unbroken run of titles at
-    most two lines apart before it, so the window that gathers titles is cut at every gap.
+    most two lines apart before it, so the window that gathers titles is cut at every gap.  ``run`` numbers these
+    stretches in the order of lines: later windows over (``run``, ``line_no``) find the rows sorted.
     """
     w = Window.partitionBy(DOC).orderBy("line_no")
     title = T.is_annex_heading("line")
@@ -77,21 +83,25 @@ def heading_candidates(lines: DataFrame) -> DataFrame:
         .when(F.col("extra") == 1, F.concat_ws("\n", "line", "next1"))
         .otherwise(F.col("line")))
     return (
-        once(marked, kind=kind)
+        marked.withColumn("kind", kind)
         .withColumn("heading", F.when(F.col("kind") == "annex", wrapped).when(F.col("kind").isNotNull(), F.col("line")))
         .withColumn("blank_follows", F.coalesce(F.col("next1") == "", F.lit(False)))
-        .drop("annex", "extra", "near", "run", "titles")
+        .drop("annex", "extra", "near", "titles")
     )
 
 
 def kept_headings(candidates: DataFrame) -> DataFrame:
     """Add ``is_heading``: a candidate that is no boilerplate and looks like a real heading."""
+    return once(candidates, is_heading=_is_heading())
+
+
+def _is_heading() -> Column:
     keep = (
         F.col("kind").isNotNull()
         & ~T.is_boilerplate_heading("heading")
         & (F.col("kind").isin("numbered", "annex") | F.col("blank_follows") | T.looks_titled("heading"))
     )
-    return once(candidates, is_heading=F.coalesce(keep, F.lit(False)))
+    return F.coalesce(keep, F.lit(False))
 
 
 def split_sections(pages: DataFrame) -> DataFrame:
@@ -100,23 +110,23 @@ def split_sections(pages: DataFrame) -> DataFrame:
     Text before the first heading is ``Preamble``; a document without headings is one ``General`` section; spans
     under 30 characters go.  The heading stays in the text; ``page_map`` lists the section's pages and their starts.
     """
-    lines = kept_headings(heading_candidates(document_lines(pages)))
-    w = Window.partitionBy(DOC).orderBy("line_no")
-    numbered = lines.withColumn(
-        "section_no", F.sum(F.col("is_heading").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # No generator comes between the windows (as in kept_headings): it would hide the order of the rows, and their text be sorted again.
+    lines = heading_candidates(document_lines(pages)).withColumn("is_heading", _is_heading())
+    w = Window.partitionBy(DOC).orderBy("run", "line_no")
+    headings = F.sum(F.col("is_heading").cast("int"))
+    numbered = lines.withColumn("section_no", headings.over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn(
+        "headings", headings.over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     body = numbered.groupBy(DOC, "section_no").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"),
         F.min("start").alias("start"),
         F.array_sort(F.collect_set(
             F.struct(F.col("start_offset").alias("start"), F.col("page_number").alias("page")))).alias("page_map"),
         F.max(F.when(F.col("is_heading"), T.squeeze("heading"))).alias("title"),
+        (F.max("headings") == 0).alias("general"),
     )
     raw = F.concat(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n"))
-    per_doc = Window.partitionBy(DOC)
     shaped = once(
         once(body, raw=raw).drop("l")
-        .withColumn("last_section", F.max("section_no").over(per_doc))
-        .withColumn("general", F.col("last_section") == 0)
         .withColumn("end", F.col("start") + F.length("raw")),
         stripped=T.strip("raw"))
     lead = F.length("raw") - F.length(T.lstrip("raw"))

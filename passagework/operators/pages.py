@@ -167,8 +167,7 @@ def clean_furniture(pages: DataFrame) -> DataFrame:
 
 def _without_edges(joined: DataFrame) -> DataFrame:
     """Lines are judged inside the page row by its ``__keys``, so the text is neither exploded nor collected again."""
-    def drop(x):
-        t = T.strip(x)
+    def drop(t):
         return (t != "") & ~T.is_protected(t) & (
             F.array_contains(F.col("__keys"), T.furniture_key(t)) | t.rlike(K.PAGE_NUMBER_LINE))
 
@@ -179,7 +178,7 @@ def _without_edges(joined: DataFrame) -> DataFrame:
     tail = F.when(n > e, F.slice(lines, F.greatest(n - e + 1, F.lit(e + 1)), e)).otherwise(F.slice(lines, 1, 0))
     split = once(joined, __lines=F.split("text", "\n"))
     split = once(split, __head=head, __middle=middle, __tail=tail).drop("__lines", "text")
-    split = once(split, __drop=F.transform("__head", drop), __last=F.transform("__tail", drop))
+    split = once(split, __drop=F.transform(F.transform("__head", T.strip), drop), __last=F.transform(F.transform("__tail", T.strip), drop))
 
     def pick(lines, flags, want: bool):
         return F.filter(lines, lambda x, i: F.element_at(flags, i + 1) == want)

@@ -132,6 +132,13 @@ def test_chunk_ids_pages_and_citations(spark):
     assert all(" ".join(r.text.split())[:60] in " ".join(by_page[r.page_number].split()) for r in rows)
 
 
+def test_lines_do_not_carry_their_neighbours(spark):
+    """Only what may be a wrapped title or a blank line comes along; pages without text keep their line."""
+    p = pages(spark, [(1, "Annex 1: Dose\n" + "x" * 41 + "\n\n" + "y" * 40), (2, None), (3, "z")])
+    got = [(r.line_no, r.next1, r.next2) for r in C.document_lines(p).orderBy("line_no").collect()]
+    assert got == [(1, None, ""), (2, "", "y" * 40), (3, "y" * 40, None), (4, None, "z"), (5, "z", None), (6, None, None)]
+
+
 def test_locate_chunk(spark):
     cases = [("abcabc", "abc", 0, 0), ("abcabc", "abc", 1, 3), ("abc", "x", 0, -1), ("q" * 5 + "r" * 45, "r" * 41 + "z", 0, 5)]
     df = spark.createDataFrame(cases, "s string, p string, c int, want int")

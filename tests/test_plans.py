@@ -41,6 +41,21 @@ def test_text_of_pages_is_scanned_and_shuffled_once(spark, name):
     assert scans == 1 and len(found) == 1 and re.search(r"hashpartitioning\(document_id", found[0]), found
 
 
+@pytest.mark.parametrize("name", ["d6_split_sections", "d11_build_chunks"])
+def test_lines_are_sorted_twice_and_dealt_in_bounded_shares(spark, name):
+    """Two sorts of lines (by number, by stretch of titles), and an exchange whose shares no one joins to larger ones."""
+    text = plan(entry.queries()[name](spark, SF))
+    assert len(re.findall(r"Sort \[document_id#\d+ ASC[^]]*line_no", text)) == 2
+    assert not re.search(r"Sort \[document_id#\d+ ASC NULLS FIRST\]", text)
+    assert re.search(r"hashpartitioning\(document_id#\d+, 16\), REPARTITION_BY_NUM", text)
+
+
+def test_shares_are_bounded_by_the_splits_of_the_input(spark):
+    from passagework.sources.lineage import dealt
+    few, many = spark.range(100).coalesce(1), spark.range(100).repartition(10)
+    assert dealt(few, "id").rdd.getNumPartitions() == 16 and dealt(many, "id").rdd.getNumPartitions() == 80
+
+
 def test_a_dropped_tenant_is_not_read(spark):
     """The filter is one of folders: files of the tenant that goes are not listed by the scan."""
     from passagework.plans.lifecycle import tenant_chunks
