@@ -6,6 +6,7 @@ become running section numbers, a section's lines come together again and are cu
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -124,12 +125,11 @@ def split_sections(pages: DataFrame) -> DataFrame:
         F.max(F.when(F.col("is_heading"), T.squeeze("heading"))).alias("title"),
         (F.max("headings") == 0).alias("general"),
     )
-    raw = F.concat(F.array_join(F.transform("l", lambda x: x.line), "\n"), F.lit("\n"))
     shaped = once(
-        once(body, raw=raw).drop("l")
-        .withColumn("end", F.col("start") + F.length("raw")),
-        stripped=T.strip("raw"))
-    lead = F.length("raw") - F.length(T.lstrip("raw"))
+        once(body, joined=F.array_join(F.col("l.line"), "\n")).drop("l")
+        .withColumn("end", F.col("start") + F.length("joined") + 1),
+        stripped=T.strip_long("joined"))
+    lead = F.length("joined") - F.length(T.lstrip("joined"))
     return (
         shaped.filter(F.col("general") | (F.length("stripped") >= K.MIN_SECTION_CHARS))
         .select(
@@ -137,7 +137,7 @@ def split_sections(pages: DataFrame) -> DataFrame:
             F.when(F.col("general"), K.GENERAL).otherwise(F.coalesce("title", F.lit(K.PREAMBLE))).alias("heading"),
             F.when(F.col("general"), F.col("start")).otherwise(F.col("start") + lead).alias("start"),
             "end",
-            F.when(F.col("general"), F.col("raw")).otherwise(F.col("stripped")).alias("text"),
+            F.when(F.col("general"), F.concat("joined", F.lit("\n"))).otherwise(F.col("stripped")).alias("text"),
             "page_map",
         )
     )
@@ -213,6 +213,29 @@ def split_overlapping(c, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLA
     return chunks(T.col(c))
 
 
+def split_on_pages(text, start, page_starts, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP,
+                   seps: tuple[str, ...] = K.CHUNK_SEPARATORS) -> Column:
+    """Like :func:`split_overlapping`, with the chunks' ``place`` besides: which of the ascending ``page_starts`` is the last
+    at or before it, counted from 1 (null before all).  ``start`` is the text's offset in the document."""
+    seps = tuple(seps)
+
+    @F.arrow_udf("array<struct<start:int,text:string,place:int>>")
+    def chunks(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, at, pages in batches:
+            starts, found, places, offsets = [], [], [], [0]
+            for text, base, firsts in zip(texts.to_pylist(), at.to_pylist(), pages.to_pylist(), strict=True):
+                for start, chunk in split_text(text, size, overlap, seps) if text is not None else ():
+                    starts.append(start)
+                    found.append(chunk)
+                    places.append(bisect_right(firsts, base + start) or None)
+                offsets.append(len(starts))
+            rows = pa.StructArray.from_arrays(
+                [pa.array(starts, pa.int32()), pa.array(found, pa.string()), pa.array(places, pa.int32())], names=["start", "text", "place"])
+            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=texts.is_null())
+
+    return chunks(T.col(text), T.col(start), T.col(page_starts))
+
+
 def fixed_windows(c, size: int = K.CHUNK_SIZE, overlap: int = K.CHUNK_OVERLAP) -> Column:
     """Array of ``struct<start,text>`` cut every ``size - overlap`` characters, whatever the text says."""
     text, step = T.col(c), size - overlap
@@ -252,12 +275,12 @@ def section_chunks(sections: DataFrame) -> DataFrame:
     """
     cut = sections.select(
         DOC, "section_no", F.col("heading").alias("section_title"), F.col("start").alias("section_start"), "page_map",
-        F.posexplode_outer(split_overlapping("text")).alias("piece_no", "p"))
-    placed = cut.select("*", (F.col("section_start") + F.col("p.start")).alias("offset"))
-    page = F.element_at(F.filter("page_map", lambda m: m.start <= F.col("offset")), -1).page
-    return drop_tiny_chunks(placed.select(
-        DOC, "section_no", "section_title", "piece_no", "offset", page.alias("page_number"),
-        F.col("p.text").alias("text")))
+        F.posexplode_outer(split_on_pages("text", "start", "page_map.start")).alias("piece_no", "p"))
+    # Chunks come stripped.
+    return cut.select(
+        DOC, "section_no", "section_title", "piece_no", (F.col("section_start") + F.col("p.start")).alias("offset"),
+        F.element_at("page_map", F.col("p.place")).page.alias("page_number"),
+        F.col("p.text").alias("text")).filter(F.length("text") >= K.MIN_CHUNK_CHARS)
 
 
 def build_chunks(pages: DataFrame, provenance: DataFrame | None = None) -> DataFrame:

@@ -106,8 +106,9 @@ def page_lines(pages: DataFrame) -> DataFrame:
 def _edge_keys():
     """Distinct furniture keys on the edge of a page, worked out inside the row."""
     lines = F.split("text", "\n")
-    edge = F.transform(
-        F.concat(F.slice(lines, 1, K.EDGE_LINES), F.slice(F.reverse(lines), 1, K.EDGE_LINES)), T.strip)
+    # Most pages are edge throughout: their lines are looked at once.
+    edge = F.transform(F.element_at(F.transform(F.array(lines), lambda x: F.when(F.size(x) <= 2 * K.EDGE_LINES, x).otherwise(
+        F.concat(F.slice(x, 1, K.EDGE_LINES), F.slice(F.reverse(x), 1, K.EDGE_LINES)))), 1), T.strip)
     usable = F.filter(edge, lambda x: (x != "") & (F.length(x) <= K.FURNITURE_MAX_LINE) & ~T.is_protected(x))
     return F.array_distinct(F.array_remove(F.transform(usable, T.furniture_key), ""))
 
@@ -166,18 +167,23 @@ def clean_furniture(pages: DataFrame) -> DataFrame:
 
 
 def _without_edges(joined: DataFrame) -> DataFrame:
-    """Lines are judged inside the page row by its ``__keys``, so the text is neither exploded nor collected again."""
+    """Lines are judged inside the page row by its ``__keys``, so the text is neither exploded nor collected again.
+
+    A page of a document without furniture on which no line ends like a page number is not cut into lines.
+    """
     def drop(t):
         return (t != "") & ~T.is_protected(t) & (
-            F.array_contains(F.col("__keys"), T.furniture_key(t)) | t.rlike(K.PAGE_NUMBER_LINE))
+            (F.size("__keys") > 0) & F.array_contains(F.col("__keys"), T.furniture_key(t)) | t.rlike(K.PAGE_NUMBER_LINE))
 
     lines, e = F.col("__lines"), K.EDGE_LINES
     n = F.size(lines)
     head = F.slice(lines, 1, e)
     middle = F.slice(lines, e + 1, F.greatest(n - 2 * e, F.lit(0)))
     tail = F.when(n > e, F.slice(lines, F.greatest(n - e + 1, F.lit(e + 1)), e)).otherwise(F.slice(lines, 1, 0))
-    split = once(joined, __lines=F.split("text", "\n"))
-    split = once(split, __head=head, __middle=middle, __tail=tail).drop("__lines", "text")
+    # A page number ends its line with a digit, or with "of" after one.
+    touched = F.coalesce((F.size("__keys") > 0) | F.col("text").rlike(rf"(?md)[0-9](?:\s+(?i:of))?{T.IN_LINE}*$"), F.lit(True))
+    split = once(joined, __lines=F.when(touched, F.split("text", "\n")), __whole=F.when(~touched, F.col("text"))).drop("text")
+    split = once(split, __head=head, __middle=middle, __tail=tail).drop("__lines")
     split = once(split, __drop=F.transform(F.transform("__head", T.strip), drop), __last=F.transform(F.transform("__tail", T.strip), drop))
 
     def pick(lines, flags, want: bool):
@@ -187,8 +193,9 @@ def _without_edges(joined: DataFrame) -> DataFrame:
         pick("__head", F.col("__drop"), False), F.col("__middle"), pick("__tail", F.col("__last"), False)), "\n")
     gone = F.transform(
         F.concat(pick("__head", F.col("__drop"), True), pick("__tail", F.col("__last"), True)), T.strip)
-    return once(split, text=T.strip(T.two_newlines(kept)), removed=gone).drop(
-        "__keys", "__head", "__middle", "__tail", "__drop", "__last")
+    none = F.when(F.col("__whole").isNotNull(), F.array().cast("array<string>"))
+    return once(split, text=T.strip_long(T.two_newlines(F.coalesce("__whole", kept))), removed=F.coalesce(none, gone)).drop(
+        "__keys", "__whole", "__head", "__middle", "__tail", "__drop", "__last")
 
 
 def removed_line_report(stripped: DataFrame, n: int = 10) -> DataFrame:
@@ -211,9 +218,8 @@ def _cleaned(pages: DataFrame) -> DataFrame:
 
 def classify_pages(pages: DataFrame) -> DataFrame:
     """Furniture off, light clean-up, blank pages out, ``page_type`` and ``char_count`` added."""
-    clean = _cleaned(pages)
-    kept, _ = drop_empty_pages(clean)
-    return once(kept, page_type=T.page_type("text"), char_count=F.length("text"))
+    kept = _cleaned(pages).filter(F.col("text") != "")  # stripped and never null
+    return once(kept, page_type=T.page_type("text")).withColumn("char_count", F.length("text"))
 
 
 def flagged_pages(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from passagework.plans import sqltext as Q
 from passagework.plans.lifecycle import write_documents
 from passagework.plans.registry import query
-from passagework.sources.documents import fingerprint
+from passagework.sources.documents import fingerprint, read_documents
 from passagework.sources.lineage import new_folder
 from passagework.sources.tables import table
 from passagework.streaming import ingest as S
@@ -26,10 +26,12 @@ select document_id || ':p' || page_number || ':c' || chunk_index as chunk_id, md
 def stream_chunk_ingest(spark, sf):
     base = new_folder(spark, "passagework-stream")
     source = write_documents(spark, sf)
+    # However many files Spark writes they come in two micro-batches: a batch is planned anew, and meanwhile no task runs.
+    files = len(read_documents(spark, source, multi_line=False).inputFiles())
     # Everything is ingested twice, the second time in another generation: the result must not change.
     for generation in (0, 1):
         S.stream_chunk_ingest(spark, source, f"{base}/store", f"{base}/checkpoint-{generation}", generation,
-                              files_per_batch=4).awaitTermination()
+                              files_per_batch=max(1, -(-files // 2))).awaitTermination()
     return S.current_chunks(spark, f"{base}/store").select("chunk_id", F.md5("text").alias("text_md5"), "section_title")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from passagework.operators.chunks import build_chunks
 from passagework.operators.pages import classify_pages
 from passagework.sources.documents import DOCUMENT_SCHEMA, fingerprint
-from passagework.sources.lineage import cut
+from passagework.sources.lineage import cut, dealt
 
 #: Hexadecimal digits of a hash that name its folder.
 HASH_HEAD = 2
@@ -39,12 +39,13 @@ def ingest_batch(batch: DataFrame, store: str, version: int) -> None:
     all its older chunks, also when it now has fewer, and nothing already stored is rewritten.
     """
     attempt = f"version={version}/attempt={_attempt()}"
-    docs = _newest(batch)
+    # Half a split is what a task holds, however much a batch brings: the plan is long, and more tasks than that cost more than they even out.
+    docs = _newest(dealt(batch, "source", shares=2, least=2))
     page = docs.select("document_id", F.explode("pages").alias("p")).select(
         "document_id", "p.page_number", F.coalesce("p.text", F.lit("")).alias("text"))
     chunks = build_chunks(classify_pages(page))
     chunks.write.parquet(f"{store}/chunks/{attempt}")
-    docs.select("document_id").write.parquet(f"{store}/manifest/{attempt}")
+    batch.select(F.col("source").alias("document_id")).distinct().write.parquet(f"{store}/manifest/{attempt}")
 
 
 def stream_chunk_ingest(spark: SparkSession, source: str, store: str, checkpoint: str, generation: int = 0,

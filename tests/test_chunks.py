@@ -139,6 +139,37 @@ def test_lines_do_not_carry_their_neighbours(spark):
     assert got == [(1, None, ""), (2, "", "y" * 40), (3, "y" * 40, None), (4, None, "z"), (5, "z", None), (6, None, None)]
 
 
+def test_chunks_know_their_page(spark):
+    """A chunk's place is that of the last page which starts at or before it, as a filter of all starts finds it."""
+    rng = random.Random(8)
+    rows = [(i, random_text(rng), 7 * i, sorted(rng.sample(range(7 * i, 7 * i + 900), rng.randint(1, 20)))) for i in range(40)] + [(40, None, 0, [0])]
+    df = spark.createDataFrame(rows, "i int, t string, at bigint, starts array<bigint>")
+    got = {r.i: r.p for r in df.select("i", C.split_on_pages("t", "at", "starts", 60, 15).alias("p")).collect()}
+    assert got.pop(40) is None
+    for i, t, at, starts in rows[:-1]:
+        assert [(p.start, p.text) for p in got[i]] == brute(t, 60, 15)
+        assert [p.place for p in got[i]] == [sum(s <= at + p.start for s in starts) or None for p in got[i]]
+
+
+def test_pages_that_are_not_cut_into_lines(spark):
+    """Page numbers of every form go, also where no furniture is; other pages stay as they are and have no removed lines."""
+    numbers = ["7", " 12\u00a0", "page 3 of", "PAGE  4 of 9", "3 of 7\x0b", "page 12"]
+    plain = "Prose of one line\n\n\n\nin 2004 it ended so"
+    p = pages(spark, [(n, f"{x}\nbody") for n, x in enumerate(numbers)] + [(90, plain), (91, ""), (92, None), (93, "1.2.3\nof")])
+    got = {r.page_number: (r.text, r.removed) for r in P.clean_furniture(p.withColumn("document_id", F.col("page_number").cast("string"))).collect()}
+    assert [got[n] for n in range(len(numbers))] == [("body", [x.strip()]) for x in numbers]
+    assert got[90] == ("Prose of one line\n\nin 2004 it ended so", []) and got[91] == ("", []) and got[92] == (None, None) and got[93] == ("1.2.3\nof", [])
+
+
+def test_page_types_of_texts_with_and_without_phrases(spark):
+    from passagework.functions import text as T
+    entries = "\n".join(f"Topic {n} \u00a0" for n in range(9))
+    rows = [("plain prose", "content"), ("Copyright. Creative Commons", "copyright"), ("copyright only", "content"), ("Figures and TABLES", "table_of_contents"),
+            (entries, "table_of_contents"), ("contents\n" + entries, "table_of_contents"), (entries[:30], "content"), (None, "content")]
+    df = spark.createDataFrame(rows, "t string, want string")
+    assert [r.got for r in df.select(T.page_type("t").alias("got")).collect()] == [w for _, w in rows]
+
+
 def test_locate_chunk(spark):
     cases = [("abcabc", "abc", 0, 0), ("abcabc", "abc", 1, 3), ("abc", "x", 0, -1), ("q" * 5 + "r" * 45, "r" * 41 + "z", 0, 5)]
     df = spark.createDataFrame(cases, "s string, p string, c int, want int")

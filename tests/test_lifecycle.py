@@ -96,6 +96,26 @@ def test_stream_ingest_replaces_whole_documents(spark, tmp_path):
     assert {(r.document_id, r.chunk_id) for r in S.current_chunks(spark, str(tmp_path / "compacted")).collect()} == batch(("a", 1), ("b", 2))
 
 
+def test_number_of_micro_batches_does_not_grow_with_the_files(spark, tmp_path, monkeypatch):
+    """Documents in many files come in two micro-batches a generation, and every one of them in both generations."""
+    from passagework.plans import streams
+    monkeypatch.setattr(streams, "new_folder", lambda spark, kind: str(tmp_path / "stream"))
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        streams.stream_chunk_ingest(spark, "/root/testdata/sf0.001")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    manifest = spark.read.parquet(f"{tmp_path}/stream/store/manifest")
+    versions = {r.version: r.n for r in manifest.groupBy("version").agg(F.countDistinct("document_id").alias("n")).collect()}
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", F.floor(F.col("doc_id") / 1000)).distinct().count()
+    assert sorted(versions) == [0, 1, S.GENERATION, S.GENERATION + 1]
+    assert versions[0] + versions[1] == versions[S.GENERATION] + versions[S.GENERATION + 1] == documents
+
+
 def test_replayed_batch_changes_nothing(spark, tmp_path):
     page = "struct<page_number:int,text:string,char_count:int,image_count:int,page_type:string>"
     rows = spark.read.schema(f"source string, pages array<{page}>").json(
